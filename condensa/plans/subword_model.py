@@ -1,0 +1,44 @@
+"""A SentencePiece model for the given documents, to stand in for a model file.
+
+Words are counted on Spark; the trainer sees only the most frequent ones, a table of fixed
+size. Training is set-up for the subword queries, not an operator.
+"""
+
+from __future__ import annotations
+
+import io
+
+from pyspark.sql import DataFrame, functions as F
+
+from condensa.functions.ids import EOS, PAD, SOS, UNK
+from condensa.functions.text import clean_chars
+from condensa.operators.vocab import build_vocab, word_counts
+
+MODEL_WORDS = 3000
+MODEL_PIECES = 1000
+
+
+def fixture_model(docs: DataFrame) -> tuple[bytes, int]:
+    """Model bytes and number of pieces."""
+    import sentencepiece as spm
+
+    counts = word_counts(docs, F.split(clean_chars("text"), " ")).where("word <> ''")
+    top = build_vocab(counts, MODEL_WORDS).collect()
+    lines = (f"{row['word']}\t{row['n']}" for row in sorted(top, key=lambda r: r["id"]))
+    out = io.BytesIO()
+    spm.SentencePieceTrainer.train(
+        sentence_iterator=lines,
+        model_writer=out,
+        input_format="tsv",
+        model_type="unigram",
+        vocab_size=MODEL_PIECES,
+        hard_vocab_limit=False,
+        num_threads=1,
+        pad_id=PAD,
+        bos_id=SOS,
+        eos_id=EOS,
+        unk_id=UNK,
+        minloglevel=2,
+    )
+    model = out.getvalue()
+    return model, spm.SentencePieceProcessor(model_proto=model).get_piece_size()
