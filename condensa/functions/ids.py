@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from condensa.functions.text import as_column
+from condensa.functions.text import as_column, bind
 
 # The reserved ids and the words they decode to.
 PAD, SOS, EOS, UNK = 0, 1, 2, 3
@@ -16,15 +16,6 @@ FIRST_WORD_ID = len(RESERVED_WORDS)
 MAX_ID = 65535
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and hand it to `body`, however often `body` uses it.
-
-    A column that a lambda captures may be inlined into it by the optimizer and then be
-    computed per element; a lambda argument never is.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def pad_to(ids: Column, width: int, pad: int = PAD) -> Column:
     """Cut or right-pad to `width`."""
     kept = F.slice(ids, 1, width)

@@ -5,6 +5,8 @@ Everything here is built from Spark's own functions and runs inside one projecti
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Token, cleaning and sentence patterns. `\p{L}\p{N}_` is the Unicode word
@@ -21,6 +23,18 @@ INNER_PUNCTUATION = (",", ";")
 QUOTES = ('"', "'")
 
 
+FOLD_TOKENS = 64
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and hand it to `body`, however often `body` uses it.
+
+    A column that a lambda captures may be inlined into it by the optimizer and then be
+    computed per element; a lambda argument never is.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -30,6 +44,12 @@ def word_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(as_column(text)), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def first_word_token(text: Column | str) -> Column:
+    """The first of the `word_tokens`; null when there is none."""
+    first = F.regexp_extract(F.lower(as_column(text)), WORD_PATTERN, 0)
+    return F.nullif(first, F.lit(""))
+
+
 def plain_tokens(text: Column | str) -> Column:
     """As `word_tokens`, but apostrophes separate words and the case is kept."""
     return F.regexp_extract_all(as_column(text), F.lit(PLAIN_PATTERN), F.lit(0))
@@ -66,42 +86,67 @@ def detokenize(tokens: Column | str) -> Column:
 
     No space before `. ! ? , ;`; the first token and the first word after a sentence end
     are capitalised; an opening quote takes a space before it and none after it.
+
+    The fold writes pieces of `FOLD_TOKENS` tokens that are joined at the end, so the cost
+    grows with the text and not with its square.
     """
     enders, inner, quotes = list(SENTENCE_ENDERS), list(INNER_PUNCTUATION), list(QUOTES)
 
     def step(state: Column, token: Column) -> Column:
-        first = state["text"].isNull()
-        is_quote = token.isin(quotes)
-        is_word = first | ~token.isin(enders + inner + quotes)
+        is_quote = token.isin(quotes) & ~state["first"]
+        is_word = state["first"] | ~token.isin(enders + inner + quotes)
         opens = is_quote & ~state["in_quotes"]
-        shown = F.when(first | state["capital_next"], F.initcap(token)).otherwise(token)
+        spaced = opens | (is_word & ~state["first"] & ~state["after_open"])
+        capital = is_word & (state["first"] | state["capital_next"])
         return F.struct(
-            F.when(first, shown)
-            .when(is_word & ~state["after_open"], F.concat(state["text"], F.lit(" "), shown))
-            .when(is_word, F.concat(state["text"], shown))
-            .when(opens, F.concat(state["text"], F.lit(" "), token))
-            .otherwise(F.concat(state["text"], token))
-            .alias("text"),
-            F.when(is_word, False)
-            .otherwise(token.isin(enders) | state["capital_next"])
-            .alias("capital_next"),
-            F.when(is_quote & ~first, ~state["in_quotes"])
-            .otherwise(state["in_quotes"])
-            .alias("in_quotes"),
-            F.when(is_word, False).otherwise(opens | state["after_open"]).alias("after_open"),
+            F.concat(
+                state["text"],
+                F.when(spaced, F.lit(" ")).otherwise(F.lit("")),
+                F.when(capital, F.initcap(token)).otherwise(token),
+            ).alias("text"),
+            F.lit(False).alias("first"),
+            (~is_word & (token.isin(enders) | state["capital_next"])).alias("capital_next"),
+            (is_quote != state["in_quotes"]).alias("in_quotes"),
+            (~is_word & (opens | state["after_open"])).alias("after_open"),
+        )
+
+    flags = ("first", "capital_next", "in_quotes", "after_open")
+
+    def piece(state: Column, chunk: Column) -> Column:
+        start = F.struct(F.lit("").alias("text"), *[state[f].alias(f) for f in flags])
+        return F.aggregate(
+            chunk,
+            start,
+            step,
+            lambda end: F.struct(
+                F.concat(state["pieces"], F.array(end["text"])).alias("pieces"),
+                *[end[f].alias(f) for f in flags],
+            ),
         )
 
     start = F.struct(
-        F.lit(None).cast("string").alias("text"),
-        F.lit(False).alias("capital_next"),
-        F.lit(False).alias("in_quotes"),
-        F.lit(False).alias("after_open"),
+        F.array().cast("array<string>").alias("pieces"),
+        *[F.lit(f == "first").alias(f) for f in flags],
     )
     return F.aggregate(
-        as_column(tokens), start, step, lambda state: F.coalesce(state["text"], F.lit(""))
+        in_chunks(as_column(tokens), FOLD_TOKENS),
+        start,
+        piece,
+        lambda end: F.array_join(end["pieces"], ""),
     )
 
 
+def in_chunks(array: Column, size: int) -> Column:
+    """The array cut into arrays of `size`; no chunk for an empty array."""
+
+    def cut(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(size))
+        chunks = F.transform(starts, lambda i: F.slice(a, i, size))
+        return F.filter(chunks, lambda c: F.size(c) > 0)
+
+    return bind(array, cut)
+
+
 def detokenize_text(text: Column | str) -> Column:
     """`detokenize` of a text that is first cut at white space."""
     return detokenize(F.regexp_extract_all(as_column(text), F.lit(r"(?U)\S+"), F.lit(0)))

@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from condensa.functions.ids import (
-    PAD,
-    bind,
-    collapse_unknown,
-    count_in,
-    masked_mean,
-    real_ids,
-)
-from condensa.functions.text import flatten_newlines, split_sentences, word_tokens
+from condensa.functions.ids import PAD, collapse_unknown, count_in, masked_mean, real_ids
+from condensa.functions.text import bind, flatten_newlines, split_sentences, word_tokens
 from condensa.operators.lookup import dense_table, explode_words
 from condensa.operators.skew import attach_by_key
+from condensa.session import materialize
 
 # Fixed value: the smallest probability the logarithm sees.
 MIN_PROBABILITY = 1e-7
@@ -53,9 +47,8 @@ def corpus_distribution(examples: DataFrame, vocab_size: int, ids: str = "y") ->
         .groupBy("id")
         .agg(F.count("*").alias("n"))
     )
-    total = counts.agg(F.sum("n").alias("total"))
-    # one row
-    return counts.join(F.broadcast(total)).select("id", (F.col("n") / F.col("total")).alias("p"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("id", (F.col("n") / total).alias("p"))
 
 
 def token_probabilities(
@@ -152,8 +145,10 @@ def bigram_transitions(counts: DataFrame, bounded: bool = False) -> DataFrame:
     """`prev, next, n, logp`: log share of each next token after its previous token.
 
     `bounded` says that `prev` is a vocabulary id, so its totals are a small table. For words
-    the totals are joined with the frequent ones split off.
+    the totals are joined with the frequent ones split off. The counts are read for the
+    totals and for the join; they are written once, so the texts are counted once.
     """
+    counts = materialize(counts, "bigrams")
     totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
     if bounded:
         joined = counts.join(F.broadcast(totals), "prev")

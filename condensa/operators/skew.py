@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from condensa.session import materialize
+
 HEAD_ROWS = 50_000
 
 
@@ -20,9 +22,11 @@ def attach_by_key(
 
     The `head_rows` keys of largest `weight` are broadcast, which bounds the broadcast. Rows
     matched there go on under a key of their own (`spread_on`), so the shuffle join that
-    serves all other keys meets no frequent one.
+    serves all other keys meets no frequent one. `right` is read for both joins and is
+    written to the shared folder first.
     """
-    ranked = right.orderBy(F.desc(weight), key).limit(head_rows)
+    right = materialize(right.select(key, value, F.col(weight).alias("_weight")), "by-key")
+    ranked = right.orderBy(F.desc("_weight"), key).limit(head_rows)
     head = ranked.select(key, F.col(value).alias("_head_value"))
     tail = right.select(F.col(key).alias("_rare"), F.col(value).alias("_tail_value"))
     own_key = F.concat_ws("\u0000", F.lit(""), *[F.col(c).cast("string") for c in spread_on])

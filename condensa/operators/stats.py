@@ -53,8 +53,9 @@ def length_summary(counts: DataFrame) -> DataFrame:
 
 
 def _with_summary(counts: DataFrame) -> DataFrame:
-    """Each value next to the summary: a join with one row, sent to every task."""
-    return counts.join(F.broadcast(five_numbers(counts)))
+    """Each value next to the summary, which every task receives as one value."""
+    summary = five_numbers(counts).select(F.struct("*")).scalar()
+    return counts.withColumn("s", summary).select("value", "n", "s.*")
 
 
 def band_name(low: int, high: int | None) -> str:

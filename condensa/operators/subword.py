@@ -63,7 +63,9 @@ def word_pieces_of(spark: SparkSession, model: bytes):
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sp = load_processor(shared.value)
         for words in batches:
-            yield pd.Series([sp.encode(list(w), out_type=str, num_threads=1) for w in words])
+            distinct = list(set().union(*words))
+            known = dict(zip(distinct, sp.encode(distinct, out_type=str, num_threads=1)))
+            yield pd.Series([[known[w] for w in row] for row in words])
 
     return pieces
 

@@ -28,7 +28,10 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     A sentence without tokens scores 0. Tokens are grouped to one row per document and word
     before they meet the document frequencies.
     """
-    texts = docs.select(key, "text").repartition(key)
+    return _sentence_scores(docs, docs.select(key, "text").repartition(key), key)
+
+
+def _sentence_scores(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     tokens = texts.select(
         key, F.posexplode_outer(sentences_of("text")).alias("pos", "sentence")
     ).select(key, "pos", F.explode_outer(word_tokens("sentence")).alias("word"))
@@ -38,10 +41,9 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     frequency = word_counts(docs, F.array_distinct(word_tokens("text")))
     weighted = attach_by_key(terms, frequency, "word", "n", "n", [key, "word"])
-    total = docs.agg(F.count("*").alias("total"))
+    total = docs.agg(F.count("*")).scalar()
     scored = (
-        weighted.join(F.broadcast(total))
-        .withColumn("weight", F.col("tf") * F.ln(F.col("total") / F.col("n")))
+        weighted.withColumn("weight", F.col("tf") * F.ln(total / F.col("n")))
         .select(key, "weight", F.explode("places").alias("place"))
         .groupBy(key, F.col("place.pos").alias("pos"))
         .agg(
@@ -54,15 +56,19 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def extractive_summary(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
-    """`key, summary`: the `k` sentences of highest score, in their original order."""
+    """`key, summary`: the `k` sentences of highest score, in their original order.
+
+    The texts are shuffled by key once; scoring and the final pick read the same shuffle.
+    """
+    texts = docs.select(key, "text").repartition(key)
     best = Window.partitionBy(key).orderBy(F.round("score", SCORE_DIGITS).desc(), "pos")
     chosen = (
-        sentence_scores(docs, key)
+        _sentence_scores(docs, texts, key)
         .withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= k)
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("pos")).alias("chosen"))
     )
-    texts = docs.select(key, sentences_of("text").alias("sentences"))
     picked = F.transform("chosen", lambda pos: F.get("sentences", pos))
-    return texts.join(chosen, key).select(key, F.array_join(picked, " ").alias("summary"))
+    sentences = texts.select(key, sentences_of("text").alias("sentences"))
+    return sentences.join(chosen, key).select(key, F.array_join(picked, " ").alias("summary"))

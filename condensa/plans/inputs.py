@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condensa.functions.ids import bind
-from condensa.functions.text import flatten_newlines, split_sentences, word_tokens
+from condensa.functions.ids import EOS
+from condensa.functions.text import (
+    bind,
+    first_word_token,
+    flatten_newlines,
+    split_sentences,
+    word_tokens,
+)
 from condensa.operators.encode import encode_examples
 from condensa.operators.lookup import lookup_id, word_table
 from condensa.operators.vocab import build_vocab, word_counts
-from condensa.session import spread
+from condensa.session import materialize, spread
 
 TX, TY, MAX_OOV = 100, 30, 20
 VOCAB_WORDS = 2000
@@ -75,15 +81,30 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return build_vocab(word_counts(docs, word_tokens("text")), VOCAB_WORDS)
 
 
-def examples(docs: DataFrame) -> DataFrame:
-    return encode_examples(doc_pairs(docs), vocabulary(docs), VOCAB_SIZE, TX, TY, MAX_OOV)
+def written_vocabulary(docs: DataFrame) -> DataFrame:
+    """The vocabulary as the file that later steps share."""
+    return materialize(vocabulary(docs), "vocab")
 
 
-def document_ids(docs: DataFrame) -> DataFrame:
+def examples(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    vocab = vocabulary(docs) if vocab is None else vocab
+    return encode_examples(doc_pairs(docs), vocab, VOCAB_SIZE, TX, TY, MAX_OOV)
+
+
+def document_ids(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     """`doc_id, ids`: all tokens of each document as vocabulary ids."""
     ids = F.transform(word_tokens("text"), lambda word: lookup_id(F.col("_words"), word))
-    return docs.withColumn("_words", word_table(vocabulary(docs))).select(
-        "doc_id", ids.alias("ids")
+    return docs.withColumn("_words", word_table(vocab)).select("doc_id", ids.alias("ids"))
+
+
+def document_starts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """`ex_id, start`: the first token id of each document; eos for an empty one."""
+    first = docs.select("doc_id", first_word_token("text").alias("word"))
+    start = F.when(F.col("word").isNull(), EOS).otherwise(
+        lookup_id(F.col("_words"), F.col("word"))
+    )
+    return first.withColumn("_words", word_table(vocab)).select(
+        F.col("doc_id").alias("ex_id"), start.alias("start")
     )
 
 

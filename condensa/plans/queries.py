@@ -227,9 +227,10 @@ def examples_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _decoded(spark: SparkSession, sf_dir: str, lookup: str) -> DataFrame:
     docs = P.documents(spark, sf_dir)
+    vocab = P.written_vocabulary(docs)
     return decode_words(
-        P.examples(docs),
-        P.vocabulary(docs),
+        P.examples(docs, vocab),
+        vocab,
         P.VOCAB_SIZE,
         {"x": "source_text", "y": "target_text"},
         remove_paddings=True,
@@ -288,8 +289,15 @@ def excess_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def oov_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stats.value_counts(P.examples(P.documents(spark, sf_dir)), F.col("oov_cnt"))
-    summary = stats.length_summary(counts)
-    return summary.join(F.broadcast(stats.cutoff_report(counts, P.MAX_OOV // 2)))
+    counts = materialize(counts, "oov-counts")
+    report = stats.cutoff_report(counts, P.MAX_OOV // 2)
+    shares = report.select(F.struct("*")).scalar()
+    return (
+        stats.length_summary(counts)
+        .withColumn("shares", shares)
+        .select("*", "shares.*")
+        .drop("shares")
+    )
 
 
 # --- batches and samples --------------------------------------------------------------
@@ -357,7 +365,7 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rouge_l_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id arrays: the encoded first source sentence against the encoded target."""
     docs = P.documents(spark, sf_dir)
-    pairs, vocab = P.doc_pairs(docs), P.vocabulary(docs)
+    pairs, vocab = P.doc_pairs(docs), P.written_vocabulary(docs)
     first = F.get(T.split_sentences("source"), F.lit(0))
 
     def ids(df: DataFrame, name: str) -> DataFrame:
@@ -386,25 +394,20 @@ def rouge_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation job on all examples: sampled triples next to the average scores."""
     docs = P.documents(spark, sf_dir)
+    vocab = P.written_vocabulary(docs)
     first = F.get(T.split_sentences("source"), F.lit(0))
     predictions = P.doc_pairs(docs).select("doc_id", T.normalize_text(first).alias("pred_summary"))
     result = evaluate(
-        P.examples(docs), predictions, P.vocabulary(docs), P.VOCAB_SIZE, P.SAMPLES, P.SEED
-    )
-    scores = result.averages.groupBy().agg(
-        *[
-            F.max(F.when(F.col("metric") == metric, F.col("f"))).alias(name)
-            for metric, name in (
-                ("rouge-1", "rouge_1_f"),
-                ("rouge-2", "rouge_2_f"),
-                ("rouge-l", "rouge_l_f"),
-            )
-        ]
+        P.examples(docs, vocab), predictions, vocab, P.VOCAB_SIZE, P.SAMPLES, P.SEED
     )
-    # one row of scores
-    return _rounded(
-        result.samples.join(F.broadcast(scores)), "rouge_1_f", "rouge_2_f", "rouge_l_f"
+    names = {"rouge-1": "rouge_1_f", "rouge-2": "rouge_2_f", "rouge-l": "rouge_l_f"}
+    by_metric = F.map_from_entries(F.collect_list(F.struct("metric", "f")))
+    scores = result.averages.agg(by_metric).scalar()
+    with_scores = result.samples.withColumn("scores", scores).select(
+        *result.samples.columns,
+        *[F.element_at("scores", F.lit(m)).alias(name) for m, name in names.items()],
     )
+    return _rounded(with_scores, *names.values())
 
 
 # --- corpus tables --------------------------------------------------------------------
@@ -467,12 +470,11 @@ def bigram_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _starts_and_transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every document continued from its first token; transitions of the whole corpus."""
-    ids = P.document_ids(P.documents(spark, sf_dir))
+    docs = P.documents(spark, sf_dir)
+    vocab = P.written_vocabulary(docs)
+    ids = P.document_ids(docs, vocab)
     counts = lm.bigram_counts(ids, F.col("ids"), F.lit(I.SOS), F.lit(I.EOS))
-    starts = ids.select(
-        F.col("doc_id").alias("ex_id"), F.coalesce(F.get("ids", F.lit(0)), F.lit(I.EOS)).alias("start")
-    )
-    return starts, lm.bigram_transitions(counts, bounded=True)
+    return P.document_starts(docs, vocab), lm.bigram_transitions(counts, bounded=True)
 
 
 def _beam(spark: SparkSession, sf_dir: str, length_norm: str) -> DataFrame:

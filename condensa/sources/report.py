@@ -19,10 +19,9 @@ def report_line(averages: DataFrame, samples: DataFrame, config: dict, key: str)
     )
     triple = F.to_json(F.struct("text", "ref_summary", "pred_summary"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), triple.alias("j"))))
-    triples = samples.agg(F.transform(ordered, lambda t: t["j"]).alias("triples"))
-    parts = F.concat(F.array("scores", F.lit(json.dumps(config))), F.col("triples"))
-    # one row each
-    line = scores.join(F.broadcast(triples)).select(F.array_join(parts, ", ").alias("body"))
+    triples = samples.agg(F.transform(ordered, lambda t: t["j"])).scalar()
+    parts = F.concat(F.array("scores", F.lit(json.dumps(config))), triples)
+    line = scores.select(F.array_join(parts, ", ").alias("body"))
     return line.select(F.concat(F.lit("["), "body", F.lit("]")).alias("value"))
 
 
