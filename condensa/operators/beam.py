@@ -4,7 +4,7 @@ All starts advance together, one join per step. The search depends on the start
 so it runs once per distinct token and the result is joined back to the examples. State and
 pruned transitions are bounded by the vocabulary: they are broadcast or, above
 `BROADCAST_ROWS`, joined. Within a search the state stays partitioned by start token, so the
-steps need no further shuffle and no lineage cut.
+steps need no further shuffle. Only the pruned transitions are written, once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.functions.ids import EOS, UNK
+from condensa.session import materialize
 
 BROADCAST_ROWS = 1_000_000
 # scores that differ by rounding noise only count as equal; ties go to the smaller sequence
@@ -58,7 +59,7 @@ def beam_search(
     `transitions` holds ids below `vocab_size`. Keeping `bw + 1` next tokens per token is
     exact: one hypothesis fills at most `bw` places, and eos is not allowed first.
     """
-    nexts = _bounded(prune_transitions(transitions, bw + 1, block_unk), vocab_size * (bw + 1))
+    nexts = _next_tokens(transitions, vocab_size, bw + 1, block_unk)
     state = (
         starts.select("start")
         .distinct()
@@ -83,6 +84,14 @@ def beam_search(
     return starts.select(key, "start").join(_bounded(found, vocab_size), "start")
 
 
+def _next_tokens(
+    transitions: DataFrame, vocab_size: int, keep: int, block_unk: bool
+) -> DataFrame:
+    """The pruned transitions, written once because every step reads them."""
+    pruned = materialize(prune_transitions(transitions, keep, block_unk), "next-tokens")
+    return _bounded(pruned, vocab_size * keep)
+
+
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast `df` if its largest possible size allows it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -127,7 +136,7 @@ def greedy_path(
     key: str = "ex_id",
 ) -> DataFrame:
     """`key, start, seq, logp, done`: always the most likely next token, up to eos."""
-    nexts = _bounded(prune_transitions(transitions, 1, block_unk), vocab_size)
+    nexts = _next_tokens(transitions, vocab_size, 1, block_unk)
     state = (
         starts.select("start")
         .distinct()

@@ -25,8 +25,8 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """`key, pos, score`: mean tf-idf weight of the tokens of each sentence.
 
     tf is the count of the word in its document, idf is `ln(documents / documents with it)`.
-    A sentence without tokens scores 0. Tokens are grouped to one row per document and word
-    before they meet the document frequencies.
+    A sentence without tokens scores 0. Tokens are counted per sentence before they meet the
+    document frequencies.
     """
     return _sentence_scores(docs, docs.select(key, "text").repartition(key), key)
 
@@ -35,21 +35,15 @@ def _sentence_scores(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     tokens = texts.select(
         key, F.posexplode_outer(sentences_of("text")).alias("pos", "sentence")
     ).select(key, "pos", F.explode_outer(word_tokens("sentence")).alias("word"))
-    in_sentence = tokens.groupBy(key, "word", "pos").agg(F.count("word").alias("c"))
-    terms = in_sentence.groupBy(key, "word").agg(
-        F.sum("c").alias("tf"), F.collect_list(F.struct("pos", "c")).alias("places")
-    )
+    counted = tokens.groupBy(key, "word", "pos").agg(F.count("word").alias("c"))
+    terms = counted.withColumn("tf", F.sum("c").over(Window.partitionBy(key, "word")))
     frequency = word_counts(docs, F.array_distinct(word_tokens("text")))
-    weighted = attach_by_key(terms, frequency, "word", "n", "n", [key, "word"])
+    weighted = attach_by_key(terms, frequency, "word", "n", "n", [key, "pos", "word"])
     total = docs.agg(F.count("*")).scalar()
     scored = (
         weighted.withColumn("weight", F.col("tf") * F.ln(total / F.col("n")))
-        .select(key, "weight", F.explode("places").alias("place"))
-        .groupBy(key, F.col("place.pos").alias("pos"))
-        .agg(
-            F.sum(F.col("place.c") * F.col("weight")).alias("weights"),
-            F.sum("place.c").alias("size"),
-        )
+        .groupBy(key, "pos")
+        .agg(F.sum(F.col("c") * F.col("weight")).alias("weights"), F.sum("c").alias("size"))
     )
     mean = F.when(F.col("size") > 0, F.col("weights") / F.col("size")).otherwise(0.0)
     return scored.select(key, "pos", mean.alias("score"))
