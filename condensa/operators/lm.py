@@ -116,7 +116,7 @@ def coverage_repetition(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         key, "step", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("word")
     )
     shares = words.groupBy(key, "step", "size", "word").agg(
-        (F.count("word") / F.col("size")).alias("share")
+        F.when(F.col("size") > 0, F.count("word") / F.col("size")).alias("share")
     )
     earlier = (
         Window.partitionBy(key, "word").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)

@@ -31,16 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     A machine-local folder is made only for a local master, where nothing is named.
     """
-    named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_SETTING
-    )
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="condensa-")
-    spark.conf.set(CHECKPOINT_SETTING, made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="condensa-"))
+    return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -1,0 +1,107 @@
+import re
+
+import pytest
+
+from condensa.operators import subword
+from condensa.plans.subword_model import fixture_model
+
+spm = pytest.importorskip("sentencepiece")
+
+TEXTS = [
+    (1, "Žluťoučký kůň pěl. Ďábelské ódy!\nZnovu kůň.", "Kůň pěl Ω."),
+    (2, "pěl pěl pěl — kůň", "ódy"),
+    (3, "", ""),
+    (4, "Ωmega δelta Ω kůň ζ", "ζ a Ω"),
+]
+TX, TY, CAP = 12, 6, 3
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    words = "žluťoučký kůň pěl ďábelské ódy znovu a . , !".split()
+    docs = spark.createDataFrame([(i, " ".join(words * 3)) for i in range(5)], "doc_id long, text string")
+    return fixture_model(docs)
+
+
+@pytest.fixture
+def pairs(spark):
+    return spark.createDataFrame(TEXTS, "doc_id long, source string, target string")
+
+
+def plain_encode(sp, size, source, target):
+    """The rule of subword encoding, stated as loops."""
+
+    def pieces(text, width):
+        return sp.encode(re.sub(r"[^\w.,!?;\" ]", "", text.lower()), out_type=str)[:width]
+
+    xs, ys = pieces(source, TX), pieces(target, TY)
+    unknown = [p for p in xs if sp.piece_to_id(p) == 3]
+    slots = {p: size + k for k, p in enumerate(list(dict.fromkeys(unknown))[:CAP], 1)}
+
+    def closed(tokens, width):
+        ids = [slots.get(p, 3) if sp.piece_to_id(p) == 3 else sp.piece_to_id(p) for p in tokens]
+        ids = ids[: width - 1] + [2]
+        return ids + [0] * (width - len(ids))
+
+    return closed(xs, TX), closed(ys, TY), {i: p for p, i in slots.items()}
+
+
+def test_encode_equals_loops(model, pairs):
+    data, size = model
+    sp = spm.SentencePieceProcessor(model_proto=data)
+    got = subword.encode_subwords(pairs, data, size, TX, TY, CAP).collect()
+    assert len(got) == len(TEXTS)
+    for row in got:
+        _, source, target = TEXTS[row["doc_id"] - 1]
+        assert (row["x"], row["y"], row["oov"]) == plain_encode(sp, size, source, target)
+    assert any(row["oov_cnt"] for row in got)
+
+
+def test_decode_restores_unknown_pieces_in_place(spark, model, pairs):
+    data, size = model
+    wide = subword.encode_subwords(pairs, data, size, 80, 40, 20)
+    texts = subword.decode_subwords(wide, data, size, {"x": "s", "y": "t"})
+    got = {r["doc_id"]: (r["s"], r["t"]) for r in texts.collect()}
+    assert got[2] == ("pěl pěl pěl kůň", "ódy")
+    assert got[3] == ("", "")
+    assert got[4][0] == "ωmega δelta ω kůň ζ"
+
+
+def test_decode_of_known_ids_equals_the_model(spark, model):
+    data, size = model
+    sp = spm.SentencePieceProcessor(model_proto=data)
+    ids = sp.encode("kůň pěl ódy.") + [2, 0]
+    df = spark.createDataFrame([(1, ids, {99999: "x"})], "doc_id long, x array<int>, oov map<int,string>")
+    text = subword.decode_subwords(df, data, size, {"x": "s"}).first()["s"]
+    assert text == sp.decode(ids[:-2])
+
+
+def test_merge_equals_loops(spark, model):
+    data, _ = model
+    sp = spm.SentencePieceProcessor(model_proto=data)
+    text = "kůň Ďábelskýkůňpěl o'dy, Ω kůňpěl"
+    df = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in subword.merge_pieces(df, data, 3).collect()}
+    expected = []
+    for word in re.findall(r"\w+|[.,!?;\"]", text):
+        found = sp.encode(word, out_type=str)
+        long = len([p for p in found if p != "▁"]) >= 3
+        expected += ["".join(found)] if long else found
+    assert got[1]["pieces"] == expected
+    assert got[1]["ids"] == [sp.piece_to_id(p) for p in expected]
+    assert got[2]["pieces"] == []
+
+
+def test_models_with_other_reserved_ids_are_refused(model):
+    import io
+
+    out = io.BytesIO()
+    spm.SentencePieceTrainer.train(
+        sentence_iterator=iter(["a b c d e f g"] * 9),
+        model_writer=out,
+        vocab_size=12,
+        hard_vocab_limit=False,
+        minloglevel=2,
+    )
+    with pytest.raises(ValueError):
+        subword.check_model(out.getvalue())
