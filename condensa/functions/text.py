@@ -19,11 +19,13 @@ SENTENCE_GAP = {
     "unicode": r"(?<=[.?!]) (?=\p{Lu})",
 }
 SENTENCE_ENDERS = (".", "!", "?")
-INNER_PUNCTUATION = (",", ";")
 QUOTES = ('"', "'")
+MARK_PATTERN = r"""(?<= )[.!?,;"'](?= )"""
+# white space as Python's `str.split` sees it
+UNSPACED_PATTERN = r"(?U)[^\s\x1c-\x1f]+"
 
 
-FOLD_TOKENS = 64
+FOLD_STEPS = 64
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,36 +84,54 @@ def split_sentences(text: Column | str, upper: str = "ascii") -> Column:
 
 
 def detokenize(tokens: Column | str) -> Column:
-    """Readable text from a token array.
+    """Readable text from an array of tokens without spaces.
 
     No space before `. ! ? , ;`; the first token and the first word after a sentence end
     are capitalised; an opening quote takes a space before it and none after it.
 
-    The fold writes pieces of `FOLD_TOKENS` tokens that are joined at the end, so the cost
+    Words between two marks are handled as one run, so the fold takes a step per mark and
+    per run. It writes pieces of `FOLD_STEPS` steps that are joined at the end: the cost
     grows with the text and not with its square.
     """
-    enders, inner, quotes = list(SENTENCE_ENDERS), list(INNER_PUNCTUATION), list(QUOTES)
 
-    def step(state: Column, token: Column) -> Column:
-        is_quote = token.isin(quotes) & ~state["first"]
-        is_word = state["first"] | ~token.isin(enders + inner + quotes)
+    def whole(a: Column) -> Column:
+        first = F.coalesce(F.get(a, F.lit(0)), F.lit(""))
+        return F.concat(F.initcap(first), _fold_runs(_runs_and_marks(F.slice(a, F.lit(2), F.size(a)))))
+
+    return bind(as_column(tokens), whole)
+
+
+def _runs_and_marks(tokens: Column) -> Column:
+    """Marks as they are; the words between two of them as one string led by a space."""
+    spaced = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    # tokens hold no white space, so a newline is free to separate
+    return F.filter(
+        F.split(F.regexp_replace(spaced, MARK_PATTERN, "\n$0\n"), "\n"),
+        lambda part: F.trim(part) != "",
+    )
+
+
+def _fold_runs(parts: Column) -> Column:
+    flags = ("capital_next", "in_quotes", "after_open")
+
+    def step(state: Column, part: Column) -> Column:
+        is_run = part.startswith(" ")
+        is_quote = part.isin(*QUOTES)
         opens = is_quote & ~state["in_quotes"]
-        spaced = opens | (is_word & ~state["first"] & ~state["after_open"])
-        capital = is_word & (state["first"] | state["capital_next"])
+        run = F.trim(part)
+        head = F.substring_index(run, " ", 1)
+        capitalised = F.concat(F.initcap(head), F.substr(run, F.length(head) + 1))
         return F.struct(
             F.concat(
                 state["text"],
-                F.when(spaced, F.lit(" ")).otherwise(F.lit("")),
-                F.when(capital, F.initcap(token)).otherwise(token),
+                F.when(opens | (is_run & ~state["after_open"]), F.lit(" ")).otherwise(F.lit("")),
+                F.when(is_run & state["capital_next"], capitalised).otherwise(run),
             ).alias("text"),
-            F.lit(False).alias("first"),
-            (~is_word & (token.isin(enders) | state["capital_next"])).alias("capital_next"),
+            (~is_run & (state["capital_next"] | part.isin(*SENTENCE_ENDERS))).alias("capital_next"),
             (is_quote != state["in_quotes"]).alias("in_quotes"),
-            (~is_word & (opens | state["after_open"])).alias("after_open"),
+            (~is_run & (opens | state["after_open"])).alias("after_open"),
         )
 
-    flags = ("first", "capital_next", "in_quotes", "after_open")
-
     def piece(state: Column, chunk: Column) -> Column:
         start = F.struct(F.lit("").alias("text"), *[state[f].alias(f) for f in flags])
         return F.aggregate(
@@ -126,13 +146,10 @@ def detokenize(tokens: Column | str) -> Column:
 
     start = F.struct(
         F.array().cast("array<string>").alias("pieces"),
-        *[F.lit(f == "first").alias(f) for f in flags],
+        *[F.lit(False).alias(f) for f in flags],
     )
     return F.aggregate(
-        in_chunks(as_column(tokens), FOLD_TOKENS),
-        start,
-        piece,
-        lambda end: F.array_join(end["pieces"], ""),
+        in_chunks(parts, FOLD_STEPS), start, piece, lambda end: F.array_join(end["pieces"], "")
     )
 
 
@@ -149,4 +166,4 @@ def in_chunks(array: Column, size: int) -> Column:
 
 def detokenize_text(text: Column | str) -> Column:
     """`detokenize` of a text that is first cut at white space."""
-    return detokenize(F.regexp_extract_all(as_column(text), F.lit(r"(?U)\S+"), F.lit(0)))
+    return detokenize(F.regexp_extract_all(as_column(text), F.lit(UNSPACED_PATTERN), F.lit(0)))

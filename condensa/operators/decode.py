@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.functions.ids import EOS, PAD, RESERVED_WORDS, UNK
-from condensa.functions.text import as_column
+from condensa.functions.text import as_column, bind
 from condensa.operators.lookup import MAX_INLINE_WORDS, id_table, with_reserved
 
 
@@ -26,15 +26,13 @@ def words_of(
 
     `words` is a dense array by id; an id in neither place gives the unknown word.
     """
-    oov = as_column(oov)
     kept = _kept(as_column(ids), remove_paddings, remove_eos)
-    return F.transform(
-        kept,
-        lambda i: F.coalesce(
-            F.when(i > vocab_size, F.element_at(oov, i)).otherwise(F.get(words, i)),
-            F.lit(RESERVED_WORDS[UNK]),
-        ),
-    )
+
+    def word(dictionary: Column, i: Column) -> Column:
+        known = F.when(i > vocab_size, F.element_at(dictionary, i)).otherwise(F.get(words, i))
+        return F.coalesce(known, F.lit(RESERVED_WORDS[UNK]))
+
+    return bind(as_column(oov), lambda d: F.transform(kept, lambda i: word(d, i)))
 
 
 def decode_words(

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from condensa.functions.ids import EOS, PAD, SOS, UNK
-from condensa.functions.text import clean_chars, plain_tokens
+from condensa.functions.text import bind, clean_chars, plain_tokens
 from condensa.operators.encode import finish_examples
 from condensa.operators.lookup import dense_table, lookup_id, word_table
 
@@ -134,12 +134,12 @@ def decode_subwords(
 
     def text(ids: str) -> Column:
         kept = F.filter(ids, lambda i: ~i.isin([PAD, SOS, EOS]))
-        shown = F.transform(
-            kept,
-            lambda i: F.when(i > vocab_size, F.element_at("oov", i))
-            .when(i == UNK, F.lit(UNKNOWN_TEXT))
-            .otherwise(F.get(F.col("_pieces"), i)),
-        )
+
+        def piece(dictionary: Column, i: Column) -> Column:
+            known = F.when(i == UNK, F.lit(UNKNOWN_TEXT)).otherwise(F.get(F.col("_pieces"), i))
+            return F.when(i > vocab_size, F.element_at(dictionary, i)).otherwise(known)
+
+        shown = bind(F.col("oov"), lambda d: F.transform(kept, lambda i: piece(d, i)))
         spaced = F.replace(F.array_join(shown, ""), F.lit(SPACE_PIECE), F.lit(" "))
         return F.regexp_replace(spaced, "^ ", "")
 

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from hypothesis import HealthCheck, given, settings, strategies as st
+from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 
 from condensa.functions import text as T
 
@@ -88,7 +88,10 @@ TOKENS = st.lists(
 
 
 @settings(
-    max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=3,
+    deadline=None,
+    phases=[Phase.generate],
+    suppress_health_check=list(HealthCheck),
 )
 @given(st.lists(TOKENS, min_size=40, max_size=60))
 def test_detokenize_equals_loop(spark, rows):
