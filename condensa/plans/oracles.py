@@ -378,6 +378,28 @@ def sentence_rows(upper: str) -> str:
       FROM (SELECT doc_id, {cut_sentences(flat('text'), upper)} AS s FROM documents)"""
 
 
+JUDGED = (
+    *ENCODED,
+    NAMES,
+    decoded("x"),
+    decoded("y"),
+    f"""judged AS (SELECT doc_id, x_text.txt AS text, y_text.txt AS ref_summary,
+          array_to_string({words(cut_sentences('source') + '[1]')}, ' ') AS pred_summary
+          FROM x_text JOIN y_text USING (doc_id) JOIN pairs USING (doc_id))""",
+    """lead AS (SELECT doc_id,
+         list_filter(string_split(pred_summary, ' '), lambda w: w <> '') AS pred,
+         list_filter(string_split(ref_summary, ' '), lambda w: w <> '') AS ref FROM judged)""",
+    *rouge_n(1),
+    *rouge_n(2),
+    *lcs(),
+    f"""drawn AS (SELECT * FROM judged
+          ORDER BY md5(doc_id || ':{P.SEED}'), doc_id LIMIT {P.SAMPLES})""",
+)
+REPORT_SCORES = ", ".join(
+    f"(SELECT {m} FROM ({averages('', f'n{k}')})) AS rouge_{k}_{m}" for k in "12l" for m in "rpf"
+)
+
+
 def all_oracles() -> dict[str, str]:
     encoded = with_ctes(*ENCODED, body=f"SELECT doc_id, {EXAMPLE_COLUMNS} FROM examples")
     decode = with_ctes(
@@ -525,26 +547,26 @@ def all_oracles() -> dict[str, str]:
             recursive=True,
         ),
         "eval_report": with_ctes(
-            *ENCODED,
-            NAMES,
-            decoded("x"),
-            decoded("y"),
-            f"""judged AS (SELECT doc_id, x_text.txt AS text, y_text.txt AS ref_summary,
-                  array_to_string({words(pred_target)}, ' ') AS pred_summary
-                  FROM x_text JOIN y_text USING (doc_id) JOIN pairs USING (doc_id))""",
-            """lead AS (SELECT doc_id,
-                 list_filter(string_split(pred_summary, ' '), lambda w: w <> '') AS pred,
-                 list_filter(string_split(ref_summary, ' '), lambda w: w <> '') AS ref FROM judged)""",
-            *rouge_n(1),
-            *rouge_n(2),
-            *lcs(),
+            *JUDGED,
             body=f"""SELECT doc_id, text, ref_summary, pred_summary,
               (SELECT f FROM ({averages('', 'n1')})) AS rouge_1_f,
               (SELECT f FROM ({averages('', 'n2')})) AS rouge_2_f,
               (SELECT f FROM ({averages('', 'nl')})) AS rouge_l_f
-              FROM judged ORDER BY md5(doc_id || ':{P.SEED}'), doc_id LIMIT {P.SAMPLES}""",
+              FROM drawn""",
+            recursive=True,
+        ),
+        "report_file": with_ctes(
+            *JUDGED,
+            body=f"""SELECT {REPORT_SCORES}, {P.VOCAB_SIZE} AS vocab_size,
+              CAST((SELECT count(*) FROM drawn) AS INTEGER) AS saved_summaries,
+              text AS first_text, ref_summary AS first_ref_summary,
+              pred_summary AS first_pred_summary FROM drawn ORDER BY doc_id LIMIT 1""",
             recursive=True,
         ),
+        "evaluated_batches": f"""SELECT doc_id, lang FROM documents
+            QUALIFY row_number() OVER (ORDER BY doc_id)
+            <= ((SELECT count(*) FROM documents) - 1) // {P.BATCH_SIZE} * {P.BATCH_SIZE}""",
+        "encode_new_files": encoded,
         "copy_distribution": with_ctes(
             *PROBS, body="SELECT doc_id, CAST(id AS INTEGER) AS id, round(p, 6) AS p FROM copy"
         ),

@@ -21,11 +21,12 @@ from condensa.operators import (
     summarize,
 )
 from condensa.operators.decode import decode_words
+from condensa.operators.vocab import load_vocab, save_vocab
 from condensa.plans import inputs as P, subword_model
-from condensa.plans.evaluate import evaluate
+from condensa.plans.evaluate import Evaluation, evaluate
 from condensa.session import materialize, new_path
-from condensa.sources import articles, examples as example_files
-from condensa.operators.vocab import load_vocab, save_vocab
+from condensa.sources import articles, examples as example_files, report
+from condensa.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -116,7 +117,7 @@ def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vocab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary file, read back, as `id -> word` for the ids of all targets."""
+    """The vocabulary file, read back."""
     path = new_path(spark, "vocab")
     docs = P.documents(spark, sf_dir)
     save_vocab(P.vocabulary(docs), path)
@@ -148,6 +149,26 @@ def encode_examples_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def encode_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same result from article files picked up by an incremental run."""
+    docs = P.documents(spark, sf_dir)
+    source, out = new_path(spark, "new-articles"), new_path(spark, "encoded")
+    articles.write_articles(P.doc_pairs(docs), source)
+    run = incremental.encode_new_articles(
+        incremental.article_stream(spark, source, ["source", "target"], "doc_id"),
+        P.written_vocabulary(docs),
+        P.VOCAB_SIZE,
+        P.TX,
+        P.TY,
+        P.MAX_OOV,
+        out,
+        new_path(spark, "progress"),
+    )
+    run.awaitTermination()
+    return example_text(example_files.read_examples(spark, out))
+
+
 @query
 def encode_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = P.vocabulary(P.documents(spark, sf_dir))
@@ -315,6 +336,14 @@ def head_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.head_fraction(docs, "doc_id", 0.3)
 
 
+@query
+def evaluated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many whole batches as the documents fill, in key order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    whole = (docs.count() - 1) // P.BATCH_SIZE
+    return sample.evaluated_rows(docs, "doc_id", P.BATCH_SIZE, whole, P.SAMPLES)
+
+
 @query
 def eval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of the documents, with their texts."""
@@ -390,16 +419,21 @@ def rouge_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(average, "r", "p", "f")
 
 
-@query
-def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evaluation job on all examples: sampled triples next to the average scores."""
+def _evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
+    """All examples, with the first sentence of the source as the prediction."""
     docs = P.documents(spark, sf_dir)
     vocab = P.written_vocabulary(docs)
     first = F.get(T.split_sentences("source"), F.lit(0))
     predictions = P.doc_pairs(docs).select("doc_id", T.normalize_text(first).alias("pred_summary"))
-    result = evaluate(
+    return evaluate(
         P.examples(docs, vocab), predictions, vocab, P.VOCAB_SIZE, P.SAMPLES, P.SEED
     )
+
+
+@query
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation job on all examples: sampled triples next to the average scores."""
+    result = _evaluation(spark, sf_dir)
     names = {"rouge-1": "rouge_1_f", "rouge-2": "rouge_2_f", "rouge-l": "rouge_l_f"}
     by_metric = F.map_from_entries(F.collect_list(F.struct("metric", "f")))
     scores = result.averages.agg(by_metric).scalar()
@@ -410,6 +444,32 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(with_scores, *names.values())
 
 
+@query
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report file of the evaluation job, read back and taken apart."""
+    result, path = _evaluation(spark, sf_dir), new_path(spark, "report")
+    config = {"vocab_size": P.VOCAB_SIZE, "Tx": P.TX, "Ty": P.TY, "saved_summaries": P.SAMPLES}
+    report.write_report(result.averages, result.samples, config, path)
+    line = spark.read.text(path)
+    scores = [
+        F.round(F.get_json_object("value", f"$[0].{metric}.{m}").cast("double"), 6).alias(
+            f"{metric.replace('-', '_')}_{m}"
+        )
+        for metric in ("rouge-1", "rouge-2", "rouge-l")
+        for m in rouge.MEASURES
+    ]
+    first = [
+        F.get_json_object("value", f"$[2].{field}").alias(f"first_{field}")
+        for field in ("text", "ref_summary", "pred_summary")
+    ]
+    return line.select(
+        *scores,
+        F.get_json_object("value", "$[1].vocab_size").cast("int").alias("vocab_size"),
+        (F.json_array_length("value") - 2).alias("saved_summaries"),
+        *first,
+    )
+
+
 # --- corpus tables --------------------------------------------------------------------
 
 
