@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from condensa.functions.ids import EOS, PAD, RESERVED_WORDS, UNK
 from condensa.functions.text import as_column, bind
 from condensa.operators.lookup import MAX_INLINE_WORDS, id_table, with_reserved
+from condensa.operators.skew import attach_by_key
 
 
 def _kept(ids: Column, remove_paddings: bool, remove_eos: bool) -> Column:
@@ -88,21 +89,12 @@ def _decode_joined(
     rows = examples.select(
         key, F.explode_outer(F.concat(*[tagged(c) for c in columns])).alias("t")
     ).select(key, "t.*")
-    # the most frequent words have the smallest ids: broadcast those, shuffle for the rest
-    head_ids = MAX_INLINE_WORDS // 4
-    names = with_reserved(vocab)
-    head = names.where(F.col("id") < head_ids).select("id", F.col("word").alias("head_word"))
-    tail = names.where(F.col("id") >= head_ids).select(
-        F.col("id").cast("string").alias("rare"), F.col("word").alias("tail_word")
-    )
-    settled = F.coalesce("oov_word", "head_word")
-    own = F.concat_ws(":", F.lit("row"), F.col(key).cast("string"), F.col("pos").cast("string"))
-    joined = (
-        rows.join(F.broadcast(head), "id", "left")
-        .withColumn("rare", F.when(settled.isNull(), F.col("id").cast("string")).otherwise(own))
-        .join(tail, "rare", "left")
-        .withColumn("word", F.coalesce(settled, "tail_word", F.lit(RESERVED_WORDS[UNK])))
-    )
+    names = with_reserved(vocab).select(F.col("id").cast("string").alias("id"), "word")
+    in_vocab = rows.withColumn("id", F.when(F.col("oov_word").isNull(), F.col("id").cast("string")))
+    counts = in_vocab.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("weight"))
+    joined = attach_by_key(
+        in_vocab, names, "id", "word", spread_on=[key, "side", "pos"], heavy=counts
+    ).withColumn("word", F.coalesce("oov_word", "word", F.lit(RESERVED_WORDS[UNK])))
 
     def text(name: str) -> Column:
         units = F.collect_list(F.when(F.col("side") == name, F.struct("pos", "word")))

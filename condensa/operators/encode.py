@@ -16,6 +16,7 @@ from condensa.functions.ids import (
 from condensa.functions.text import word_tokens
 from condensa.operators.lookup import MAX_INLINE_WORDS, lookup_id, word_table
 from condensa.operators.skew import attach_by_key
+from condensa.operators.vocab import word_counts
 
 
 def encode_examples(
@@ -92,11 +93,17 @@ def _ids_joined(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
             lambda word, pos: F.struct(F.lit(side).alias("side"), pos.alias("pos"), word.alias("word")),
         )
 
-    # frequent words have small ids, so `-id` ranks the broadcast head of the vocabulary
-    right = vocab.select("word", F.col("id").cast("int").alias("id"), (-F.col("id")).alias("rank"))
+    right = vocab.select("word", F.col("id").cast("int").alias("id"))
     rows = tokens.select(key, F.explode_outer(F.concat(tagged("x"), tagged("y"))).alias("t"))
+    # a frequent word may be missing from the vocabulary: the texts tell which are frequent
+    counts = word_counts(tokens, F.concat("x_tokens", "y_tokens"))
     joined = attach_by_key(
-        rows.select(key, "t.*"), right, "word", "id", "rank", spread_on=[key, "pos"]
+        rows.select(key, "t.*"),
+        right,
+        "word",
+        "id",
+        spread_on=[key, "side", "pos"],
+        heavy=counts.select("word", F.col("n").alias("weight")),
     )
     unit = F.struct("pos", "word", F.coalesce("id", F.lit(UNK)).alias("id"))
 

@@ -153,5 +153,5 @@ def bigram_transitions(counts: DataFrame, bounded: bool = False) -> DataFrame:
     if bounded:
         joined = counts.join(F.broadcast(totals), "prev")
     else:
-        joined = attach_by_key(counts, totals, "prev", "total", "total", ["prev", "next"])
+        joined = attach_by_key(counts, totals, "prev", "total", ["prev", "next"])
     return joined.select("prev", "next", "n", F.ln(F.col("n") / F.col("total")).alias("logp"))

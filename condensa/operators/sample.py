@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 SMALL_RANGE = 100_000
 NARROWING_PARTS = 1000
+MOST_PARTS = 4000
 
 
 def _splits(df: DataFrame, key: str, parts: int) -> list[float]:
@@ -33,7 +34,8 @@ def _parts(df: DataFrame, key: str, inner: list[float]) -> DataFrame:
 
 
 def _default_parts(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(2, wanted), MOST_PARTS)
 
 
 def ordered_index(df: DataFrame, key: str, name: str = "idx", parts: int | None = None) -> DataFrame:

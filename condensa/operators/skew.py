@@ -14,27 +14,34 @@ def attach_by_key(
     right: DataFrame,
     key: str,
     value: str,
-    weight: str,
     spread_on: list[str],
+    heavy: DataFrame | None = None,
     head_rows: int = HEAD_ROWS,
 ) -> DataFrame:
-    """Left join of one non-null `value` per string `key`, safe for frequent keys.
+    """Left join of one `value` per string `key`, safe for frequent keys.
 
-    The `head_rows` keys of largest `weight` are broadcast, which bounds the broadcast. Rows
-    matched there go on under a key of their own (`spread_on`), so the shuffle join that
-    serves all other keys meets no frequent one. `right` is read for both joins and is
-    written to the shared folder first.
+    `heavy` (`key, weight`) says how often the keys occur in `left`; without it the value
+    itself does, as for counts. The `head_rows` heaviest keys are broadcast, which bounds the
+    broadcast, whether `right` has them or not. Their rows and those without a key go on under
+    a key of their own (`spread_on`), so the shuffle join that serves all other keys meets
+    no frequent one: each has at most `rows / head_rows` rows. `right` is read for both joins
+    and is written to the shared folder first.
     """
-    right = materialize(right.select(key, value, F.col(weight).alias("_weight")), "by-key")
-    ranked = right.orderBy(F.desc("_weight"), key).limit(head_rows)
-    head = ranked.select(key, F.col(value).alias("_head_value"))
+    right = materialize(right.select(key, value), "by-key")
+    if heavy is None:
+        head = right.orderBy(F.desc(value), key).limit(head_rows)
+    else:
+        top = heavy.orderBy(F.desc("weight"), key).limit(head_rows).select(key)
+        found = right.join(F.broadcast(top), key, "left_semi")
+        head = top.join(found, key, "left")
+    head = head.select(key, F.col(value).alias("_head_value"), F.lit(True).alias("_settled"))
     tail = right.select(F.col(key).alias("_rare"), F.col(value).alias("_tail_value"))
     own_key = F.concat_ws("\u0000", F.lit(""), *[F.col(c).cast("string") for c in spread_on])
-    unmatched = F.col("_head_value").isNull() & F.col(key).isNotNull()
+    open_key = F.col("_settled").isNull() & F.col(key).isNotNull()
     return (
         left.join(F.broadcast(head), key, "left")
-        .withColumn("_rare", F.when(unmatched, F.col(key)).otherwise(own_key))
+        .withColumn("_rare", F.when(open_key, F.col(key)).otherwise(own_key))
         .join(tail, "_rare", "left")
         .withColumn(value, F.coalesce("_head_value", "_tail_value"))
-        .drop("_head_value", "_tail_value", "_rare")
+        .drop("_head_value", "_tail_value", "_rare", "_settled")
     )

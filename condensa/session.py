@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app_name: str = "condensa") -> SparkSes
         .config("spark.sql.shuffle.partitions", str(max(cores, 4)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -142,13 +142,16 @@ def test_id_range(spark):
 
 
 @pytest.mark.parametrize("head_rows", [1, 3, 100])
-def test_attach_by_key_with_a_dominant_key(spark, head_rows):
-    keys = ["hot"] * 300 + ["b"] * 20 + ["c", "missing", None]
+@pytest.mark.parametrize("counted", [False, True])
+def test_attach_by_key_with_a_dominant_key(spark, head_rows, counted):
+    keys = ["hot"] * 300 + ["gone"] * 200 + ["b"] * 20 + ["c", "missing", None]
     left = spark.createDataFrame(list(enumerate(keys)), "i int, k string")
-    right = spark.createDataFrame([("hot", 1), ("b", 2), ("c", 3), ("unused", 9)], "k string, v int")
-    weighted = right.withColumn("w", -F.col("v"))
-    got = attach_by_key(left, weighted, "k", "v", "w", ["i"], head_rows=head_rows)
-    values = {"hot": 1, "b": 2, "c": 3}
+    right = spark.createDataFrame([("hot", 300), ("b", 20), ("c", 1), ("unused", 9)], "k string, v int")
+    heavy = left.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("weight"))
+    got = attach_by_key(
+        left, right, "k", "v", ["i"], heavy=heavy if counted else None, head_rows=head_rows
+    )
+    values = {"hot": 300, "b": 20, "c": 1}
     assert sorted((r["i"], r["k"], r["v"]) for r in got.collect()) == [
         (i, k, values.get(k)) for i, k in enumerate(keys)
     ]
