@@ -76,6 +76,18 @@ def cutoff_report(counts: DataFrame, cutoff: int) -> DataFrame:
     return counts.agg(share(excess > 0).alias("share_over"), *bands)
 
 
+def distribution_report(counts: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """One row: five numbers, outliers and, if a cutoff is given, the cutoff shares."""
+    summary = length_summary(counts)
+    if cutoff is None:
+        return summary
+    shares = cutoff_report(counts, cutoff)
+    in_one = shares.select(F.struct("*")).scalar()
+    return summary.withColumn("s", in_one).select(
+        *summary.columns, *[F.col(f"s.{c}").alias(c) for c in shares.columns]
+    )
+
+
 def histogram(counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """`bin, low, high, n, shown`: equal-width bins, the last one closed on the right.
 

@@ -70,6 +70,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(is_user, F.col("text")).alias("source"),
             F.when(~is_user, F.col("text")).alias("target"),
         )
+        .repartition("conv_id", "turn")
         .groupBy("conv_id", "turn")
         .agg(F.max("source").alias("source"), F.max("target").alias("target"))
         .where("source IS NOT NULL AND target IS NOT NULL")

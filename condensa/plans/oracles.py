@@ -436,6 +436,15 @@ def all_oracles() -> dict[str, str]:
               (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS fixed FROM shown GROUP BY 1) s
               ON d.doc_id = s.doc_id""",
         ),
+        "detokenize_raw": with_ctes(
+            r"""toks AS (SELECT doc_id,
+              regexp_extract_all(text, '[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+') AS w FROM documents)""",
+            DOC_WORDS,
+            DETOKENIZE,
+            body="""SELECT d.doc_id, coalesce(fixed, '') AS fixed FROM documents d LEFT JOIN
+              (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS fixed FROM shown GROUP BY 1) s
+              ON d.doc_id = s.doc_id""",
+        ),
         "build_vocab": vocab,
         "vocab_roundtrip": vocab,
         "encode_examples": encoded,

@@ -107,6 +107,13 @@ def detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.detokenize(T.word_tokens("text")).alias("fixed"))
 
 
+@query
+def detokenize_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts, cut at white space."""
+    docs = P.documents(spark, sf_dir)
+    return docs.select("doc_id", T.detokenize_text("text").alias("fixed"))
+
+
 # --- vocabulary -----------------------------------------------------------------------
 
 
@@ -310,15 +317,8 @@ def excess_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def oov_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stats.value_counts(P.examples(P.documents(spark, sf_dir)), F.col("oov_cnt"))
-    counts = materialize(counts, "oov-counts")
-    report = stats.cutoff_report(counts, P.MAX_OOV // 2)
-    shares = report.select(F.struct("*")).scalar()
-    return (
-        stats.length_summary(counts)
-        .withColumn("shares", shares)
-        .select("*", "shares.*")
-        .drop("shares")
-    )
+    # a row per count, read by each statistic
+    return stats.distribution_report(materialize(counts, "oov-counts"), P.MAX_OOV // 2)
 
 
 # --- batches and samples --------------------------------------------------------------

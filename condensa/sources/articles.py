@@ -21,6 +21,15 @@ def read_articles(
     return spark.read.schema(article_schema(fields, key)).json(path)
 
 
+def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`df` with a unique number per row, for files without an id field.
+
+    Numbers grow with the lines of a file split and are the same whenever the same files are
+    read with the same split settings; for order across files, articles need an id.
+    """
+    return df.withColumn(key, F.monotonically_increasing_id())
+
+
 def write_articles(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

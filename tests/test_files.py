@@ -5,6 +5,7 @@ import pytest
 from condensa.operators.encode import encode_examples
 from condensa.operators.vocab import vocab_from_mapping
 from condensa.session import CHECKPOINT_SETTING, materialize, new_path, shared_dir
+from condensa.plans import prepare
 from condensa.sources import articles, examples as files, report
 from condensa.streaming.incremental import article_stream, encode_new_articles
 
@@ -22,6 +23,14 @@ def test_articles_read_named_fields_only(spark, tmp_path):
     assert {tuple(r) for r in df.collect()} == {(7, "Č\nd", "A"), (None, None, None)}
 
 
+def test_articles_without_id_are_numbered(spark, tmp_path):
+    source = write_lines(tmp_path / "in", [{"text": f"t{i}"} for i in range(50)])
+    df = articles.numbered(articles.read_articles(spark, source, ["text"]))
+    assert [r["text"] for r in sorted(df.collect(), key=lambda r: r["doc_id"])] == [
+        f"t{i}" for i in range(50)
+    ]
+
+
 def test_articles_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'q"\n\\ž')], "doc_id long, text string")
     articles.write_articles(df, str(tmp_path / "a"))
@@ -115,6 +124,43 @@ def test_new_files_are_encoded_once(spark, tmp_path):
     assert arrive(2) == [(1, [4, 6, 4, 0], [6, 3, 2]), (2, [4, 6, 4, 0], [6, 3, 2])]
 
 
+def write_lines(path, rows):
+    path.mkdir()
+    (path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    return str(path)
+
+
+ARTICLES = [
+    {"doc_id": 2, "body": "B. Zz\nzz.", "lead": "Zz b"},
+    {"doc_id": 1, "body": "A b? C.", "lead": "B \"q\""},
+]
+
+
+def test_prepare_examples(spark, tmp_path):
+    source = write_lines(tmp_path / "in", ARTICLES)
+    vocab = vocab_from_mapping(spark, {"a": 4, "b": 5})
+    for form, out in (("parquet", tmp_path / "p"), ("csv", tmp_path / "c")):
+        prepare.prepare_examples(
+            spark, source, str(out), ("body", "lead"), vocab, 6, 6, 4, 3, form=form
+        )
+    expected = [
+        ([4, 5, 7, 8, 9, 0], [5, 3, 3, 2], 3, [(7, "?"), (8, "c"), (9, ".")]),
+        ([5, 7, 8, 8, 7, 0], [8, 5, 2, 0], 2, [(7, "."), (8, "zz")]),
+    ]
+    assert example_rows(files.read_examples(spark, str(tmp_path / "p"))) == expected
+    read = files.read_examples_csv(spark, str(tmp_path / "c"), 6, 4, 3)
+    assert example_rows(read) == expected
+
+
+def test_prepare_texts(spark, tmp_path):
+    source = write_lines(tmp_path / "in", ARTICLES)
+    prepare.prepare_sentences(spark, source, str(tmp_path / "s"), field="body")
+    assert part_lines(tmp_path / "s") == ["a b?", "c.", "b.", "zz zz."]
+    prepare.prepare_normalized(spark, source, str(tmp_path / "n"), ["lead"])
+    read = articles.read_normalized_csv(spark, str(tmp_path / "n"), ["lead"])
+    assert sorted(r["lead"] for r in read.collect()) == ['b " q "', "zz b"]
+
+
 class Unset:
     """A session that names no shared folder."""
 

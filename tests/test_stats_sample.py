@@ -46,6 +46,13 @@ def test_histogram_of_one_value(spark):
     assert [(r["bin"], r["n"], r["shown"]) for r in rows] == [(0, 2, True)]
 
 
+def test_report_without_cutoff_has_no_shares(spark):
+    data = counts(spark, [1, 2, 3, 4])
+    assert "share_over" not in stats.distribution_report(data).columns
+    row = stats.distribution_report(data, 3).first()
+    assert (row["min_value"], row["max_value"], row["share_over"]) == (1, 4, 0.25)
+
+
 def test_excess(spark):
     rows = stats.excess_counts(counts(spark, [1, 12, 12, 10]), 10).collect()
     assert [tuple(r) for r in rows] == [(2, 2)]

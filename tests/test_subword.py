@@ -3,7 +3,9 @@ import re
 import pytest
 
 from condensa.operators import subword
+from condensa.plans import prepare
 from condensa.plans.subword_model import fixture_model
+from condensa.sources.examples import read_examples
 
 spm = pytest.importorskip("sentencepiece")
 
@@ -57,6 +59,17 @@ def test_encode_equals_loops(model, pairs):
     assert any(row["oov_cnt"] for row in got)
 
 
+def test_prepare_subword_examples(spark, model, pairs, tmp_path):
+    data, size = model
+    pairs.write.json(str(tmp_path / "in"))
+    prepare.prepare_subword_examples(
+        spark, str(tmp_path / "in"), str(tmp_path / "out"), ("source", "target"), data, size, TX, TY, CAP
+    )
+    order = lambda df: sorted((r["doc_id"], r["x"], r["y"], r["oov_cnt"]) for r in df.collect())
+    direct = subword.encode_subwords(pairs, data, size, TX, TY, CAP)
+    assert order(read_examples(spark, str(tmp_path / "out"))) == order(direct)
+
+
 def test_decode_restores_unknown_pieces_in_place(spark, model, pairs):
     data, size = model
     wide = subword.encode_subwords(pairs, data, size, 80, 40, 20)

@@ -81,6 +81,19 @@ def test_detokenize_example(column):
     assert column(T.detokenize_text("t"), t="") == ""
 
 
+CAPITALS = ["(ABC", '"Ahoj', "9aBC", "-X", "ß", "ßA", "ﬁX", "ΑΣ", "İx", "é", "O'NEIL", "jak-SE"]
+
+
+@pytest.mark.parametrize("word", CAPITALS)
+def test_first_token_is_capitalised_as_python_does(column, word):
+    assert column(T.detokenize_text("t"), t=word) == word.capitalize()
+
+
+def test_white_space_as_python_sees_it(column):
+    text = "a\u00a0b\u2028c\x1cd\x85e\u3000f\x0bg\u200bh"
+    assert column(T.detokenize_text("t"), t=text) == " ".join(["A", *text.split()[1:]])
+
+
 TOKENS = st.lists(
     st.sampled_from([".", "!", "?", ",", ";", '"', "'", "a", "Bc", "o'neil", "ß", "éa", "9x"]),
     max_size=200,
