@@ -125,7 +125,8 @@ def _ids_joined(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 def oov_rows(examples: DataFrame, key: str = "doc_id") -> DataFrame:
     """Long form of the per-document dictionary: `key, id, word`."""
-    return examples.select(key, F.explode("oov").alias("id", "word"))
+    rows = examples.select(key, F.explode_outer("oov").alias("id", "word"))
+    return rows.where("id IS NOT NULL")
 
 
 def length_filter(

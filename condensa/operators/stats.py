@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from condensa.session import materialize
+
 # The bands of the excess over the cutoff; both ends are open.
 EXCESS_BANDS = ((0, 5), (5, 10), (10, 20), (20, 40), (40, 80), (80, None))
 OUTLIER_FACTOR = 1.5
@@ -16,10 +18,9 @@ HISTOGRAM_BINS = 100
 
 
 def value_counts(df: DataFrame, value: Column) -> DataFrame:
-    """`value, n`: how often each value occurs."""
-    return df.select(value.cast("bigint").alias("value")).groupBy("value").agg(
-        F.count("*").alias("n")
-    )
+    """`value, n`: how often each value occurs; written, as every statistic reads it twice."""
+    values = df.select(value.cast("bigint").alias("value"))
+    return materialize(values.groupBy("value").agg(F.count("*").alias("n")), "value-counts")
 
 
 def five_numbers(counts: DataFrame) -> DataFrame:

@@ -81,16 +81,21 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", T.normalize_text("text").alias("normalized"))
 
 
+def _sentence_rows(docs: DataFrame, pieces: Column) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode_outer(pieces).alias("pos", "sentence"))
+    return rows.where("sentence IS NOT NULL")
+
+
 @query
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = T.split_sentences(T.flatten_newlines("text"))
-    return P.documents(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("pos", "sentence"))
+    return _sentence_rows(P.documents(spark, sf_dir), pieces)
 
 
 @query
 def split_sentences_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = T.split_sentences(T.flatten_newlines("text"), upper="unicode")
-    return P.documents(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("pos", "sentence"))
+    return _sentence_rows(P.documents(spark, sf_dir), pieces)
 
 
 @query
@@ -317,8 +322,7 @@ def excess_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def oov_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stats.value_counts(P.examples(P.documents(spark, sf_dir)), F.col("oov_cnt"))
-    # a row per count, read by each statistic
-    return stats.distribution_report(materialize(counts, "oov-counts"), P.MAX_OOV // 2)
+    return stats.distribution_report(counts, P.MAX_OOV // 2)
 
 
 # --- batches and samples --------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from condensa.functions.text import flatten_newlines, normalize_text, split_sentences
+from condensa.operators.lookup import explode_words
 from condensa.operators.sample import head_fraction
 
 
@@ -48,15 +49,6 @@ def read_normalized_csv(spark: SparkSession, path: str, columns: list[str]) -> D
     return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
-def sentence_rows(df: DataFrame, key: str = "doc_id", proportion: float = 1.0) -> DataFrame:
-    """`key, pos, sentence` of the first `proportion` of the documents, lower case."""
-    kept = head_fraction(df, key, proportion)
-    pieces = split_sentences(flatten_newlines("text"))
-    return kept.select(key, F.posexplode(pieces).alias("pos", "sentence")).withColumn(
-        "sentence", F.lower("sentence")
-    )
-
-
 def write_sentences(
     df: DataFrame, path: str, key: str = "doc_id", proportion: float = 1.0
 ) -> None:
@@ -67,10 +59,9 @@ def write_sentences(
     kept = head_fraction(df, key, proportion).select(key, "text")
     ordered = kept.repartitionByRange(key).sortWithinPartitions(key)
     # the cut needs the capitals: split first, lower-case after
-    lines = F.explode(split_sentences(flatten_newlines("text")))
-    ordered.select(lines.alias("sentence")).select(F.lower("sentence").alias("value")).write.option(
-        "lineSep", "\n"
-    ).text(path)
+    pieces = split_sentences(flatten_newlines("text"))
+    lines = explode_words(ordered, pieces).select(F.lower("word").alias("value"))
+    lines.write.option("lineSep", "\n").text(path)
 
 
 def read_lines(spark: SparkSession, path: str, name: str = "sentence") -> DataFrame:
