@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from condensa.session import materialize
 
 HEAD_ROWS = 50_000
 
 
+def heaviest(rows: DataFrame, weight: str, key: str, k: int) -> DataFrame:
+    """The `k` rows of largest `weight`, ties by `key`; `rows` is a written table.
+
+    A plain top-k sends `k` rows of every partition to one task. Here the weight that the
+    k-th row has comes first, from one row per distinct weight, so that hardly more than `k`
+    rows are left to sort.
+    """
+    per_weight = rows.groupBy(weight).agg(F.count("*").alias("_rows"))
+    above = Window.orderBy(F.desc(weight)).rowsBetween(Window.unboundedPreceding, -1)
+    reached = per_weight.withColumn("_above", F.coalesce(F.sum("_rows").over(above), F.lit(0)))
+    least = reached.where(F.col("_above") < k).agg(F.min(weight)).scalar()
+    return rows.where(F.col(weight) >= least).orderBy(F.desc(weight), key).limit(k)
+
+
 def attach_by_key(
     left: DataFrame,
     right: DataFrame,
@@ -29,9 +43,10 @@ def attach_by_key(
     """
     right = materialize(right.select(key, value), "by-key")
     if heavy is None:
-        head = right.orderBy(F.desc(value), key).limit(head_rows)
+        head = heaviest(right, value, key, head_rows)
     else:
-        top = heavy.orderBy(F.desc("weight"), key).limit(head_rows).select(key)
+        heavy = materialize(heavy.select(key, "weight"), "key-weights")
+        top = heaviest(heavy, "weight", key, head_rows).select(key)
         found = right.join(F.broadcast(top), key, "left_semi")
         head = top.join(found, key, "left")
     head = head.select(key, F.col(value).alias("_head_value"), F.lit(True).alias("_settled"))

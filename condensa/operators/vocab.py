@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from condensa.functions.ids import FIRST_WORD_ID
 from condensa.operators.lookup import explode_words
+from condensa.operators.skew import heaviest
+from condensa.session import materialize
 
 
 def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
@@ -16,11 +18,13 @@ def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
 
 
 def build_vocab(counts: DataFrame, words: int) -> DataFrame:
-    """`word, id, n` of the `words` most frequent words; ties by word; ids from 4."""
-    order = [F.desc("n"), F.asc("word")]
-    top = counts.orderBy(*order).limit(words)
+    """`word, id, n` of the `words` most frequent words; ties by word; ids from 4.
+
+    The counts are written once: the cut is found first, then the words above it are read.
+    """
+    top = heaviest(materialize(counts, "word-counts"), "n", "word", words)
     # the window sees the limited rows only
-    rank = F.row_number().over(Window.orderBy(*order))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
     return top.select("word", (rank + F.lit(FIRST_WORD_ID - 1)).cast("int").alias("id"), "n")
 
 

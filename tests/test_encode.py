@@ -8,7 +8,7 @@ from condensa.functions import ids as I
 from condensa.functions.text import word_tokens
 from condensa.operators import encode, lookup
 from condensa.operators.decode import decode_words
-from condensa.operators.skew import attach_by_key
+from condensa.operators.skew import attach_by_key, heaviest
 from condensa.operators.vocab import build_vocab, load_vocab, save_vocab, vocab_from_mapping, word_counts
 
 
@@ -141,6 +141,19 @@ def test_id_range(spark):
     assert tuple(encode.id_range_check(df).first()) == (6, 2, 70000)
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 6, 50])
+def test_heaviest_keeps_ties_by_key(spark, k):
+    rows = [("a", 5), ("b", 3), ("c", 3), ("d", 3), ("e", 1), ("f", 1)]
+    df = spark.createDataFrame(rows, "k string, n long").repartition(4)
+    assert sorted(tuple(r) for r in heaviest(df, "n", "k", k).collect()) == rows[:k]
+
+
+def test_heaviest_sorts_few_rows(spark):
+    df = spark.range(10_000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("n"))
+    assert [r["n"] for r in heaviest(df, "n", "k", 3).orderBy("n").collect()] == [9997, 9998, 9999]
+    assert heaviest(df.limit(0), "n", "k", 3).collect() == []
+
+
 @pytest.mark.parametrize("head_rows", [1, 3, 100])
 @pytest.mark.parametrize("counted", [False, True])
 def test_attach_by_key_with_a_dominant_key(spark, head_rows, counted):
