@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -91,6 +91,14 @@ def from_planes(planes: list[bytes], n_ids: int, width: int, block: int = BLOCK_
     return np.concatenate(found)[:n_ids] if found else np.zeros(0, dtype="<u4")
 
 
+KINDS = (pa.int32(), pa.int64(), pa.int32())
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    """A column of one row that holds the values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 CHUNK_SCHEMA = (
     "shard int, chunk int, first_key {kind}, last_key {kind}, ids_before long, n_ids long,"
     " width int, block_ids int, doc_keys array<{kind}>, doc_ids array<long>, planes array<binary>"
@@ -119,38 +127,48 @@ def write_ids(
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     dealt = rows.repartitionByRange(parallelism(docs), "_key").sortWithinPartitions("_key", "_text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = CHUNK_SCHEMA.format(kind=kind)
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = unspaced_encoder(tokenizer).encode
         end = np.array([end_id], dtype="<u4").tobytes()
         shard = TaskContext.get().partitionId()
-        keys, sizes, parts = [], [], []
+        sizes: list[int] = []
+        parts: list[bytes] = []
+        keys: list[pa.Array] = []
         chunk = before = held = 0
 
-        def closed() -> pd.DataFrame:
+        def closed() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
             if int(ids.max()) >> width:
                 raise ValueError(f"an id does not fit into {width} bits")
-            planes = to_planes(ids, width, block_ids)
-            row = (shard, chunk, keys[0], keys[-1], before, len(ids), width, block_ids, keys, sizes, planes)
-            names = [field.split()[0] for field in CHUNK_SCHEMA.split(", ")]
-            return pd.DataFrame([row], columns=names)
-
-        for frame in frames:
-            for k, t in zip(frame["_key"].astype(object), frame["_text"]):
+            own = pa.concat_arrays(keys)
+            numbers = [shard, chunk], [before, len(ids)], [width, block_ids]
+            small, large, fixed = ([pa.array([n], k) for n in ns] for ns, k in zip(numbers, KINDS))
+            lists = [_one_list(own), _one_list(pa.array(sizes, pa.int64()))]
+            planes = _one_list(pa.array(to_planes(ids, width, block_ids), pa.binary()))
+            columns = [*small, own[:1], own[-1:], *large, *fixed, *lists, planes]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            first = 0
+            for place, t in enumerate(batch.column(1).to_pylist()):
                 ids = encode(t) + end
-                keys.append(None if pd.isna(k) else int(k) if isinstance(k, float) else k)
                 sizes.append(len(ids) // 4)
                 parts.append(ids)
                 held += sizes[-1]
                 if held >= chunk_ids:
+                    keys.append(batch.column(0)[first : place + 1])
                     yield closed()
                     chunk, before, held = chunk + 1, before + held, 0
-                    keys, sizes, parts = [], [], []
-        if keys:
+                    keys, sizes, parts, first = [], [], [], place + 1
+            if first < batch.num_rows:
+                keys.append(batch.column(0)[first:])
+        if parts:
             yield closed()
 
-    chunks = dealt.mapInPandas(run, schema=CHUNK_SCHEMA.format(kind=kind))
-    chunks.write.option("compression", "uncompressed").parquet(path)
+    dealt.mapInArrow(run, schema=schema).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -165,27 +183,35 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.join(starts, "shard").withColumn("start", F.col("_start") + F.col("ids_before")).drop("_start")
 
 
+def _read_chunks(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, pa.Array]]:
+    """Of each chunk its index entries, ids and document keys."""
+    for place in range(batch.num_rows):
+        one = batch.slice(place, 1)
+        keys = one.column("doc_keys").flatten()
+        row = one.drop_columns(["doc_keys"]).to_pylist()[0]
+        yield row, from_planes(row["planes"], row["n_ids"], row["width"], row["block_ids"]), keys
+
+
 def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """`key, start, n_tokens, ids_crc32` of every document, from the planes in the files."""
     chunks = spark.read.parquet(path)
     kind = chunks.schema["first_key"].dataType.simpleString()
     starts = read_index(spark, path).select("shard", "chunk", "start")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                ids = from_planes(list(row.planes), row.n_ids, row.width, row.block_ids)
-                sizes = np.asarray(row.doc_ids, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, ids, keys in _read_chunks(batch):
+                sizes = np.array(row["doc_ids"], dtype=np.int64)
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for n, e in zip(sizes, ends)]
-                out = pd.DataFrame({key: pd.Series(list(row.doc_keys), dtype=object)})
-                yield out.assign(
-                    _shard=row.shard, _chunk=row.chunk, _at=ends - sizes, n_tokens=sizes, ids_crc32=crc
-                )
+                place = [np.full(len(sizes), row[c], dtype=np.int32) for c in ("shard", "chunk")]
+                columns = [pa.array(c) for c in (*place, ends - sizes, sizes, crc)]
+                yield pa.RecordBatch.from_arrays([keys, *columns], names=names)
 
+    names = [key, "_shard", "_chunk", "_at", "n_tokens", "ids_crc32"]
     schema = f"`{key}` {kind}, _shard int, _chunk int, _at long, n_tokens long, ids_crc32 long"
     read = chunks.select("shard", "chunk", "n_ids", "width", "block_ids", "doc_keys", "doc_ids", "planes")
-    docs = read.mapInPandas(run, schema=schema)
+    docs = read.mapInArrow(run, schema=schema)
     place = (F.col("_shard") == F.col("shard")) & (F.col("_chunk") == F.col("chunk"))
     return docs.join(starts, place).select(
         key, (F.col("start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32"
@@ -196,13 +222,12 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """`key, ids`: the ids themselves, one row per document."""
     kind = spark.read.parquet(path).schema["first_key"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                ids = from_planes(list(row.planes), row.n_ids, row.width, row.block_ids).astype(np.int32)
-                cuts = np.cumsum(np.asarray(row.doc_ids, dtype=np.int64))[:-1]
-                keys = pd.Series(list(row.doc_keys), dtype=object)
-                yield pd.DataFrame({key: keys, "ids": np.split(ids, cuts)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, ids, keys in _read_chunks(batch):
+                ends = np.cumsum([0, *row["doc_ids"]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([keys, lists], names=[key, "ids"])
 
     read = spark.read.parquet(path).select("n_ids", "width", "block_ids", "doc_keys", "doc_ids", "planes")
-    return read.mapInPandas(run, schema=f"`{key}` {kind}, ids array<int>")
+    return read.mapInArrow(run, schema=f"`{key}` {kind}, ids array<int>")

@@ -9,10 +9,11 @@ from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from condensa.llm.common import map_texts
 from condensa.llm.pieces import ChunkCache, chunks
 
 #: Bits of a bitmap word: one word on a level says which words below it are not empty.
@@ -165,16 +166,12 @@ def encode_texts(
     docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """`key, ids` (array of int) of each whole text, without special tokens; null counts as empty."""
-    kind = docs.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> list:
         bpe = byte_bpe(path, pattern)
-        for frame in frames:
-            ids = [bpe.encode(t or "").astype(np.int32) for t in frame["_text"]]
-            yield pd.DataFrame({key: frame[key], "ids": ids})
+        return [[bpe.encode(t).astype(np.int32) for t in texts]]
 
-    rows = docs.select(key, F.col(text).alias("_text"))
-    return rows.mapInPandas(run, schema=f"`{key}` {kind}, ids array<int>")
+    return map_texts(docs, key, text, run, "ids array<int>")
 
 
 def decode_ids(
@@ -183,14 +180,15 @@ def decode_ids(
     """`key, bytes` of id arrays; null counts as empty, an id that the file lacks is an error."""
     kind = encoded.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
-        for frame in frames:
-            decoded = [b"" if i is None else bpe.decode(np.asarray(i)) for i in frame["_ids"]]
-            yield pd.DataFrame({key: frame[key], "bytes": decoded})
+        for batch in batches:
+            decoded = [bpe.decode(np.array(i or [], dtype=np.int64)) for i in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(decoded, pa.binary())], names=[key, "bytes"]
+            )
 
-    rows = encoded.select(key, F.col(ids).alias("_ids"))
-    return rows.mapInPandas(run, schema=f"`{key}` {kind}, bytes binary")
+    return encoded.select(key, ids).mapInArrow(run, schema=f"`{key}` {kind}, bytes binary")
 
 
 def roundtrip_digests(
@@ -201,25 +199,17 @@ def roundtrip_digests(
     The digests are of the decimal ids joined by commas and of the decoded bytes; only they leave
     the task. A null or empty text has no ids. Repeated rows and null keys are answered each.
     """
-    kind = docs.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str]) -> list:
         bpe = byte_bpe(path, pattern)
-        for frame in frames:
-            rows = []
-            for t in frame["_text"]:
-                ids = bpe.encode(t or "")
-                rows.append(
-                    (
-                        len(ids),
-                        hashlib.sha256(bpe.decimal(ids)).hexdigest(),
-                        hashlib.sha256(bpe.decode(ids)).hexdigest(),
-                    )
-                )
-            digests = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            digests.insert(0, key, frame[key].to_numpy())
-            yield digests
-
-    rows = docs.select(key, F.col(text).alias("_text"))
-    schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInPandas(run, schema=schema)
+        sizes, encoded, decoded = [], [], []
+        for t in texts:
+            ids = bpe.encode(t)
+            sizes.append(len(ids))
+            encoded.append(hashlib.sha256(bpe.decimal(ids)).hexdigest())
+            decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+        return [sizes, encoded, decoded]
+
+    return map_texts(
+        docs, key, text, run, "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The white space that separates words (a Java and a Python pattern).
@@ -75,6 +76,24 @@ def whole_groups(
         yield frame, cut(frame)
 
 
-def map_frames(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """`mapInPandas`; the function sees an iterator of frames and yields frames."""
-    return df.mapInPandas(function, schema=schema)
+def map_texts(
+    docs: DataFrame, key: str, text: str, function: Callable, schema: str, binary: bool = False
+) -> DataFrame:
+    """`key` and what `function` makes of the texts, batch by batch.
+
+    `function(texts)` gets a list of str (bytes if `binary`; a null text is an empty one) and returns
+    the other columns of `schema` as lists or arrays, one value per text. Keys pass through untouched,
+    whatever their type. A batch is bounded by Spark's settings for Arrow batches (bytes and rows).
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    empty = b"" if binary else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or empty for t in batch.column(1).to_pylist()]
+            columns = [pa.array(c) for c in function(texts)]
+            names = [field.split()[0] for field in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
+
+    as_is = F.col(text).cast("binary" if binary else "string")
+    return docs.select(key, as_is.alias("_text")).mapInArrow(run, schema=f"`{key}` {kind}, {schema}")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from condensa.llm.common import parallelism
@@ -58,26 +58,27 @@ def token_pieces(
 ) -> DataFrame:
     """`key, piece, start, length, ids_crc32`: no ids leave the tasks."""
     kind = docs.schema[key].dataType.simpleString()
+    end = np.array([end_id], dtype="<u4").tobytes()
+    names = ["piece", "start", "length", "ids_crc32"]
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = spaced_encoder(tokenizer).encode
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for at, t in enumerate(frame["_text"]):
+            for place, t in enumerate(batch.column(1).to_pylist()):
                 ids = encode(t or "") + end
                 for piece, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    rows.append((at, piece, start, length, crc))
-            places, *columns = zip(*rows)
-            out = pd.DataFrame({key: frame[key].to_numpy()[list(places)]})
-            for name, values in zip(("piece", "start", "length", "ids_crc32"), columns):
-                out[name] = values
-            yield out
-
-    rows = docs.select(key, F.col(text).alias("_text"))
+                    rows.append((place, piece, start, length, crc))
+            places, *columns = zip(*rows) if rows else [()] * 5
+            keys = batch.column(0).take(pa.array(places, pa.int64()))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            values = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([keys, *values], names=[key, *names])
+
+    rows = docs.select(key, F.col(text).cast("string").alias("_text"))
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInPandas(cut, schema=schema)
+    return rows.mapInArrow(cut, schema=schema)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

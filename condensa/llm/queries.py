@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from condensa.llm import bitplanes, bpe, packing, quality_rules, simhash, token_counts
+from condensa.llm import bitplanes, bpe, packing, quality_rules, simhash, token_counts, toxicity
+from condensa.llm.common import remainder
 from condensa.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digests(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Of the labelled documents whose remainder mod 3 is not 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.train(docs, labels, remainder("doc_id", 3) != 1)
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return scored.withColumn("held_out", held_out)
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")

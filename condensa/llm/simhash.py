@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from condensa.llm.common import fresh
+from condensa.llm.common import fresh, map_texts
 from condensa.llm.graph import bucket_units, components, per_unit, stars
 from condensa.session import materialize
 
@@ -50,18 +49,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(packed.tobytes(), "little")
 
 
-def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        found = [fingerprint(t or b"") for t in frame.pop("_bytes")]
-        frame["_bits"] = np.array(found, dtype=np.uint64).view(np.int64)
-        yield frame
+def _fingerprints(texts: list[bytes]) -> list[np.ndarray]:
+    return [np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key, _bits` (the fingerprint as a signed long); a null text counts as empty."""
-    rows = docs.select(key, F.col(text).cast("binary").alias("_bytes"))
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInPandas(_fingerprints, schema=f"`{key}` {kind}, _bits long")
+    return map_texts(docs, key, text, _fingerprints, "_bits long", binary=True)
 
 
 def block_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> list[int]:

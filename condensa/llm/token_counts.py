@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -17,10 +16,9 @@ from condensa.llm.common import parallelism
 from condensa.llm.pieces import load_tokenizer, special_pattern
 
 LIMIT = 512
-#: Documents whose pre-tokens are gathered together; their places fit into 16 bits.
+#: Documents, at most, whose pre-tokens are gathered together (an Arrow batch, which Spark bounds by
+#: bytes, may have fewer); their places fit into 16 bits.
 BATCH_DOCS = 8192
-#: Bytes of text after which a batch is closed, however few its documents.
-BATCH_BYTES = 48 << 20
 
 
 @lru_cache(maxsize=2)
@@ -40,12 +38,11 @@ def pretokens(text: str, pattern: regex.Pattern, special) -> list[str]:
     return found + pattern.findall(text[at:])
 
 
-POSTING_SCHEMA = "pretoken string, batch string, places binary, counts binary"
-BATCH_SCHEMA = "pretoken string, batch string, places binary, counts binary"
+ROW_SCHEMA = "pretoken string, batch string, places binary, counts binary, place int, n_bytes long"
 
 
-def _posted(batch: str, counted: list[Counter], sizes: list[int], keys: list) -> pd.DataFrame:
-    """One row per distinct pre-token of a batch: the documents that hold it, and how often."""
+def _posted(counted: list[Counter]) -> list[list]:
+    """The distinct pre-tokens of a batch, the documents that hold each, and how often."""
     places: dict[str, list[int]] = {}
     counts: dict[str, list[int]] = {}
     for place, counter in enumerate(counted):
@@ -56,14 +53,11 @@ def _posted(batch: str, counted: list[Counter], sizes: list[int], keys: list) ->
             else:
                 places[token] = [place]
                 counts[token] = [count]
-    return pd.DataFrame(
-        {
-            "pretoken": list(places),
-            "batch": batch,
-            "places": [np.array(p, dtype="<u2").tobytes() for p in places.values()],
-            "counts": [np.array(c, dtype="<u4").tobytes() for c in counts.values()],
-        }
-    )
+    return [
+        list(places),
+        [np.array(p, dtype="<u2").tobytes() for p in places.values()],
+        [np.array(c, dtype="<u4").tobytes() for c in counts.values()],
+    ]
 
 
 def document_pretokens(
@@ -72,62 +66,52 @@ def document_pretokens(
     """`pretoken, batch, places, counts`, and for each document a row that names its key.
 
     A batch is consecutive documents of one partition. A document's row has a null pre-token, the
-    key as text in `key`, the place in `place` and the bytes of the text in `n_bytes`.
+    key in `key`, the place in `place` and the bytes of the text in `n_bytes`.
     """
     kind = docs.schema[key].dataType.simpleString()
+    names = [field.split()[0] for field in ROW_SCHEMA.split(", ")] + ["key"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, special = _tokenizer(tokenizer)
         find = regex.compile(pattern)
         part, number = TaskContext.get().partitionId(), 0
-        counted: list[Counter] = []
-        sizes: list[int] = []
-        keys: list = []
-        held = 0
-
-        def closed() -> Iterator[pd.DataFrame]:
-            batch = f"{part}:{number}"
-            tokens = _posted(batch, counted, sizes, keys)
-            yield tokens.assign(key=None, place=-1, n_bytes=0).astype({"key": object})
-            rows = pd.DataFrame({"key": pd.Series(keys, dtype=object)})
-            yield rows.assign(
-                pretoken=None, batch=batch, places=None, counts=None,
-                place=range(len(keys)), n_bytes=sizes,
-            )
-
-        for frame in frames:
-            for k, t in zip(frame["_key"].astype(object), frame["_text"]):
-                t = t or ""
-                counted.append(Counter(pretokens(t, find, special)))
-                sizes.append(len(t.encode()))
-                keys.append(None if pd.isna(k) else int(k) if isinstance(k, float) else k)
-                held += sizes[-1]
-                if len(keys) == BATCH_DOCS or held >= BATCH_BYTES:
-                    yield from closed()
-                    number, held = number + 1, 0
-                    counted, sizes, keys = [], [], []
-        if keys:
-            yield from closed()
-
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    schema = (
-        "pretoken string, batch string, places binary, counts binary,"
-        f" key {kind}, place int, n_bytes long"
-    )
-    return rows.mapInPandas(run, schema=schema)
+        for arrived in batches:
+            for rows in _bounded(arrived):
+                keys, texts = rows.column(0), [t or "" for t in rows.column(1).to_pylist()]
+                tokens, places, counts = _posted([Counter(pretokens(t, find, special)) for t in texts])
+                name, n, d = f"{part}:{number}", len(tokens), len(texts)
+                number += 1
+                columns = [
+                    pa.array([*tokens, *[None] * d], pa.string()),
+                    pa.array([name] * (n + d), pa.string()),
+                    pa.array([*places, *[None] * d], pa.binary()),
+                    pa.array([*counts, *[None] * d], pa.binary()),
+                    pa.array([*[-1] * n, *range(d)], pa.int32()),
+                    pa.array([*[0] * n, *[len(t.encode()) for t in texts]], pa.int64()),
+                    pa.concat_arrays([pa.nulls(n, keys.type), keys]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(run, schema=f"{ROW_SCHEMA}, key {kind}")
+
+
+def _bounded(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, rows.num_rows, BATCH_DOCS):
+        yield rows.slice(start, BATCH_DOCS)
 
 
 def piece_counts(pretoken_rows: DataFrame, tokenizer: str) -> DataFrame:
     """`pretoken, pieces` of distinct pre-tokens, as the library gives them."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tokenizer(tokenizer)
-        for frame in frames:
-            tokens = frame["pretoken"].tolist()
-            found = encoder.encode_batch_fast(tokens, add_special_tokens=False)
-            yield pd.DataFrame({"pretoken": tokens, "pieces": [len(f.ids) for f in found]})
+        for batch in batches:
+            found = encoder.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
+            pieces = pa.array([len(f.ids) for f in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pieces], names=["pretoken", "pieces"])
 
-    return pretoken_rows.mapInPandas(run, schema="pretoken string, pieces int")
+    return pretoken_rows.mapInArrow(run, schema="pretoken string, pieces int")
 
 
 def _flat(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
