@@ -78,24 +78,33 @@ def bucket_units(members: DataFrame, bucket: list[str], node: str, chunk: int =
 
 
 def per_unit(
-    units: DataFrame, bucket: list[str], function: Callable, schema: str
+    units: DataFrame,
+    bucket: list[str],
+    function: Callable,
+    schema: str,
+    prepare: Callable | None = None,
 ) -> DataFrame:
-    """`function(frame, crossed)` for each unit; it returns a frame of `schema` or None.
+    """`function(arrays, crossed)` for each unit; it returns the columns of `schema`, or None.
 
-    `crossed` tells that pairs are between the sides, else they are within the frame.
+    `arrays` has the unit's part of every column, and of what `prepare(frame)` made of many units
+    at once. `crossed` tells that pairs are between the sides, else they are within the unit.
     """
     keys = [*bucket, "unit_a", "unit_b"]
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, bounds in whole_groups(frames, keys):
-            same = (frame["unit_a"] == frame["unit_b"]).to_numpy()
+            arrays = prepare(frame) if prepare else {c: frame[c].to_numpy() for c in frame.columns}
+            crossed = (frame["unit_a"] != frame["unit_b"]).to_numpy()
             found = []
-            for start, end in zip(bounds[:-1], bounds[1:]):
+            for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if end - start > 1:
-                    found.append(function(frame.iloc[start:end], not same[start]))
-            found = [f for f in found if f is not None]
+                    part = {name: values[start:end] for name, values in arrays.items()}
+                    found.append(function(part, crossed[start]))
+            found = [columns for columns in found if columns is not None]
             if found:
-                yield pd.concat(found, ignore_index=True)
+                columns = [np.concatenate(parts) for parts in zip(*found)]
+                yield pd.DataFrame(dict(zip(names, columns)))
 
     dealt = units.repartition(parallelism(units), *keys).sortWithinPartitions(*keys)
     return dealt.mapInPandas(run, schema=schema)

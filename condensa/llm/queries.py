@@ -5,9 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from condensa.llm import bitplanes, bpe, packing, quality_rules, simhash, token_counts, toxicity
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from condensa.llm import (
+    bitplanes,
+    bpe,
+    classifier,
+    itq,
+    packing,
+    preference,
+    quality_rules,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from condensa.llm.common import remainder
 from condensa.session import new_path
 
@@ -28,11 +39,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = remainder("doc_id", 4) != 2
+    scored = classifier.classify(documents(spark, sf_dir), labels, learn)
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return scored.withColumn("held_out", held_out)
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
 
+def _span_text(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+
+
+@query
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with a stale last reply."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    formatted = preference.format_preferences(preference.stale_reply_pairs(turns))
+    return formatted.select(
+        "conv_id", "n_common", "prompt", "chosen_text",
+        _span_text("chosen_spans").alias("chosen_spans"),
+        "rejected_text", _span_text("rejected_spans").alias("rejected_spans"),
+    )
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,6 +110,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer, public_tokenizers.PATTERN)
 
 
+@query
+def op9_itq_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,18 +77,14 @@ def hex_digits(bits: Column) -> Column:
 
 
 def _linked(distance: int):
-    def edges(frame: pd.DataFrame, crossed: bool) -> pd.DataFrame | None:
-        bits = frame["_bits"].to_numpy()
+    def edges(unit: dict[str, np.ndarray], crossed: bool) -> tuple[np.ndarray, ...] | None:
+        bits = unit["_bits"]
         own = bits.view(np.uint64)
         close = np.bitwise_count(own[:, None] ^ own[None, :]) <= distance
         if crossed:
-            side = frame["side"].to_numpy()
-            close &= side[:, None] < side[None, :]
-        left, right = np.nonzero(np.triu(close, 1) if not crossed else close)
-        if not len(left):
-            return None
-        a, b = stars(bits, left, right)
-        return pd.DataFrame({"a": a, "b": b})
+            close &= unit["side"][:, None] < unit["side"][None, :]
+        left, right = np.nonzero(close if crossed else np.triu(close, 1))
+        return stars(bits, left, right) if len(left) else None
 
     return edges
 
