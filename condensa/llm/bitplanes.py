@@ -10,40 +10,75 @@ number of ids, and per document its key and number of ids.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from condensa.llm.common import parallelism
-from condensa.llm.pieces import ChunkCache, load_tokenizer, special_pattern
+from condensa.llm.pieces import ChunkCache, as_bytes, groups, load_tokenizer, special_pattern
 
 BLOCK_IDS = 65_536  # a multiple of 8
 CHUNK_IDS = 1 << 20
 LEVEL = 3
 
 
+#: Below this character, and but for the one exception, lower case is the same everywhere.
+PLAIN, EXCEPT = "\u0250", "\u0130"
+
+
 class UnspacedEncoder:
-    """Ids, as little-endian 32-bit bytes, of a tokenizer that drops white space."""
+    """Ids, as little-endian 32-bit bytes, of a tokenizer that drops white space.
+
+    A chunk between spaces has the same ids everywhere. New chunks of plain letters are cut by the
+    tokenizer's own pattern in lower case, so that the library sees each word once, whatever its
+    case and the marks next to it; it sees other chunks as they are.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.special = special_pattern(self.tokenizer)
-        self.cache = ChunkCache(self._ids)
+        self.words = ChunkCache(self._ids)
+        self.cache = ChunkCache(self._chunks)
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        splits = steps["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
 
     def _ids(self, asked: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
-        return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
-
-    def encode(self, text: str) -> bytes:
-        if self.special and self.special.search(text):
-            return self._ids([text])[0]
-        return b"".join(self.cache.values(text.split(" ")))
+        return [as_bytes(f.ids) for f in found]
+
+    def _chunks(self, asked: list[str]) -> list[bytes]:
+        plain = [
+            c.isascii() or (max(c) < PLAIN and EXCEPT not in c and is_normalized("NFC", c))
+            for c in asked
+        ]
+        words = [self.pattern.findall(c.lower()) if p else [] for c, p in zip(asked, plain)]
+        known = iter(self.words.values([w for found in words for w in found]))
+        others = iter(self._ids([c for c, p in zip(asked, plain) if not p]))
+        return [
+            b"".join(islice(known, len(found))) if p else next(others)
+            for found, p in zip(words, plain)
+        ]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; texts that hold a special token go to the library whole."""
+        for group in groups(texts):
+            marked = [bool(self.special and self.special.search(t)) for t in group]
+            cut = [[] if m else t.split(" ") for t, m in zip(group, marked)]
+            known = iter(self.cache.values([c for parts in cut for c in parts]))
+            for text, mark, parts in zip(group, marked, cut):
+                yield self._ids([text])[0] if mark else b"".join(islice(known, len(parts)))
 
 
 @lru_cache(maxsize=2)
@@ -153,8 +188,8 @@ def write_ids(
 
         for batch in batches:
             first = 0
-            for place, t in enumerate(batch.column(1).to_pylist()):
-                ids = encode(t) + end
+            for place, ids in enumerate(encode(batch.column(1).to_pylist())):
+                ids += end
                 sizes.append(len(ids) // 4)
                 parts.append(ids)
                 held += sizes[-1]

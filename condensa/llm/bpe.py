@@ -6,7 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from condensa.llm.common import map_texts
-from condensa.llm.pieces import ChunkCache, chunks
+from condensa.llm.pieces import ChunkCache, SpacedChunks, as_bytes
 
 #: Bits of a bitmap word: one word on a level says which words below it are not empty.
 WORD = 64
@@ -28,12 +28,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Places waiting under merge ranks; the smallest rank and its leftmost place come first.
+    """Places waiting under merge ranks; the smallest rank is found first.
 
     Three levels of 64-bit words: a bit of the lowest level says that a rank's bucket holds places,
     a bit above that a word below is not zero. The next rank is found by three find-first-set
-    steps, whatever the number of ranks and places. Levels are sparse, so a short pre-token touches
-    a few words only. Holds ranks below 64 ** 3.
+    steps, whatever the number of ranks and places. Levels are sparse, so few ranks touch few words.
+    Holds ranks below 64 ** 3.
     """
 
     def __init__(self) -> None:
@@ -44,81 +44,101 @@ class RankQueue:
 
     def push(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
+        if bucket is not None:
+            bucket.append(place)
+        else:
+            self.put(rank, [place])
+
+    def put(self, rank: int, places: list[int]) -> None:
+        """Places under a rank that has none."""
+        self.buckets[rank] = places
         word = rank >> SHIFT
         self.low[word] = self.low.get(word, 0) | 1 << (rank & LOW)
         above = word >> SHIFT
         self.middle[above] = self.middle.get(above, 0) | 1 << (word & LOW)
         self.top |= 1 << above
 
-    def pop(self) -> tuple[int, int]:
+    def pop(self) -> tuple[int, list[int]]:
+        """The smallest rank and its places, from left to right."""
         above = (self.top & -self.top).bit_length() - 1
         bits = self.middle[above]
         word = (above << SHIFT) + (bits & -bits).bit_length() - 1
         bits = self.low[word]
         rank = (word << SHIFT) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.low[word] = bits = bits & (bits - 1)
+        self.low[word] = bits = bits & (bits - 1)
+        if not bits:
+            self.middle[above] = bits = self.middle[above] & (self.middle[above] - 1)
             if not bits:
-                self.middle[above] = bits = self.middle[above] & (self.middle[above] - 1)
-                if not bits:
-                    self.top &= self.top - 1
-        return rank, place
+                self.top &= self.top - 1
+        places = self.buckets.pop(rank)
+        places.sort()
+        return rank, places
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of smallest rank, leftmost first, is merged until none is left.
+def merge(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """Ids of pre-tokens: in each, the pair of smallest rank, leftmost first, until none is left.
 
-    Symbols are a linked list over the places where they start. An entry of the queue is stale when
-    the pair at its place has another rank by now, and is skipped; n bytes make at most 3 n entries.
+    All pieces go through one queue, which shares its cost among short ones: merges of one piece do
+    not touch another, so the common order is the right one in each. Symbols are a linked list over
+    the places where they start. An entry is stale when the pair at its place has another rank by
+    now, and is skipped; n bytes make at most 3 n entries. A merge that leads to a smaller rank
+    puts the rest of its bucket back.
     """
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the symbol that starts here; 0 when there is none
-    before = list(range(-1, n - 1))
+    data = b"".join(pieces)
+    n = len(data)
+    bounds = [0]
+    for piece in pieces:
+        bounds.append(bounds[-1] + len(piece))
+    starts = bytearray(n + 1)  # whether a piece starts (or all end) here
+    for bound in bounds:
+        starts[bound] = 1
+    end = list(range(1, n + 1))  # of the symbol that starts here
+    before = list(range(-1, n - 1))  # start of the symbol before, in the same piece or not
     pair = [-1] * n  # rank of the pair that starts here
     queue = RankQueue()
-    push = queue.push
+    push, get = queue.push, ranks.get
     for place in range(n - 1):
-        rank = ranks.get(piece[place : place + 2])
-        if rank is not None:
-            pair[place] = rank
-            push(rank, place)
-    while queue.top:
-        rank, place = queue.pop()
-        if pair[place] != rank:
-            continue
-        second = end[place]
-        after = end[second]
-        end[place] = after
-        end[second] = 0
-        pair[second] = -1
-        if after < n:
-            before[after] = place
-            rank = ranks.get(piece[place : end[after]], -1)
-            pair[place] = rank
-            if rank >= 0:
+        if not starts[place + 1]:
+            rank = get(data[place : place + 2])
+            if rank is not None:
+                pair[place] = rank
                 push(rank, place)
-        else:
-            pair[place] = -1
-        first = before[place]
-        if first >= 0:
-            rank = ranks.get(piece[first:after], -1)
-            pair[first] = rank
-            if rank >= 0:
-                push(rank, first)
-    ids, place = [], 0
-    while place < n:
-        ids.append(ranks[piece[place : end[place]]])
-        place = end[place]
-    return ids
+    while queue.top:
+        rank, places = queue.pop()
+        for nth, place in enumerate(places):
+            if pair[place] != rank:
+                continue
+            second = end[place]
+            after = end[place] = end[second]
+            pair[second] = -1
+            lower = rank
+            if starts[after]:
+                pair[place] = -1
+                if after < n:
+                    before[after] = place
+            else:
+                before[after] = place
+                made = pair[place] = get(data[place : end[after]], -1)
+                if made >= 0:
+                    push(made, place)
+                    lower = min(lower, made)
+            if not starts[place]:
+                first = before[place]
+                made = pair[first] = get(data[first:after], -1)
+                if made >= 0:
+                    push(made, first)
+                    lower = min(lower, made)
+            if lower < rank and nth + 1 < len(places):
+                queue.put(rank, places[nth + 1 :])
+                break
+    found = []
+    for start, stop in zip(bounds, bounds[1:]):
+        ids, place = [], start
+        while place < stop:
+            ids.append(ranks[data[place : end[place]]])
+            place = end[place]
+        found.append(ids)
+    return found
 
 
 class ByteBpe:
@@ -135,20 +155,24 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.numbers = [str(i) for i in range(size)]
-        self.merged = ChunkCache(lambda asked: [self._merge(p) for p in asked])
-        self.first = ChunkCache(lambda asked: [self._chunk(c) for c in asked])
-        self.later = ChunkCache(lambda asked: [self._chunk(" " + c) for c in asked])
+        self.merged = ChunkCache(self._merge)
+        self.chunks = SpacedChunks(self._chunk)
 
-    def _merge(self, piece: str) -> bytes:
-        return np.array(merge(piece.encode(), self.ranks), dtype="<u4").tobytes()
+    def _merge(self, asked: list[str]) -> list[bytes]:
+        """A piece that is a token is that token; the others are merged together."""
+        pieces = [piece.encode() for piece in asked]
+        whole = [self.ranks.get(piece) for piece in pieces]
+        merged = iter(merge([p for p, w in zip(pieces, whole) if w is None], self.ranks))
+        return [as_bytes(next(merged) if w is None else [w]) for w in whole]
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(self.merged.values(self.pattern.findall(chunk)))
+    def _chunk(self, asked: list[str]) -> list[bytes]:
+        found = list(map(self.pattern.findall, asked))
+        merged = iter(self.merged.values([piece for pieces in found for piece in pieces]))
+        return [b"".join(islice(merged, len(pieces))) for pieces in found]
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = chunks(text)
-        ids = self.first.values(parts[:1])[0] + b"".join(self.later.values(parts[1:]))
-        return np.frombuffer(ids, dtype="<u4")
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for ids in self.chunks.encode(texts):
+            yield np.frombuffer(ids, dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -169,7 +193,7 @@ def encode_texts(
 
     def run(texts: list[str]) -> list:
         bpe = byte_bpe(path, pattern)
-        return [[bpe.encode(t).astype(np.int32) for t in texts]]
+        return [[ids.astype(np.int32) for ids in bpe.encode(texts)]]
 
     return map_texts(docs, key, text, run, "ids array<int>")
 
@@ -203,8 +227,7 @@ def roundtrip_digests(
     def run(texts: list[str]) -> list:
         bpe = byte_bpe(path, pattern)
         sizes, encoded, decoded = [], [], []
-        for t in texts:
-            ids = bpe.encode(t)
+        for ids in bpe.encode(texts):
             sizes.append(len(ids))
             encoded.append(hashlib.sha256(bpe.decimal(ids)).hexdigest())
             decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

@@ -1,34 +1,32 @@
-"""Ids of whole texts through a bounded cache of the chunks between single spaces."""
+"""Ids of whole texts through bounded caches of the chunks between spaces."""
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
-#: Chunks that a generation of the cache holds; two generations are kept.
-CACHE_CHUNKS = 150_000
+#: Chunks that a generation of a cache holds; two generations are kept.
+CACHE_CHUNKS = 300_000
 #: Longer chunks are encoded each time and never kept.
-LONGEST_KEPT = 200
+LONGEST_KEPT = 100
+#: Characters of the texts that are looked up together, a longer text by itself.
+GROUP_CHARS = 1 << 20
 
-#: Places where white space meets white space or an end of the text.
-UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at each single space between two characters that are no white space.
-
-    No pre-token of a pattern that joins at most one leading space to a word spans such a cut.
-    """
-    return SINGLE_SPACE.split(text) if UNEVEN.search(text) else text.split(" ")
+def uneven(chunk: str) -> bool:
+    """Whether the cut on some side of a chunk is not a single space between other characters."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
 class ChunkCache:
     """Values of chunks: `compute` is asked for a list of those not known.
 
     When the newer generation is full it becomes the older one, so memory is bounded and what is in
-    use stays.
+    use stays. Uneven chunks are never kept, so whatever is found is even.
     """
 
     def __init__(self, compute: Callable[[list[str]], list[bytes]], size: int = CACHE_CHUNKS):
@@ -36,24 +34,76 @@ class ChunkCache:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def missing(self, wanted: list[str]) -> set[str]:
+        return {c for c in wanted if c not in self.new and c not in self.old}
+
     def values(self, wanted: list[str]) -> list[bytes]:
         found = list(map(self.new.get, wanted))
         if None not in found:
             return found
-        open_places = [i for i, v in enumerate(found) if v is None]
-        missing = list({wanted[i]: None for i in open_places})
-        known = {c: v for c in missing if (v := self.old.get(c)) is not None}
-        asked = [c for c in missing if c not in known]
+        places = [i for i, v in enumerate(found) if v is None]
+        absent = list({wanted[i]: None for i in places})
+        known = {c: v for c in absent if (v := self.old.get(c)) is not None}
+        asked = [c for c in absent if c not in known]
         if asked:
             known.update(zip(asked, self.compute(asked)))
-        for i in open_places:
+        for i in places:
             found[i] = known[wanted[i]]
-        self.new.update((c, v) for c, v in known.items() if len(c) <= LONGEST_KEPT)
+        self.new.update((c, v) for c, v in known.items() if len(c) <= LONGEST_KEPT and not uneven(c))
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
         return found
 
 
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of so many characters together."""
+    group, held = [], 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= GROUP_CHARS:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    return array("I", ids).tobytes()
+
+
+class SpacedChunks:
+    """Ids of texts for a pattern that joins at most one space to the word behind it.
+
+    No match of such a pattern spans a single space between two other characters, so texts are cut
+    there, and a chunk with its space has the same ids everywhere. `compute` gives the ids of whole
+    strings. Texts with other white space next to a space are cut by a slower rule.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]]):
+        self.compute = compute
+        self.first = ChunkCache(compute)
+        self.later = ChunkCache(lambda asked: compute([" " + c for c in asked]))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for group in groups(texts):
+            cut = [t.split(" ") for t in group]
+            odd = {c for c in self.later.missing([c for parts in cut for c in parts]) if uneven(c)}
+            if odd:
+                cut = [
+                    parts if odd.isdisjoint(parts) else SINGLE_SPACE.split(t)
+                    for parts, t in zip(cut, group)
+                ]
+            first = self.first.values([parts[0] for parts in cut])
+            later = self.later.values([c for parts in cut for c in parts[1:]])
+            at = 0
+            for parts, head in zip(cut, first):
+                end = at + len(parts) - 1
+                yield head + b"".join(later[at:end])
+                at = end
+
+
 def load_tokenizer(path: str):
     """A tokenizer of the tokenizers library that runs on the calling thread only."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,4 +116,5 @@ def load_tokenizer(path: str):
 def special_pattern(tokenizer) -> re.Pattern | None:
     """Matches the special tokens of a tokenizer; their strings in texts are single ids."""
     strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return re.compile("|".join(map(re.escape, sorted(strings, key=len, reverse=True)))) if strings else None
+    longest_first = sorted(strings, key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, longest_first))) if strings else None

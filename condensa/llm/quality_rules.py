@@ -41,7 +41,7 @@ RULES = (
     Rule("mean_word_chars", 2.0, 12.0),
     Rule("symbol_share", None, 0.04),
     Rule("stop_share", 0.02, None, 100),
-    Rule("dup_line_share", None, 0.3),
+    Rule("dup_line_share", None, 0.8),
     Rule("upper_share", None, 0.3),
     Rule("mark_share", None, 0.25),
 )

@@ -92,7 +92,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return packing.pack(documents(spark, sf_dir), tokenizer)
+    return packing.pack(documents(spark, sf_dir), tokenizer, public_tokenizers.PATTERN)
 
 
 @query
