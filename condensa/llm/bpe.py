@@ -6,7 +6,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,25 @@ class RankQueue:
         return rank, places
 
 
-def merge(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+def pair_table(ranks: dict[bytes, int]) -> np.ndarray:
+    """The rank of every pair of bytes, -1 where they are no token."""
+    table = np.full(1 << 16, -1, dtype=np.int32)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            table[token[0] << 8 | token[1]] = rank
+    return table
+
+
+def _first_ranks(data: bytes, starts: bytearray, two: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs of neighbouring bytes; -1 across pieces and for the last byte."""
+    octets = np.frombuffer(data, dtype=np.uint8).astype(np.int32)
+    found = np.full(len(octets), -1, dtype=np.int32)
+    found[:-1] = two[octets[:-1] << 8 | octets[1:]]
+    found[np.frombuffer(starts, dtype=np.uint8)[1:] == 1] = -1
+    return found
+
+
+def merge(pieces: list[bytes], ranks: dict[bytes, int], two: np.ndarray) -> list[list[int]]:
     """Ids of pre-tokens: in each, the pair of smallest rank, leftmost first, until none is left.
 
     All pieces go through one queue, which shares its cost among short ones: merges of one piece do
@@ -86,23 +104,23 @@ def merge(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     """
     data = b"".join(pieces)
     n = len(data)
-    bounds = [0]
-    for piece in pieces:
-        bounds.append(bounds[-1] + len(piece))
+    if not n:
+        return [[] for _ in pieces]
+    bounds = [0, *accumulate(map(len, pieces))]
     starts = bytearray(n + 1)  # whether a piece starts (or all end) here
     for bound in bounds:
         starts[bound] = 1
     end = list(range(1, n + 1))  # of the symbol that starts here
     before = list(range(-1, n - 1))  # start of the symbol before, in the same piece or not
-    pair = [-1] * n  # rank of the pair that starts here
-    queue = RankQueue()
-    push, get = queue.push, ranks.get
-    for place in range(n - 1):
-        if not starts[place + 1]:
-            rank = get(data[place : place + 2])
-            if rank is not None:
-                pair[place] = rank
-                push(rank, place)
+    first_ranks = _first_ranks(data, starts, two)
+    pair = first_ranks.tolist()  # rank of the pair that starts here
+    queue, get = RankQueue(), ranks.get
+    order = np.argsort(first_ranks, kind="stable")
+    cuts = np.flatnonzero(np.diff(first_ranks[order], prepend=-2))
+    for places in np.split(order, cuts[1:]):
+        if pair[places[0]] >= 0:
+            queue.put(pair[places[0]], places.tolist())
+    push = queue.push
     while queue.top:
         rank, places = queue.pop()
         for nth, place in enumerate(places):
@@ -111,7 +129,7 @@ def merge(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
             second = end[place]
             after = end[place] = end[second]
             pair[second] = -1
-            lower = rank
+            lower = False
             if starts[after]:
                 pair[place] = -1
                 if after < n:
@@ -121,14 +139,14 @@ def merge(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                 made = pair[place] = get(data[place : end[after]], -1)
                 if made >= 0:
                     push(made, place)
-                    lower = min(lower, made)
+                    lower = made < rank
             if not starts[place]:
                 first = before[place]
                 made = pair[first] = get(data[first:after], -1)
                 if made >= 0:
                     push(made, first)
-                    lower = min(lower, made)
-            if lower < rank and nth + 1 < len(places):
+                    lower = lower or made < rank
+            if lower and nth + 1 < len(places):
                 queue.put(rank, places[nth + 1 :])
                 break
     found = []
@@ -149,6 +167,7 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
+        self.two = pair_table(self.ranks)
         self.pattern = regex.compile(pattern)
         size = max(self.ranks.values(), default=-1) + 1
         self.tokens = [b""] * size
@@ -162,7 +181,7 @@ class ByteBpe:
         """A piece that is a token is that token; the others are merged together."""
         pieces = [piece.encode() for piece in asked]
         whole = [self.ranks.get(piece) for piece in pieces]
-        merged = iter(merge([p for p, w in zip(pieces, whole) if w is None], self.ranks))
+        merged = iter(merge([p for p, w in zip(pieces, whole) if w is None], self.ranks, self.two))
         return [as_bytes(next(merged) if w is None else [w]) for w in whole]
 
     def _chunk(self, asked: list[str]) -> list[bytes]:

@@ -34,14 +34,12 @@ class ChunkCache:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, wanted: list[str]) -> set[str]:
-        return {c for c in wanted if c not in self.new and c not in self.old}
-
-    def values(self, wanted: list[str]) -> list[bytes]:
+    def known(self, wanted: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What the newer generation has, and the places that it lacks."""
         found = list(map(self.new.get, wanted))
-        if None not in found:
-            return found
-        places = [i for i, v in enumerate(found) if v is None]
+        return found, [i for i, v in enumerate(found) if v is None] if None in found else []
+
+    def fill(self, wanted: list[str], found: list[bytes | None], places: list[int]) -> list[bytes]:
         absent = list({wanted[i]: None for i in places})
         known = {c: v for c in absent if (v := self.old.get(c)) is not None}
         asked = [c for c in absent if c not in known]
@@ -54,6 +52,10 @@ class ChunkCache:
             self.old, self.new = self.new, {}
         return found
 
+    def values(self, wanted: list[str]) -> list[bytes]:
+        found, places = self.known(wanted)
+        return self.fill(wanted, found, places) if places else found
+
 
 def groups(texts: list[str]) -> Iterator[list[str]]:
     """Consecutive texts of so many characters together."""
@@ -89,14 +91,18 @@ class SpacedChunks:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for group in groups(texts):
             cut = [t.split(" ") for t in group]
-            odd = {c for c in self.later.missing([c for parts in cut for c in parts]) if uneven(c)}
+            heads, rest = [parts[0] for parts in cut], [c for parts in cut for c in parts[1:]]
+            found, places = self.later.known(rest)
+            odd = {rest[i] for i in places if uneven(rest[i])} | {h for h in heads if uneven(h)}
             if odd:
                 cut = [
                     parts if odd.isdisjoint(parts) else SINGLE_SPACE.split(t)
                     for parts, t in zip(cut, group)
                 ]
-            first = self.first.values([parts[0] for parts in cut])
-            later = self.later.values([c for parts in cut for c in parts[1:]])
+                heads, rest = [parts[0] for parts in cut], [c for parts in cut for c in parts[1:]]
+                found, places = self.later.known(rest)
+            first = self.first.values(heads)
+            later = self.later.fill(rest, found, places)
             at = 0
             for parts, head in zip(cut, first):
                 end = at + len(parts) - 1

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -38,26 +40,31 @@ def pretokens(text: str, pattern: regex.Pattern, special) -> list[str]:
     return found + pattern.findall(text[at:])
 
 
-ROW_SCHEMA = "pretoken string, batch string, places binary, counts binary, place int, n_bytes long"
+ROW_SCHEMA = "pretoken string, batch long, places binary, counts binary, place int, n_bytes long"
 
 
-def _posted(counted: list[Counter]) -> list[list]:
-    """The distinct pre-tokens of a batch, the documents that hold each, and how often."""
-    places: dict[str, list[int]] = {}
-    counts: dict[str, list[int]] = {}
-    for place, counter in enumerate(counted):
-        for token, count in counter.items():
-            if token in places:
-                places[token].append(place)
-                counts[token].append(count)
-            else:
-                places[token] = [place]
-                counts[token] = [count]
-    return [
-        list(places),
-        [np.array(p, dtype="<u2").tobytes() for p in places.values()],
-        [np.array(c, dtype="<u4").tobytes() for c in counts.values()],
-    ]
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose rows have these numbers of the values, one behind the other."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * values.itemsize)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
+
+
+def _posted(texts: list[str], pattern: regex.Pattern, special) -> tuple[list[str], pa.Array, pa.Array]:
+    """The distinct pre-tokens of a batch, the places of the texts that hold each, and how often."""
+    number: dict[str, int] = {}
+    tokens, counts, held = array("I"), array("I"), []
+    for text in texts:
+        counter = Counter(pretokens(text, pattern, special))
+        tokens.extend([number.setdefault(t, len(number)) for t in counter])
+        counts.extend(counter.values())
+        held.append(len(counter))
+    of_token = np.frombuffer(tokens, dtype=np.uint32)
+    order = np.argsort(of_token, kind="stable")
+    sizes = np.bincount(of_token, minlength=len(number))
+    places = np.repeat(np.arange(len(texts), dtype="<u2"), held)[order]
+    counted = np.frombuffer(counts, dtype=np.uint32).astype("<u4")[order]
+    return list(number), _binary(places, sizes), _binary(counted, sizes)
 
 
 def document_pretokens(
@@ -74,23 +81,24 @@ def document_pretokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, special = _tokenizer(tokenizer)
         find = regex.compile(pattern)
-        part, number = TaskContext.get().partitionId(), 0
+        name = TaskContext.get().partitionId() << 32
         for arrived in batches:
             for rows in _bounded(arrived):
                 keys, texts = rows.column(0), [t or "" for t in rows.column(1).to_pylist()]
-                tokens, places, counts = _posted([Counter(pretokens(t, find, special)) for t in texts])
-                name, n, d = f"{part}:{number}", len(tokens), len(texts)
-                number += 1
+                tokens, places, counts = _posted(texts, find, special)
+                n, d = len(tokens), len(texts)
                 columns = [
-                    pa.array([*tokens, *[None] * d], pa.string()),
-                    pa.array([name] * (n + d), pa.string()),
-                    pa.array([*places, *[None] * d], pa.binary()),
-                    pa.array([*counts, *[None] * d], pa.binary()),
-                    pa.array([*[-1] * n, *range(d)], pa.int32()),
-                    pa.array([*[0] * n, *[len(t.encode()) for t in texts]], pa.int64()),
-                    pa.concat_arrays([pa.nulls(n, keys.type), keys]),
-                ]
+                    pa.array(tokens, pa.string()), pa.array(np.full(n, name)), places, counts,
+                    pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, keys.type),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+                columns = [
+                    pa.nulls(d, pa.string()), pa.array(np.full(d, name)), pa.nulls(d, pa.binary()),
+                    pa.nulls(d, pa.binary()), pa.array(range(d), pa.int32()), sizes, keys,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                name += 1
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     return rows.mapInArrow(run, schema=f"{ROW_SCHEMA}, key {kind}")
@@ -101,19 +109,6 @@ def _bounded(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield rows.slice(start, BATCH_DOCS)
 
 
-def piece_counts(pretoken_rows: DataFrame, tokenizer: str) -> DataFrame:
-    """`pretoken, pieces` of distinct pre-tokens, as the library gives them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _tokenizer(tokenizer)
-        for batch in batches:
-            found = encoder.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            pieces = pa.array([len(f.ids) for f in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pieces], names=["pretoken", "pieces"])
-
-    return pretoken_rows.mapInArrow(run, schema="pretoken string, pieces int")
-
-
 def _flat(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The values of a binary column one behind the other, and how many each row has."""
     width = np.dtype(kind).itemsize
@@ -123,28 +118,57 @@ def _flat(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np
     return octets.copy().view(kind), np.diff(offsets) // width
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch and place, the pieces of the pre-tokens of one Arrow batch."""
-    for rows in batches:
-        if not rows.num_rows:
-            continue
-        names = rows.column("batch").dictionary_encode()
-        places, sizes = _flat(rows.column("places"), "<u2")
-        counts, _ = _flat(rows.column("counts"), "<u4")
-        pieces = np.repeat(rows.column("pieces").to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-        batch = np.repeat(names.indices.to_numpy().astype(np.int64), sizes)
-        spot = batch << 16 | places
-        spots, inverse = np.unique(spot, return_inverse=True)
-        total = np.zeros(len(spots), dtype=np.int64)
-        np.add.at(total, inverse, pieces * counts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                names.dictionary.take(pa.array(spots >> 16)),
-                pa.array((spots & 0xFFFF).astype(np.int32)),
-                pa.array(total),
-            ],
-            names=["batch", "place", "pieces"],
-        )
+def sum_pieces(dealt: DataFrame, tokenizer: str, key_kind: str) -> DataFrame:
+    """`batch, place, pieces, n_bytes, key` of rows that are sorted by pre-token.
+
+    Rows of a pre-token lie together, so the library counts each distinct one once, and its pieces
+    join to all documents that hold it right there. Of an Arrow batch, the pieces of a document are
+    summed before they leave. Rows of documents pass through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, _ = _tokenizer(tokenizer)
+        last: tuple[str | None, int] = (None, 0)
+        for rows in batches:
+            named = rows.filter(pc.is_null(rows.column("pretoken")))
+            if named.num_rows:
+                zero = pa.array(np.zeros(named.num_rows, dtype=np.int64))
+                fields = [named.column(c) for c in ("batch", "place", "n_bytes", "key")]
+                yield _result([fields[0], fields[1], zero, *fields[2:]])
+            rows = rows.filter(pc.is_valid(rows.column("pretoken")))
+            if not rows.num_rows:
+                continue
+            token = rows.column("pretoken").dictionary_encode()
+            distinct = token.dictionary.to_pylist()
+            fresh = [t for t in distinct if t != last[0]]
+            found = encoder.encode_batch_fast(fresh, add_special_tokens=False)
+            known = dict(zip(fresh, map(len, found)))
+            known.setdefault(*last)
+            pieces = np.array([known[t] for t in distinct], dtype=np.int64)[token.indices.to_numpy()]
+            last = (rows.column("pretoken")[-1].as_py(), int(pieces[-1]))
+            places, sizes = _flat(rows.column("places"), "<u2")
+            counts, _ = _flat(rows.column("counts"), "<u4")
+            names, batch = np.unique(rows.column("batch").to_numpy(), return_inverse=True)
+            spots, at = np.unique(np.repeat(batch, sizes) << 16 | places, return_inverse=True)
+            total = np.zeros(len(spots), dtype=np.int64)
+            np.add.at(total, at, np.repeat(pieces, sizes) * counts)
+            n, key_type = len(spots), rows.column("key").type
+            yield _result(
+                [
+                    pa.array(names[spots >> 16]),
+                    pa.array((spots & 0xFFFF).astype(np.int32)),
+                    pa.array(total),
+                    pa.nulls(n, pa.int64()),
+                    pa.nulls(n, key_type),
+                ]
+            )
+
+    schema = f"batch long, place int, pieces long, n_bytes long, key {key_kind}"
+    return dealt.mapInArrow(run, schema=schema)
+
+
+def _result(columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=["batch", "place", "pieces", "n_bytes", "key"])
 
 
 def token_counts(
@@ -159,30 +183,17 @@ def token_counts(
 
     Pre-tokens of up to `BATCH_DOCS` documents are gathered to one row per distinct pre-token with
     its documents and counts, so a frequent pre-token is one row a batch. Those rows are dealt by
-    pre-token once: the distinct ones are counted by the library there, and joined back. What
-    returns is sums per document. A null text counts as empty; repeated rows and null keys are
-    answered each. The input has to give the same rows in the same order when it is read again, as
-    files do: documents are named by batch and place until the end.
+    pre-token, the only shuffle of them; there each is counted by the library once and joined to its
+    documents (`sum_pieces`). What returns is sums per document. A null text counts as empty;
+    repeated rows and null keys are answered each. The input has to give the same rows in the same
+    order when a task runs again, as files do: documents are named by batch and place until the end.
     """
     gathered = document_pretokens(docs, tokenizer, pattern, key, text)
     # a document's own row is dealt by batch and place, so that they spread
-    dealt_by = F.coalesce("pretoken", F.concat_ws(":", F.lit("\u0000"), "batch", "place"))
-    dealt = gathered.withColumn("_by", dealt_by).repartition(parallelism(docs), "_by")
-    tokens = dealt.where("pretoken IS NOT NULL")
-    distinct = tokens.groupBy("_by").agg(F.first("pretoken").alias("pretoken")).select("pretoken")
-    pieces = piece_counts(distinct, tokenizer).withColumnRenamed("pretoken", "_counted")
-    joined = tokens.join(pieces, F.col("_by") == F.col("_counted"))
-    summed = joined.select("batch", "places", "counts", "pieces").mapInArrow(
-        _sums, "batch string, place int, pieces long"
-    )
-    named = dealt.where("pretoken IS NULL").select(
-        "batch", "place", F.lit(0).cast("long").alias("pieces"), "key", "n_bytes", F.lit(True).alias("_doc")
-    )
-    both = summed.select(
-        "batch", "place", "pieces", F.lit(None).cast(docs.schema[key].dataType).alias("key"),
-        F.lit(0).cast("long").alias("n_bytes"), F.lit(False).alias("_doc"),
-    ).unionByName(named)
-    total = both.groupBy("batch", "place").agg(
+    dealt_by = F.coalesce("pretoken", F.concat_ws(":", "batch", "place"))
+    dealt = gathered.repartition(parallelism(docs), dealt_by).sortWithinPartitions("pretoken")
+    summed = sum_pieces(dealt, tokenizer, docs.schema[key].dataType.simpleString())
+    total = summed.groupBy("batch", "place").agg(
         F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum("pieces").alias("n_tokens")
     )
     return total.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
