@@ -1,10 +1,10 @@
 """Most likely continuations over a table of token transitions.
 
 All starts advance together, one join per step. The search depends on the start token only,
-so it runs once per distinct token and the result is joined back to the examples. State and
-pruned transitions are bounded by the vocabulary: they are broadcast or, above
-`BROADCAST_ROWS`, joined. Within a search the state stays partitioned by start token, so the
-steps need no further shuffle. Only the pruned transitions are written, once.
+so it runs once per distinct token and the result is joined back to the examples. Closed and stuck
+hypotheses are carried along under keys of their own, which match nothing and spread over all tasks.
+State and pruned transitions grow with the vocabulary: they are counted, and broadcast when few. The
+state is written every few steps, which bounds the plan, and the search ends early when nothing is open.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.functions.ids import EOS, UNK
+from condensa.operators.skew import BROADCAST_ROWS, broadcast_if_small
 from condensa.session import materialize
 
-BROADCAST_ROWS = 1_000_000
 # scores that differ by rounding noise only count as equal; ties go to the smaller sequence
 SCORE_DIGITS = 9
+#: Steps between two writings of the state.
+WRITE_EVERY = 6
+# The length penalty is ((PENALTY + t) / (PENALTY + 1)) ** alpha.
+PENALTY = 5
 
 
 def _score(value: Column) -> Column:
@@ -24,19 +28,28 @@ def _score(value: Column) -> Column:
 
 
 def prune_transitions(transitions: DataFrame, keep: int, block_unk: bool) -> DataFrame:
-    """The `keep` best next tokens of every token."""
+    """The `keep` best next tokens of every token, and those that rounding makes equal to the last.
+
+    Of exactly equal steps the `keep` smallest tokens are enough.
+    """
     if block_unk:
         transitions = transitions.where(F.col("next") != UNK)
-    best = Window.partitionBy("prev").orderBy(_score(F.col("logp")).desc(), "next")
+    equal = Window.partitionBy("prev", "logp").orderBy("next")
+    best = Window.partitionBy("prev").orderBy(F.desc("logp"), "next")
+    limit = Window.partitionBy("prev")
+    noise = 10.0**-SCORE_DIGITS
     return (
-        transitions.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= keep)
+        transitions.withColumn("nth", F.row_number().over(equal))
+        .where(F.col("nth") <= keep)
+        .withColumn("place", F.row_number().over(best))
+        .withColumn("least", F.min(F.when(F.col("place") <= keep, F.col("logp"))).over(limit))
+        .where(F.col("logp") >= F.col("least") - noise)
         .select("prev", "next", F.col("logp").alias("step_logp"))
     )
 
 
 def _length_factor(t: int, alpha: float, length_norm: str) -> float:
-    factor = (5 + t) ** alpha / (5 + 1) ** alpha
+    factor = (PENALTY + t) ** alpha / (PENALTY + 1) ** alpha
     return {"divide": 1 / factor, "multiply": factor}[length_norm]
 
 
@@ -59,68 +72,80 @@ def beam_search(
     `transitions` holds ids below `vocab_size`. Keeping `bw + 1` next tokens per token is
     exact: one hypothesis fills at most `bw` places, and eos is not allowed first.
     """
-    nexts = _next_tokens(transitions, vocab_size, bw + 1, block_unk)
-    state = (
-        starts.select("start")
-        .distinct()
-        .select(
-            "start",
-            F.col("start").alias("last"),
-            F.array().cast("array<int>").alias("seq"),
-            F.lit(0.0).alias("logp"),
-            F.lit(False).alias("done"),
-        )
-    )
+    nexts = _next_tokens(transitions, bw + 1, block_unk)
+    state = _first_state(starts)
     for t in range(max_len):
         state = _beam_step(state, nexts, t, bw, _length_factor(t, alpha, length_norm))
+        if t % WRITE_EVERY == WRITE_EVERY - 1 or t == max_len - 1:
+            state = materialize(state, "paths")
+            if state.where("last >= 0").isEmpty():
+                break
     best = Window.partitionBy("start").orderBy(F.desc("done"), _score(F.col("logp")).desc(), "seq")
     whole = Window.partitionBy("start")
-    found = (
+    answers = (
         state.withColumn("place", F.row_number().over(best))
         .withColumn("n_finished", F.count_if("done").over(whole))
         .where("place = 1")
         .select("start", "seq", F.col("logp").alias("score"), "done", "n_finished")
     )
-    return starts.select(key, "start").join(_bounded(found, vocab_size), "start")
+    return starts.select(key, "start").join(broadcast_if_small(answers, _most()), "start")
 
 
-def _next_tokens(
-    transitions: DataFrame, vocab_size: int, keep: int, block_unk: bool
-) -> DataFrame:
-    """The pruned transitions, written once because every step reads them."""
-    pruned = materialize(prune_transitions(transitions, keep, block_unk), "next-tokens")
-    return _bounded(pruned, vocab_size * keep)
+def _most() -> int:
+    return BROADCAST_ROWS
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast `df` if its largest possible size allows it."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _first_state(starts: DataFrame) -> DataFrame:
+    """One open hypothesis per distinct start; `last` is a token, or below 0 when not open."""
+    first = starts.select("start").distinct()
+    return first.select(
+        "start",
+        F.col("start").alias("last"),
+        F.array().cast("array<int>").alias("seq"),
+        F.lit(0.0).alias("logp"),
+        F.lit(False).alias("done"),
+    )
+
+
+def _not_open() -> Column:
+    """A key that no token has, of the hypothesis' own."""
+    return (-1 - F.pmod(F.hash("start", "seq"), F.lit(1 << 30))).cast("int")
+
+
+def _grown(state: DataFrame, nexts: DataFrame, match: Column) -> DataFrame:
+    """Every hypothesis with its next tokens; `moved` where there are some."""
+    moved = F.col("next").isNotNull()
+    return (
+        state.join(nexts, match, "left")
+        .withColumn("moved", moved)
+        .withColumn("logp", F.col("logp") + F.coalesce("step_logp", F.lit(0.0)))
+        .withColumn("seq", F.when(moved, F.concat("seq", F.array("next"))).otherwise(F.col("seq")))
+    )
+
+
+def _next_tokens(transitions: DataFrame, keep: int, block_unk: bool) -> DataFrame:
+    """The pruned transitions, written once because every step reads them."""
+    pruned = materialize(prune_transitions(transitions, keep, block_unk), "next-tokens")
+    return broadcast_if_small(pruned, _most())
 
 
 def _beam_step(state: DataFrame, nexts: DataFrame, t: int, bw: int, factor: float) -> DataFrame:
     match = F.col("last") == F.col("prev")
     if t == 0:
         match = match & (F.col("next") != EOS)
-    grown = state.join(nexts, match, "left")
-    moved, ends = F.col("moved"), F.col("moved") & (F.col("next") == EOS)
-    # closed and stuck rows have no next token: they are carried along, outside the ranking
+    # one window per start, so the rows of a start stay where they are from step to step
+    order = Window.partitionBy("start").orderBy(
+        F.desc("moved"), _score(F.col("logp")).desc(), "seq"
+    )
     ranked = (
-        grown.withColumn("moved", F.col("next").isNotNull())
-        .withColumn("logp", F.col("logp") + F.coalesce("step_logp", F.lit(0.0)))
-        .withColumn(
-            "seq", F.when(moved, F.concat("seq", F.array("next"))).otherwise(F.col("seq"))
-        )
-        .withColumn(
-            "rank",
-            F.row_number().over(
-                Window.partitionBy("start", "moved").orderBy(_score(F.col("logp")).desc(), "seq")
-            ),
-        )
-        .where(~moved | (F.col("rank") <= bw))
+        _grown(state, nexts, match)
+        .withColumn("rank", F.row_number().over(order))
+        .where(~F.col("moved") | (F.col("rank") <= bw))
     )
+    ends = F.col("moved") & (F.col("next") == EOS)
     return ranked.select(
         "start",
-        F.when(moved & ~ends, F.col("next")).alias("last"),
+        F.when(F.col("moved") & ~ends, F.col("next")).otherwise(_not_open()).alias("last"),
         "seq",
         F.when(ends, F.col("logp") * F.lit(factor)).otherwise(F.col("logp")).alias("logp"),
         (F.col("done") | ends).alias("done"),
@@ -136,27 +161,24 @@ def greedy_path(
     key: str = "ex_id",
 ) -> DataFrame:
     """`key, start, seq, logp, done`: always the most likely next token, up to eos."""
-    nexts = _next_tokens(transitions, vocab_size, 1, block_unk)
-    state = (
-        starts.select("start")
-        .distinct()
-        .select(
-            "start",
-            F.col("start").alias("last"),
-            F.array().cast("array<int>").alias("seq"),
-            F.lit(0.0).alias("logp"),
-            F.lit(False).alias("done"),
-        )
-    )
-    for _ in range(max_len):
-        grown = state.join(nexts, F.col("last") == F.col("prev"), "left")
-        moved, ends = F.col("next").isNotNull(), F.col("next") == EOS
-        state = grown.select(
+    nexts = _next_tokens(transitions, 1, block_unk)
+    # ties within rounding noise go to the smaller token
+    best = Window.partitionBy("prev").orderBy(_score(F.col("step_logp")).desc(), "next")
+    one = nexts.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+    one = broadcast_if_small(materialize(one, "next-token"), _most())
+    state = _first_state(starts)
+    for t in range(max_len):
+        ends = F.col("moved") & (F.col("next") == EOS)
+        state = _grown(state, one, F.col("last") == F.col("prev")).select(
             "start",
-            F.when(moved & ~ends, F.col("next")).alias("last"),
-            F.when(moved, F.concat("seq", F.array("next"))).otherwise(F.col("seq")).alias("seq"),
-            (F.col("logp") + F.coalesce("step_logp", F.lit(0.0))).alias("logp"),
-            (F.col("done") | F.coalesce(ends, F.lit(False))).alias("done"),
+            F.when(F.col("moved") & ~ends, F.col("next")).otherwise(_not_open()).alias("last"),
+            "seq",
+            "logp",
+            (F.col("done") | ends).alias("done"),
         )
-    found = _bounded(state.drop("last"), vocab_size)
+        if t % WRITE_EVERY == WRITE_EVERY - 1 or t == max_len - 1:
+            state = materialize(state, "paths")
+            if state.where("last >= 0").isEmpty():
+                break
+    found = broadcast_if_small(state.drop("last"), _most())
     return starts.select(key, "start").join(found, "start")

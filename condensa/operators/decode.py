@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.functions.ids import EOS, PAD, RESERVED_WORDS, UNK
 from condensa.functions.text import as_column, bind
-from condensa.operators.lookup import MAX_INLINE_WORDS, id_table, with_reserved
-from condensa.operators.skew import attach_by_key
+from condensa.operators.lookup import attach_to_rows, id_table, way, with_reserved
+
+
+
+def _no_ids() -> Column:
+    return F.array().cast("array<int>")
 
 
 def _kept(ids: Column, remove_paddings: bool, remove_eos: bool) -> Column:
@@ -18,19 +24,19 @@ def _kept(ids: Column, remove_paddings: bool, remove_eos: bool) -> Column:
 def words_of(
     ids: Column | str,
     oov: Column | str,
-    words: Column,
+    word_of: Callable[[Column], Column],
     vocab_size: int,
     remove_paddings: bool = False,
     remove_eos: bool = False,
 ) -> Column:
-    """Word array of an id array: ids above `vocab_size` from `oov`, the others from `words`.
+    """Word array of an id array: ids above `vocab_size` from `oov`, the others by `word_of`.
 
-    `words` is a dense array by id; an id in neither place gives the unknown word.
+    An id in neither place gives the unknown word. Null ids have no words.
     """
-    kept = _kept(as_column(ids), remove_paddings, remove_eos)
+    kept = _kept(F.coalesce(as_column(ids), _no_ids()), remove_paddings, remove_eos)
 
     def word(dictionary: Column, i: Column) -> Column:
-        known = F.when(i > vocab_size, F.element_at(dictionary, i)).otherwise(F.get(words, i))
+        known = F.when(i > vocab_size, F.element_at(dictionary, i)).otherwise(word_of(i))
         return F.coalesce(known, F.lit(RESERVED_WORDS[UNK]))
 
     return bind(as_column(oov), lambda d: F.transform(kept, lambda i: word(d, i)))
@@ -45,59 +51,29 @@ def decode_words(
     remove_paddings: bool = False,
     remove_eos: bool = False,
     lookup: str = "auto",
+    keep: tuple[str, ...] = (),
+    separator: str = " ",
 ) -> DataFrame:
-    """`key` and one text per entry of `columns` (id column -> text column)."""
-    if lookup == "auto":
-        lookup = "inline" if vocab_size <= MAX_INLINE_WORDS else "join"
-    if lookup == "join":
-        return _decode_joined(
-            examples, vocab, vocab_size, columns, key, remove_paddings, remove_eos
+    """`key`, the columns `keep`, and one text per entry of `columns` (id column -> text column).
+
+    Null ids give an empty text, and rows of equal keys stay apart. `lookup` is as in encoding.
+    """
+    if way(lookup, vocab_size) == "inline":
+        known = examples.withColumn("_words", id_table(vocab, vocab_size))
+        word_of = lambda i: F.get(F.col("_words"), i)
+    else:
+        table = with_reserved(vocab).select(
+            F.col("id").cast("string").alias("key"), F.col("word").alias("value")
         )
-    table = id_table(vocab, vocab_size)
+        every = F.concat(*[F.coalesce(F.col(c), _no_ids()) for c in columns])
+        in_vocab = F.filter(every, lambda i: i <= vocab_size)
+        known = attach_to_rows(examples, F.transform(in_vocab, lambda i: i.cast("string")), table)
+        word_of = lambda i: F.element_at("_found", i.cast("string"))
     texts = [
         F.array_join(
-            words_of(ids, "oov", F.col("_words"), vocab_size, remove_paddings, remove_eos), " "
+            words_of(ids, "oov", word_of, vocab_size, remove_paddings, remove_eos),
+            separator,
         ).alias(text)
         for ids, text in columns.items()
     ]
-    return examples.withColumn("_words", table).select(key, *texts)
-
-
-def _decode_joined(
-    examples: DataFrame,
-    vocab: DataFrame,
-    vocab_size: int,
-    columns: dict[str, str],
-    key: str,
-    remove_paddings: bool,
-    remove_eos: bool,
-) -> DataFrame:
-    """For vocabularies too large to hand to every task. Only vocabulary ids are joined."""
-
-    def tagged(name: str) -> Column:
-        kept = _kept(F.col(name), remove_paddings, remove_eos)
-        return F.transform(
-            kept,
-            lambda i, pos: F.struct(
-                F.lit(name).alias("side"),
-                pos.alias("pos"),
-                i.alias("id"),
-                F.when(i > vocab_size, F.element_at("oov", i)).alias("oov_word"),
-            ),
-        )
-
-    rows = examples.select(
-        key, F.explode_outer(F.concat(*[tagged(c) for c in columns])).alias("t")
-    ).select(key, "t.*")
-    names = with_reserved(vocab).select(F.col("id").cast("string").alias("id"), "word")
-    in_vocab = rows.withColumn("id", F.when(F.col("oov_word").isNull(), F.col("id").cast("string")))
-    counts = in_vocab.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("weight"))
-    joined = attach_by_key(
-        in_vocab, names, "id", "word", spread_on=[key, "side", "pos"], heavy=counts
-    ).withColumn("word", F.coalesce("oov_word", "word", F.lit(RESERVED_WORDS[UNK])))
-
-    def text(name: str) -> Column:
-        units = F.collect_list(F.when(F.col("side") == name, F.struct("pos", "word")))
-        return F.array_join(F.transform(F.array_sort(units), lambda u: u["word"]), " ")
-
-    return joined.groupBy(key).agg(*[text(ids).alias(out) for ids, out in columns.items()])
+    return known.select(key, *keep, *texts)

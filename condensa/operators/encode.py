@@ -14,9 +14,7 @@ from condensa.functions.ids import (
     unknown_slots,
 )
 from condensa.functions.text import word_tokens
-from condensa.operators.lookup import MAX_INLINE_WORDS, lookup_id, word_table
-from condensa.operators.skew import attach_by_key
-from condensa.operators.vocab import word_counts
+from condensa.operators.lookup import attach_to_rows, lookup_id, way, word_table
 
 
 def encode_examples(
@@ -33,19 +31,37 @@ def encode_examples(
 
     Texts are cut to the first `tx` / `ty` tokens. Unknown source words get ids from
     `vocab_size + 1` in order of first appearance; a target word uses such an id only if the
-    source has it. `x` is padded, `y` is closed by eos and padded.
+    source has it. `x` is padded, `y` is closed by eos and padded. A null text counts as empty, and
+    rows of equal keys stay apart.
 
-    `lookup` is `inline` (no shuffle, vocabulary up to `MAX_INLINE_WORDS`), `join`, or `auto`.
+    `lookup` is `inline` (no shuffle, vocabulary up to `MAX_INLINE_WORDS`), `join`, or `auto`; the
+    result is the same.
     """
+
+    def tokens_of(text: str, width: int) -> Column:
+        return F.slice(word_tokens(F.coalesce(text, F.lit(""))), 1, width)
+
     tokens = pairs.select(
-        key,
-        F.slice(word_tokens("source"), 1, tx).alias("x_tokens"),
-        F.slice(word_tokens("target"), 1, ty).alias("y_tokens"),
+        key, tokens_of("source", tx).alias("x_tokens"), tokens_of("target", ty).alias("y_tokens")
     )
-    if lookup == "auto":
-        lookup = "inline" if vocab_size <= MAX_INLINE_WORDS else "join"
-    with_ids = {"inline": _ids_inline, "join": _ids_joined}[lookup](tokens, vocab, key)
-    return finish_examples(with_ids, vocab_size, tx, ty, max_oov, key, source_eos=False)
+    return encode_tokens(tokens, vocab, vocab_size, tx, ty, max_oov, key, lookup)
+
+
+def encode_tokens(
+    tokens: DataFrame,
+    vocab: DataFrame,
+    vocab_size: int,
+    tx: int,
+    ty: int,
+    max_oov: int,
+    key: str = "doc_id",
+    lookup: str = "auto",
+    source_eos: bool = False,
+) -> DataFrame:
+    """The same from `key, x_tokens, y_tokens`, arrays that are cut already."""
+    ids_of = {"inline": _ids_inline, "join": _ids_joined}[way(lookup, vocab_size)]
+    with_ids = ids_of(tokens, vocab, key)
+    return finish_examples(with_ids, vocab_size, tx, ty, max_oov, key, source_eos)
 
 
 def finish_examples(
@@ -57,7 +73,7 @@ def finish_examples(
     key: str = "doc_id",
     source_eos: bool = False,
 ) -> DataFrame:
-    """The steps shared by word and subword mode: slots, extended ids, closing, padding."""
+    """The steps shared by word and piece mode: slots, extended ids, closing, padding."""
     slots = unknown_slots(F.col("x_tokens"), F.col("x_ids"), max_oov)
     slotted = with_ids.withColumn("slots", slots)
     x = extended_ids(F.col("x_tokens"), F.col("x_ids"), F.col("slots"), vocab_size)
@@ -87,39 +103,15 @@ def _ids_inline(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
 
 
 def _ids_joined(tokens: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    def tagged(side: str) -> Column:
-        return F.transform(
-            F.col(f"{side}_tokens"),
-            lambda word, pos: F.struct(F.lit(side).alias("side"), pos.alias("pos"), word.alias("word")),
-        )
-
-    right = vocab.select("word", F.col("id").cast("int").alias("id"))
-    rows = tokens.select(key, F.explode_outer(F.concat(tagged("x"), tagged("y"))).alias("t"))
-    # a frequent word may be missing from the vocabulary: the texts tell which are frequent
-    counts = word_counts(tokens, F.concat("x_tokens", "y_tokens"))
-    joined = attach_by_key(
-        rows.select(key, "t.*"),
-        right,
-        "word",
-        "id",
-        spread_on=[key, "side", "pos"],
-        heavy=counts.select("word", F.col("n").alias("weight")),
-    )
-    unit = F.struct("pos", "word", F.coalesce("id", F.lit(UNK)).alias("id"))
-
-    def side(name: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("side") == name, unit)))
-
-    return (
-        joined.groupBy(key)
-        .agg(side("x").alias("xs"), side("y").alias("ys"))
-        .select(
-            key,
-            F.transform("xs", lambda t: t["word"]).alias("x_tokens"),
-            F.transform("ys", lambda t: t["word"]).alias("y_tokens"),
-            F.transform("xs", lambda t: t["id"]).alias("x_ids"),
-            F.transform("ys", lambda t: t["id"]).alias("y_ids"),
-        )
+    table = vocab.select(F.col("word").alias("key"), F.col("id").cast("int").alias("value"))
+    known = attach_to_rows(tokens, F.concat("x_tokens", "y_tokens"), table)
+
+    def ids(name: str) -> Column:
+        found = F.transform(name, lambda word: F.element_at("_found", word))
+        return F.transform(found, lambda i: F.coalesce(i, F.lit(UNK)))
+
+    return known.select(
+        key, "x_tokens", "y_tokens", ids("x_tokens").alias("x_ids"), ids("y_tokens").alias("y_ids")
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.functions.ids import PAD, collapse_unknown, count_in, masked_mean, real_ids
 from condensa.functions.text import bind, flatten_newlines, split_sentences, word_tokens
-from condensa.operators.lookup import dense_table, explode_words
-from condensa.operators.skew import attach_by_key
+from condensa.operators.lookup import attach_to_rows, dense_table, explode_words, way
+from condensa.operators.skew import attach_by_key, broadcast_if_small
 from condensa.session import materialize
 
 # Fixed value: the smallest probability the logarithm sees.
@@ -20,7 +22,7 @@ def copy_distribution(
     """`key, id, p`: the weights of equal source ids added up.
 
     Without a weights column every real position weighs `1 / length`. All positions of an
-    example lie in one row, so sums are complete before the shuffle.
+    example lie in one row, so they are added up there, without a shuffle.
     """
     if weights is None:
         real = bind(
@@ -30,12 +32,32 @@ def copy_distribution(
     else:
         pairs = F.arrays_zip(F.col(ids).alias("id"), F.col(weights).alias("w"))
         real = F.filter(pairs, lambda p: p["id"] != PAD)
-    return (
-        examples.select(key, F.explode_outer(real).alias("e"))
-        .where("e IS NOT NULL")
-        .groupBy(key, F.col("e.id").alias("id"))
-        .agg(F.sum("e.w").alias("p"))
-    )
+    rows = examples.select(key, F.explode_outer(_summed_runs(F.array_sort(real))).alias("e"))
+    return rows.where("e IS NOT NULL").select(key, "e.id", "e.p")
+
+
+def _summed_runs(sorted_pairs: Column) -> Column:
+    """`id, p` of an array of `id, w` sorted by id: the weights of equal neighbours added up."""
+
+    def total(pairs: Column, first: Column, after: Column) -> Column:
+        own = F.slice(pairs, first + 1, after - first)
+        return F.aggregate(own, F.lit(0.0), lambda acc, p: acc + p["w"].cast("double"))
+
+    def cut(a: Column) -> Column:
+        changed = lambda e, i: (i == 0) | (F.get(a, i - 1)["id"] != e["id"])
+        starts = F.array_compact(F.transform(a, lambda e, i: F.when(changed(e, i), i)))
+        return bind(
+            starts,
+            lambda s: F.transform(
+                s,
+                lambda i, k: F.struct(
+                    F.get(a, i)["id"].alias("id"),
+                    total(a, i, F.coalesce(F.get(s, k + 1), F.size(a))).alias("p"),
+                ),
+            ),
+        )
+
+    return bind(sorted_pairs, cut)
 
 
 def corpus_distribution(examples: DataFrame, vocab_size: int, ids: str = "y") -> DataFrame:
@@ -57,30 +79,39 @@ def token_probabilities(
     vocab_size: int,
     p_gen: float,
     key: str = "doc_id",
+    lookup: str = "auto",
 ) -> DataFrame:
     """`key, probs`: per real target position the corpus, copy and mixed probability.
 
     The mixture is `p_gen * corpus + (1 - p_gen) * copy`, read only at the target ids; the
-    corpus side is zero for extended ids.
+    corpus side is zero for extended ids. `lookup` is as in encoding: the corpus distribution is one
+    inline array, or, for a vocabulary too large for that, joined to the ids of each row.
     """
-    table = dense_table(corpus, "id", "p", vocab_size)
+    real = real_ids("y")
 
-    def per_position(source: Column) -> Column:
+    def per_position(source: Column, p_of: Callable[[Column], Column]) -> Column:
         def one(i: Column, pos: Column) -> Column:
-            p_corpus = F.coalesce(F.get(F.col("_corpus"), i), F.lit(0.0))
+            p_corpus = F.coalesce(p_of(i), F.lit(0.0))
             p_copy = F.when(F.size(source) > 0, count_in(source, i) / F.size(source)).otherwise(0.0)
             return F.struct(
                 pos.alias("pos"), i.alias("id"), p_corpus.alias("p_corpus"), p_copy.alias("p_copy")
             )
 
-        return F.transform(real_ids("y"), one)
+        return F.transform(real, one)
 
     def mix(e: Column) -> Column:
         mixed = F.lit(p_gen) * e["p_corpus"] + F.lit(1.0 - p_gen) * e["p_copy"]
         return e.withField("p_final", mixed)
 
-    return examples.withColumn("_corpus", table).select(
-        key, F.transform(bind(real_ids("x"), per_position), mix).alias("probs")
+    if way(lookup, vocab_size) == "inline":
+        known = examples.withColumn("_corpus", dense_table(corpus, "id", "p", vocab_size))
+        p_of = lambda i: F.get(F.col("_corpus"), i)
+    else:
+        found = corpus.select(F.col("id").cast("string").alias("key"), F.col("p").alias("value"))
+        known = attach_to_rows(examples, F.transform(real, lambda i: i.cast("string")), found)
+        p_of = lambda i: F.element_at("_found", i.cast("string"))
+    return known.select(
+        key, F.transform(bind(real_ids("x"), lambda x: per_position(x, p_of)), mix).alias("probs")
     )
 
 
@@ -90,9 +121,10 @@ def mixture_nll(
     vocab_size: int,
     p_gen: float,
     key: str = "doc_id",
+    lookup: str = "auto",
 ) -> DataFrame:
     """`key, nll`: mean negative log probability of the real target positions."""
-    probs = token_probabilities(examples, corpus, vocab_size, p_gen, key)
+    probs = token_probabilities(examples, corpus, vocab_size, p_gen, key, lookup)
     losses = F.transform("probs", lambda e: -F.ln(F.greatest(e["p_final"], F.lit(MIN_PROBABILITY))))
     mask = F.transform("probs", lambda e: F.lit(True))
     return probs.select(key, masked_mean(losses, mask).alias("nll"))
@@ -107,23 +139,47 @@ def coverage_repetition(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """`key, penalty`: how much each sentence repeats the words of the earlier ones.
 
     Sentence = step, weight = share of a word in its sentence; the penalty adds up
-    `least(weight, sum of the word's earlier weights)`. One shuffle, of the texts by key.
+    `least(weight, sum of the word's earlier weights)`. The words of a document are sorted by word and
+    step, and one fold over them carries the word's weights so far: no shuffle.
     """
-    steps = docs.select(key, "text").repartition(key).select(
-        key, F.posexplode_outer(split_sentences(flatten_newlines("text"))).alias("step", "sentence")
-    )
-    words = steps.select(key, "step", word_tokens("sentence").alias("tokens")).select(
-        key, "step", F.size("tokens").alias("size"), F.explode_outer("tokens").alias("word")
-    )
-    shares = words.groupBy(key, "step", "size", "word").agg(
-        F.when(F.col("size") > 0, F.count("word") / F.col("size")).alias("share")
-    )
-    earlier = (
-        Window.partitionBy(key, "word").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = split_sentences(flatten_newlines("text"))
+
+    def weighted(sentence: Column, step: Column) -> Column:
+        return bind(
+            word_tokens(sentence),
+            lambda ws: F.transform(
+                ws,
+                lambda word: F.struct(
+                    word.alias("word"), step.alias("step"), (1.0 / F.size(ws)).alias("w")
+                ),
+            ),
+        )
+
+    words = F.array_sort(F.flatten(F.transform(pieces, weighted)))
+    start = F.struct(
+        F.lit("").alias("word"),
+        F.lit(-1).alias("step"),
+        F.lit(0.0).alias("before"),  # the word's weights in earlier steps
+        F.lit(0.0).alias("own"),  # and in this one
+        F.lit(0.0).alias("penalty"),
     )
-    seen = shares.withColumn("coverage", F.coalesce(F.sum("share").over(earlier), F.lit(0.0)))
-    repeated = F.when(F.col("word").isNotNull(), F.least("share", "coverage")).otherwise(0.0)
-    return seen.groupBy(key).agg(F.sum(repeated).alias("penalty"))
+
+    def closed(s: Column) -> Column:
+        return s["penalty"] + F.least(s["own"], s["before"])
+
+    def add(s: Column, t: Column) -> Column:
+        same_word = s["word"] == t["word"]
+        same = same_word & (s["step"] == t["step"])
+        earlier = F.when(same_word, s["before"] + s["own"]).otherwise(F.lit(0.0))
+        return F.struct(
+            t["word"].alias("word"),
+            t["step"].alias("step"),
+            F.when(same, s["before"]).otherwise(earlier).alias("before"),
+            F.when(same, s["own"] + t["w"]).otherwise(t["w"]).alias("own"),
+            F.when(same, s["penalty"]).otherwise(closed(s)).alias("penalty"),
+        )
+
+    return docs.select(key, F.aggregate(words, start, add, closed).alias("penalty"))
 
 
 def bigram_counts(df: DataFrame, tokens: Column, first: Column, last: Column) -> DataFrame:
@@ -144,14 +200,14 @@ def bigram_counts(df: DataFrame, tokens: Column, first: Column, last: Column) ->
 def bigram_transitions(counts: DataFrame, bounded: bool = False) -> DataFrame:
     """`prev, next, n, logp`: log share of each next token after its previous token.
 
-    `bounded` says that `prev` is a vocabulary id, so its totals are a small table. For words
-    the totals are joined with the frequent ones split off. The counts are read for the
+    `bounded` says that `prev` is a vocabulary id: its totals are broadcast if they are counted and
+    found few. For words the totals are joined with the frequent ones split off. The counts are read for the
     totals and for the join; they are written once, so the texts are counted once.
     """
     counts = materialize(counts, "bigrams")
     totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
     if bounded:
-        joined = counts.join(F.broadcast(totals), "prev")
+        joined = counts.join(broadcast_if_small(totals), "prev")
     else:
-        joined = attach_by_key(counts, totals, "prev", "total", ["prev", "next"])
+        joined = attach_by_key(counts, totals, "prev", "total")
     return joined.select("prev", "next", "n", F.ln(F.col("n") / F.col("total")).alias("logp"))

@@ -3,7 +3,8 @@
 Up to `MAX_INLINE_WORDS` words the vocabulary is one row that every task receives: a hash
 table (an array of small maps) for word -> id, a dense array for id -> word. Lookups then
 happen inside a projection, and encoding or decoding a corpus needs no shuffle at all. The
-row count is checked while the table is built. Larger vocabularies are joined.
+row count is checked while the table is built. For larger vocabularies the keys that a row needs are
+joined and come back to the row as a map (`attach_to_rows`); what is computed from them is the same.
 """
 
 from __future__ import annotations
@@ -11,11 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.functions.ids import RESERVED_WORDS, UNK
+from condensa.operators.skew import attach_by_key
+from condensa.session import materialize
 
 MAX_INLINE_WORDS = 200_000
 BUCKETS = 1 << 14
 
 
+def way(lookup: str, vocab_size: int) -> str:
+    """`inline` or `join`, as asked for, or `auto` by the size of the vocabulary."""
+    if lookup not in ("auto", "inline", "join"):
+        raise ValueError("lookup is 'auto', 'inline' or 'join'")
+    if lookup != "auto":
+        return lookup
+    return "inline" if vocab_size <= MAX_INLINE_WORDS else "join"
+
+
 def explode_words(df: DataFrame, words: Column, *keep: str) -> DataFrame:
     """One row per array element, as column `word`.
 
@@ -80,3 +92,23 @@ def with_reserved(vocab: DataFrame) -> DataFrame:
         list(enumerate(RESERVED_WORDS)), "id int, word string"
     )
     return vocab.select("id", "word").unionByName(reserved)
+
+
+def attach_to_rows(df: DataFrame, keys: Column, table: DataFrame) -> DataFrame:
+    """`df` with a map `_found` of the row's `keys` (strings) that `table` (`key, value`) has.
+
+    Rows are numbered and written first, so rows that are equal in everything stay apart. One (row,
+    distinct key) meets the table, with the frequent keys settled without a shuffle
+    (`skew.attach_by_key`), and what was found returns to the row by its number.
+    """
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    wanted = rows.select("_row", F.explode_outer(F.array_distinct(keys)).alias("key"))
+    wanted = materialize(wanted.where("key IS NOT NULL"), "row-keys")
+    heavy = wanted.groupBy("key").agg(F.count("*").alias("weight"))
+    met = attach_by_key(wanted, table, "key", "value", heavy).where("value IS NOT NULL")
+    found = met.groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_found")
+    )
+    kind = f"map<string,{table.schema['value'].dataType.simpleString()}>"
+    nothing = F.map_from_arrays(F.array().cast("array<string>"), F.array()).cast(kind)
+    return rows.join(found, "_row", "left").withColumn("_found", F.coalesce("_found", nothing)).drop("_row")

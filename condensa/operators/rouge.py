@@ -1,12 +1,15 @@
-"""ROUGE-1, ROUGE-2 and ROUGE-L of (prediction, reference) pairs."""
+"""ROUGE-1, ROUGE-2 and ROUGE-L of (prediction, reference) pairs.
+
+Every measure is array expressions over one row: no shuffle, and rows of equal keys stay apart. A null
+side counts as empty.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import IntegerType
 
 from condensa.functions.ids import EOS, ngrams, until_eos
+from condensa.functions.text import bind
 
 MEASURES = ("r", "p", "f")
 
@@ -19,70 +22,179 @@ def scores(overlap: Column, pred_size: Column, ref_size: Column) -> list[Column]
     return [recall.alias("r"), precision.alias("p"), f.alias("f")]
 
 
+def _or_empty(side: str, like: str = "array<string>") -> Column:
+    return F.coalesce(F.col(side), F.array().cast(like))
+
+
+def _runs(grams: Column) -> Column:
+    """Distinct elements with their counts, from the bounds of equal neighbours in sorted order."""
+
+    def cut(a: Column) -> Column:
+        places = F.transform(a, lambda g, i: F.when((i == 0) | (F.get(a, i - 1) != g), i))
+        starts = F.array_compact(places)
+        return bind(
+            starts,
+            lambda s: F.transform(
+                s,
+                lambda i, k: F.struct(
+                    F.get(a, i).alias("gram"),
+                    (F.coalesce(F.get(s, k + 1), F.size(a)) - i).alias("n"),
+                ),
+            ),
+        )
+
+    return bind(F.array_sort(grams), cut)
+
+
+def clipped_overlap(pred: Column, ref: Column) -> Column:
+    """How many elements both sides have, each as often as both do."""
+
+    def neighbours(a: Column) -> Column:
+        shared = F.transform(
+            a,
+            lambda g, i: bind(
+                F.get(a, i + 1),
+                lambda n: F.when(n["gram"] == g["gram"], F.least(n["n"], g["n"])).otherwise(0),
+            ),
+        )
+        return F.aggregate(shared, F.lit(0), lambda total, n: total + F.coalesce(n, F.lit(0)))
+
+    return bind(F.array_sort(F.concat(_runs(pred), _runs(ref))), neighbours)
+
+
+def _n_measures(n: int, counting: str = "clipped") -> list[Column]:
+    """Overlap and sizes of the n-grams of the columns `pred` and `ref`."""
+    if counting not in ("clipped", "set"):
+        raise ValueError("counting is 'clipped' or 'set'")
+
+    def measured(pair: Column) -> Column:
+        pred, ref = pair["pred"], pair["ref"]
+        if counting == "set":
+            overlap = F.size(F.array_intersect(pred, ref))
+        else:
+            overlap = clipped_overlap(pred, ref)
+        return F.struct(overlap.alias("o"), F.size(pred).alias("p"), F.size(ref).alias("r"))
+
+    sides = [ngrams(_or_empty(side), n) for side in ("pred", "ref")]
+    if counting == "set":
+        sides = [F.array_distinct(side) for side in sides]
+    both = bind(F.struct(sides[0].alias("pred"), sides[1].alias("ref")), measured)
+    return [both["o"], both["p"], both["r"]]
+
+
 def rouge_n(
     pairs: DataFrame, n: int, key: str = "doc_id", counting: str = "clipped"
 ) -> DataFrame:
     """`key, r, p, f` from token arrays `pred` and `ref`.
 
     `clipped` counts a shared n-gram as often as both sides have it, `set` once.
-    The pairs are shuffled once, by key, before their n-grams are unfolded; both
-    aggregations then run inside the tasks.
     """
-    if counting not in ("clipped", "set"):
-        raise ValueError("counting is 'clipped' or 'set'")
+    return _scored(pairs, key, _n_measures(n, counting))
 
-    def grams(side: str, in_pred: int) -> Column:
-        found = ngrams(side, n)
-        found = F.array_distinct(found) if counting == "set" else found
-        return F.transform(found, lambda g: F.struct(g.alias("gram"), F.lit(in_pred).alias("side")))
-
-    both = F.concat(grams("pred", 1), grams("ref", 0))
-    per_gram = (
-        pairs.select(key, "pred", "ref")
-        .repartition(key)
-        .select(key, F.explode_outer(both).alias("g"))
-        .groupBy(key, "g.gram")
-        .agg(F.sum("g.side").alias("in_pred"), F.sum(1 - F.col("g.side")).alias("in_ref"))
-    )
-    sizes = per_gram.groupBy(key).agg(
-        F.sum(F.least("in_pred", "in_ref")).alias("overlap"),
-        F.sum("in_pred").alias("pred_size"),
-        F.sum("in_ref").alias("ref_size"),
-    )
-    return sizes.select(key, *scores(F.col("overlap"), F.col("pred_size"), F.col("ref_size")))
 
+def _scored(pairs: DataFrame, key: str, measures: list[Column]) -> DataFrame:
+    # explode of one element computes the measures once, however often the scores use them
+    one = F.struct(*[m.alias(n) for m, n in zip(measures, ("o", "ps", "rs"))])
+    sized = pairs.select(key, F.explode(F.array(one)).alias("m"))
+    return sized.select(key, *scores(F.col("m.o"), F.col("m.ps"), F.col("m.rs")))
 
-def _lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one bit per element of `a` (Hyyro 2004)."""
-    places: dict = {}
-    for i, token in enumerate(a):
-        places[token] = places.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
-        hit = row & places.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
 
+def _not_below(rising: Column, value: Column) -> Column:
+    """The first place of a rising array whose element is not below `value` (its size if none is)."""
 
-@F.pandas_udf(IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(rising, middle) < value
+        waiting = s["low"] < s["high"]
+        return F.struct(
+            F.when(waiting & below, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when(waiting & ~below, middle).otherwise(s["high"]).alias("high"),
+        )
 
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(rising) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("low"), F.size(rising).alias("high"))
+    return F.aggregate(steps, start, halve, lambda s: s["low"])
 
-def rouge_l(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`key, r, p, f` of the longest common subsequence of arrays `pred` and `ref`.
 
-    Works row by row without a shuffle. Whole arrays are compared; the helper needs
-    `len(pred) * len(ref) / 64` steps.
+def lcs_length(pred: Column, ref: Column) -> Column:
+    """Length of the longest common subsequence of two arrays.
+
+    The places in `ref` of each element of `pred`, from right to left, follow one another; the longest
+    rising run of that sequence is what both have in order. The state holds, for each length, the
+    smallest place that a run of that length ends with.
     """
-    sized = pairs.select(
+
+    def place(tails: Column, at: Column) -> Column:
+        return bind(
+            _not_below(tails, at),
+            lambda k: F.when(F.get(tails, k) == at, tails).otherwise(
+                F.concat(F.slice(tails, 1, k), F.array(at), F.slice(tails, k + 2, F.size(tails) + 1))
+            ),
+        )
+
+    def of_pair(pair: Column) -> Column:
+        shared = F.array_intersect(pair["pred"], pair["ref"])
+        numbered = F.transform(pair["ref"], lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+        places = F.reverse(F.filter(numbered, lambda n: F.array_contains(shared, n["t"])))
+
+        def step(tails: Column, token: Column, found: Column) -> Column:
+            own = F.transform(F.filter(found, lambda n: n["t"] == token), lambda n: n["i"])
+            return F.aggregate(own, tails, place)
+
+        return bind(
+            places,
+            lambda found: F.size(
+                F.aggregate(
+                    F.filter(pair["pred"], lambda t: F.array_contains(shared, t)),
+                    F.array().cast("array<int>"),
+                    lambda tails, token: step(tails, token, found),
+                )
+            ),
+        )
+
+    return bind(F.struct(pred.alias("pred"), ref.alias("ref")), of_pair)
+
+
+def _l_measures(like: str = "array<string>") -> list[Column]:
+    pred, ref = _or_empty("pred", like), _or_empty("ref", like)
+    return [lcs_length(pred, ref), F.size(pred), F.size(ref)]
+
+
+def rouge_l(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`key, r, p, f` of the longest common subsequence of arrays `pred` and `ref`."""
+    return _scored(pairs, key, _l_measures(pairs.schema["pred"].dataType.simpleString()))
+
+
+METRICS = ("rouge-1", "rouge-2", "rouge-l")
+
+
+def all_scores(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`key` and a struct `r, p, f` per metric, all from one pass over the pairs."""
+    measures = {"rouge-1": _n_measures(1), "rouge-2": _n_measures(2), "rouge-l": _l_measures()}
+    sized = [
+        F.struct(*[m.alias(n) for m, n in zip(ms, ("o", "ps", "rs"))]).alias(metric)
+        for metric, ms in measures.items()
+    ]
+    one = pairs.select(key, F.explode(F.array(F.struct(*sized))).alias("m"))
+    return one.select(
         key,
-        lcs_length("pred", "ref").alias("overlap"),
-        F.size("pred").alias("pred_size"),
-        F.size("ref").alias("ref_size"),
+        *[
+            F.struct(*scores(*[F.col(f"m.`{x}`.{n}") for n in ("o", "ps", "rs")])).alias(x)
+            for x in METRICS
+        ],
+    )
+
+
+def averages(scored: DataFrame) -> DataFrame:
+    """`metric, r, p, f`: the means of `all_scores`, one aggregation for all metrics."""
+    means = scored.agg(
+        *[F.avg(f"`{x}`.{m}").alias(f"{x}:{m}") for x in METRICS for m in MEASURES]
     )
-    return sized.select(key, *scores(F.col("overlap"), F.col("pred_size"), F.col("ref_size")))
+    rows = [
+        F.struct(F.lit(x).alias("metric"), *[F.col(f"`{x}:{m}`").alias(m) for m in MEASURES])
+        for x in METRICS
+    ]
+    return means.select(F.inline(F.array(*rows)))
 
 
 def rouge_l_ids(pairs: DataFrame, key: str = "doc_id", eos: int = EOS) -> DataFrame:

@@ -1,59 +1,52 @@
 """Ordered positions, batches, head cuts and repeatable samples.
 
-Positions follow a numeric key that is unique per row. The key range is cut into about
-equal parts by approximate quantiles, which reach the plan as constants; positions inside a
-part come from a window per part, and parts are offset by their counts. No step sorts or
-counts the whole data in one task.
+Positions follow any orderable columns that are unique per row. Rows are dealt to ranges, the ranges
+are counted, and a row's position is the rows of the ranges before it plus its place in its own. No
+step sorts or counts the whole data in one task, at any size.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SMALL_RANGE = 100_000
-NARROWING_PARTS = 1000
-MOST_PARTS = 4000
+from condensa.session import materialize
 
+#: Rows that a range holds on average, at most.
+RANGE_ROWS = 500_000
 
-def _splits(df: DataFrame, key: str, parts: int) -> list[float]:
-    """Inner borders of about equal parts of the key range."""
-    steps = [i / parts for i in range(1, parts)]
-    return sorted(set(df.approxQuantile(key, steps, 1 / (4 * parts))))
 
+def ranges(df: DataFrame) -> int:
+    """Ranges for the rows of `df`: as many as shuffles have, and more when rows are many."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, usual, math.ceil(df.count() / RANGE_ROWS))
 
-def _parts(df: DataFrame, key: str, inner: list[float]) -> DataFrame:
-    """`df` with column `_part`, increasing with the key."""
-    if not inner:
-        return df.withColumn("_part", F.lit(0))
-    splits = [-math.inf, *inner, math.inf]
-    cut = Bucketizer(splits=splits, inputCol=key, outputCol="_part").transform(df)
-    return cut.withColumn("_part", F.col("_part").cast("int"))
-
-
-def _default_parts(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(2, wanted), MOST_PARTS)
 
+def ordered_index(
+    df: DataFrame, *order: str | Column, name: str = "idx", parts: int | None = None
+) -> DataFrame:
+    """`df` with the 0-based position of every row in the given order.
 
-def ordered_index(df: DataFrame, key: str, name: str = "idx", parts: int | None = None) -> DataFrame:
-    """`df` with the 0-based position of every row in key order."""
-    cut = _parts(df, key, _splits(df, key, parts or _default_parts(df)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per part: the window without partitions sees no more than that
+    The dealt rows are written to the shared folder: the borders of the ranges come from a sample, and
+    counts and places have to see the same ones.
+    """
+    part, row, offset = "_part", "_row", "_offset"
+    dealt = df.repartitionByRange(parts or ranges(df), *order)
+    cut = materialize(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range: the window without partitions sees no more than that
     offsets = (
-        cut.groupBy("_part")
+        cut.groupBy(part)
         .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(offset))
     )
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
     return (
-        cut.withColumn("_row", inside)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_row") - 1)
-        .drop("_part", "_row", "_offset")
+        cut.withColumn(row, inside)
+        .join(F.broadcast(offsets), part)
+        .withColumn(name, (F.col(offset) + F.col(row) - 1).cast("long"))
+        .drop(part, row, offset)
     )
 
 
@@ -67,24 +60,10 @@ def batches(df: DataFrame, key: str, batch_size: int) -> DataFrame:
     )
 
 
-def kth_key(df: DataFrame, key: str, k: int) -> float | int | None:
-    """The k-th smallest key (from 1), exactly; only counts and one key reach the driver.
-
-    The range that holds it is narrowed until it is small, then sorted.
-    """
-    keys = df.select(key)
-    while keys.count() > SMALL_RANGE:
-        borders = [-math.inf, *_splits(keys, key, NARROWING_PARTS), math.inf]
-        counts = sorted(_parts(keys, key, borders[1:-1]).groupBy("_part").count().collect())
-        if len(counts) == 1:
-            break
-        for part, n in counts:
-            if k <= n:
-                break
-            k -= n
-        place = F.col(key).cast("double")
-        keys = keys.where((place >= borders[part]) & (place < borders[part + 1]))
-    return keys.orderBy(key).limit(k).agg(F.max(key)).first()[0]
+def kth_key(df: DataFrame, key: str, k: int):
+    """The k-th smallest key (from 1), exactly; only that key reaches the driver."""
+    found = ordered_index(df.select(key), key).where(F.col("idx") == k - 1).first()
+    return found[key] if found else None
 
 
 def head_rows(df: DataFrame, key: str, n: int) -> DataFrame:

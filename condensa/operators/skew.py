@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from condensa.operators.sample import ordered_index
 from condensa.session import materialize
 
 HEAD_ROWS = 50_000
+#: Rows that a table may have to be broadcast; they are counted first.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, to be broadcast if it has at most `most` rows; else a join shuffles it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def heaviest(rows: DataFrame, weight: str, key: str, k: int) -> DataFrame:
-    """The `k` rows of largest `weight`, ties by `key`; `rows` is a written table.
+    """The `k` rows of largest `weight`, ties by `key`, with their place `idx`.
 
-    A plain top-k sends `k` rows of every partition to one task. Here the weight that the
-    k-th row has comes first, from one row per distinct weight, so that hardly more than `k`
-    rows are left to sort.
+    A plain top-k sends `k` rows of every partition to one task. Here the rows are dealt by range of
+    weight and key, so a range, however many ties there are, is all that a task sorts.
     """
-    per_weight = rows.groupBy(weight).agg(F.count("*").alias("_rows"))
-    above = Window.orderBy(F.desc(weight)).rowsBetween(Window.unboundedPreceding, -1)
-    reached = per_weight.withColumn("_above", F.coalesce(F.sum("_rows").over(above), F.lit(0)))
-    least = reached.where(F.col("_above") < k).agg(F.min(weight)).scalar()
-    return rows.where(F.col(weight) >= least).orderBy(F.desc(weight), key).limit(k)
+    return ordered_index(rows, F.desc(weight), F.col(key)).where(F.col("idx") < k)
 
 
 def attach_by_key(
@@ -28,7 +31,6 @@ def attach_by_key(
     right: DataFrame,
     key: str,
     value: str,
-    spread_on: list[str],
     heavy: DataFrame | None = None,
     head_rows: int = HEAD_ROWS,
 ) -> DataFrame:
@@ -36,27 +38,23 @@ def attach_by_key(
 
     `heavy` (`key, weight`) says how often the keys occur in `left`; without it the value
     itself does, as for counts. The `head_rows` heaviest keys are broadcast, which bounds the
-    broadcast, whether `right` has them or not. Their rows and those without a key go on under
-    a key of their own (`spread_on`), so the shuffle join that serves all other keys meets
-    no frequent one: each has at most `rows / head_rows` rows. `right` is read for both joins
-    and is written to the shared folder first.
+    broadcast, whether `right` has them or not. Their rows, and those without a key, are settled
+    there and stay where they are; only the others are shuffled, and no key among them is frequent.
+    `right` and the shuffled rows are written to the shared folder. `left` is read twice: pass a written table, or one that
+    ends in a shuffle, which both readings share.
     """
     right = materialize(right.select(key, value), "by-key")
     if heavy is None:
-        head = heaviest(right, value, key, head_rows)
+        head = heaviest(right, value, key, head_rows).select(key, value)
     else:
-        heavy = materialize(heavy.select(key, "weight"), "key-weights")
-        top = heaviest(heavy, "weight", key, head_rows).select(key)
+        top = heaviest(heavy.select(key, "weight"), "weight", key, head_rows).select(key)
+        top = materialize(top, "frequent-keys")
         found = right.join(F.broadcast(top), key, "left_semi")
         head = top.join(found, key, "left")
-    head = head.select(key, F.col(value).alias("_head_value"), F.lit(True).alias("_settled"))
-    tail = right.select(F.col(key).alias("_rare"), F.col(value).alias("_tail_value"))
-    own_key = F.concat_ws("\u0000", F.lit(""), *[F.col(c).cast("string") for c in spread_on])
-    open_key = F.col("_settled").isNull() & F.col(key).isNotNull()
-    return (
-        left.join(F.broadcast(head), key, "left")
-        .withColumn("_rare", F.when(open_key, F.col(key)).otherwise(own_key))
-        .join(tail, "_rare", "left")
-        .withColumn(value, F.coalesce("_head_value", "_tail_value"))
-        .drop("_head_value", "_tail_value", "_rare", "_settled")
-    )
+    head = materialize(head.withColumn("_settled", F.lit(True)), "head-keys")
+    met = left.join(F.broadcast(head), key, "left")
+    is_open = F.col("_settled").isNull() & F.col(key).isNotNull()
+    settled = met.where(~is_open).drop("_settled")
+    waiting = met.where(is_open).drop("_settled", value)
+    rest = waiting.join(right, key, "left").select(*settled.columns)
+    return settled.unionByName(materialize(rest, "rare-keys"))

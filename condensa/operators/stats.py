@@ -90,9 +90,10 @@ def distribution_report(counts: DataFrame, cutoff: int | None = None) -> DataFra
 
 
 def histogram(counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """`bin, low, high, n, shown`: equal-width bins, the last one closed on the right.
+    """`bin, low, high, n, shown`: `bins` equal-width bins, the last one closed on the right.
 
-    `shown` marks the bins that start within `q3 + 2.5 * (q3 - q1)`. Empty bins have no row.
+    `shown` marks the bins that start within `q3 + 2.5 * (q3 - q1)`. Empty bins have `n` = 0; values
+    that are all equal lie in the first bin, and without values there are no bins.
     """
     width = (F.col("max_value") - F.col("min_value")) / F.lit(float(bins))
     place = F.when(
@@ -101,15 +102,19 @@ def histogram(counts: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     ).otherwise(0)
     axis_end = F.col("q3") + F.lit(AXIS_FACTOR) * (F.col("q3") - F.col("q1"))
     low = F.col("min_value") + F.col("bin") * F.col("width")
-    return (
-        _with_summary(counts)
-        .withColumn("width", width)
-        .withColumn("bin", place.cast("int"))
-        .groupBy("bin", "min_value", "width", axis_end.alias("axis_end"))
-        .agg(F.sum("n").alias("n"))
-        .select("bin", low.alias("low"), (low + F.col("width")).alias("high"), "n", "axis_end")
-        .withColumn("shown", F.col("low") <= F.col("axis_end"))
-        .drop("axis_end")
+    filled = (
+        _with_summary(counts).groupBy(place.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+    )
+    summary = five_numbers(counts).where("total > 0").select(
+        "min_value", width.alias("width"), axis_end.alias("axis_end")
+    )
+    every = summary.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(filled, "bin", "left").select(
+        "bin",
+        low.alias("low"),
+        (low + F.col("width")).alias("high"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+        (low <= F.col("axis_end")).alias("shown"),
     )
 
 

@@ -1,100 +1,59 @@
-"""Subword mode: encode with a given SentencePiece model, merge fragmented words, decode.
+"""Piece mode: texts given as arrays of pieces, as a subword model cuts them.
 
-The model is the only thing that needs Python on the executors. It is broadcast as bytes
-and applied to Arrow batches of whole texts; slots, ids, merging and decoding are native.
+Which model cuts them is the caller's choice: these are column functions and joins over piece arrays,
+with a vocabulary table of pieces. A piece that starts a word begins with `SPACE_PIECE`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from condensa.functions.ids import EOS, PAD, SOS
+from condensa.functions.text import as_column
+from condensa.operators.decode import decode_words
+from condensa.operators.encode import encode_tokens
 
-from condensa.functions.ids import EOS, PAD, SOS, UNK
-from condensa.functions.text import bind, clean_chars, plain_tokens
-from condensa.operators.encode import finish_examples
-from condensa.operators.lookup import dense_table, lookup_id, word_table
+# Fixed value: the piece that stands for a space.
+SPACE_PIECE = "\u2581"
 
-# The piece that stands for a space, and how an unknown piece decodes.
-SPACE_PIECE = "▁"
-UNKNOWN_TEXT = " ⁇ "
 
+def cut_pieces(text: Column | str, chars: int) -> Column:
+    """Pieces of at most `chars` characters of each word; the first one has the space before it.
 
-def load_processor(model: bytes):
-    import sentencepiece as spm
-
-    return spm.SentencePieceProcessor(model_proto=model)
-
-
-def check_model(model: bytes) -> None:
-    """The model must use the reserved ids."""
-    sp = load_processor(model)
-    found = (sp.pad_id(), sp.bos_id(), sp.eos_id(), sp.unk_id())
-    if found != (PAD, SOS, EOS, UNK):
-        raise ValueError(f"pad, sos, eos, unk must have the ids 0, 1, 2, 3, not {found}")
-
-
-def model_pieces(spark: SparkSession, model: bytes) -> DataFrame:
-    """`word, id` of the pieces of the model; its size is fixed by the model file."""
-    sp = load_processor(model)
-    rows = [(sp.id_to_piece(i), i) for i in range(sp.get_piece_size())]
-    return spark.createDataFrame(rows, "word string, id int")
-
-
-def pieces_of(spark: SparkSession, model: bytes):
-    """A column function `string -> array<string>` of pieces."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("array<string>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sp = load_processor(shared.value)
-        for texts in batches:
-            yield pd.Series(sp.encode(texts.tolist(), out_type=str, num_threads=1))
-
-    return pieces
-
-
-def word_pieces_of(spark: SparkSession, model: bytes):
-    """A column function `array<string> -> array<array<string>>`: the pieces of each word."""
-    shared = spark.sparkContext.broadcast(model)
+    The simplest cut that gives pieces, for texts that no model has cut.
+    """
+    words = F.split(F.trim(F.regexp_replace(as_column(text), " +", " ")), " ")
 
-    @F.pandas_udf("array<array<string>>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sp = load_processor(shared.value)
-        for words in batches:
-            distinct = list(set().union(*words))
-            known = dict(zip(distinct, sp.encode(distinct, out_type=str, num_threads=1)))
-            yield pd.Series([[known[w] for w in row] for row in words])
+    def cut(word: Column) -> Column:
+        parts = F.regexp_extract_all(word, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+        return F.transform(
+            parts, lambda p, i: F.when(i == 0, F.concat(F.lit(SPACE_PIECE), p)).otherwise(p)
+        )
 
-    return pieces
+    return F.flatten(F.transform(F.filter(words, lambda w: w != ""), cut))
 
 
-def encode_subwords(
+def encode_pieces(
     pairs: DataFrame,
-    model: bytes,
+    vocab: DataFrame,
     vocab_size: int,
     tx: int,
     ty: int,
     max_oov: int,
     key: str = "doc_id",
+    lookup: str = "auto",
 ) -> DataFrame:
-    """`key, x, y, oov_cnt, oov` in subword mode: as in word mode, but `x` also ends in eos."""
-    check_model(model)
-    spark = pairs.sparkSession
-    pieces = pieces_of(spark, model)
-    table = word_table(model_pieces(spark, model))
-    cut = pairs.select(
-        key, pieces(clean_chars("source")).alias("xp"), pieces(clean_chars("target")).alias("yp")
-    ).select(key, F.slice("xp", 1, tx).alias("x_tokens"), F.slice("yp", 1, ty).alias("y_tokens"))
-    with_ids = cut.withColumn("_words", table).select(
-        key,
-        "x_tokens",
-        "y_tokens",
-        F.transform("x_tokens", lambda p: lookup_id(F.col("_words"), p)).alias("x_ids"),
-        F.transform("y_tokens", lambda p: lookup_id(F.col("_words"), p)).alias("y_ids"),
+    """`key, x, y, oov_cnt, oov` from piece arrays: as in word mode, but `x` also ends in eos."""
+
+    def first(pieces: str, width: int) -> Column:
+        return F.slice(F.coalesce(pieces, F.array().cast("array<string>")), 1, width)
+
+    tokens = pairs.select(
+        key, first("source", tx).alias("x_tokens"), first("target", ty).alias("y_tokens")
+    )
+    return encode_tokens(
+        tokens, vocab, vocab_size, tx, ty, max_oov, key, lookup, source_eos=True
     )
-    return finish_examples(with_ids, vocab_size, tx, ty, max_oov, key, source_eos=True)
 
 
 def merge_fragments(pieces: Column, max_len: int) -> Column:
@@ -103,46 +62,24 @@ def merge_fragments(pieces: Column, max_len: int) -> Column:
     return F.when(counted >= max_len, F.array(F.array_join(pieces, ""))).otherwise(pieces)
 
 
-def merge_pieces(
-    docs: DataFrame, model: bytes, max_len: int, key: str = "doc_id"
-) -> DataFrame:
-    """`key, pieces, ids` of the words of `text`, with fragmented words merged."""
-    spark = docs.sparkSession
-    per_word = word_pieces_of(spark, model)
-    table = word_table(model_pieces(spark, model))
-    merged = docs.select(key, per_word(plain_tokens("text")).alias("w")).select(
-        key, F.flatten(F.transform("w", lambda p: merge_fragments(p, max_len))).alias("pieces")
-    )
-    ids = F.transform("pieces", lambda p: lookup_id(F.col("_words"), p))
-    return merged.withColumn("_words", table).select(key, "pieces", ids.alias("ids"))
-
-
-def decode_subwords(
+def decode_pieces(
     examples: DataFrame,
-    model: bytes,
+    vocab: DataFrame,
     vocab_size: int,
     columns: dict[str, str],
     key: str = "doc_id",
+    lookup: str = "auto",
 ) -> DataFrame:
     """`key` and one text per entry of `columns` (id column -> text column).
 
-    Unknown words with an extended id come back from the dictionary, in their place.
+    Pieces are put together and `SPACE_PIECE` is a space again; unknown pieces with an extended id
+    come back from the dictionary, in their place.
     """
-    spark = examples.sparkSession
-    size = load_processor(model).get_piece_size()
-    names = dense_table(model_pieces(spark, model), "id", "word", size)
-
-    def text(ids: str) -> Column:
-        kept = F.filter(ids, lambda i: ~i.isin([PAD, SOS, EOS]))
+    spoken = {c: F.filter(c, lambda i: ~i.isin(PAD, SOS, EOS)) for c in columns}
+    kept = examples.withColumns(spoken)
+    texts = decode_words(kept, vocab, vocab_size, columns, key, lookup=lookup, separator="")
 
-        def piece(dictionary: Column, i: Column) -> Column:
-            known = F.when(i == UNK, F.lit(UNKNOWN_TEXT)).otherwise(F.get(F.col("_pieces"), i))
-            return F.when(i > vocab_size, F.element_at(dictionary, i)).otherwise(known)
+    def shown(text: str) -> Column:
+        return F.regexp_replace(F.replace(text, F.lit(SPACE_PIECE), F.lit(" ")), "^ ", "")
 
-        shown = bind(F.col("oov"), lambda d: F.transform(kept, lambda i: piece(d, i)))
-        spaced = F.replace(F.array_join(shown, ""), F.lit(SPACE_PIECE), F.lit(" "))
-        return F.regexp_replace(spaced, "^ ", "")
-
-    return examples.withColumn("_pieces", names).select(
-        key, *[text(ids).alias(out) for ids, out in columns.items()]
-    )
+    return texts.select(key, *[shown(t).alias(t) for t in columns.values()])

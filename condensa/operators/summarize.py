@@ -38,7 +38,7 @@ def _sentence_scores(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     counted = tokens.groupBy(key, "word", "pos").agg(F.count("word").alias("c"))
     terms = counted.withColumn("tf", F.sum("c").over(Window.partitionBy(key, "word")))
     frequency = word_counts(docs, F.array_distinct(word_tokens("text")))
-    weighted = attach_by_key(terms, frequency, "word", "n", [key, "pos", "word"])
+    weighted = attach_by_key(terms, frequency, "word", "n")
     total = docs.agg(F.count("*")).scalar()
     scored = (
         weighted.withColumn("weight", F.col("tf") * F.ln(total / F.col("n")))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condensa.functions.ids import FIRST_WORD_ID
+from condensa.functions.ids import FIRST_WORD_ID, RESERVED_WORDS
 from condensa.operators.lookup import explode_words
 from condensa.operators.skew import heaviest
-from condensa.session import materialize
 
 
 def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
@@ -18,20 +17,20 @@ def word_counts(df: DataFrame, tokens: Column) -> DataFrame:
 
 
 def build_vocab(counts: DataFrame, words: int) -> DataFrame:
-    """`word, id, n` of the `words` most frequent words; ties by word; ids from 4.
-
-    The counts are written once: the cut is found first, then the words above it are read.
-    """
-    top = heaviest(materialize(counts, "word-counts"), "n", "word", words)
-    # the window sees the limited rows only
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "word"))
-    return top.select("word", (rank + F.lit(FIRST_WORD_ID - 1)).cast("int").alias("id"), "n")
+    """`word, id, n` of the `words` most frequent words; ties by word; ids from 4."""
+    top = heaviest(counts, "n", "word", words)
+    return top.select("word", (F.col("idx") + FIRST_WORD_ID).cast("int").alias("id"), "n")
 
 
 def vocab_from_mapping(spark: SparkSession, words: Mapping[str, int]) -> DataFrame:
-    """A vocabulary from a `word -> id` dictionary; reserved ids are left out."""
-    rows = [(w, int(i)) for w, i in words.items() if int(i) >= FIRST_WORD_ID]
-    return spark.createDataFrame(rows, "word string, id int")
+    """A vocabulary from a `word -> id` dictionary, without the reserved words.
+
+    A word of its own on a reserved id is an error: that id would decode to the reserved word.
+    """
+    own = {w: int(i) for w, i in words.items() if w not in RESERVED_WORDS}
+    if wrong := sorted(w for w, i in own.items() if i < FIRST_WORD_ID):
+        raise ValueError(f"words on the ids of reserved words: {wrong[:10]}")
+    return spark.createDataFrame(list(own.items()), "word string, id int")
 
 
 def save_vocab(vocab: DataFrame, path: str) -> None:

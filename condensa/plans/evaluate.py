@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.operators.decode import decode_words
-from condensa.operators.rouge import rouge_average, rouge_l, rouge_n
+from condensa.operators.rouge import all_scores, averages
 from condensa.operators.sample import evaluated_rows, random_sample
+from condensa.operators.skew import broadcast_if_small
 from condensa.session import materialize
 
 
@@ -19,7 +20,7 @@ class Evaluation:
 
 
 def _split(text: str) -> Column:
-    return F.filter(F.split(text, " "), lambda t: t != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda t: t != "")
 
 
 def evaluate(
@@ -32,10 +33,14 @@ def evaluate(
     key: str = "doc_id",
     batch_size: int | None = None,
     total_batches: int | None = None,
+    lookup: str = "auto",
 ) -> Evaluation:
-    """Score `predictions(key, pred_summary)` against the decoded targets of `examples`.
+    """Score `predictions` against the decoded targets of `examples`; keys are unique on both sides.
 
-    Predictions are texts of space-separated tokens, as decoding gives them.
+    Predictions are `key, pred_summary`, texts of space-separated tokens as decoding gives them, or
+    `key, pred_ids`, id arrays that are decoded with the dictionary of their own example. An example
+    without a prediction counts as one that predicts nothing, and scores 0. A prediction without an
+    example is not evaluated.
 
     With `batch_size` and `total_batches` only the first batches are evaluated, otherwise all
     examples. `averages` has one row per metric; `samples` holds the drawn
@@ -43,27 +48,32 @@ def evaluate(
     """
     if batch_size and total_batches:
         examples = evaluated_rows(examples, key, batch_size, total_batches, samples)
+    columns, keep = {"x": "text", "y": "ref_summary"}, ()
+    given = "pred_ids" if "pred_ids" in predictions.columns else "pred_summary"
+    paired = examples.join(predictions.select(key, given), key, "left")
+    if given == "pred_ids":
+        columns |= {"pred_ids": "pred_summary"}
+    else:
+        keep = ("pred_summary",)
     texts = decode_words(
-        examples,
+        paired,
         vocab,
         vocab_size,
-        {"x": "text", "y": "ref_summary"},
+        columns,
         key,
         remove_paddings=True,
         remove_eos=True,
+        lookup=lookup,
+        keep=keep,
     )
-    # three metrics and the samples read the pairs: write them once
-    scored = materialize(texts.join(predictions, key), "evaluated")
-    pairs = scored.select(
+    # the scores and the samples read the pairs: write them once
+    texts = texts.withColumn("pred_summary", F.coalesce("pred_summary", F.lit("")))
+    judged = materialize(texts, "evaluated")
+    pairs = judged.select(
         key, _split("pred_summary").alias("pred"), _split("ref_summary").alias("ref")
     )
-    averages = rouge_average(
-        {
-            "rouge-1": rouge_n(pairs, 1, key),
-            "rouge-2": rouge_n(pairs, 2, key),
-            "rouge-l": rouge_l(pairs, key),
-        }
+    drawn = random_sample(judged, key, samples, seed)
+    kept = judged.join(broadcast_if_small(drawn), key, "left_semi")
+    return Evaluation(
+        averages(all_scores(pairs, key)), kept.select(key, "text", "ref_summary", "pred_summary")
     )
-    drawn = random_sample(scored, key, samples, seed)
-    kept = scored.join(F.broadcast(drawn), key, "left_semi")
-    return Evaluation(averages, kept.select(key, "text", "ref_summary", "pred_summary"))

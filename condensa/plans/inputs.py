@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from condensa.functions.ids import EOS
+from condensa.functions.ids import EOS, UNK
 from condensa.functions.text import (
     bind,
-    first_word_token,
     flatten_newlines,
     split_sentences,
     word_tokens,
 )
 from condensa.operators.encode import encode_examples
-from condensa.operators.lookup import lookup_id, word_table
+from condensa.operators.lookup import attach_to_rows, lookup_id, way, word_table
+from condensa.operators.sample import ordered_index
 from condensa.operators.vocab import build_vocab, word_counts
 from condensa.session import materialize, spread
 
@@ -25,7 +25,8 @@ P_GEN = 0.8
 BATCH_SIZE = 64
 SUMMARY_SENTENCES = 3
 SAMPLES, SEED = 25, 7
-BEAM_WIDTH, PATH_LENGTH = 4, 6
+BEAM_WIDTH, PATH_LENGTH = 4, TY
+PIECE_CHARS = 4
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,25 +55,28 @@ def doc_pairs(docs: DataFrame) -> DataFrame:
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`ex_id, source, target`: a user turn and the assistant turn right after it.
+    """`ex_id, source, target`: a user turn and the assistant turn that follows it.
 
-    Turns are numbered without gaps, so both sides meet under the number of the first one.
-    That takes one shuffle, and a long conversation is spread over all tasks.
+    The next turn of a conversation is the one with the next larger number, whether numbers have
+    gaps or not; of rows with one number, the order is that of role and text. All turns are numbered
+    over ranges of conversation and turn, and neighbours meet under the number of the first one, so
+    a long conversation is spread over all tasks.
     """
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(
-        F.col("role").isin("user", "assistant")
-    )
-    is_user = F.col("role") == "user"
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    order = ["conv_id", "turn", "role", "text"]
+    placed = ordered_index(turns.select(*order), *order)
+    is_user, replies = F.col("role") == "user", F.col("role") == "assistant"
     return (
-        turns.select(
+        placed.where(is_user | replies)
+        .select(
             "conv_id",
-            F.when(is_user, F.col("turn")).otherwise(F.col("turn") - 1).alias("turn"),
+            F.when(is_user, F.col("idx")).otherwise(F.col("idx") - 1).alias("idx"),
+            F.when(is_user, F.col("turn")).alias("turn"),
             F.when(is_user, F.col("text")).alias("source"),
-            F.when(~is_user, F.col("text")).alias("target"),
+            F.when(replies, F.col("text")).alias("target"),
         )
-        .repartition("conv_id", "turn")
-        .groupBy("conv_id", "turn")
-        .agg(F.max("source").alias("source"), F.max("target").alias("target"))
+        .groupBy("conv_id", "idx")
+        .agg(*[F.max(c).alias(c) for c in ("turn", "source", "target")])
         .where("source IS NOT NULL AND target IS NOT NULL")
         .select(F.concat_ws(":", "conv_id", "turn").alias("ex_id"), "source", "target")
     )
@@ -82,6 +86,11 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return build_vocab(word_counts(docs, word_tokens("text")), VOCAB_WORDS)
 
 
+def piece_vocabulary(pairs: DataFrame) -> DataFrame:
+    counts = word_counts(pairs, F.concat("source", "target"))
+    return materialize(build_vocab(counts, VOCAB_WORDS), "pieces")
+
+
 def written_vocabulary(docs: DataFrame) -> DataFrame:
     """The vocabulary as the file that later steps share."""
     return materialize(vocabulary(docs), "vocab")
@@ -92,21 +101,22 @@ def examples(docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     return encode_examples(doc_pairs(docs), vocab, VOCAB_SIZE, TX, TY, MAX_OOV)
 
 
-def document_ids(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def document_ids(docs: DataFrame, vocab: DataFrame, lookup: str = "auto") -> DataFrame:
     """`doc_id, ids`: all tokens of each document as vocabulary ids."""
-    ids = F.transform(word_tokens("text"), lambda word: lookup_id(F.col("_words"), word))
-    return docs.withColumn("_words", word_table(vocab)).select("doc_id", ids.alias("ids"))
-
-
-def document_starts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """`ex_id, start`: the first token id of each document; eos for an empty one."""
-    first = docs.select("doc_id", first_word_token("text").alias("word"))
-    start = F.when(F.col("word").isNull(), EOS).otherwise(
-        lookup_id(F.col("_words"), F.col("word"))
-    )
-    return first.withColumn("_words", word_table(vocab)).select(
-        F.col("doc_id").alias("ex_id"), start.alias("start")
-    )
+    words = word_tokens(F.coalesce("text", F.lit("")))
+    if way(lookup, VOCAB_SIZE) == "inline":
+        ids = F.transform(words, lambda word: lookup_id(F.col("_words"), word))
+        return docs.withColumn("_words", word_table(vocab)).select("doc_id", ids.alias("ids"))
+    table = vocab.select(F.col("word").alias("key"), F.col("id").cast("int").alias("value"))
+    rows = attach_to_rows(docs.select("doc_id", words.alias("words")), F.col("words"), table)
+    found = F.transform("words", lambda word: F.coalesce(F.element_at("_found", word), F.lit(UNK)))
+    return rows.select("doc_id", found.alias("ids"))
+
+
+def document_starts(ids: DataFrame) -> DataFrame:
+    """`ex_id, start` from `document_ids`: the first token id; eos for an empty document."""
+    first = F.coalesce(F.get("ids", F.lit(0)), F.lit(EOS))
+    return ids.select(F.col("doc_id").alias("ex_id"), first.alias("start"))
 
 
 def lead_pairs(docs: DataFrame) -> DataFrame:

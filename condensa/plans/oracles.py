@@ -58,13 +58,26 @@ TURNS = """pairs AS (
 
 
 def encoding(
-    key: str = "doc_id", target: str = "target", pairs: str = "pairs", prefix: str = ""
+    key: str = "doc_id",
+    target: str = "target",
+    pairs: str = "pairs",
+    prefix: str = "",
+    pieces: bool = False,
 ) -> tuple[str, ...]:
-    """CTEs `x_ids`, `y_ids` (key, pos, id), `slots` and `examples` for a pair table."""
+    """CTEs `x_ids`, `y_ids` (key, pos, id), `slots` and `examples` for a pair table.
+
+    With `pieces` the pair table has arrays, and the source is closed by eos as the target is.
+    """
     p = prefix
+    source, target = ("source", target) if pieces else (words("source"), words(target))
+    x = f"""list_concat(coalesce(x, []), list_transform(range({P.TX} - len(coalesce(x, []))),
+                          lambda i: 0))"""
+    if pieces:
+        x = f"""list_concat(list_concat(coalesce(x, [])[1:{P.TX - 1}], [2]),
+                          list_transform(range({P.TX - 1} - len(coalesce(x, []))), lambda i: 0))"""
     return (
-        f"""{p}cut AS (SELECT {key}, {words('source')}[1:{P.TX}] AS xw,
-            {words(target)}[1:{P.TY}] AS yw FROM {pairs})""",
+        f"""{p}cut AS (SELECT {key}, {source}[1:{P.TX}] AS xw,
+            {target}[1:{P.TY}] AS yw FROM {pairs})""",
         unfolded(f"{p}xw", f"{p}cut", "xw", key),
         unfolded(f"{p}yw", f"{p}cut", "yw", key),
         f"""{p}xv AS (SELECT t.*, coalesce(v.id, 3) AS vid
@@ -90,8 +103,7 @@ def encoding(
             FROM {p}slots GROUP BY {key})""",
         f"""{p}examples AS (
             SELECT c.{key},
-              list_concat(coalesce(x, []), list_transform(range({P.TX} - len(coalesce(x, []))),
-                          lambda i: 0)) AS x,
+              {x} AS x,
               list_concat(list_concat(coalesce(y, [])[1:{P.TY - 1}], [2]),
                           list_transform(range({P.TY - 1} - len(coalesce(y, []))), lambda i: 0)) AS y,
               coalesce(oov_cnt, 0) AS oov_cnt, coalesce(oov, '') AS oov
@@ -131,12 +143,16 @@ def cutoff_shares(cutoff: int) -> str:
 
 
 HISTOGRAM = """
-  SELECT bin, min_value + bin * width AS low, min_value + bin * width + width AS high, n,
-         min_value + bin * width <= q3 + 2.5 * (q3 - q1) AS shown
-  FROM (SELECT CAST(CASE WHEN width > 0 THEN least(floor((value - min_value) / width), 99)
-                    ELSE 0 END AS INTEGER) AS bin, min_value, width, q1, q3, count(*) AS n
-        FROM (SELECT *, (max_value - min_value) / 100.0::DOUBLE AS width FROM {source}, quart)
-        GROUP BY ALL)"""
+  SELECT CAST(b.bin AS INTEGER) AS bin, min_value + b.bin * width AS low,
+         min_value + b.bin * width + width AS high, coalesce(n, 0) AS n,
+         min_value + b.bin * width <= q3 + 2.5 * (q3 - q1) AS shown
+  FROM (SELECT *, (max_value - min_value) / 100.0::DOUBLE AS width FROM quart
+        WHERE min_value IS NOT NULL) q
+  CROSS JOIN (SELECT unnest(range(100)) AS bin) b
+  LEFT JOIN (SELECT CASE WHEN width > 0 THEN least(floor((value - min_value) / width), 99)
+                    ELSE 0 END AS bin, count(*) AS n
+             FROM (SELECT *, (max_value - min_value) / 100.0::DOUBLE AS width FROM {source}, quart)
+             GROUP BY 1) f ON b.bin = f.bin"""
 
 SCORES = """
   CASE WHEN rs > 0 THEN round(o / rs, 6) ELSE 0 END AS r,
@@ -210,17 +226,20 @@ NAMES = """names AS (SELECT id, word FROM vocab UNION ALL
   VALUES (0, '<pad>'), (1, '<sos>'), (2, '<eos>'), (3, '<unk>'))"""
 
 
-def decoded(side: str, prefix: str = "") -> str:
+def decoded(
+    side: str, prefix: str = "", ids: str = "", separator: str = " ", name: str = ""
+) -> str:
     """CTE `{side}_text`: the text of the ids of one side, pads and eos dropped."""
+    ids, name = ids or side, name or side
     shown = f"""SELECT t.doc_id, t.pos,
         CASE WHEN t.id > {P.VOCAB_SIZE} THEN s.word ELSE coalesce(n.word, '<unk>') END AS word
-      FROM (SELECT doc_id, unnest({side}) AS id, generate_subscripts({side}, 1) AS pos
+      FROM (SELECT doc_id, unnest({ids}) AS id, generate_subscripts({ids}, 1) AS pos
             FROM {prefix}examples) t
       LEFT JOIN names n ON t.id = n.id
       LEFT JOIN {prefix}slots s ON t.doc_id = s.doc_id AND t.id = {P.VOCAB_SIZE} + s.k
       WHERE t.id NOT IN (0, 2)"""
-    return f"""{side}_text AS (SELECT e.doc_id, coalesce(txt, '') AS txt FROM {prefix}examples e
-      LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS txt FROM ({shown}) GROUP BY 1)
+    return f"""{name}_text AS (SELECT e.doc_id, coalesce(txt, '') AS txt FROM {prefix}examples e
+      LEFT JOIN (SELECT doc_id, string_agg(word, '{separator}' ORDER BY pos) AS txt FROM ({shown}) GROUP BY 1)
       USING (doc_id))"""
 
 
@@ -301,9 +320,9 @@ IDS = (
       SELECT arg_max(id, pos), 2 FROM id_rows GROUP BY doc_id
       UNION ALL
       SELECT 1, 2 FROM toks WHERE len(w) = 0)""",
-    """trans AS (SELECT prev, next, ln(n / sum(n) OVER (PARTITION BY prev)) AS logp
+    """trans AS MATERIALIZED (SELECT prev, next, ln(n / sum(n) OVER (PARTITION BY prev)) AS logp
          FROM (SELECT prev, next, count(*) AS n FROM steps GROUP BY ALL) QUALIFY next <> 3)""",
-    """starts AS (SELECT doc_id AS ex_id, coalesce(id, 2) AS start
+    """starts AS MATERIALIZED (SELECT doc_id AS ex_id, coalesce(id, 2) AS start
          FROM documents LEFT JOIN (SELECT doc_id, id FROM id_rows WHERE pos = 1) USING (doc_id))""",
 )
 
@@ -321,14 +340,14 @@ def beam(length_norm: str) -> str:
         factor = (5 + t) ** 0.7 / 6**0.7
         factor = 1 / factor if length_norm == "divide" else factor
         ctes.append(
-            f"""top_{t} AS (
+            f"""top_{t} AS MATERIALIZED (
               SELECT start, t.next AS last, list_append(seq, t.next) AS seq,
                      l.logp + t.logp AS logp
               FROM live_{t} l JOIN trans t ON l.last = t.prev {allowed}
               QUALIFY row_number() OVER (PARTITION BY start
                 ORDER BY round(l.logp + t.logp, 9) DESC, list_append(seq, t.next)) <= {P.BEAM_WIDTH})"""
         )
-        ctes.append(f"live_{t + 1} AS (SELECT * FROM top_{t} WHERE last <> 2)")
+        ctes.append(f"live_{t + 1} AS MATERIALIZED (SELECT * FROM top_{t} WHERE last <> 2)")
         shut.append(
             f"SELECT start, seq, logp * {factor!r}::DOUBLE AS score, true AS done FROM top_{t} WHERE last = 2"
         )
@@ -353,14 +372,14 @@ def beam(length_norm: str) -> str:
 def greedy() -> str:
     ctes = [
         *IDS,
-        """best AS (SELECT prev, next, logp FROM trans QUALIFY row_number() OVER (
+        """best AS MATERIALIZED (SELECT prev, next, logp FROM trans QUALIFY row_number() OVER (
              PARTITION BY prev ORDER BY round(logp, 9) DESC, next) = 1)""",
         """walk_0 AS (SELECT DISTINCT start, start AS last, CAST([] AS INTEGER[]) AS seq,
              0.0::DOUBLE AS logp, false AS done FROM starts)""",
     ]
     for t in range(P.PATH_LENGTH):
         ctes.append(
-            f"""walk_{t + 1} AS (
+            f"""walk_{t + 1} AS MATERIALIZED (
               SELECT start, CASE WHEN next <> 2 THEN next END AS last,
                      CASE WHEN next IS NULL THEN seq ELSE list_append(seq, next) END AS seq,
                      w.logp + coalesce(b.logp, 0) AS logp, done OR coalesce(next = 2, false) AS done
@@ -378,28 +397,73 @@ def sentence_rows(upper: str) -> str:
       FROM (SELECT doc_id, {cut_sentences(flat('text'), upper)} AS s FROM documents)"""
 
 
-JUDGED = (
-    *ENCODED,
-    NAMES,
-    decoded("x"),
-    decoded("y"),
-    f"""judged AS (SELECT doc_id, x_text.txt AS text, y_text.txt AS ref_summary,
-          array_to_string({words(cut_sentences('source') + '[1]')}, ' ') AS pred_summary
-          FROM x_text JOIN y_text USING (doc_id) JOIN pairs USING (doc_id))""",
-    """lead AS (SELECT doc_id,
+def cut_as_target(text: str) -> str:
+    return f"array_to_string({words(text)}[1:{P.TY - 1}], ' ')"
+
+
+def judging(predicted: str, source: str, only: str = "") -> tuple[str, ...]:
+    """CTEs from decoded examples to scores; `predicted` is the prediction in `source(doc_id)`."""
+    return (
+        *ENCODED,
+        NAMES,
+        decoded("x"),
+        decoded("y"),
+        f"""judged AS (SELECT doc_id, x_text.txt AS text, y_text.txt AS ref_summary,
+          coalesce({predicted}, '') AS pred_summary
+          FROM x_text JOIN y_text USING (doc_id) LEFT JOIN {source} USING (doc_id) {only})""",
+        """lead AS (SELECT doc_id,
          list_filter(string_split(pred_summary, ' '), lambda w: w <> '') AS pred,
          list_filter(string_split(ref_summary, ' '), lambda w: w <> '') AS ref FROM judged)""",
-    *rouge_n(1),
-    *rouge_n(2),
-    *lcs(),
-    f"""drawn AS (SELECT * FROM judged
+        *rouge_n(1),
+        *rouge_n(2),
+        *lcs(),
+        f"""drawn AS (SELECT * FROM judged
           ORDER BY md5(doc_id || ':{P.SEED}'), doc_id LIMIT {P.SAMPLES})""",
-)
+    )
+
+
+JUDGED = judging(cut_as_target(cut_sentences("source") + "[1]"), "pairs")
 REPORT_SCORES = ", ".join(
     f"(SELECT {m} FROM ({averages('', f'n{k}')})) AS rouge_{k}_{m}" for k in "12l" for m in "rpf"
 )
 
 
+SUMMARISED = f"""(SELECT doc_id, string_agg(sentence, ' ' ORDER BY step) AS summary
+    FROM best GROUP BY 1)"""
+BATCHED = f"""QUALIFY row_number() OVER (ORDER BY doc_id)
+    <= ((SELECT count(*) FROM x_text) - 1) // {P.BATCH_SIZE} * {P.BATCH_SIZE}"""
+OWN_IDS = f"""(SELECT e.doc_id, o_text.txt AS own FROM examples e JOIN o_text USING (doc_id)
+    WHERE left(md5(array_to_string(e.x, ' ')), 1) >= '3')"""
+
+
+def piece_array(text: str) -> str:
+    each = f"""list_transform(regexp_extract_all(w, '(?s).{{1,{P.PIECE_CHARS}}}'),
+      lambda p, i: CASE WHEN i = 1 THEN '\u2581' || p ELSE p END)"""
+    cut = f"list_filter(string_split(trim(regexp_replace({text}, ' +', ' ', 'g')), ' '), lambda w: w <> '')"
+    return f"flatten(list_transform({cut}, lambda w: {each}))"
+
+
+def cleaned(text: str) -> str:
+    return f"regexp_replace(lower({text}), {REMOVED}, '', 'g')"
+
+
+PIECES = (
+    SENTS,
+    f"""text_pairs AS (
+      SELECT doc_id, array_to_string(s[2:], ' ') AS source, s[1] AS target FROM sents WHERE len(s) > 1)""",
+    f"""pairs AS MATERIALIZED (SELECT doc_id, {piece_array(cleaned('source'))} AS source,
+          {piece_array(cleaned('target'))} AS target FROM text_pairs)""",
+    "toks AS (SELECT doc_id, list_concat(source, target) AS w FROM pairs)",
+    DOC_WORDS,
+    VOCAB,
+    *encoding(pieces=True),
+)
+MISSING = """holes AS (SELECT ex_id,
+    CASE WHEN substring(md5(ex_id), 1, 1) >= '5' THEN source ELSE '' END AS source,
+    CASE WHEN substring(md5(ex_id), 2, 1) >= '4' THEN target ELSE '' END AS target FROM pairs)"""
+TURN_KEYS = "SELECT conv_id || ':' || turn AS turn_key, role FROM conversations"
+
+
 def all_oracles() -> dict[str, str]:
     encoded = with_ctes(*ENCODED, body=f"SELECT doc_id, {EXAMPLE_COLUMNS} FROM examples")
     decode = with_ctes(
@@ -426,6 +490,8 @@ def all_oracles() -> dict[str, str]:
         "split_sentences": sentence_rows("A-Z"),
         "split_sentences_unicode": sentence_rows(r"\p{Lu}"),
         "sentence_corpus": f"""SELECT lower(unnest({cut_sentences(flat('text'))})) AS sentence
+            FROM documents""",
+        "sentence_corpus_head": f"""SELECT lower(unnest({cut_sentences(flat('text'))})) AS sentence
             FROM (SELECT text FROM documents QUALIFY row_number() OVER (ORDER BY doc_id)
                   <= (SELECT ceil(0.5 * count(*)) FROM documents))""",
         "detokenize": with_ctes(
@@ -453,6 +519,54 @@ def all_oracles() -> dict[str, str]:
         "encode_turns": with_ctes(
             *BASE, TURNS, *encoding("ex_id"), body=f"SELECT ex_id, {EXAMPLE_COLUMNS} FROM examples"
         ),
+        **dict.fromkeys(
+            ("encode_missing_sides", "encode_missing_sides_joined"),
+            with_ctes(
+                *BASE,
+                TURNS,
+                MISSING,
+                *encoding("ex_id", pairs="holes"),
+                body=f"SELECT 'same' AS ex_id, {EXAMPLE_COLUMNS} FROM examples",
+            ),
+        ),
+        "subword_encode": with_ctes(
+            *PIECES, body=f"SELECT doc_id, {EXAMPLE_COLUMNS} FROM examples"
+        ),
+        "subword_decode": with_ctes(
+            *PIECES,
+            NAMES,
+            decoded("x", separator=""),
+            decoded("y", separator=""),
+            body="""SELECT doc_id,
+              regexp_replace(replace(x_text.txt, '\u2581', ' '), '^ ', '') AS source_text,
+              regexp_replace(replace(y_text.txt, '\u2581', ' '), '^ ', '') AS target_text
+              FROM x_text JOIN y_text USING (doc_id)""",
+        ),
+        "merge_pieces": f"""SELECT doc_id, array_to_string(flatten(list_transform(
+              list_transform(regexp_extract_all(text, {PLAIN}), lambda t: {piece_array('t')}),
+              lambda p: CASE WHEN len(p) >= 3 THEN [array_to_string(p, '')] ELSE p END)), ' ') AS pieces
+            FROM documents""",
+        "turn_batches": f"""SELECT *, idx // {P.BATCH_SIZE} AS batch_id,
+            idx % {P.BATCH_SIZE} AS row_in_batch
+            FROM (SELECT *, row_number() OVER (ORDER BY turn_key) - 1 AS idx FROM ({TURN_KEYS}))""",
+        "turn_head_fraction": f"""SELECT * FROM ({TURN_KEYS}) QUALIFY row_number() OVER (ORDER BY turn_key)
+            <= (SELECT ceil(0.3 * count(*)) FROM conversations)""",
+        "evaluate_exchange_file": with_ctes(
+            *judging("own", OWN_IDS)[: len(ENCODED) + 3],
+            decoded("x", ids=f"x[1:{P.TY - 1}]", name="o"),
+            *judging("own", OWN_IDS)[len(ENCODED) + 3 :],
+            body=f"""SELECT {REPORT_SCORES}, CAST((SELECT count(*) FROM drawn) AS INTEGER)
+              AS saved_summaries""",
+            recursive=True,
+        ),
+        "evaluate_first_batches": with_ctes(
+            *ENCODED,
+            *EXTRACTIVE[1:],
+            *judging(cut_as_target("summary"), SUMMARISED, BATCHED)[len(ENCODED) :],
+            body=f"""SELECT {REPORT_SCORES}, CAST((SELECT count(*) FROM drawn) AS INTEGER)
+              AS saved_summaries""",
+            recursive=True,
+        ),
         "oov_dictionary": with_ctes(
             *ENCODED,
             body=f"SELECT doc_id, CAST({P.VOCAB_SIZE} + k AS INTEGER) AS id, word FROM slots",
@@ -593,6 +707,11 @@ def all_oracles() -> dict[str, str]:
             body="""SELECT doc_id, round(avg(-ln(greatest(p_final, 1e-7))), 6) AS nll
               FROM probs GROUP BY 1""",
         ),
+        "mixture_nll_joined": with_ctes(
+            *PROBS,
+            body="""SELECT doc_id, round(avg(-ln(greatest(p_final, 1e-7))), 6) AS nll
+              FROM probs GROUP BY 1""",
+        ),
         "masked_average": with_ctes(
             *PROBS,
             body="""SELECT round(avg(m), 4) AS masked_average

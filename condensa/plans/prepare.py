@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from condensa.operators.encode import encode_examples
-from condensa.operators.subword import encode_subwords
 from condensa.sources import articles
 from condensa.sources.examples import write_examples, write_examples_csv
 
@@ -38,24 +37,6 @@ def prepare_examples(
     _write(encode_examples(pairs, vocab, vocab_size, tx, ty, max_oov, key), dest_path, form)
 
 
-def prepare_subword_examples(
-    spark: SparkSession,
-    source_path: str,
-    dest_path: str,
-    fields: tuple[str, str],
-    model: bytes,
-    vocab_size: int,
-    tx: int,
-    ty: int,
-    max_oov: int,
-    key: str = "doc_id",
-    form: str = "parquet",
-) -> None:
-    """JSON lines to subword-mode examples."""
-    pairs = _pairs(spark, source_path, fields, key)
-    _write(encode_subwords(pairs, model, vocab_size, tx, ty, max_oov, key), dest_path, form)
-
-
 def prepare_sentences(
     spark: SparkSession,
     source_path: str,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
 from condensa.functions import ids as I, text as T
 from condensa.operators import (
@@ -22,7 +23,7 @@ from condensa.operators import (
 )
 from condensa.operators.decode import decode_words
 from condensa.operators.vocab import load_vocab, save_vocab
-from condensa.plans import inputs as P, subword_model
+from condensa.plans import inputs as P
 from condensa.plans.evaluate import Evaluation, evaluate
 from condensa.session import materialize, new_path
 from condensa.sources import articles, examples as example_files, report
@@ -100,7 +101,15 @@ def split_sentences_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sentence_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text files of the first half of the documents, read back."""
+    """The text files of all documents, read back."""
+    path = new_path(spark, "sentences")
+    articles.write_sentences(P.documents(spark, sf_dir), path)
+    return articles.read_lines(spark, path)
+
+
+@query
+def sentence_corpus_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the head cut: the first half of the documents."""
     path = new_path(spark, "sentences")
     articles.write_sentences(P.documents(spark, sf_dir), path, proportion=0.5)
     return articles.read_lines(spark, path)
@@ -168,7 +177,7 @@ def encode_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, out = new_path(spark, "new-articles"), new_path(spark, "encoded")
     articles.write_articles(P.doc_pairs(docs), source)
     run = incremental.encode_new_articles(
-        incremental.article_stream(spark, source, ["source", "target"], "doc_id"),
+        incremental.article_stream(spark, source, ["source", "target"], "doc_id", LongType()),
         P.written_vocabulary(docs),
         P.VOCAB_SIZE,
         P.TX,
@@ -191,6 +200,38 @@ def encode_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return example_text(encoded, "ex_id")
 
 
+def _half_empty_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn pairs with some sources and some targets null, and one key for all."""
+    pairs = P.turn_pairs(spark, sf_dir)
+    draw = F.md5("ex_id")
+    return pairs.select(
+        F.lit("same").alias("ex_id"),
+        F.when(F.substring(draw, 1, 1) >= "5", F.col("source")).alias("source"),
+        F.when(F.substring(draw, 2, 1) >= "4", F.col("target")).alias("target"),
+    )
+
+
+def _encoded_half_empty(spark: SparkSession, sf_dir: str, lookup: str) -> DataFrame:
+    vocab = P.written_vocabulary(P.documents(spark, sf_dir))
+    pairs = _half_empty_turns(spark, sf_dir)
+    encoded = encode.encode_examples(
+        pairs, vocab, P.VOCAB_SIZE, P.TX, P.TY, P.MAX_OOV, key="ex_id", lookup=lookup
+    )
+    return example_text(encoded, "ex_id")
+
+
+@query
+def encode_missing_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and repeated keys, by the inline way."""
+    return _encoded_half_empty(spark, sf_dir, "inline")
+
+
+@query
+def encode_missing_sides_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and repeated keys, by the join way."""
+    return _encoded_half_empty(spark, sf_dir, "join")
+
+
 @query
 def oov_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.oov_rows(P.examples(P.documents(spark, sf_dir)))
@@ -226,7 +267,7 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "articles")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     articles.write_articles(docs, path)
-    return articles.read_articles(spark, path, ["text", "lang"], key="doc_id")
+    return articles.read_articles(spark, path, ["text", "lang"], "doc_id", LongType())
 
 
 @query
@@ -334,6 +375,23 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.batches(docs, "doc_id", P.BATCH_SIZE)
 
 
+def _turn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.select(F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "role")
+
+
+@query
+def turn_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches in the order of a string key."""
+    return sample.batches(_turn_keys(spark, sf_dir), "turn_key", P.BATCH_SIZE)
+
+
+@query
+def turn_head_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head cut by a string key."""
+    return sample.head_fraction(_turn_keys(spark, sf_dir), "turn_key", 0.3)
+
+
 @query
 def head_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
@@ -412,15 +470,8 @@ def rouge_l_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rouge_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = materialize(P.lead_pairs(P.documents(spark, sf_dir)), "lead-pairs")
-    average = rouge.rouge_average(
-        {
-            "rouge-1": rouge.rouge_n(pairs, 1),
-            "rouge-2": rouge.rouge_n(pairs, 2),
-            "rouge-l": rouge.rouge_l(pairs),
-        }
-    )
-    return _rounded(average, "r", "p", "f")
+    pairs = P.lead_pairs(P.documents(spark, sf_dir))
+    return _rounded(rouge.averages(rouge.all_scores(pairs)), "r", "p", "f")
 
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
@@ -428,7 +479,8 @@ def _evaluation(spark: SparkSession, sf_dir: str) -> Evaluation:
     docs = P.documents(spark, sf_dir)
     vocab = P.written_vocabulary(docs)
     first = F.get(T.split_sentences("source"), F.lit(0))
-    predictions = P.doc_pairs(docs).select("doc_id", T.normalize_text(first).alias("pred_summary"))
+    cut = F.array_join(F.slice(T.word_tokens(first), 1, P.TY - 1), " ")  # as a target is cut
+    predictions = P.doc_pairs(docs).select("doc_id", cut.alias("pred_summary"))
     return evaluate(
         P.examples(docs, vocab), predictions, vocab, P.VOCAB_SIZE, P.SAMPLES, P.SEED
     )
@@ -448,6 +500,55 @@ def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(with_scores, *names.values())
 
 
+def _report_row(result: Evaluation) -> DataFrame:
+    """The averages in one row, with the number of samples."""
+    names = [(m, c, f"{m.replace('-', '_')}_{c}") for m in rouge.METRICS for c in rouge.MEASURES]
+    scores = [
+        F.round(F.max(F.when(F.col("metric") == m, F.col(c))), 6).alias(name) for m, c, name in names
+    ]
+    n = result.samples.agg(F.count("*")).scalar().cast("int")
+    return result.averages.agg(*scores).withColumn("saved_summaries", n)
+
+
+@query
+def evaluate_exchange_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the exchange file to scores: rows keyed by position, predictions as ids.
+
+    The prediction of a row is its own source, cut as a target is; some rows have none.
+    """
+    docs = P.documents(spark, sf_dir)
+    vocab = P.written_vocabulary(docs)
+    path = new_path(spark, "exchange")
+    example_files.write_examples_csv(P.examples(docs, vocab), path)
+    read = example_files.read_examples_csv(spark, path, P.TX, P.TY, P.MAX_OOV, key="row")
+    # the position depends on the files, so the rows without a prediction are told by their ids
+    given = F.substring(F.md5(joined("x")), 1, 1) >= "3"
+    predictions = read.where(given).select("row", F.slice("x", 1, P.TY - 1).alias("pred_ids"))
+    result = evaluate(read, predictions, vocab, P.VOCAB_SIZE, P.SAMPLES, P.SEED, key="row")
+    return _report_row(result)
+
+
+@query
+def evaluate_first_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extractive summaries as predictions, scored on the first whole batches."""
+    docs = P.documents(spark, sf_dir)
+    vocab = P.written_vocabulary(docs)
+    summaries = summarize.extractive_summary(docs, P.SUMMARY_SENTENCES)
+    cut = F.array_join(F.slice(T.word_tokens("summary"), 1, P.TY - 1), " ")
+    whole = (P.doc_pairs(docs).count() - 1) // P.BATCH_SIZE
+    result = evaluate(
+        P.examples(docs, vocab),
+        summaries.select("doc_id", cut.alias("pred_summary")),
+        vocab,
+        P.VOCAB_SIZE,
+        P.SAMPLES,
+        P.SEED,
+        batch_size=P.BATCH_SIZE,
+        total_batches=whole,
+    )
+    return _report_row(result)
+
+
 @query
 def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report file of the evaluation job, read back and taken apart."""
@@ -507,6 +608,13 @@ def mixture_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(nll, "nll")
 
 
+@query
+def mixture_nll_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the way for vocabularies too large for an inline table."""
+    examples, corpus = _with_corpus(spark, sf_dir)
+    return _rounded(lm.mixture_nll(examples, corpus, P.VOCAB_SIZE, P.P_GEN, lookup="join"), "nll")
+
+
 @query
 def masked_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over the examples of the mean id at the target's real positions."""
@@ -538,7 +646,8 @@ def _starts_and_transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
     vocab = P.written_vocabulary(docs)
     ids = P.document_ids(docs, vocab)
     counts = lm.bigram_counts(ids, F.col("ids"), F.lit(I.SOS), F.lit(I.EOS))
-    return P.document_starts(docs, vocab), lm.bigram_transitions(counts, bounded=True)
+    starts = materialize(P.document_starts(P.document_ids(docs, vocab)), "starts")
+    return starts, lm.bigram_transitions(counts, bounded=True)
 
 
 def _beam(spark: SparkSession, sf_dir: str, length_norm: str) -> DataFrame:
@@ -573,30 +682,43 @@ def greedy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.withColumn("seq", joined("seq")), "logp")
 
 
-# --- subword mode ---------------------------------------------------------------------
+# --- piece mode -----------------------------------------------------------------------
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs as piece arrays (`doc_id, source, target`), and the vocabulary of their pieces."""
+    docs = P.documents(spark, sf_dir)
+    pairs = P.doc_pairs(docs).select(
+        "doc_id",
+        *[subword.cut_pieces(T.clean_chars(c), P.PIECE_CHARS).alias(c) for c in ("source", "target")],
+    )
+    return pairs, P.piece_vocabulary(pairs)
+
+
+def _encoded_pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs, vocab = _pieces(spark, sf_dir)
+    encoded = subword.encode_pieces(pairs, vocab, P.VOCAB_SIZE, P.TX, P.TY, P.MAX_OOV)
+    return encoded, vocab
 
 
 @query
 def subword_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = P.documents(spark, sf_dir)
-    model, size = subword_model.fixture_model(docs)
-    encoded = subword.encode_subwords(P.doc_pairs(docs), model, size, P.TX, P.TY, P.MAX_OOV)
-    return example_text(encoded)
+    """Piece arrays encoded as words are, with eos at the end of the source, too."""
+    return example_text(_encoded_pieces(spark, sf_dir)[0])
 
 
 @query
 def subword_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = P.documents(spark, sf_dir)
-    model, size = subword_model.fixture_model(docs)
-    encoded = subword.encode_subwords(P.doc_pairs(docs), model, size, P.TX, P.TY, P.MAX_OOV)
-    return subword.decode_subwords(
-        encoded, model, size, {"x": "source_text", "y": "target_text"}
-    )
+    """And back to text."""
+    encoded, vocab = _encoded_pieces(spark, sf_dir)
+    columns = {"x": "source_text", "y": "target_text"}
+    return subword.decode_pieces(encoded, vocab, P.VOCAB_SIZE, columns)
 
 
 @query
 def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each word, in one again where there are many."""
     docs = P.documents(spark, sf_dir)
-    model, _ = subword_model.fixture_model(docs)
-    merged = subword.merge_pieces(docs, model, max_len=4)
-    return merged.select("doc_id", joined("pieces").alias("pieces"), joined("ids").alias("ids"))
+    words = F.transform(T.plain_tokens("text"), lambda w: subword.cut_pieces(w, P.PIECE_CHARS))
+    merged = F.flatten(F.transform(words, lambda p: subword.merge_fragments(p, 3)))
+    return docs.select("doc_id", joined(merged).alias("pieces"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+SPREAD_BYTES = 256 << 20
 
 
 def local_session(cpus: int | str = "*", app_name: str = "condensa") -> SparkSession:
@@ -30,7 +31,8 @@ def local_session(cpus: int | str = "*", app_name: str = "condensa") -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    A machine-local folder is made only for a local master, where nothing is named.
+    A machine-local folder is made only for a local master, where nothing is named. A `file:` folder
+    that a cluster names has to be a mount that all machines share; a path does not tell.
     """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
@@ -55,11 +57,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by `key` when the input has fewer splits than the session has cores.
+    """Hash-partition a small table by `key` when it has fewer splits than the session has cores.
 
-    A scan of a large table has many splits and is left alone.
+    Only tables of up to `SPREAD_BYTES` (Spark's own estimate) are dealt anew, whatever the number of
+    cores; larger ones are split by `spark.sql.files.maxPartitionBytes` when they are read.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES or df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted, key)

@@ -3,32 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from condensa.functions.text import flatten_newlines, normalize_text, split_sentences
 from condensa.operators.lookup import explode_words
-from condensa.operators.sample import head_fraction
+from condensa.operators.sample import head_fraction, ordered_index
 
 
-def article_schema(fields: list[str], key: str | None = None) -> StructType:
-    columns = [StructField(key, LongType())] if key else []
+def article_schema(
+    fields: list[str], key: str | None = None, key_type: DataType = StringType()
+) -> StructType:
+    columns = [StructField(key, key_type)] if key else []
     return StructType(columns + [StructField(f, StringType()) for f in fields])
 
 
 def read_articles(
-    spark: SparkSession, path: str, fields: list[str], key: str | None = None
+    spark: SparkSession,
+    path: str,
+    fields: list[str],
+    key: str | None = None,
+    key_type: DataType = StringType(),
 ) -> DataFrame:
-    """The named fields of each JSON line; other fields are never parsed."""
-    return spark.read.schema(article_schema(fields, key)).json(path)
+    """The named fields of each JSON line; other fields are never parsed.
 
+    Ids are texts unless `key_type` says otherwise; a line without an id, or with one of another
+    type, is an error.
+    """
+    read = spark.read.schema(article_schema(fields, key, key_type)).json(path)
+    return read if key is None else with_checked_key(read, key)
 
-def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`df` with a unique number per row, for files without an id field.
 
-    Numbers grow with the lines of a file split and are the same whenever the same files are
-    read with the same split settings; for order across files, articles need an id.
-    """
-    return df.withColumn(key, F.monotonically_increasing_id())
+def with_checked_key(df: DataFrame, key: str) -> DataFrame:
+    """`df`, which fails at a row without a key; the check is a filter, so it is not pruned away."""
+    missing = F.raise_error(F.lit(f"an article has no usable {key}")).cast("boolean")
+    return df.where(F.when(F.col(key).isNull(), missing).otherwise(F.lit(True)))
+
+
+def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`df`, read from files, numbered from 0 by file name and line, for files without an id field."""
+    path, line = "_file", "_line"
+    placed = df.withColumn(path, F.col("_metadata.file_path")).withColumn(
+        line, F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    )
+    return ordered_index(placed, path, line, name=key).drop(path, line)
 
 
 def write_articles(df: DataFrame, path: str) -> None:

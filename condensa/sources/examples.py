@@ -3,25 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import (
-    ArrayType,
-    IntegerType,
-    LongType,
-    MapType,
-    StringType,
-    StructField,
-    StructType,
-)
-
-EXAMPLE_SCHEMA = StructType(
-    [
-        StructField("doc_id", LongType()),
-        StructField("x", ArrayType(IntegerType())),
-        StructField("y", ArrayType(IntegerType())),
-        StructField("oov_cnt", IntegerType()),
-        StructField("oov", MapType(IntegerType(), StringType())),
-    ]
-)
+from pyspark.sql.types import StringType, StructField, StructType
+
+from condensa.sources.articles import numbered
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
@@ -29,7 +13,8 @@ def write_examples(examples: DataFrame, path: str) -> None:
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EXAMPLE_SCHEMA).parquet(path)
+    """Key, `x, y, oov_cnt, oov`, the key with the type that was written."""
+    return spark.read.parquet(path).drop("batch")
 
 
 def _quoted(word: Column) -> Column:
@@ -50,30 +35,40 @@ def write_examples_csv(examples: DataFrame, path: str) -> None:
 
 
 def read_examples_csv(
-    spark: SparkSession, path: str, tx: int, ty: int, max_oov: int
+    spark: SparkSession, path: str, tx: int, ty: int, max_oov: int, key: str | None = None
 ) -> DataFrame:
-    """`x, y, oov_cnt, oov`; a row whose dictionary does not fit `max_oov` is an error."""
+    """`x, y, oov_cnt, oov`; with `key`, also the position of the row in the files, from 0.
+
+    A row whose dictionary does not fit `max_oov` or its count is an error, whatever columns are
+    read: one column more than fits is parsed, and rows are filtered by the check.
+    """
     head = tx + ty + 1
-    names = [f"c{i}" for i in range(head + 2 * max_oov)]
+    names = [f"c{i}" for i in range(head + 2 * max_oov + 1)]
     schema = StructType([StructField(n, StringType()) for n in names])
     rows = spark.read.schema(schema).options(quote='"', escape='"').csv(path)
+    if key:
+        rows = numbered(rows, key)
     entries = F.filter(
         F.array(
             *[
                 F.struct(
                     F.col(names[i + 1]).cast("int").alias("id"), F.col(names[i]).alias("word")
                 )
-                for i in range(head, len(names), 2)
+                for i in range(head, len(names) - 1, 2)
             ]
         ),
         lambda e: e["id"].isNotNull(),
     )
     read = rows.select(
+        *([key] if key else []),
         F.array(*names[:tx]).cast("array<int>").alias("x"),
         F.array(*names[tx : tx + ty]).cast("array<int>").alias("y"),
         F.col(names[head - 1]).cast("int").alias("oov_cnt"),
         F.map_from_entries(entries).alias("oov"),
+        F.col(names[-1]).alias("_more"),
     )
-    whole = F.size("oov") == F.col("oov_cnt")
-    broken = F.raise_error(F.lit(f"a dictionary does not have its count, or more than {max_oov}"))
-    return read.withColumn("oov_cnt", F.when(whole, F.col("oov_cnt")).otherwise(broken))
+    whole = (F.size("oov") == F.col("oov_cnt")) & F.col("_more").isNull()
+    text = f"a dictionary does not have its count, or more than {max_oov}"
+    broken = F.raise_error(F.lit(text)).cast("boolean")
+    checked = F.when(F.coalesce(whole, F.lit(False)), F.lit(True)).otherwise(broken)
+    return read.where(checked).drop("_more")

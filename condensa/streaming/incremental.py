@@ -1,20 +1,24 @@
 """Encode articles as their files arrive.
 
-Inline encoding needs no shuffle and keeps no state, so the batch operator runs on a stream
-as it is; the checkpoint folder remembers which files are done.
+Inline encoding needs no shuffle and keeps no state, so the batch operator runs on a stream as it is;
+a larger vocabulary is joined batch by batch. The checkpoint folder remembers which files are done.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DataType, StringType
 
 from condensa.operators.encode import encode_examples
+from condensa.operators.lookup import way
 from condensa.sources.articles import article_schema
 
 
-def article_stream(spark: SparkSession, path: str, fields: list[str], key: str) -> DataFrame:
-    return spark.readStream.schema(article_schema(fields, key)).json(path)
+def article_stream(
+    spark: SparkSession, path: str, fields: list[str], key: str, key_type: DataType = StringType()
+) -> DataFrame:
+    return spark.readStream.schema(article_schema(fields, key, key_type)).json(path)
 
 
 def encode_new_articles(
@@ -27,13 +31,25 @@ def encode_new_articles(
     out_path: str,
     checkpoint_path: str,
     key: str = "doc_id",
+    lookup: str = "auto",
 ) -> StreamingQuery:
-    """Encode all files not seen before into Parquet at `out_path`, then stop."""
-    encoded = encode_examples(articles, vocab, vocab_size, tx, ty, max_oov, key, lookup="inline")
+    """Encode all files not seen before into Parquet at `out_path`, then stop.
+
+    With a vocabulary too large for an inline table, each batch of new files is joined to it; a batch
+    that is run again after a failure replaces what it wrote.
+    """
+
+    def encode(df: DataFrame) -> DataFrame:
+        return encode_examples(df, vocab, vocab_size, tx, ty, max_oov, key, lookup=lookup)
+
+    if way(lookup, vocab_size) == "inline":
+        writer = encode(articles).writeStream.format("parquet").option("path", out_path)
+    else:
+
+        def write(batch: DataFrame, number: int) -> None:
+            encode(batch).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+
+        writer = articles.writeStream.foreachBatch(write)
     return (
-        encoded.writeStream.format("parquet")
-        .option("path", out_path)
-        .option("checkpointLocation", checkpoint_path)
-        .trigger(availableNow=True)
-        .start()
+        writer.option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
     )

@@ -145,7 +145,7 @@ def test_id_range(spark):
 def test_heaviest_keeps_ties_by_key(spark, k):
     rows = [("a", 5), ("b", 3), ("c", 3), ("d", 3), ("e", 1), ("f", 1)]
     df = spark.createDataFrame(rows, "k string, n long").repartition(4)
-    assert sorted(tuple(r) for r in heaviest(df, "n", "k", k).collect()) == rows[:k]
+    assert sorted((r["k"], r["n"]) for r in heaviest(df, "n", "k", k).collect()) == rows[:k]
 
 
 def test_heaviest_sorts_few_rows(spark):
@@ -162,9 +162,79 @@ def test_attach_by_key_with_a_dominant_key(spark, head_rows, counted):
     right = spark.createDataFrame([("hot", 300), ("b", 20), ("c", 1), ("unused", 9)], "k string, v int")
     heavy = left.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("weight"))
     got = attach_by_key(
-        left, right, "k", "v", ["i"], heavy=heavy if counted else None, head_rows=head_rows
+        left, right, "k", "v", heavy=heavy if counted else None, head_rows=head_rows
     )
     values = {"hot": 300, "b": 20, "c": 1}
     assert sorted((r["i"], r["k"], r["v"]) for r in got.collect()) == [
         (i, k, values.get(k)) for i, k in enumerate(keys)
     ]
+
+
+def test_heaviest_of_equal_weights_sorts_ranges_only(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("n"))
+    top = heaviest(df, "n", "k", 500)
+    assert sorted(r["k"] for r in top.collect()) == sorted(map(str, range(20_000)))[:500]
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
+
+
+MISSING = [
+    (3, "a b a", None),
+    (3, None, "b a"),
+    (3, None, None),
+    (3, "", ""),
+    (3, "a b a", None),
+    (None, "b c", "c"),
+]
+
+
+@BOTH
+def test_missing_sides_and_equal_keys(spark, way):
+    vocab = vocab_from_mapping(spark, {"a": 4})
+    df = spark.createDataFrame(MISSING, "doc_id long, source string, target string")
+    got = encode.encode_examples(df, vocab, 5, 4, 3, 2, lookup=way).collect()
+    assert sorted(((r["doc_id"] or 0), r["x"], r["y"], r["oov_cnt"]) for r in got) == [
+        (0, [6, 7, 0, 0], [7, 2, 0], 2),
+        (3, [0, 0, 0, 0], [2, 0, 0], 0),
+        (3, [0, 0, 0, 0], [2, 0, 0], 0),
+        (3, [0, 0, 0, 0], [3, 4, 2], 0),
+        (3, [4, 6, 4, 0], [2, 0, 0], 1),
+        (3, [4, 6, 4, 0], [2, 0, 0], 1),
+    ]
+
+
+@BOTH
+def test_decoding_missing_ids_and_equal_keys(spark, way):
+    vocab = vocab_from_mapping(spark, {"a": 4})
+    rows = [(1, [4, 0], None, {}), (1, [4, 6], [6], {6: "zz"}), (1, None, [4], {})]
+    df = spark.createDataFrame(
+        rows, "doc_id long, x array<int>, y array<int>, oov map<int,string>"
+    )
+    got = decode_words(df, vocab, 5, {"x": "s", "y": "t"}, lookup=way).collect()
+    assert sorted((r["s"], r["t"]) for r in got) == [("", "a"), ("a <pad>", ""), ("a zz", "zz")]
+
+
+def test_mapping_leaves_out_reserved_words_only(spark):
+    words = vocab_from_mapping(spark, {"<pad>": 0, "<unk>": 3, "of": 5})
+    assert [tuple(r) for r in words.collect()] == [("of", 5)]
+    with pytest.raises(ValueError):
+        vocab_from_mapping(spark, {"the": 0, "of": 5})
+
+
+def test_pieces(spark):
+    from condensa.operators import subword
+
+    vocab = vocab_from_mapping(spark, {"▁ab": 4, "cd": 5})
+    df = spark.createDataFrame([(1, "abcd  ef")], "doc_id long, text string")
+    pieces = subword.cut_pieces("text", 2)
+    assert df.select(pieces).first()[0] == ["▁ab", "cd", "▁ef"]
+    pairs = df.select("doc_id", pieces.alias("source"), F.lit(None).cast("array<string>").alias("target"))
+    row = subword.encode_pieces(pairs, vocab, 6, 5, 3, 2).first()
+    assert (row["x"], row["y"], row["oov"]) == ([4, 5, 7, 2, 0], [2, 0, 0], {7: "▁ef"})
+    short = subword.encode_pieces(pairs, vocab, 6, 3, 3, 2).first()
+    assert short["x"] == [4, 5, 2]
+    texts = subword.decode_pieces(spark.createDataFrame([row]), vocab, 6, {"x": "s"}).first()
+    assert texts["s"] == "abcd ef"
+    merged = [subword.merge_fragments(F.col("p"), n) for n in (2, 3)]
+    found = spark.createDataFrame([(["▁", "ab", "c"],)], "p array<string>").select(*merged).first()
+    assert tuple(found) == (["▁abc"], ["▁", "ab", "c"])

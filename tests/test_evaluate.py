@@ -39,3 +39,16 @@ def test_first_batches_only(tables):
     assert {r["doc_id"] for r in result.samples.collect()} <= {0, 1, 2}
     with pytest.raises(ValueError):
         evaluate(*tables, 7, samples=2, seed=1, batch_size=5, total_batches=2)
+
+
+def test_missing_predictions_score_0_and_ids_are_decoded(tables):
+    examples, predictions, vocab = tables
+    some = predictions.where("doc_id <> 1")
+    result = evaluate(examples, some, vocab, 7, samples=20, seed=1)
+    rows = {r["doc_id"]: r for r in result.samples.collect()}
+    assert len(rows) == 10 and rows[1]["pred_summary"] == ""
+    assert result.averages.where("metric = 'rouge-1'").first()["f"] == pytest.approx(0.4)
+    ids = examples.selectExpr("doc_id", "y AS pred_ids")
+    for lookup in ("inline", "join"):
+        own = evaluate(examples, ids, vocab, 7, samples=20, seed=1, lookup=lookup)
+        assert {r["f"] for r in own.averages.collect()} == {1.0}

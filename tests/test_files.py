@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql.types import LongType
 
 from condensa.operators.encode import encode_examples
 from condensa.operators.vocab import vocab_from_mapping
@@ -16,25 +17,35 @@ def part_lines(path):
 
 
 def test_articles_read_named_fields_only(spark, tmp_path):
-    lines = [{"id": 7, "abstract": "A", "text": "Č\nd", "extra": [1]}, {"text": None}]
+    lines = [{"id": 7, "abstract": "A", "text": "Č\nd", "extra": [1]}, {"id": "x1", "text": None}]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
     df = articles.read_articles(spark, str(tmp_path), ["text", "abstract"], key="id")
     assert df.columns == ["id", "text", "abstract"]
-    assert {tuple(r) for r in df.collect()} == {(7, "Č\nd", "A"), (None, None, None)}
+    assert {tuple(r) for r in df.collect()} == {("7", "Č\nd", "A"), ("x1", None, None)}
+
+
+def test_articles_without_a_usable_id_are_refused(spark, tmp_path):
+    source = write_lines(tmp_path / "in", [{"id": 1, "text": "a"}, {"text": "b"}])
+    with pytest.raises(Exception, match="no usable id"):
+        articles.read_articles(spark, source, ["text"], key="id").select("text").collect()
+    texts = write_lines(tmp_path / "texts", [{"id": "x1", "text": "a"}])
+    with pytest.raises(Exception, match="no usable id"):
+        articles.read_articles(spark, texts, ["text"], "id", LongType()).collect()
 
 
 def test_articles_without_id_are_numbered(spark, tmp_path):
     source = write_lines(tmp_path / "in", [{"text": f"t{i}"} for i in range(50)])
+    (tmp_path / "in" / "b.jsonl").write_text("\n".join(json.dumps({"text": f"u{i}"}) for i in range(5)))
     df = articles.numbered(articles.read_articles(spark, source, ["text"]))
-    assert [r["text"] for r in sorted(df.collect(), key=lambda r: r["doc_id"])] == [
-        f"t{i}" for i in range(50)
-    ]
+    assert [(r["doc_id"], r["text"]) for r in sorted(df.collect(), key=lambda r: r["doc_id"])] == list(
+        enumerate([f"t{i}" for i in range(50)] + [f"u{i}" for i in range(5)])
+    )
 
 
 def test_articles_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'q"\n\\ž')], "doc_id long, text string")
     articles.write_articles(df, str(tmp_path / "a"))
-    read = articles.read_articles(spark, str(tmp_path / "a"), ["text"], key="doc_id")
+    read = articles.read_articles(spark, str(tmp_path / "a"), ["text"], "doc_id", LongType())
     assert read.collect() == df.collect()
 
 
@@ -79,9 +90,13 @@ def test_ragged_csv(spark, tmp_path):
 
 def test_ragged_csv_does_not_lose_words(spark, tmp_path):
     files.write_examples_csv(odd_examples(spark), str(tmp_path / "r"))
-    read = files.read_examples_csv(spark, str(tmp_path / "r"), 8, 4, 2)
-    with pytest.raises(Exception, match="more than 2"):
-        read.collect()
+    for cap in (1, 2, 3):
+        read = files.read_examples_csv(spark, str(tmp_path / "r"), 8, 4, cap)
+        for columns in (["x"], ["x", "oov"], read.columns):
+            with pytest.raises(Exception, match=f"more than {cap}"):
+                read.select(*columns).collect()
+    keyed = files.read_examples_csv(spark, str(tmp_path / "r"), 8, 4, 6, key="row")
+    assert sorted(r["row"] for r in keyed.collect()) == [0, 1, 2]
 
 
 def test_examples_parquet(spark, tmp_path):
@@ -116,12 +131,20 @@ def test_new_files_are_encoded_once(spark, tmp_path):
         rows = [(doc_id, "a b a", "b c")]
         new = spark.createDataFrame(rows, "doc_id long, source string, target string")
         new.write.mode("append").json(source)
-        stream = article_stream(spark, source, ["source", "target"], "doc_id")
+        stream = article_stream(spark, source, ["source", "target"], "doc_id", LongType())
         encode_new_articles(stream, vocab, 5, 4, 3, 2, out, state).awaitTermination(120)
         return sorted((r["doc_id"], r["x"], r["y"]) for r in files.read_examples(spark, out).collect())
 
+    joined = str(tmp_path / "joined")
     assert arrive(1) == [(1, [4, 6, 4, 0], [6, 3, 2])]
     assert arrive(2) == [(1, [4, 6, 4, 0], [6, 3, 2]), (2, [4, 6, 4, 0], [6, 3, 2])]
+    stream = article_stream(spark, source, ["source", "target"], "doc_id", LongType())
+    run = encode_new_articles(
+        stream, vocab, 5, 4, 3, 2, joined, str(tmp_path / "state2"), lookup="join"
+    )
+    run.awaitTermination(120)
+    read = files.read_examples(spark, joined)
+    assert example_rows(read) == example_rows(files.read_examples(spark, out))
 
 
 def write_lines(path, rows):

@@ -189,3 +189,39 @@ def test_large_vocabularies_are_joined(spark, monkeypatch):
     broadcast = search()
     monkeypatch.setattr(beam, "BROADCAST_ROWS", 1)
     assert search() == broadcast
+
+
+def test_no_joined_key_is_null_or_shared_by_closed_rows(spark):
+    rows = [(s, l, q, 0.0, l < 0) for s, l, q in ((1, -5, [2]), (4, 4, []), (5, -9, [4, 2]))]
+    state = spark.createDataFrame(rows, "start int, last int, seq array<int>, logp double, done boolean")
+    nexts = beam.prune_transitions(as_rows(spark, random_table(5)), 4, True)
+    for t in range(3):
+        state = beam._beam_step(state, nexts, t, 3, 1.0)
+        assert state.where("last IS NULL").count() == 0
+    shut = state.where("last < 0").collect()
+    assert len({r["last"] for r in shut}) == len(shut)
+
+
+def test_pruning_keeps_steps_that_rounding_makes_equal(spark):
+    rows = [(1, 9, -1.0), (1, 4, -1.0 - 1e-10), (1, 5, -1.5), (4, 7, -1.0), (4, 8, -1.0), (4, 9, -1.0)]
+    df = spark.createDataFrame(rows, "prev int, next int, logp double")
+    kept = beam.prune_transitions(df, 1, False).collect()
+    assert {(r["prev"], r["next"]) for r in kept} == {(1, 9), (1, 4), (4, 7)}
+
+
+def test_mixture_by_the_join_way_is_the_same(spark):
+    examples = spark.createDataFrame(
+        [(1, [4, 6, 0, 0], [4, 6, 2, 0]), (1, [5, 5, 5, 4], [4, 2, 0, 0])],
+        "doc_id int, x array<int>, y array<int>",
+    )
+    corpus = lm.corpus_distribution(examples, 5)
+    ways = [lm.mixture_nll(examples, corpus, 5, 0.8, lookup=w).collect() for w in ("inline", "join")]
+    assert sorted(ways[0]) == sorted(ways[1]) and len(ways[0]) == 2
+    assert len(lm.mixture_nll(examples, corpus, 300_000, 0.8).collect()) == 2
+
+
+def test_copying_and_coverage_need_no_shuffle(spark):
+    examples = spark.createDataFrame([(1, [4, 6])], "doc_id int, x array<int>")
+    docs = spark.createDataFrame([(1, "A b.")], "doc_id int, text string")
+    for df in (lm.copy_distribution(examples), lm.coverage_repetition(docs)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

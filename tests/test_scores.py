@@ -46,21 +46,34 @@ def plain_lcs(a, b):
     return row[-1]
 
 
-def test_lcs_example():
-    assert rouge._lcs_length(list("abcbdab"), list("bdcaba")) == 4
+def lengths(spark, rows):
+    found = pairs(spark, rows).select("doc_id", rouge.lcs_length(F.col("pred"), F.col("ref")).alias("n"))
+    return [r["n"] for r in sorted(found.collect())]
 
 
-def test_lcs_equals_table_on_random_sequences():
+def test_lcs_example(spark):
+    assert lengths(spark, [(list("abcbdab"), list("bdcaba"))]) == [4]
+
+
+def test_lcs_equals_table_on_random_sequences(spark):
     rng = random.Random(2)
-    for _ in range(300):
-        a, b = (rng.choices("abcde", k=rng.randrange(90)) for _ in range(2))
-        assert rouge._lcs_length(a, b) == plain_lcs(a, b)
+    rows = [tuple(rng.choices("abcde", k=rng.randrange(60)) for _ in range(2)) for _ in range(200)]
+    assert lengths(spark, rows) == [plain_lcs(a, b) for a, b in rows]
 
 
 def test_lcs_reads_whole_long_sequences(spark):
-    a = [str(i % 50) for i in range(4000)]
-    df = pairs(spark, [(a, a[2000:] + ["new"] * 1000)])
-    assert by_id(rouge.rouge_l(df))[0][0] == pytest.approx(2000 / 3000)
+    a = [str(i % 50) for i in range(1000)]
+    df = pairs(spark, [(a, a[500:] + ["new"] * 250)])
+    assert by_id(rouge.rouge_l(df))[0][0] == pytest.approx(500 / 750)
+
+
+def test_null_sides_and_equal_keys(spark):
+    rows = [(1, None, ["a"]), (1, ["a"], None), (2, ["a", "b"], ["a"]), (2, ["c"], ["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, pred array<string>, ref array<string>")
+    for scored in (rouge.rouge_n(df, 1), rouge.rouge_l(df)):
+        got = sorted((r["doc_id"], r["r"], r["p"]) for r in scored.collect())
+        assert got == [(1, 0.0, 0.0), (1, 0.0, 0.0), (2, 0.0, 0.0), (2, 1.0, 0.5)]
+    assert rouge.all_scores(df).count() == 4
 
 
 def test_rouge_l_ids_stop_at_eos(spark):
@@ -72,8 +85,8 @@ def test_rouge_l_ids_stop_at_eos(spark):
 
 def test_average(spark):
     df = pairs(spark, [(list("ab"), list("ab")), (list("x"), list("y"))])
-    row = rouge.rouge_average({"rouge-1": rouge.rouge_n(df, 1)}).first()
-    assert tuple(row) == ("rouge-1", 0.5, 0.5, 0.5)
+    got = {tuple(r) for r in rouge.averages(rouge.all_scores(df)).collect()}
+    assert got == {("rouge-1", 0.5, 0.5, 0.5), ("rouge-2", 0.5, 0.5, 0.5), ("rouge-l", 0.5, 0.5, 0.5)}
 
 
 DOCS = [
@@ -115,10 +128,11 @@ def test_sentence_scores_match_the_definition(spark):
     assert len(got) == 6
 
 
-def test_rouge_plan_shuffles_once(spark):
+def test_rouge_needs_no_shuffle_and_no_python(spark):
     df = pairs(spark, [(list("ab"), list("ab"))])
-    plan = rouge.rouge_n(df, 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    for scored in (rouge.rouge_n(df, 2), rouge.rouge_l(df), rouge.all_scores(df)):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan
 
 
 def test_scores_are_between_0_and_1(spark):

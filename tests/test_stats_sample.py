@@ -37,13 +37,15 @@ def test_cutoff_bands_are_open(spark):
 
 def test_histogram_closes_the_last_bin(spark):
     rows = stats.histogram(counts(spark, [0, 1, 9, 10, 10]), bins=10).orderBy("bin").collect()
-    assert [(r["bin"], r["n"]) for r in rows] == [(0, 1), (1, 1), (9, 3)]
+    assert [(r["bin"], r["n"]) for r in rows if r["n"]] == [(0, 1), (1, 1), (9, 3)]
+    assert [r["bin"] for r in rows] == list(range(10))
     assert rows[-1]["high"] == pytest.approx(10)
 
 
 def test_histogram_of_one_value(spark):
     rows = stats.histogram(counts(spark, [5, 5])).collect()
-    assert [(r["bin"], r["n"], r["shown"]) for r in rows] == [(0, 2, True)]
+    assert [(r["bin"], r["n"], r["shown"]) for r in rows if r["n"]] == [(0, 2, True)]
+    assert len(rows) == 100 and stats.histogram(counts(spark, [])).collect() == []
 
 
 def test_report_without_cutoff_has_no_shares(spark):
@@ -77,17 +79,20 @@ def test_batches(spark):
     ]
 
 
-def test_kth_key_narrows_large_ranges(spark, monkeypatch):
-    monkeypatch.setattr(sample, "SMALL_RANGE", 20)
-    monkeypatch.setattr(sample, "NARROWING_PARTS", 5)
+def test_kth_key(spark):
     keys = [i * i - 500 for i in range(400)]
     df = keyed(spark, keys)
     assert [sample.kth_key(df, "k", k) for k in (1, 57, 400)] == [keys[0], keys[56], keys[399]]
+    assert sample.kth_key(df, "k", 401) is None
+    assert sample.kth_key(keyed(spark, [4] * 10), "k", 7) == 4
 
 
-def test_kth_key_of_equal_keys_ends(spark, monkeypatch):
-    monkeypatch.setattr(sample, "SMALL_RANGE", 3)
-    assert sample.kth_key(keyed(spark, [4] * 10), "k", 7) == 4
+def test_string_keys(spark):
+    keys = [f"{i}:{i % 7}" for i in range(300)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    got = {r["k"]: (r["batch_id"], r["row_in_batch"]) for r in sample.batches(df, "k", 16).collect()}
+    assert got == {k: divmod(i, 16) for i, k in enumerate(sorted(keys))}
+    assert sorted(r[0] for r in sample.head_fraction(df, "k", 0.1).collect()) == sorted(keys)[:30]
 
 
 def test_head_fraction_rounds_up(spark):
