@@ -46,7 +46,7 @@ class UnspacedEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.special = special_pattern(self.tokenizer)
+        self.special = special_pattern(path)
         self.words = ChunkCache(self._ids)
         self.cache = ChunkCache(self._chunks)
         with open(path, encoding="utf-8") as file:

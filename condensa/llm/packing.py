@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,32 +13,13 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from condensa.llm.common import parallelism
-from condensa.llm.pieces import SpacedChunks, as_bytes, load_tokenizer, special_pattern
+from condensa.llm.pieces import SpacedChunks, as_bytes, load_tokenizer, merge_ranks, special_pattern
 from condensa.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
 
 
-def _bytes_of_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
-def ranks_of(path: str) -> dict[bytes, int] | None:
-    """Token bytes to id of a byte-level BPE file whose ids are the order of its merges; else None."""
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
-    letters, vocab = _bytes_of_letters(), model["vocab"]
-    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    in_order = all(a < b for a, b in zip(made, made[1:])) and min(made, default=0) >= 256
-    if not in_order or model.get("end_of_word_suffix"):
-        return None
-    return {bytes(letters[c] for c in t): i for t, i in vocab.items() if set(t) <= letters.keys()}
-
-
 class SpacedEncoder:
     """Ids, as little-endian 32-bit bytes, of a byte-level tokenizer file that keeps spaces.
 
@@ -49,19 +29,22 @@ class SpacedEncoder:
     """
 
     def __init__(self, path: str, pattern: str):
-        self.tokenizer = load_tokenizer(path)
-        self.special = special_pattern(self.tokenizer)
-        ranks = ranks_of(path)
+        self.path = path
+        self.special = special_pattern(path)
+        ranks = merge_ranks(path)
         if ranks:
-            special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-            plain = {t: i for t, i in ranks.items() if i not in special.values()}
-            merges = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=plain, special_tokens={})
+            merges = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             self.chunks = SpacedChunks(
                 lambda asked: [as_bytes(merges.encode_ordinary(c)) for c in asked]
             )
         else:
             self.chunks = SpacedChunks(self._ids)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, which many tasks never need."""
+        return load_tokenizer(self.path)
+
     def _ids(self, asked: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
         return [as_bytes(f.ids) for f in found]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -26,7 +27,7 @@ class ChunkCache:
     """Values of chunks: `compute` is asked for a list of those not known.
 
     When the newer generation is full it becomes the older one, so memory is bounded and what is in
-    use stays. Uneven chunks are never kept, so whatever is found is even.
+    use stays. What the caller names in `unkept` is never found later.
     """
 
     def __init__(self, compute: Callable[[list[str]], list[bytes]], size: int = CACHE_CHUNKS):
@@ -39,7 +40,13 @@ class ChunkCache:
         found = list(map(self.new.get, wanted))
         return found, [i for i, v in enumerate(found) if v is None] if None in found else []
 
-    def fill(self, wanted: list[str], found: list[bytes | None], places: list[int]) -> list[bytes]:
+    def fill(
+        self,
+        wanted: list[str],
+        found: list[bytes | None],
+        places: list[int],
+        unkept: frozenset[str] | set[str] = frozenset(),
+    ) -> list[bytes]:
         absent = list({wanted[i]: None for i in places})
         known = {c: v for c in absent if (v := self.old.get(c)) is not None}
         asked = [c for c in absent if c not in known]
@@ -47,7 +54,10 @@ class ChunkCache:
             known.update(zip(asked, self.compute(asked)))
         for i in places:
             found[i] = known[wanted[i]]
-        self.new.update((c, v) for c, v in known.items() if len(c) <= LONGEST_KEPT and not uneven(c))
+        self.new.update(known)
+        for c in known:
+            if len(c) > LONGEST_KEPT or c in unkept:
+                del self.new[c]
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
         return found
@@ -80,7 +90,8 @@ class SpacedChunks:
 
     No match of such a pattern spans a single space between two other characters, so texts are cut
     there, and a chunk with its space has the same ids everywhere. `compute` gives the ids of whole
-    strings. Texts with other white space next to a space are cut by a slower rule.
+    strings. Texts with other white space next to a space are cut by a slower rule; they are told by
+    their uneven chunks, which are never kept and so never found.
     """
 
     def __init__(self, compute: Callable[[list[str]], list[bytes]]):
@@ -93,7 +104,7 @@ class SpacedChunks:
             cut = [t.split(" ") for t in group]
             heads, rest = [parts[0] for parts in cut], [c for parts in cut for c in parts[1:]]
             found, places = self.later.known(rest)
-            odd = {rest[i] for i in places if uneven(rest[i])} | {h for h in heads if uneven(h)}
+            odd = {c for c in {rest[i] for i in places}.union(heads) if uneven(c)}
             if odd:
                 cut = [
                     parts if odd.isdisjoint(parts) else SINGLE_SPACE.split(t)
@@ -101,8 +112,9 @@ class SpacedChunks:
                 ]
                 heads, rest = [parts[0] for parts in cut], [c for parts in cut for c in parts[1:]]
                 found, places = self.later.known(rest)
+                odd = {c for c in {rest[i] for i in places} if uneven(c)}
             first = self.first.values(heads)
-            later = self.later.fill(rest, found, places)
+            later = self.later.fill(rest, found, places, odd)
             at = 0
             for parts, head in zip(cut, first):
                 end = at + len(parts) - 1
@@ -119,8 +131,43 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def special_pattern(tokenizer) -> re.Pattern | None:
-    """Matches the special tokens of a tokenizer; their strings in texts are single ids."""
-    strings = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+#: Stands behind the last byte of a word; no UTF-8 text has it.
+WORD_END = b"\xff"
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes to id of a byte-level BPE file whose ids are the order of its merges; else None.
+
+    A suffix for the end of a word becomes `WORD_END`. Ids are that order if those of merges rise and
+    are above those of single bytes, with and without the suffix. Special tokens are left out.
+    """
+    with open(path, encoding="utf-8") as file:
+        tokenizer = json.load(file)
+    model, letters = tokenizer["model"], _bytes_of_letters()
+    vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+    special = {t["content"] for t in tokenizer["added_tokens"]}
+    ranks = {}
+    for token, i in vocab.items():
+        ends = bool(suffix) and token.endswith(suffix)
+        plain = token[: len(token) - len(suffix)] if ends else token
+        if token not in special and set(plain) <= letters.keys():
+            ranks[bytes(letters[c] for c in plain) + WORD_END * ends] = i
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    singles = [i for t, i in ranks.items() if len(t.removesuffix(WORD_END)) <= 1]
+    rising = all(a < b for a, b in zip(made, made[1:]))
+    return ranks if rising and made and max(singles) < made[0] else None
+
+
+def special_pattern(path: str) -> re.Pattern | None:
+    """Matches the special tokens of a tokenizer file; their strings in texts are single ids."""
+    with open(path, encoding="utf-8") as file:
+        strings = [t["content"] for t in json.load(file)["added_tokens"]]
     longest_first = sorted(strings, key=len, reverse=True)
     return re.compile("|".join(map(re.escape, longest_first))) if strings else None

@@ -25,8 +25,7 @@ BATCH_DOCS = 8192
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
-    tokenizer = load_tokenizer(path)
-    return tokenizer, special_pattern(tokenizer)
+    return load_tokenizer(path), special_pattern(path)
 
 
 def pretokens(text: str, pattern: regex.Pattern, special) -> list[str]:
