@@ -20,12 +20,21 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from condensa.llm.common import parallelism
-from condensa.llm.pieces import ChunkCache, as_bytes, groups, load_tokenizer, special_pattern
+from condensa.llm.pieces import (
+    WORD_END,
+    ChunkCache,
+    as_bytes,
+    groups,
+    load_tokenizer,
+    merge_ranks,
+    special_pattern,
+)
 
 BLOCK_IDS = 65_536  # a multiple of 8
 CHUNK_IDS = 1 << 20
@@ -40,15 +49,22 @@ class UnspacedEncoder:
     """Ids, as little-endian 32-bit bytes, of a tokenizer that drops white space.
 
     A chunk between spaces has the same ids everywhere. New chunks of plain letters are cut by the
-    tokenizer's own pattern in lower case, so that the library sees each word once, whatever its
-    case and the marks next to it; it sees other chunks as they are.
+    file's own pattern in lower case, so that each word is encoded once, whatever its case and the
+    marks next to it; other chunks, and texts that hold a special token, go to the tokenizers library.
+    Where the ids of the file are the order of its merges, words are merged by tiktoken from the file's
+    own vocabulary, which gives the library's ids at a small part of its time; a word that is a token
+    by itself is asked from the library, as the two take different ways to it.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.special = special_pattern(path)
-        self.words = ChunkCache(self._ids)
         self.cache = ChunkCache(self._chunks)
+        ranks = merge_ranks(path)
+        if ranks:
+            merges = tiktoken.Encoding("file", pat_str=".", mergeable_ranks=ranks, special_tokens={})
+            self.merge = merges._core_bpe.encode_single_piece
+        self.words = ChunkCache(self._merged if ranks else self._ids)
         with open(path, encoding="utf-8") as file:
             steps = json.load(file)
         splits = steps["pre_tokenizer"]["pretokenizers"]
@@ -58,6 +74,11 @@ class UnspacedEncoder:
         found = self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)
         return [as_bytes(f.ids) for f in found]
 
+    def _merged(self, asked: list[str]) -> list[bytes]:
+        found = [self.merge(word.encode() + WORD_END) for word in asked]
+        single = iter(self._ids([word for word, ids in zip(asked, found) if len(ids) == 1]))
+        return [as_bytes(ids) if len(ids) > 1 else next(single) for ids in found]
+
     def _chunks(self, asked: list[str]) -> list[bytes]:
         plain = [
             c.isascii() or (max(c) < PLAIN and EXCEPT not in c and is_normalized("NFC", c))
