@@ -130,7 +130,8 @@ def stale_reply_pairs(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     conversation's first assistant turn said or, if it is that turn itself, echoes the turn before
     it (nothing, if there is none): replies that a preference model should learn to rank below.
     Turns are ordered by number, then role and text. A conversation without an assistant has equal
-    sides; turns with a null key form one conversation.
+    sides; turns with a null key form one conversation. A conversation is one row of the result, so it
+    has to fit into a task; conversations with equal turns stay rows of their own.
     """
     turn = F.struct("turn", "role", "text")
     whole = turns.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
