@@ -64,6 +64,22 @@ def bucket_units(members: DataFrame, bucket: list[str], node: str, chunk: int =
     where both are the same chunk, `side` is 0. Every pair of members meets in exactly one unit.
     """
     sized = members.withColumn("_n", F.count("*").over(Window.partitionBy(*bucket))).where("_n > 1")
+    return _paired_chunks(sized, node, chunk)
+
+
+def counted_units(members: DataFrame, bucket: str, node: str, chunk: int) -> DataFrame:
+    """The units of `bucket_units`, where most buckets hold few: only larger ones are counted apart.
+
+    Counts are added up in the map tasks, and members are not shuffled for them; `members` is read
+    twice. Buckets of one are a unit, too.
+    """
+    counts = members.groupBy(bucket).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
+    large = _small(materialize(counts, "large-buckets"))
+    sized = members.join(large, bucket, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return _paired_chunks(sized, node, chunk)
+
+
+def _paired_chunks(sized: DataFrame, node: str, chunk: int) -> DataFrame:
     cut = sized.withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int")).withColumn(
         "_own", F.pmod(F.xxhash64(node), "_chunks").cast("int")
     )

@@ -19,26 +19,33 @@ DISTANCE = 4
 BLOCKS = 7
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits: each is 1 where over half of the shingles' XXH64 have it; 0 without words.
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
+    """XXH64 of each run of `shingle` words, or of all words if they are fewer; none without words.
 
     A-Z are lower-cased; `bytes.split` cuts at just 0x20 and 0x09-0x0D. A shingle of the text
     whose words are joined by one space is a slice of it. Memory is a few words per shingle.
     """
     parts = text.lower().split()
     if not parts:
-        return 0
+        return []
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= shingle:
-        return digest(joined, SEED)
+        return [digest(joined, SEED)]
     starts, ends, at = [], [], 0
     for part in parts:
         starts.append(at)
         at += len(part)
         ends.append(at)
         at += 1
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """64 bits: each is 1 where over half of the shingles' XXH64 have it; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     set_bits = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(octets), 65_536):
@@ -143,9 +150,14 @@ def keep_one_per_group(
     Rows that repeat the smallest key with one fingerprint count as one document: one stays. Rows
     with a null key stay, as nothing says what they repeat.
     """
-    rest = [c for c in docs.columns if c != key]
     groups = simhash_groups(docs, key, text, **settings)
     first = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return first_rows(docs, key, first)
+
+
+def first_rows(docs: DataFrame, key: str, first: DataFrame) -> DataFrame:
+    """The rows of `docs` whose key is in `first`, one of each key, and those with a null key."""
+    rest = [c for c in docs.columns if c != key]
     once = docs.where(F.col(key).isNotNull()).join(first, key, "left_semi")
     mark = fresh("_copies", docs.columns)
     repeated = materialize(

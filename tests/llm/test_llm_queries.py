@@ -1,6 +1,7 @@
 """The registered queries of the package against their SQL, their contracts and the pipeline."""
 
 import os
+import random
 
 import corpus_pipeline
 import pytest
@@ -70,6 +71,32 @@ def test_pipeline_stages(spark):
     assert {(r["doc_id"], r["piece"]) for r in whole} == {(r["doc_id"], r["piece"]) for r in packed}
 
 
+def _jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    """Pairs of Jaccard 0.8 to 0.95 lose the copy, those below 0.8 and unlike texts stay."""
+    random.seed(11)
+    rows, copies, others = [], [], []
+    for i in range(300):
+        words = [f"w{random.randrange(5000)}" for _ in range(random.randint(80, 400))]
+        changed = list(words)
+        for at in random.sample(range(len(words)), max(1, round(len(words) * random.uniform(0.003, 0.04)))):
+            changed[at] = f"x{random.randrange(5000)}"
+        pair = " ".join(words), " ".join(changed)
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+        near = _jaccard(*pair)
+        if near <= 0.95:
+            (copies if near >= 0.8 else others).append(2 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF_DIR).collect()}
+    assert len(copies) > 100 and len(others) > 30
+    assert kept >= {2 * i for i in range(300)} | set(others)
+    assert len(kept & set(copies)) <= 0.03 * len(copies)
+
+
 def test_toxicity_stage_keeps_clean_documents(spark):
     folder = os.path.join(os.path.dirname(SF_DIR), "sf0.01")
     docs = spark.read.parquet(f"{folder}/documents.parquet")

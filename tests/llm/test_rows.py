@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from condensa.llm import bitplanes, bpe, classifier, itq, packing, preference, quality_rules
-from condensa.llm import simhash, token_counts, toxicity
+from condensa.llm import near_copies, simhash, token_counts, toxicity
 from condensa.llm.common import remainder
 from condensa.session import new_path
 
@@ -315,6 +315,23 @@ def test_one_row_of_each_group_stays(docs, none):
     assert simhash.keep_one_per_group(none).collect() == []
 
 
+def test_near_copies_of_one_group_in_many_units(spark, docs, none, monkeypatch):
+    """A chain of near copies whose ends are unlike is one group, in units of eight members, too."""
+    for name in ("CHUNK", "SET_CHUNK"):
+        monkeypatch.setattr(near_copies, name, 8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        rows.append((100 - i, " ".join(words)))
+        words[5 * i % 300] = f"x{i}"
+    table = spark.createDataFrame([*rows, (None, rows[0][1]), (200, "unlike")], "doc_id long, text string")
+    assert keys(near_copies.keep_one_per_group(table).collect()) == Counter([41, None, 200])
+    kept = near_copies.keep_one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert keys(kept.collect()) == Counter([1, 2, 4, None, 9007199254740993])
+    assert near_copies.keep_one_per_group(none).collect() == []
+
+
 # --- near vectors ---------------------------------------------------------------------
 
 
