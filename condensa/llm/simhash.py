@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from condensa.llm.common import fresh, map_texts
 from condensa.llm.graph import bucket_units, components, per_unit, stars
@@ -128,6 +131,18 @@ def simhash_groups(
     and go as one; rows that repeat a key are answered each. A null key gets a row, and a component
     in which every key is null has a null id. Other columns are not read.
     """
+    prints, grouped = _grouped(docs, key, text, distance, blocks)
+    least = grouped.groupBy("_group").agg(F.min("_least").alias("component_id"))
+    by_bits = grouped.join(least, "_group").select("_bits", "component_id")
+    return prints.join(by_bits, "_bits").select(
+        key, hex_digits(F.col("_bits")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(
+    docs: DataFrame, key: str, text: str, distance: int = DISTANCE, blocks: int = BLOCKS
+) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and `_bits, _least, _group` of each distinct one with its smallest key."""
     prints = materialize(fingerprints(docs, key, text), "fingerprints")
     distinct = prints.groupBy("_bits").agg(F.min(key).alias("_least"))
     distinct = materialize(distinct, "distinct-fingerprints")
@@ -135,11 +150,7 @@ def simhash_groups(
     label = label.withColumnRenamed("node", "_bits")
     group = F.coalesce("component", "_bits").alias("_group")
     grouped = materialize(distinct.join(label, "_bits", "left").select("_bits", "_least", group), "groups")
-    least = grouped.groupBy("_group").agg(F.min("_least").alias("component_id"))
-    by_bits = grouped.join(least, "_group").select("_bits", "component_id")
-    return prints.join(by_bits, "_bits").select(
-        key, hex_digits(F.col("_bits")).alias("fingerprint"), "component_id"
-    )
+    return prints, grouped
 
 
 def keep_one_per_group(
@@ -147,27 +158,56 @@ def keep_one_per_group(
 ) -> DataFrame:
     """The rows of `docs`, all columns, that are the first of their group (the smallest key).
 
-    Rows that repeat the smallest key with one fingerprint count as one document: one stays. Rows
-    with a null key stay, as nothing says what they repeat.
+    Rows that repeat the smallest key within one group count as one document: one stays, of the
+    smallest fingerprint. A key whose rows are in several groups is answered in each. Rows with a null
+    key stay, as nothing says what they repeat.
     """
-    groups = simhash_groups(docs, key, text, **settings)
-    first = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return first_rows(docs, key, first)
+    _, groups = _grouped(docs, key, text, **settings)
+    return first_rows(docs, key, text, groups, _fingerprints)
 
 
-def first_rows(docs: DataFrame, key: str, first: DataFrame) -> DataFrame:
-    """The rows of `docs` whose key is in `first`, one of each key, and those with a null key."""
+def first_rows(
+    docs: DataFrame, key: str, text: str, groups: DataFrame, prints: Callable[[list[bytes]], list]
+) -> DataFrame:
+    """One row of each group, of its smallest key and then print, and the rows with a null key.
+
+    `groups` (`_bits, _least, _group`) has every print of `docs` with its smallest key, and `prints`
+    gives the prints of texts. A key of one row has one print, so only rows of repeated keys are
+    read for it.
+    """
+    least = F.when(F.col("_least").isNotNull(), F.struct("_least", "_bits"))
+    first = groups.groupBy("_group").agg(F.min(least).alias("_first")).where("_first IS NOT NULL")
+    first = first.select(F.col("_first._least").alias(key), F.col("_first._bits").alias("_bits"))
     rest = [c for c in docs.columns if c != key]
-    once = docs.where(F.col(key).isNotNull()).join(first, key, "left_semi")
+    named = docs.where(F.col(key).isNotNull())
+    once = named.join(first.select(key).distinct(), key, "left_semi")
     mark = fresh("_copies", docs.columns)
     repeated = materialize(
-        docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(mark)).where(f"{mark} > 1"),
+        named.groupBy(key).agg(F.count("*").alias(mark)).where(f"{mark} > 1").select(key),
         "repeated-keys",
     )
     if not repeated.isEmpty():
-        twice = once.join(repeated.select(key), key, "left_semi")
-        single = once.join(repeated.select(key), key, "left_anti")
-        first_row = twice.groupBy(key).agg(F.min(F.struct(*rest)).alias(mark))
-        twice = first_row.select(key, *[F.col(f"{mark}.`{c}`").alias(c) for c in rest])
-        once = single.select(*docs.columns).unionByName(twice.select(*docs.columns))
+        single = once.join(repeated, key, "left_anti")
+        own = fresh("_print", docs.columns)
+        twice = with_prints(once.join(repeated, key, "left_semi"), text, prints, own)
+        twice = twice.join(first.withColumnRenamed("_bits", own), [key, own], "left_semi")
+        one = twice.groupBy(key, own).agg(F.min(F.struct(*rest)).alias(mark))
+        one = one.select(key, *[F.col(f"{mark}.`{c}`").alias(c) for c in rest])
+        once = single.select(*docs.columns).unionByName(one.select(*docs.columns))
     return once.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+
+
+def with_prints(
+    docs: DataFrame, text: str, prints: Callable[[list[bytes]], list], name: str
+) -> DataFrame:
+    """`docs` with the prints of its texts (a null one counts as empty) as the column `name`."""
+    place = docs.columns.index(text)
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(place).to_pylist()]
+            columns = [*batch.columns, pa.array(prints(texts)[0])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(run, schema=schema)

@@ -332,6 +332,15 @@ def test_near_copies_of_one_group_in_many_units(spark, docs, none, monkeypatch):
     assert near_copies.keep_one_per_group(none).collect() == []
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one_per_group, near_copies.keep_one_per_group])
+def test_unlike_rows_of_one_key_are_judged_each(spark, keep):
+    """Key 5 has a text of its own, twice, another of its own, and a copy of key 1's."""
+    own, other, copy = "one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g"
+    rows = [(1, copy), (5, own), (5, copy), (5, other), (5, own), (7, other), (5, None)]
+    found = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, found)) == Counter([(1, copy), (5, own), (5, other), (5, None)])
+
+
 # --- near vectors ---------------------------------------------------------------------
 
 
