@@ -277,7 +277,10 @@ def mine_terms(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str], D
 
 
 def _near_by_chance(counted: DataFrame, terms: tuple[str, ...]) -> frozenset[str]:
-    """Words of clean texts that are near a term and no likelier in toxic ones; few, as terms are few."""
+    """All words of clean texts that are near a term and no likelier in toxic ones.
+
+    They are words of the training sample, at most `TRAINING_DOCS` documents a class, and few of those.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = TermAutomaton(terms)
@@ -286,8 +289,8 @@ def _near_by_chance(counted: DataFrame, terms: tuple[str, ...]) -> frozenset[str
             yield frame.loc[near, ["word"]]
 
     common = counted.where("clean >= 1 AND clean >= toxic / 4").select("word")
-    near = common.mapInPandas(run, schema="word string").orderBy("word").limit(100_000)
-    return frozenset(r["word"] for r in near.collect())
+    near = common.mapInPandas(run, schema="word string").toArrow()
+    return frozenset(near.column("word").to_pylist())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -316,8 +319,8 @@ def train(
 ) -> Model:
     """The model of the labelled rows that `learn` (a condition on the labels table) allows.
 
-    The sample, the lexicon and the words near it by chance are bounded by parameters, whatever the
-    size of the tables. Without toxic or clean examples there are no terms, and the constant is the
+    The sample and the lexicon are bounded by parameters, whatever the size of the tables; the words
+    near the lexicon by chance are all that the sample has. Without toxic or clean examples there are no terms, and the constant is the
     share of toxic ones, or 1 in 100.
     """
     rows = materialize(training_rows(docs, labels, learn, key, label, most), "toxicity-training")

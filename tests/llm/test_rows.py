@@ -503,6 +503,18 @@ def test_learned_terms_catch_unseen_documents(spark):
     assert all(r["predicted"] == 1 for r in toxicity.score(odd, model).collect()[1:])
 
 
+def test_all_words_near_a_term_are_ordinary(spark):
+    letters, term = "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponm"
+    words = {
+        term[:i] + a + term[i + 1 : j] + b + term[j + 1 :]
+        for i in range(14) for j in range(i + 1, 14) for a in letters for b in letters
+    } | {term[:i] + a + term[i:j] + b + term[j:] for i in range(14) for j in range(i, 14) for a in letters for b in letters}
+    words = sorted(words - {term})
+    assert len(words) > 100_000
+    counted = spark.createDataFrame([(w, 0, 1) for w in words], "word string, toxic long, clean long")
+    assert toxicity._near_by_chance(counted, (term,)) == frozenset(words)
+
+
 # --- quality rules --------------------------------------------------------------------
 
 
