@@ -1,14 +1,17 @@
 """Preference formatting: shared turns once as prompt, the rest as two masked completions.
 
-Everything is array expressions over one row: no shuffle and no user function.
+Formatting a pair is array expressions over one row: no shuffle and no user function. Conversations
+that are too large for a row are formatted turn by turn.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.functions.text import bind
 from condensa.llm.common import fresh
+from condensa.operators.sample import ordered_index
+from condensa.session import materialize
 
 #: The marks of the chat format.
 OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
@@ -16,6 +19,10 @@ OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 DEFUSED = "<\u200b|"
 #: Turns of these roles are learned.
 LEARNED = ("assistant",)
+#: Turns, and bytes of roles and texts, that a conversation may have to be one row.
+WHOLE_TURNS, WHOLE_BYTES = 4096, 4 << 20
+#: Turns whose lengths are added up in one task.
+BLOCK = 65_536
 
 
 def _clean(turns: Column) -> Column:
@@ -131,7 +138,8 @@ def stale_reply_pairs(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     it (nothing, if there is none): replies that a preference model should learn to rank below.
     Turns are ordered by number, then role and text. A conversation without an assistant has equal
     sides; turns with a null key form one conversation. A conversation is one row of the result, so it
-    has to fit into a task; conversations with equal turns stay rows of their own.
+    has to fit into a task: `stale_reply_preferences` passes only those of a bounded size on to this.
+    Conversations with equal turns stay rows of their own.
     """
     turn = F.struct("turn", "role", "text")
     whole = turns.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
@@ -170,3 +178,133 @@ def _sides(s: Column) -> Column:
     return F.struct(
         F.transform(s["t"], plain).alias("chosen"), F.transform(s["t"], changed).alias("rejected")
     )
+
+
+def stale_reply_preferences(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """`format_preferences` of `stale_reply_pairs`, at any size of a conversation.
+
+    A conversation of at most `WHOLE_TURNS` turns and `WHOLE_BYTES` is a row. If there are larger ones,
+    the result has a column `place` more, null for those rows, and a larger conversation is a row for
+    each of its turns: `place` counts them from 0, each column has the turn's part of it (spans from
+    the start of the whole completion), and parts in order of `place` make up the whole.
+    """
+    size = F.coalesce(F.octet_length("role"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0))
+    counted = turns.groupBy(key).agg(F.count("*").alias("_n"), F.sum(size.cast("long")).alias("_bytes"))
+    large = counted.where((F.col("_n") > WHOLE_TURNS) | (F.col("_bytes") > WHOLE_BYTES))
+    large = materialize(large.select(F.col(key).alias("_large")), "large-conversations")
+    names = [
+        key, "n_common", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans",
+    ]
+    if large.isEmpty():
+        return format_preferences(stale_reply_pairs(turns, key)).select(*names)
+    # few, as each has many turns or bytes
+    is_large = turns[key].eqNullSafe(F.col("_large"))
+    small = turns.join(F.broadcast(large), is_large, "left_anti")
+    whole = format_preferences(stale_reply_pairs(small, key)).select(*names)
+    wide = "array<struct<start:bigint,end:bigint>>"
+    spans = {c: F.col(c).cast(wide) for c in ("chosen_spans", "rejected_spans")}
+    whole = whole.withColumns(spans | {"place": F.lit(None).cast("long")})
+    parts = _turn_parts(turns.join(F.broadcast(large), is_large, "left_semi"), key)
+    return whole.unionByName(parts.select(*whole.columns))
+
+
+def _turn_parts(turns: DataFrame, key: str) -> DataFrame:
+    """The turns of large conversations, rendered each: no task holds a conversation.
+
+    Turns get places over ranges, and what a conversation is cut at comes from aggregates that are added
+    up in the map tasks. Offsets are running sums over blocks of places.
+    """
+    columns = [F.col(key).alias("_key"), "turn", "role", "text"]
+    # the last column spreads equal turns over ranges
+    tied = turns.select(*columns, F.monotonically_increasing_id().alias("_tie"))
+    placed = ordered_index(tied, "_key", "turn", "role", "text", "_tie").drop("_tie")
+    reply = F.when(F.col("role") == "assistant", F.col("idx"))
+    found = placed.groupBy("_key").agg(
+        F.min("idx").alias("_low"), F.count("*").alias("_n"),
+        F.min(reply).alias("_first"), F.max(reply).alias("_last"),
+    )
+    before = F.when(F.col("_last") > F.col("_low"), F.col("_last") - 1)
+    source = F.when(F.col("_first") == F.col("_last"), before).otherwise(F.col("_first"))
+    found = materialize(found.withColumn("_source", source), "large-places")
+    ends = found.select(F.explode(F.array("_source", "_last")).alias("idx"))
+    ends = ends.where("idx IS NOT NULL").distinct()
+    texts = placed.join(F.broadcast(ends), "idx").select("idx", F.coalesce("text", F.lit("")).alias("_t"))
+    texts = materialize(texts, "large-ends")
+    worse = texts.select(F.col("idx").alias("_source"), F.col("_t").alias("_worse"))
+    better = texts.select(F.col("idx").alias("_last"), F.col("_t").alias("_better"))
+    replaced = found.where("_last IS NOT NULL").join(worse, "_source", "left").join(better, "_last")
+    replaced = replaced.withColumn("_worse", F.coalesce("_worse", F.lit("")))
+    replaced = replaced.where("_worse <> _better").select(F.col("_last").alias("idx"), "_worse")
+    replaced = materialize(replaced, "stale-replies")
+    # sides differ in the last reply or nowhere
+    differs = replaced.select(F.col("idx").alias("_last"), F.lit(True).alias("_differs"))
+    common = F.when(F.col("_differs"), F.col("_last") - F.col("_low")).otherwise(F.col("_n"))
+    cuts = found.join(differs, "_last", "left").select(
+        F.col("_key").alias("_of"), "_low", common.cast("long").alias("n_common")
+    )
+    cuts = materialize(cuts, "large-cuts")
+
+    met = placed.join(F.broadcast(cuts), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of")
+    met = met.join(replaced, "idx", "left")
+    role = F.coalesce("role", F.lit("user"))
+    text = F.coalesce("text", F.lit(""))
+    chosen = F.struct(role.alias("role"), text.alias("text"))
+    rejected = F.struct(role.alias("role"), F.coalesce("_worse", text).alias("text"))
+    shared = F.col("idx") < F.col("_low") + F.col("n_common")
+    drawn = met.select(
+        "_key", "idx", "n_common", "_low", shared.alias("_shared"), role.isin(*LEARNED).alias("_learned"),
+        F.length(_head(chosen)).alias("_head"),
+        F.concat(_head(chosen), _body(chosen)).alias("_c"),
+        F.concat(_head(rejected), _body(rejected)).alias("_r"),
+    )
+    drawn = drawn.withColumns(
+        {
+            "_block": F.floor(F.col("idx") / BLOCK),
+            "_c_size": F.when(F.col("_shared"), 0).otherwise(F.length("_c")).cast("long"),
+            "_r_size": F.when(F.col("_shared"), 0).otherwise(F.length("_r")).cast("long"),
+        }
+    )
+    drawn = materialize(drawn, "large-turns")
+    sums = drawn.groupBy("_block").agg(F.sum("_c_size").alias("_c_sum"), F.sum("_r_size").alias("_r_sum"))
+    # one row per block: the window without partitions sees no more than that
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+
+    offsets = sums.select(
+        "_block", running("_c_sum", earlier).alias("_c_off"), running("_r_sum", earlier).alias("_r_off")
+    )
+    places = drawn.select("idx", "_low", "_key", "_block", "_c_size", "_r_size").join(
+        F.broadcast(offsets), "_block"
+    )
+    places = places.select(
+        "idx", "_low", "_key",
+        (F.col("_c_off") + running("_c_size", inside)).alias("_c_at"),
+        (F.col("_r_off") + running("_r_size", inside)).alias("_r_at"),
+    )
+    places = materialize(places, "large-offsets")
+    starts = places.where("idx = _low").select(
+        "_low", F.col("_c_at").alias("_c_start"), F.col("_r_at").alias("_r_start")
+    )
+    at = places.select("idx", "_c_at", "_r_at")
+    rows = drawn.join(at, "idx").join(F.broadcast(starts), "_low")
+
+    def part(side: str) -> Column:
+        return F.when(~F.col("_shared"), F.col(side)).otherwise("")
+
+    def spans(side: str) -> Column:
+        at = F.col(f"{side}_at") - F.col(f"{side}_start")
+        span = F.struct((at + F.col("_head")).alias("start"), (at + F.col(f"{side}_size")).alias("end"))
+        none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+        return F.when(F.col("_learned") & ~F.col("_shared"), F.array(span)).otherwise(none)
+
+    return rows.select(
+        F.col("_key").alias(key),
+        (F.col("idx") - F.col("_low")).alias("place"),
+        "n_common",
+        F.when(F.col("_shared"), F.col("_c")).otherwise("").alias("prompt"),
+        part("_c").alias("chosen_text"), spans("_c").alias("chosen_spans"),
+        part("_r").alias("rejected_text"), spans("_r").alias("rejected_spans"),
+    )

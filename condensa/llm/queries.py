@@ -59,13 +59,17 @@ def _span_text(spans: str) -> Column:
 
 @query
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against itself with a stale last reply."""
+    """Every conversation against itself with a stale last reply.
+
+    Conversations over the bound of a row are a row for each turn, with its `place`.
+    """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    formatted = preference.format_preferences(preference.stale_reply_pairs(turns))
+    formatted = preference.stale_reply_preferences(turns)
+    place = [c for c in formatted.columns if c == "place"]
     return formatted.select(
         "conv_id", "n_common", "prompt", "chosen_text",
         _span_text("chosen_spans").alias("chosen_spans"),
-        "rejected_text", _span_text("rejected_spans").alias("rejected_spans"),
+        "rejected_text", _span_text("rejected_spans").alias("rejected_spans"), *place,
     )
 
 

@@ -602,3 +602,33 @@ def test_preferences_are_native(spark):
     assert by_key[1]["n_common"] == 1 and "q<|end|>" in by_key[1]["rejected_text"]
     assert by_key[2]["chosen_text"] == "" and set(by_key) == {1, 2, None}
     assert preference.format_preferences(preference.stale_reply_pairs(turns.limit(0))).collect() == []
+
+
+def test_large_conversations_are_rows_of_turns(spark, monkeypatch):
+    """Parts in order of place are what the whole row has; a large conversation is in no row."""
+    random.seed(4)
+    rows = [(k, t, random.choice(["user", "assistant", None]), random.choice(["a <|b", "cc", None]))
+            for k, n in ((1, 40), (2, 3), (None, 50), (3, 12), (4, 11)) for t in range(n)]
+    rows += [(5, 0, "user", "q")] * 30 + [(6, 0, "assistant", "r")] + [(6, 1, "user", "s")] * 20
+    rows += [(7, t, "user", "x") for t in range(14)] + [(7, 14, "assistant", "y"), (7, 15, "user", "z")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = preference.format_preferences(preference.stale_reply_pairs(turns)).collect()
+    assert "place" not in preference.stale_reply_preferences(turns).columns
+    monkeypatch.setattr(preference, "WHOLE_TURNS", 11)
+    monkeypatch.setattr(preference, "BLOCK", 7)
+    made = preference.stale_reply_preferences(turns)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "place" in made.columns
+    parts = {}
+    for r in made.collect():
+        parts.setdefault(r["conv_id"], []).append(r)
+    assert set(parts) == {r["conv_id"] for r in whole}
+    for w in whole:
+        own = sorted(parts[w["conv_id"]], key=lambda r: r["place"] or 0)
+        size = sum(r[0] == w["conv_id"] for r in rows)
+        assert [r["place"] for r in own] == ([None] if size <= 11 else list(range(size)))
+        assert {r["n_common"] for r in own} == {w["n_common"]}
+        for name in ("prompt", "chosen_text", "rejected_text"):
+            assert "".join(r[name] for r in own) == w[name]
+        for name in ("chosen_spans", "rejected_spans"):
+            assert [tuple(s) for r in own for s in r[name]] == [tuple(s) for s in w[name]]
