@@ -15,11 +15,13 @@ from condensa.llm import (
     packing,
     preference,
     quality_rules,
+    runs,
     simhash,
     token_counts,
     toxicity,
 )
-from condensa.llm.common import remainder
+from condensa.functions.text import bind
+from condensa.llm.common import remainder, words
 from condensa.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +128,50 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+def _with_period(text: Column, key: str, found: Column) -> Column:
+    """The words, those from some place on replaced by a period of them, joined by one space."""
+    g = F.floor(F.crc32(F.col(key).cast("string").cast("binary")) / 10)
+    n = F.size(found)
+
+    def repeated(w: Column) -> Column:
+        a = (g % F.size(w)).cast("int")
+        p = (1 + F.floor((F.size(w) - a) / (3 + g % 8))).cast("int")
+        return bind(
+            F.struct(a.alias("a"), p.alias("p")),
+            lambda at: F.transform(
+                w,
+                lambda word, i: F.when(i < at["a"], word).otherwise(
+                    F.get(w, at["a"] + (i - at["a"]) % at["p"])
+                ),
+            ),
+        )
+
+    return F.when(n > 0, F.array_join(bind(found, repeated), " ")).otherwise(text)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents in which every tenth, by the checksum of its key, has a periodic end."""
+    chosen = remainder("doc_id", 10) == 0
+    planted = F.when(chosen, _with_period(F.col("text"), "doc_id", words(F.col("text"))))
+    return docs.select("doc_id", F.coalesce(planted, "text").alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_periods(documents(spark, sf_dir)))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # the longest; of those the first, of those the one of the shortest period
+    order = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r.alias("run")))
+    longest = found.withColumn("longest", F.array_max(order)["run"])
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
