@@ -15,6 +15,7 @@ from condensa.llm import (
     packing,
     preference,
     quality_rules,
+    repair,
     runs,
     simhash,
     token_counts,
@@ -175,3 +176,35 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, without end marks, repeated or of another role, by their checksum."""
+    blank = F.lit(" ")
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    drawn = turns.withColumn("draw", F.crc32(name.cast("binary")) % 20).where("draw <> 0")
+    text = F.coalesce("text", blank)
+    changed = (
+        F.when(F.col("draw") == 1, "")
+        .when(F.col("draw") == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text)
+    )
+    role = F.when(F.col("draw") == 4, "user").otherwise(F.coalesce("role", blank))
+    times = F.array_repeat(F.lit(0), F.when(F.col("draw") == 3, 2).otherwise(1))
+    rows = drawn.select("conv_id", "turn", role.alias("role"), changed.alias("text"), F.explode(times).alias("copy"))
+    return rows.drop("copy")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = repair.conversations(repair.repair(damaged_turns(turns)))
+    every = turns.select(F.col("conv_id").alias("own")).distinct()
+    met = every.join(found, F.col("own").eqNullSafe(F.col("conv_id")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return met.select(
+        F.col("own").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
