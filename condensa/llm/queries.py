@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from condensa.llm import (
     bitplanes,
     bpe,
+    brown,
     classifier,
     itq,
     packing,
@@ -208,3 +209,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query
+def op13_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = remainder("doc_id", 10)
+    scored = brown.class_scores(documents(spark, sf_dir), drawn != 0)
+    return scored.withColumn("held_out", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)))
