@@ -8,13 +8,13 @@ often it occurs.
 The units that are clustered are the most frequent words and, for all others, groups of words with the same
 ending; so every word has a class, and a class is looked up without a join. Pairs of neighbouring units
 are counted over the whole corpus and dealt by unit. A round of exchange computes for each unit what the
-likelihood gains by moving it to each class, next to the one table of class pairs; moves that do not
-raise the likelihood together are taken back by halves.
+likelihood gains by moving it to each class, next to the one table of class pairs. All units that gain
+move together until that lowers the likelihood; from then on half of them do, another half each round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from zlib import crc32
@@ -31,9 +31,9 @@ from condensa.session import materialize
 #: Words that are units of their own, groups of endings of all others, and characters of an ending.
 HEADS, ENDINGS, ENDING_CHARS = 8192, 2048, 3
 #: Classes of words, besides the one of the text's ends, and rounds of exchange.
-CLASSES, ROUNDS = 64, 8
+CLASSES, ROUNDS = 64, 12
 #: UTF-8 bytes of the texts of a batch, unless one text alone has more.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 #: Packets of words for each partition of a shuffle, and ranges that units are dealt in.
 PACKETS, RANGES = 4, 64
 # Fixed values of the base score: what is added to each count.
@@ -190,6 +190,10 @@ class Units:
     heads: tuple[str, ...]
     endings: int = ENDINGS
 
+    def __post_init__(self):
+        if self.number >= 1 << 16:
+            raise ValueError("pairs of units are 32-bit numbers: fewer heads or endings")
+
     @property
     def number(self) -> int:
         return len(self.heads) + self.endings + 1
@@ -248,24 +252,31 @@ def _pairs(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.Recor
             if not len(after):
                 continue
             before = np.concatenate([[n - 1], after[:-1]])  # the end of a text begins the next
-            for side, (own, other) in enumerate(((before, after), (after, before))):
-                keys, counts = np.unique(own * n + other, return_counts=True)
-                cuts = np.searchsorted(keys // n * RANGES // n, np.arange(RANGES + 1))
+            met, times = np.unique(before * n + after, return_counts=True)
+            for side in (0, 1):
+                own, other = (met // n, met % n)[:: 1 - 2 * side]
+                # frequent units, which have the low numbers, spread over all ranges
+                order = np.argsort(own % RANGES, kind="stable")
+                keys, counts = (own * n + other)[order].astype(np.uint32), times[order].astype(np.uint32)
+                cuts = np.searchsorted((own % RANGES)[order], np.arange(RANGES + 1))
                 spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 columns = [
                     pa.array([k for k, _, _ in spans], pa.int32()),
                     pa.array([side] * len(spans), pa.int32()),
                     pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
-                    pa.array([counts[a:b].astype(np.int64).tobytes() for _, a, b in spans], pa.binary()),
+                    pa.array([counts[a:b].tobytes() for _, a, b in spans], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["range", "side", "pairs", "counts"])
 
 
 def _summed(group: pa.Table) -> pa.Table:
     """One row of all pairs of a range and side."""
-    keys, at = np.unique(_numbers(b"".join(group.column("pairs").to_pylist())), return_inverse=True)
-    counts = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(counts, at, _numbers(b"".join(group.column("counts").to_pylist())))
+    keys = _numbers(b"".join(group.column("pairs").to_pylist()), np.uint32)
+    counts = _numbers(b"".join(group.column("counts").to_pylist()), np.uint32)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, counts = keys[starts], np.add.reduceat(counts, starts, dtype=np.int64)
     own = [group.column(c)[0].as_py() for c in ("range", "side")]
     columns = [
         pa.array(own[:1], pa.int32()), pa.array(own[1:], pa.int32()),
@@ -282,7 +293,7 @@ def _class_pairs(rows: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
         found = np.zeros(k * k, dtype=np.int64)
         for batch in batches:
             for pairs, counts in zip(batch.column("pairs").to_pylist(), batch.column("counts").to_pylist()):
-                keys = _numbers(pairs)
+                keys = _numbers(pairs, np.uint32).astype(np.int64)
                 at = classes[keys // n] * k + classes[keys % n]
                 np.add.at(found, at, _numbers(counts))
         seen = np.flatnonzero(found)
@@ -331,14 +342,15 @@ def move_gains(table: np.ndarray, own: int, after: np.ndarray, before: np.ndarra
     return rest
 
 
-def _proposals(pairs: DataFrame, classes: np.ndarray, table: np.ndarray) -> list:
-    """`unit, target, gain` of the units that gain by a move; one row a unit at most."""
+def _proposals(pairs: DataFrame, classes: np.ndarray, table: np.ndarray, wanted: Callable) -> list:
+    """`unit, target, gain` of the units that gain by a move and are `wanted`; one row a unit at most."""
     n, k = len(classes), len(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place in range(batch.num_rows):
-                sides = [_numbers(batch.column(c)[place].as_py() or b"") for c in range(4)]
+                own = [batch.column(c)[place].as_py() or b"" for c in range(4)]
+                sides = [_numbers(v, (np.uint32, np.int64)[c % 2]).astype(np.int64) for c, v in enumerate(own)]
                 units = np.unique(np.concatenate([sides[0] // n, sides[2] // n]))
                 units = units[units < n - 1]
                 near = np.zeros((2, len(units) + 1, k), dtype=np.int64)
@@ -352,6 +364,8 @@ def _proposals(pairs: DataFrame, classes: np.ndarray, table: np.ndarray) -> list
                         np.add.at(itself, row[~unlike], counts[~unlike])
                 found = []
                 for i, unit in enumerate(units.tolist()):
+                    if not wanted(unit):
+                        continue
                     gains = move_gains(table, int(classes[unit]), near[0, i], near[1, i], int(itself[i]))
                     target = int(gains.argmax())
                     if gains[target] > 1e-6:
@@ -367,8 +381,9 @@ def exchange(pairs: DataFrame, units: int, classes: int = CLASSES, rounds: int =
     """The class of each unit, the table of class pairs, and the likelihood round by round.
 
     `pairs` has one row for each range and side. Units begin in the class of their number modulo
-    `classes`, so every class has one of the most frequent words. All units that gain move at once, each
-    as if alone; if the likelihood falls by that, the half that gains least stays, and so on.
+    `classes`, so every class has one of the most frequent words. Units that gain move at once, each as if
+    alone. If the likelihood falls by that, half of them stay, and only half of all units move in each
+    round from then on.
     """
     k = classes + 1
     current = np.arange(units) % classes
@@ -380,8 +395,13 @@ def exchange(pairs: DataFrame, units: int, classes: int = CLASSES, rounds: int =
     both = materialize(sides[0].join(sides[1], "range", "full").select("p0", "c0", "p1", "c1"), "unit-pairs")
     table = _class_pairs(pairs, current, k)
     course = [likelihood(table)]
-    for _ in range(rounds):
-        moves = sorted(_proposals(both, current, table), key=lambda m: (-m[2], m[0]))
+    halved = False
+    for turn in range(rounds):
+
+        def own_turn(unit: int) -> bool:
+            return crc32(f"{unit}:{turn}".encode()) % 2 == 0
+
+        moves = _proposals(both, current, table, own_turn if halved else lambda unit: True)
         while moves:
             tried = current.copy()
             tried[[m[0] for m in moves]] = [m[1] for m in moves]
@@ -390,9 +410,8 @@ def exchange(pairs: DataFrame, units: int, classes: int = CLASSES, rounds: int =
                 current, table = tried, found
                 course.append(likelihood(found))
                 break
-            moves = moves[: len(moves) // 2]
-        else:
-            break
+            moves = [m for m in moves if own_turn(m[0])] if not halved else moves[::2] if len(moves) > 1 else []
+            halved = True
     return current, table, course
 
 
