@@ -6,6 +6,8 @@ side counts as empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.functions.ids import EOS, ngrams, until_eos
@@ -116,6 +118,20 @@ def _not_below(rising: Column, value: Column) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
+def _places(ref: Column, shared: Column) -> Column:
+    """The places of shared tokens, by token and from right to left, next to their tokens."""
+    numbered = F.transform(ref, lambda t, i: F.struct(t.alias("t"), (-i).alias("i")))
+    ordered = F.array_sort(F.filter(numbered, lambda n: F.array_contains(shared, n["t"])))
+    return bind(
+        ordered,
+        lambda places: F.struct(
+            shared.alias("shared"),
+            F.transform(places, lambda n: n["t"]).alias("tokens"),
+            F.transform(places, lambda n: -n["i"]).alias("places"),
+        ),
+    )
+
+
 def lcs_length(pred: Column, ref: Column) -> Column:
     """Length of the longest common subsequence of two arrays.
 
@@ -133,25 +149,35 @@ def lcs_length(pred: Column, ref: Column) -> Column:
         )
 
     def of_pair(pair: Column) -> Column:
-        shared = F.array_intersect(pair["pred"], pair["ref"])
-        numbered = F.transform(pair["ref"], lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-        places = F.reverse(F.filter(numbered, lambda n: F.array_contains(shared, n["t"])))
-
-        def step(tails: Column, token: Column, found: Column) -> Column:
-            own = F.transform(F.filter(found, lambda n: n["t"] == token), lambda n: n["i"])
-            return F.aggregate(own, tails, place)
+        return bind(
+            F.array_sort(F.array_intersect(pair["pred"], pair["ref"])),
+            lambda shared: bind(_places(pair["ref"], shared), lambda m: of_places(pair["pred"], m)),
+        )
 
+    def of_places(tokens: Column, m: Column) -> Column:
         return bind(
-            places,
-            lambda found: F.size(
-                F.aggregate(
-                    F.filter(pair["pred"], lambda t: F.array_contains(shared, t)),
-                    F.array().cast("array<int>"),
-                    lambda tails, token: step(tails, token, found),
-                )
+            F.transform(m["shared"], lambda t: _not_below(m["tokens"], t)),
+            lambda starts: F.size(
+                F.aggregate(tokens, F.array().cast("array<int>"), of_token(m, starts))
             ),
         )
 
+    def of_token(m: Column, starts: Column) -> Callable[[Column, Column], Column]:
+        """Takes up all places of a token: a slice that the token's rank among shared ones tells."""
+
+        def step(tails: Column, token: Column) -> Column:
+            def taken(k: Column) -> Column:
+                start = F.get(starts, k)
+                end = F.coalesce(F.get(starts, k + 1), F.size(m["places"]))
+                return F.when(
+                    F.get(m["shared"], k) == token,
+                    F.aggregate(F.slice(m["places"], start + 1, end - start), tails, place),
+                ).otherwise(tails)
+
+            return bind(_not_below(m["shared"], token), taken)
+
+        return step
+
     return bind(F.struct(pred.alias("pred"), ref.alias("ref")), of_pair)
 
 

@@ -13,14 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.session import materialize
 
-#: Rows that a range holds on average, at most.
-RANGE_ROWS = 500_000
-
 
 def ranges(df: DataFrame) -> int:
-    """Ranges for the rows of `df`: as many as shuffles have, and more when rows are many."""
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, usual, math.ceil(df.count() / RANGE_ROWS))
+    """Ranges for the rows of `df`: as many partitions as its session's shuffles have."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ordered_index(
@@ -28,8 +24,9 @@ def ordered_index(
 ) -> DataFrame:
     """`df` with the 0-based position of every row in the given order.
 
-    The dealt rows are written to the shared folder: the borders of the ranges come from a sample, and
-    counts and places have to see the same ones.
+    The dealt rows are written to the shared folder and counted there: the borders of the ranges come from a
+    sample, and counts and places have to see the same ones. `df` is read for the sample and for the
+    rows, so a derived one should be written before.
     """
     part, row, offset = "_part", "_row", "_offset"
     dealt = df.repartitionByRange(parts or ranges(df), *order)
@@ -60,37 +57,55 @@ def batches(df: DataFrame, key: str, batch_size: int) -> DataFrame:
     )
 
 
+def ordered_keys(df: DataFrame, key: str) -> DataFrame:
+    """`key, idx` of all rows, from keys that are written once, whatever `df` is derived from."""
+    return ordered_index(materialize(df.select(key), "keys"), key)
+
+
+def _up_to(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """The rows of `df` up to the n-th key; only that key reaches the driver, as a filter of the scan."""
+    if n <= 0:
+        return df.where(F.lit(False))
+    last = keys.where(F.col("idx") == n - 1).first()
+    return df if last is None else df.where(F.col(key) <= F.lit(last[key]))
+
+
 def kth_key(df: DataFrame, key: str, k: int):
-    """The k-th smallest key (from 1), exactly; only that key reaches the driver."""
-    found = ordered_index(df.select(key), key).where(F.col("idx") == k - 1).first()
+    """The k-th smallest key (from 1), exactly."""
+    found = ordered_keys(df, key).where(F.col("idx") == k - 1).first()
     return found[key] if found else None
 
 
 def head_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first `n` rows in key order, as a filter on the key that reaches the scan."""
-    if n <= 0:
-        return df.where(F.lit(False))
-    last = kth_key(df, key, n)
-    return df if last is None else df.where(F.col(key) <= F.lit(last))
+    """The first `n` rows in key order."""
+    return _up_to(df, key, ordered_keys(df, key), n)
 
 
 def head_fraction(df: DataFrame, key: str, proportion: float = 1.0) -> DataFrame:
     """The first `ceil(proportion * n)` rows in key order."""
     if proportion >= 1.0:
         return df
-    return head_rows(df, key, math.ceil(proportion * df.count()))
+    keys = ordered_keys(df, key)
+    return _up_to(df, key, keys, math.ceil(proportion * keys.count()))
 
 
 def evaluated_rows(
-    df: DataFrame, key: str, batch_size: int, total_batches: int, samples: int
+    df: DataFrame, key: str, batch_size: int, total_batches: int | None, samples: int
 ) -> DataFrame:
-    """The first `total_batches * batch_size` rows, after checking the sizes."""
+    """The first `total_batches * batch_size` rows, after checking the sizes.
+
+    Without `total_batches` as many whole batches as leave a row over.
+    """
+    keys = ordered_keys(df, key)
+    n = keys.count()
+    if total_batches is None:
+        total_batches = max(0, n - 1) // batch_size
     wanted = total_batches * batch_size
     if samples >= wanted:
         raise ValueError(f"{samples} samples do not fit in {wanted} evaluated rows")
-    if df.count() <= wanted:
+    if n <= wanted:
         raise ValueError(f"the data must have more than {wanted} rows")
-    return head_rows(df, key, wanted)
+    return _up_to(df, key, keys, wanted)
 
 
 def random_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from condensa.operators.sample import ordered_index
 from condensa.session import materialize
@@ -10,6 +10,8 @@ from condensa.session import materialize
 HEAD_ROWS = 50_000
 #: Rows that a table may have to be broadcast; they are counted first.
 BROADCAST_ROWS = 1_000_000
+#: Rows that are put in order by one task; they are counted first.
+ONE_TASK_ROWS = 200_000
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -17,13 +19,37 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _least_weight(rows: DataFrame, weight: str, k: int) -> tuple | None:
+    """The k-th largest weight, or the least one, and how many rows weigh as much or more.
+
+    From the histogram of weights, which are whole numbers: it has one row for each that occurs, and of
+    counts that add up to N no more than the root of 2 N differ.
+    """
+    histogram = rows.groupBy(F.col(weight).alias("w")).agg(F.count("*").alias("n"))
+    so_far = histogram.withColumn("before", F.sum("n").over(Window.orderBy(F.desc("w"))) - F.col("n"))
+    last = so_far.where(F.col("before") < k).orderBy("w").first()
+    return last and (last["w"], last["before"] + last["n"])
+
+
 def heaviest(rows: DataFrame, weight: str, key: str, k: int) -> DataFrame:
-    """The `k` rows of largest `weight`, ties by `key`, with their place `idx`.
+    """The `k` rows of largest `weight` (a whole number), ties by `key`, with their place `idx`.
 
-    A plain top-k sends `k` rows of every partition to one task. Here the rows are dealt by range of
-    weight and key, so a range, however many ties there are, is all that a task sorts.
+    A plain top-k sends `k` rows of every partition to one task, and a total order moves all rows. Here
+    `rows` is written once, its histogram tells the least weight that counts, and only rows of that
+    weight or more are put in order: in one task where they are few, by ranges of weight and key where
+    ties make them many.
     """
-    return ordered_index(rows, F.desc(weight), F.col(key)).where(F.col("idx") < k)
+    written = materialize(rows, "weights")
+    found = _least_weight(written, weight, k)
+    if found is None:
+        return written.select("*", F.lit(0).cast("long").alias("idx")).where(F.lit(False))
+    least, n = found
+    heavy = written.where(F.col(weight) >= F.lit(least)) if least is not None else written
+    order = [F.desc(weight), F.col(key)]
+    if n > ONE_TASK_ROWS:
+        return ordered_index(heavy, *order).where(F.col("idx") < k)
+    place = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
+    return heavy.withColumn("idx", place).where(F.col("idx") < k)
 
 
 def attach_by_key(

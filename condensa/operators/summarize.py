@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.functions.text import flatten_newlines, split_sentences, word_tokens
 from condensa.operators.skew import attach_by_key
-from condensa.operators.vocab import word_counts
+from condensa.session import materialize
 
 # scores that differ by rounding noise only count as equal; ties go to the earlier sentence
 SCORE_DIGITS = 6
@@ -36,8 +36,13 @@ def _sentence_scores(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
         key, F.posexplode_outer(sentences_of("text")).alias("pos", "sentence")
     ).select(key, "pos", F.explode_outer(word_tokens("sentence")).alias("word"))
     counted = tokens.groupBy(key, "word", "pos").agg(F.count("word").alias("c"))
-    terms = counted.withColumn("tf", F.sum("c").over(Window.partitionBy(key, "word")))
-    frequency = word_counts(docs, F.array_distinct(word_tokens("text")))
+    of_word = Window.partitionBy(key, "word")
+    terms = counted.withColumn("tf", F.sum("c").over(of_word)).withColumn(
+        "first", F.row_number().over(of_word.orderBy("pos")) == 1
+    )
+    terms = materialize(terms, "terms")  # read for document frequencies, frequent words and weights
+    frequency = terms.where("first AND word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
+    terms = terms.drop("first")
     weighted = attach_by_key(terms, frequency, "word", "n")
     total = docs.agg(F.count("*")).scalar()
     scored = (

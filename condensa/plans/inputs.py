@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from condensa.functions.ids import EOS, UNK
 from condensa.functions.text import (
     bind,
+    first_word_token,
     flatten_newlines,
     split_sentences,
     word_tokens,
@@ -14,6 +15,7 @@ from condensa.functions.text import (
 from condensa.operators.encode import encode_examples
 from condensa.operators.lookup import attach_to_rows, lookup_id, way, word_table
 from condensa.operators.sample import ordered_index
+from condensa.operators.skew import attach_by_key
 from condensa.operators.vocab import build_vocab, word_counts
 from condensa.session import materialize, spread
 
@@ -113,10 +115,17 @@ def document_ids(docs: DataFrame, vocab: DataFrame, lookup: str = "auto") -> Dat
     return rows.select("doc_id", found.alias("ids"))
 
 
-def document_starts(ids: DataFrame) -> DataFrame:
-    """`ex_id, start` from `document_ids`: the first token id; eos for an empty document."""
-    first = F.coalesce(F.get("ids", F.lit(0)), F.lit(EOS))
-    return ids.select(F.col("doc_id").alias("ex_id"), first.alias("start"))
+def document_starts(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """`ex_id, start`: the id of the first token alone, no other one is cut; eos for an empty document."""
+    word = first_word_token(F.coalesce("text", F.lit("")))
+    if way("auto", VOCAB_SIZE) == "inline":
+        found = docs.withColumn("_words", word_table(vocab))
+        start = F.when(word.isNull(), EOS).otherwise(lookup_id(F.col("_words"), word))
+        return found.select(F.col("doc_id").alias("ex_id"), start.alias("start"))
+    firsts = docs.select(F.col("doc_id").alias("ex_id"), word.alias("word"))
+    known = attach_by_key(materialize(firsts, "first-words"), vocab, "word", "id")
+    start = F.when(F.col("word").isNull(), EOS).otherwise(F.coalesce("id", F.lit(UNK)))
+    return known.select("ex_id", start.cast("int").alias("start"))
 
 
 def lead_pairs(docs: DataFrame) -> DataFrame:

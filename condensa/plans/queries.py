@@ -402,8 +402,7 @@ def head_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many whole batches as the documents fill, in key order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
-    whole = (docs.count() - 1) // P.BATCH_SIZE
-    return sample.evaluated_rows(docs, "doc_id", P.BATCH_SIZE, whole, P.SAMPLES)
+    return sample.evaluated_rows(docs, "doc_id", P.BATCH_SIZE, None, P.SAMPLES)
 
 
 @query
@@ -535,9 +534,10 @@ def evaluate_first_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = P.written_vocabulary(docs)
     summaries = summarize.extractive_summary(docs, P.SUMMARY_SENTENCES)
     cut = F.array_join(F.slice(T.word_tokens("summary"), 1, P.TY - 1), " ")
-    whole = (P.doc_pairs(docs).count() - 1) // P.BATCH_SIZE
+    examples = materialize(P.examples(docs, vocab), "examples")
+    whole = (examples.count() - 1) // P.BATCH_SIZE
     result = evaluate(
-        P.examples(docs, vocab),
+        examples,
         summaries.select("doc_id", cut.alias("pred_summary")),
         vocab,
         P.VOCAB_SIZE,
@@ -646,7 +646,7 @@ def _starts_and_transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
     vocab = P.written_vocabulary(docs)
     ids = P.document_ids(docs, vocab)
     counts = lm.bigram_counts(ids, F.col("ids"), F.lit(I.SOS), F.lit(I.EOS))
-    starts = materialize(P.document_starts(P.document_ids(docs, vocab)), "starts")
+    starts = materialize(P.document_starts(docs, vocab), "starts")
     return starts, lm.bigram_transitions(counts, bounded=True)
 
 

@@ -123,17 +123,18 @@ def plain_beam(table, start, bw, max_len, alpha, norm, block_unk):
     return best, bool(shut), len(shut)
 
 
+@pytest.mark.parametrize("lookup", ["inline", "join"])
 @pytest.mark.parametrize("bw, norm, block", [(1, "divide", True), (3, "multiply", True), (4, "divide", False)])
-def test_beam_equals_loops(spark, bw, norm, block):
+def test_beam_equals_loops(spark, bw, norm, block, lookup):
     table = random_table(bw)
     starts = [(100 + i, s) for i, s in enumerate([1, 4, 5, 6, 4, 8, 3])]
     df = spark.createDataFrame(starts, "ex_id int, start int")
     got = beam.beam_search(
-        df, as_rows(spark, table), 9, bw, 5, 0.7, norm, block
+        df, as_rows(spark, table), 9, bw, 8, 0.7, norm, block, lookup=lookup
     ).collect()
     assert len(got) == len(starts)
     for row in got:
-        (score, seq), done, n = plain_beam(table, row["start"], bw, 5, 0.7, norm, block)
+        (score, seq), done, n = plain_beam(table, row["start"], bw, 8, 0.7, norm, block)
         assert tuple(row["seq"]) == seq
         assert row["score"] == pytest.approx(score)
         assert (row["done"], row["n_finished"]) == (done, n)
@@ -154,41 +155,58 @@ def test_wide_beam_finds_the_best_of_all(spark):
     assert (row["score"], tuple(row["seq"])) == (pytest.approx(best[0]), best[1])
 
 
-def test_nothing_finished_gives_the_best_open_one(spark):
+@pytest.mark.parametrize("lookup", ["inline", "join"])
+def test_nothing_finished_gives_the_best_open_one(spark, lookup):
     table = {1: {4: math.log(0.6), 5: math.log(0.4)}, 4: {4: 0.0}, 5: {4: 0.0}}
     df = spark.createDataFrame([(1, 1), (2, 7)], "ex_id int, start int")
-    got = {r["ex_id"]: r for r in beam.beam_search(df, as_rows(spark, table), 9, 2, 3).collect()}
+    got = {r["ex_id"]: r for r in beam.beam_search(df, as_rows(spark, table), 9, 2, 3, lookup=lookup).collect()}
     assert (got[1]["seq"], got[1]["done"], got[1]["n_finished"]) == ([4, 4, 4], False, 0)
     assert (got[2]["seq"], got[2]["done"]) == ([], False)
 
 
-def test_eos_is_not_allowed_first_in_a_beam(spark):
+@pytest.mark.parametrize("lookup", ["inline", "join"])
+def test_eos_is_not_allowed_first_in_a_beam(spark, lookup):
     table = {1: {2: math.log(0.9), 4: math.log(0.1)}, 4: {2: 0.0}}
     df = spark.createDataFrame([(1, 1)], "ex_id int, start int")
-    assert beam.beam_search(df, as_rows(spark, table), 9, 1, 3).first()["seq"] == [4, 2]
+    assert beam.beam_search(df, as_rows(spark, table), 9, 1, 3, lookup=lookup).first()["seq"] == [4, 2]
 
 
-def test_greedy(spark):
+@pytest.mark.parametrize("lookup", ["inline", "join"])
+def test_greedy(spark, lookup):
     table = {1: {4: math.log(0.6), 3: math.log(0.4)}, 4: {3: math.log(0.7), 2: math.log(0.3)}}
     df = spark.createDataFrame([(1, 1), (2, 4)], "ex_id int, start int")
     rows = as_rows(spark, table)
-    blocked = {r["ex_id"]: r for r in beam.greedy_path(df, rows, 9, 5, block_unk=True).collect()}
+    blocked = {r["ex_id"]: r for r in beam.greedy_path(df, rows, 9, 5, block_unk=True, lookup=lookup).collect()}
     assert (blocked[1]["seq"], blocked[1]["done"]) == ([4, 2], True)
     assert blocked[1]["logp"] == pytest.approx(math.log(0.6 * 0.3))
-    free = {r["ex_id"]: r for r in beam.greedy_path(df, rows, 9, 5).collect()}
+    free = {r["ex_id"]: r for r in beam.greedy_path(df, rows, 9, 5, lookup=lookup).collect()}
     assert (free[2]["seq"], free[2]["done"]) == ([3], False)
 
 
-def test_large_vocabularies_are_joined(spark, monkeypatch):
+def test_many_next_tokens_are_joined(spark, monkeypatch):
+    """By the count of next tokens a fold becomes joins, first broadcast and then shuffled ones."""
     table = random_table(5)
     df = spark.createDataFrame([(i, s) for i, s in enumerate([1, 4, 5])], "ex_id int, start int")
     search = lambda: sorted(
-        (r["ex_id"], tuple(r["seq"]), r["score"])
+        (r["ex_id"], tuple(r["seq"]), round(r["score"], 9))
         for r in beam.beam_search(df, as_rows(spark, table), 9, 3, 4).collect()
     )
-    broadcast = search()
+    folded = search()
+    monkeypatch.setattr(beam, "INLINE_NEXTS", 1)
+    monkeypatch.setattr(beam, "_beam_folds", None)
+    assert search() == folded
     monkeypatch.setattr(beam, "BROADCAST_ROWS", 1)
-    assert search() == broadcast
+    assert search() == folded
+
+
+def test_a_fold_has_no_exchange_for_its_steps(spark):
+    """However many steps, only the distinct starts are shuffled, and the answers joined."""
+    plans = []
+    for steps in (2, 40):
+        starts = spark.createDataFrame([(1, 1)], "ex_id int, start int")
+        found = beam.beam_search(starts, as_rows(spark, random_table(5)), 9, 3, steps)
+        plans.append(found._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+    assert plans[0] == plans[1] <= 6
 
 
 def test_no_joined_key_is_null_or_shared_by_closed_rows(spark):
