@@ -57,7 +57,7 @@ def prune_transitions(transitions: DataFrame, keep: int, block_unk: bool) -> Dat
     )
 
 
-def _length_factor(t: int, alpha: float, length_norm: str) -> float:
+def length_factor(t: int, alpha: float, length_norm: str) -> float:
     factor = (PENALTY + t) ** alpha / (PENALTY + 1) ** alpha
     return {"divide": 1 / factor, "multiply": factor}[length_norm]
 
@@ -84,7 +84,7 @@ def beam_search(
     encoding: `inline` for the fold, `join` for a join per step, or `auto` by the counted tokens.
     """
     nexts = _next_tokens(transitions, bw + 1, block_unk)
-    factors = [_length_factor(t, alpha, length_norm) for t in range(max_len)]
+    factors = [length_factor(t, alpha, length_norm) for t in range(max_len)]
     if _next_way(lookup, nexts, vocab_size) == "inline":
         answers = _beam_folds(starts, nexts, vocab_size, bw, factors)
     else:

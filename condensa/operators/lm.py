@@ -24,6 +24,12 @@ def copy_distribution(
     Without a weights column every real position weighs `1 / length`. All positions of an
     example lie in one row, so they are added up there, without a shuffle.
     """
+    rows = examples.select(key, F.explode_outer(copy_weights(ids, weights)).alias("e"))
+    return rows.where("e IS NOT NULL").select(key, "e.id", "e.p")
+
+
+def copy_weights(ids: str, weights: str | None = None) -> Column:
+    """`id, p` of each distinct real id of a row, by id, as an array."""
     if weights is None:
         real = bind(
             real_ids(ids),
@@ -32,8 +38,7 @@ def copy_distribution(
     else:
         pairs = F.arrays_zip(F.col(ids).alias("id"), F.col(weights).alias("w"))
         real = F.filter(pairs, lambda p: p["id"] != PAD)
-    rows = examples.select(key, F.explode_outer(_summed_runs(F.array_sort(real))).alias("e"))
-    return rows.where("e IS NOT NULL").select(key, "e.id", "e.p")
+    return _summed_runs(F.array_sort(real))
 
 
 def _summed_runs(sorted_pairs: Column) -> Column:

@@ -9,6 +9,8 @@ joined and come back to the row as a map (`attach_to_rows`); what is computed fr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.functions.ids import RESERVED_WORDS, UNK
@@ -65,9 +67,14 @@ def lookup_id(table: Column, word: Column) -> Column:
 
 
 def dense_table(
-    rows: DataFrame, index: str, value: str, size: int, limit: int = MAX_INLINE_WORDS
+    rows: DataFrame,
+    index: str,
+    value: str,
+    size: int,
+    limit: int = MAX_INLINE_WORDS,
+    shown: Callable[[Column], Column] = lambda v: v,
 ) -> Column:
-    """Scalar column: array of length `size` holding `value` at position `index`."""
+    """Scalar column: array of length `size` holding `value`, as `shown`, at position `index`."""
     if size > limit:
         raise ValueError(f"{size} entries are more than the {limit} an inline table may hold")
     slots = rows.sparkSession.range(size).select(F.col("id").cast("int").alias("_slot"))
@@ -77,7 +84,7 @@ def dense_table(
         "left",
     )
     ordered = F.array_sort(F.collect_list(F.struct("_slot", "_value")))
-    values = F.transform(ordered, lambda s: s["_value"])
+    values = F.transform(ordered, lambda s: shown(s["_value"]))
     return placed.agg(_checked(F.count("*"), limit, values)).scalar()
 
 

@@ -28,6 +28,7 @@ BATCH_SIZE = 64
 SUMMARY_SENTENCES = 3
 SAMPLES, SEED = 25, 7
 BEAM_WIDTH, PATH_LENGTH = 4, TY
+POINTER_LENGTH, COVERAGE = 8, 1.0
 PIECE_CHARS = 4
 
 

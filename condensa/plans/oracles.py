@@ -369,6 +369,77 @@ def beam(length_norm: str) -> str:
     )
 
 
+def pointer(coverage: float) -> str:
+    """Unrolled steps over every token that has any probability; `live`, `shut` as in `beam`."""
+    p_gen = f"{P.P_GEN}::DOUBLE"
+    # the trailing comma of a CTE list: both name the vocabulary and the words of documents
+    shared = [c for c in IDS if c not in ENCODED and not c.startswith("starts")]
+    ctes = [
+        *ENCODED, *shared, NAMES,
+        """copied AS MATERIALIZED (
+          SELECT doc_id, id, count(*) / any_value(size) AS p FROM (
+            SELECT *, count(*) OVER (PARTITION BY doc_id) AS size
+            FROM (SELECT doc_id, unnest(x) AS id FROM examples) WHERE id <> 0)
+          GROUP BY doc_id, id HAVING id <> 3)""",
+        """live_0 AS (SELECT doc_id, 1 AS last, CAST([] AS INTEGER[]) AS seq,
+             CAST([] AS DOUBLE[]) AS used, 0.0::DOUBLE AS logp FROM examples)""",
+    ]
+    shut, stuck = [], []
+    for t in range(P.POINTER_LENGTH):
+        allowed = "WHERE id <> 2" if t == 0 else ""
+        factor = 1 / ((5 + t) ** 0.7 / 6**0.7)
+        before = """coalesce(list_sum(list_transform(list_filter(range(1, len(seq) + 1),
+            lambda i: seq[i] = id), lambda i: used[i])), 0)"""
+        ctes.append(
+            f"""parts_{t} AS (
+              SELECT doc_id, seq, id, sum(own) AS own, sum(p) AS p FROM (
+                SELECT doc_id, seq, t.next AS id, 0.0::DOUBLE AS own, {p_gen} * exp(t.logp) AS p
+                FROM live_{t} l JOIN trans t ON l.last = t.prev
+                UNION ALL
+                SELECT doc_id, seq, c.id, (1.0::DOUBLE - {p_gen}) * c.p, (1.0::DOUBLE - {p_gen}) * c.p
+                FROM live_{t} JOIN copied c USING (doc_id)) {allowed} GROUP BY ALL)"""
+        )
+        ctes.append(
+            f"""top_{t} AS MATERIALIZED (
+              SELECT doc_id, CASE WHEN id >= {P.VOCAB_SIZE} THEN 3 ELSE id END AS last,
+                     list_append(seq, id) AS seq, list_append(used, own / p) AS used,
+                     l.logp + ln(p) - {coverage}::DOUBLE * least(own / p, {before}) AS logp
+              FROM parts_{t} JOIN live_{t} l USING (doc_id, seq)
+              QUALIFY row_number() OVER (PARTITION BY doc_id
+                ORDER BY round(l.logp + ln(p) - {coverage}::DOUBLE * least(own / p, {before}), 9) DESC,
+                  list_append(seq, id)) <= {P.BEAM_WIDTH})"""
+        )
+        ctes.append(f"live_{t + 1} AS MATERIALIZED (SELECT * FROM top_{t} WHERE last <> 2)")
+        shut.append(
+            f"SELECT doc_id, seq, logp * {factor!r}::DOUBLE AS score, true AS done FROM top_{t} WHERE last = 2"
+        )
+        stuck.append(
+            f"SELECT doc_id, seq, logp AS score, false AS done FROM live_{t} l WHERE NOT EXISTS "
+            f"(SELECT 1 FROM parts_{t} p WHERE p.doc_id = l.doc_id AND p.seq = l.seq)"
+        )
+    last = f"SELECT doc_id, seq, logp AS score, false AS done FROM live_{P.POINTER_LENGTH}"
+    ctes.append("found AS (" + "\nUNION ALL ".join([*shut, *stuck, last]) + ")")
+    ctes.append(
+        """answer AS (SELECT *, count(*) FILTER (done) OVER (PARTITION BY doc_id) AS n_finished
+             FROM found QUALIFY row_number() OVER (PARTITION BY doc_id
+               ORDER BY done DESC, round(score, 9) DESC, seq) = 1)"""
+    )
+    ctes.append(
+        f"""shown AS (
+          SELECT a.doc_id, string_agg(CASE WHEN a.id > {P.VOCAB_SIZE} THEN s.word
+              ELSE coalesce(n.word, '<unk>') END, ' ' ORDER BY a.pos) AS text
+          FROM (SELECT doc_id, unnest(seq) AS id, generate_subscripts(seq, 1) AS pos FROM answer) a
+            LEFT JOIN names n ON a.id = n.id
+            LEFT JOIN slots s ON a.doc_id = s.doc_id AND a.id = {P.VOCAB_SIZE} + s.k
+          WHERE a.id <> 2 GROUP BY a.doc_id)"""
+    )
+    return with_ctes(
+        *ctes,
+        body="""SELECT doc_id, array_to_string(seq, ' ') AS seq, round(score, 6) AS score, done,
+                  n_finished, coalesce(text, '') AS text FROM answer LEFT JOIN shown USING (doc_id)""",
+    )
+
+
 def greedy() -> str:
     ctes = [
         *IDS,
@@ -741,5 +812,8 @@ def all_oracles() -> dict[str, str]:
         ),
         "beam_search": beam("divide"),
         "beam_search_multiply": beam("multiply"),
+        "pointer_beam_search": pointer(0.0),
+        "pointer_beam_search_joined": pointer(0.0),
+        "pointer_beam_coverage": pointer(P.COVERAGE),
         "greedy_path": greedy(),
     }

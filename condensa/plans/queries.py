@@ -15,6 +15,7 @@ from condensa.operators import (
     beam,
     encode,
     lm,
+    pointer,
     rouge,
     sample,
     stats,
@@ -682,6 +683,49 @@ def greedy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.withColumn("seq", joined("seq")), "logp")
 
 
+def _pointer(spark: SparkSession, sf_dir: str, coverage: float, lookup: str) -> DataFrame:
+    """Every document's best sequence through its own source, as ids and as text."""
+    docs = P.documents(spark, sf_dir)
+    vocab = P.written_vocabulary(docs)
+    ids = P.document_ids(docs, vocab)
+    counts = lm.bigram_counts(ids, F.col("ids"), F.lit(I.SOS), F.lit(I.EOS))
+    examples = materialize(P.examples(docs, vocab), "examples")
+    found = pointer.pointer_beam_search(
+        examples,
+        lm.bigram_transitions(counts, bounded=True),
+        P.VOCAB_SIZE,
+        P.P_GEN,
+        I.SOS,
+        bw=P.BEAM_WIDTH,
+        max_len=P.POINTER_LENGTH,
+        coverage=coverage,
+        lookup=lookup,
+    )
+    with_words = found.join(examples.select("doc_id", "oov"), "doc_id")
+    shown = decode_words(
+        with_words, vocab, P.VOCAB_SIZE, {"seq": "text"}, remove_eos=True,
+        keep=("seq", "score", "done", "n_finished"),
+    )
+    return _rounded(shown.withColumn("seq", joined("seq")), "score")
+
+
+@query
+def pointer_beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pointer(spark, sf_dir, 0.0, "inline")
+
+
+@query
+def pointer_beam_search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the way for transitions too many for an inline table."""
+    return _pointer(spark, sf_dir, 0.0, "join")
+
+
+@query
+def pointer_beam_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copying the same words again costs."""
+    return _pointer(spark, sf_dir, P.COVERAGE, "inline")
+
+
 # --- piece mode -----------------------------------------------------------------------
 
 
