@@ -19,6 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -30,12 +31,15 @@ from condensa.llm.pieces import (
     WORD_END,
     ChunkCache,
     as_bytes,
-    groups,
     load_tokenizer,
     merge_ranks,
-    special_pattern,
+    special_strings,
 )
 
+#: Bytes of texts that are encoded together, a longer text by itself.
+GROUP_BYTES = 8 << 20
+#: Characters of a text that the borders between rows of one key are made of.
+BORDER_CHARS = 64
 BLOCK_IDS = 65_536  # a multiple of 8
 CHUNK_IDS = 1 << 20
 LEVEL = 3
@@ -58,7 +62,7 @@ class UnspacedEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.special = special_pattern(path)
+        self.special = special_strings(path)
         self.cache = ChunkCache(self._chunks)
         ranks = merge_ranks(path)
         if ranks:
@@ -92,14 +96,54 @@ class UnspacedEncoder:
             for found, p in zip(words, plain)
         ]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; texts that hold a special token go to the library whole."""
-        for group in groups(texts):
-            marked = [bool(self.special and self.special.search(t)) for t in group]
-            cut = [[] if m else t.split(" ") for t, m in zip(group, marked)]
-            known = iter(self.cache.values([c for parts in cut for c in parts]))
-            for text, mark, parts in zip(group, marked, cut):
-                yield self._ids([text])[0] if mark else b"".join(islice(known, len(parts)))
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of ids of neighbouring texts, and their ids one behind the other.
+
+        Chunks are told apart and put together again by Arrow; only distinct ones are looked up. Texts that
+        hold a special token go to the library whole.
+        """
+        for start, end in _bounded(texts):
+            group = texts[start:end]
+            marked = np.zeros(len(group), dtype=bool)
+            for string in self.special:
+                marked |= pc.match_substring(group, string).to_numpy(zero_copy_only=False).astype(bool)
+            for first, after in _stretches(marked):
+                part = group[first:after]
+                if marked[first]:
+                    ids = self._ids(part.to_pylist())
+                    yield np.array([len(i) // 4 for i in ids]), np.frombuffer(b"".join(ids), "<u4")
+                else:
+                    yield self._chunked(part)
+
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        known = self.cache.values(coded.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, known)]) // 4
+        lists = pa.ListArray.from_arrays(
+            pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(known), "<u4"))
+        )
+        before = np.concatenate([[0], np.cumsum(np.diff(ends)[coded.indices.to_numpy()])])
+        offsets = parts.offsets.to_numpy()
+        return np.diff(before[offsets - offsets[0]]), lists.take(coded.indices).flatten().to_numpy()
+
+
+def _bounded(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts of `GROUP_BYTES` together at most, or of one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + GROUP_BYTES, side="right")))
+        yield start, end
+        start = end
+
+
+def _stretches(marked: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of neighbours that are all marked or all not."""
+    changes = np.flatnonzero(marked[1:] != marked[:-1]) + 1
+    bounds = [0, *changes.tolist(), len(marked)]
+    return list(zip(bounds, bounds[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -150,6 +194,16 @@ def from_planes(planes: list[bytes], n_ids: int, width: int, block: int = BLOCK_
 KINDS = (pa.int32(), pa.int64(), pa.int32())
 
 
+def _with_ends(sizes: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes and ids of texts with `end_id` behind each."""
+    ends = np.cumsum(sizes + 1) - 1
+    found = np.empty(len(ids) + len(sizes), dtype="<u4")
+    inside = np.ones(len(found), dtype=bool)
+    inside[ends] = False
+    found[inside], found[ends] = ids, end_id
+    return sizes + 1, found
+
+
 def _one_list(values: pa.Array) -> pa.Array:
     """A column of one row that holds the values."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -174,53 +228,68 @@ def write_ids(
 ) -> None:
     """Writes the ids of every whole text, each with `end_id` behind, in ascending key order.
 
-    Texts are dealt by key range, one shard a range, and encoded after that: the texts move once and
+    Texts are dealt by ranges, one shard a range, and encoded after that: the texts move once and
     ids never do. A chunk is closed when it has `chunk_ids` ids, so a task holds one chunk and one
-    document. Null texts count as empty; a null key sorts first; equal keys are ordered by text.
-    `width` bits must hold every id, else writing fails.
+    group of documents. Null texts count as empty; a null key sorts first; rows of equal keys follow the first
+    characters and a hash of their texts, and may lie in several shards. Other columns are not read, an empty
+    table gives no chunks, a long text is encoded whole. `width` bits must hold every id, else writing fails.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    dealt = rows.repartitionByRange(parallelism(docs), "_key").sortWithinPartitions("_key", "_text")
+    rows = rows.withColumns(
+        {
+            "_start": F.substring("_text", 1, BORDER_CHARS),
+            "_hash": F.xxhash64("_text"),
+            "_tie": F.monotonically_increasing_id(),
+        }
+    )
+    order = ["_key", "_start", "_hash", "_tie"]
+    dealt = rows.repartitionByRange(parallelism(docs), *order).sortWithinPartitions(*order)
+    dealt = dealt.select("_key", "_text")
 
     schema = CHUNK_SCHEMA.format(kind=kind)
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = unspaced_encoder(tokenizer).encode
-        end = np.array([end_id], dtype="<u4").tobytes()
         shard = TaskContext.get().partitionId()
-        sizes: list[int] = []
-        parts: list[bytes] = []
+        sizes: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         keys: list[pa.Array] = []
         chunk = before = held = 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
+            ids = np.concatenate(parts)
             if int(ids.max()) >> width:
                 raise ValueError(f"an id does not fit into {width} bits")
             own = pa.concat_arrays(keys)
             numbers = [shard, chunk], [before, len(ids)], [width, block_ids]
             small, large, fixed = ([pa.array([n], k) for n in ns] for ns, k in zip(numbers, KINDS))
-            lists = [_one_list(own), _one_list(pa.array(sizes, pa.int64()))]
+            lists = [_one_list(own), _one_list(pa.array(np.concatenate(sizes), pa.int64()))]
             planes = _one_list(pa.array(to_planes(ids, width, block_ids), pa.binary()))
             columns = [*small, own[:1], own[-1:], *large, *fixed, *lists, planes]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            first = 0
-            for place, ids in enumerate(encode(batch.column(1).to_pylist())):
-                ids += end
-                sizes.append(len(ids) // 4)
-                parts.append(ids)
-                held += sizes[-1]
-                if held >= chunk_ids:
-                    keys.append(batch.column(0)[first : place + 1])
-                    yield closed()
-                    chunk, before, held = chunk + 1, before + held, 0
-                    keys, sizes, parts, first = [], [], [], place + 1
-            if first < batch.num_rows:
-                keys.append(batch.column(0)[first:])
+            place = 0
+            for lengths, ids in encode(batch.column(1)):
+                lengths, ids = _with_ends(lengths, ids, end_id)
+                ends = np.cumsum(lengths)
+                first = 0
+                while first < len(lengths):
+                    done = ends[first - 1] if first else 0
+                    after = int(np.searchsorted(ends, done + chunk_ids - held)) + 1
+                    full, after = after <= len(lengths), min(after, len(lengths))
+                    sizes.append(lengths[first:after])
+                    parts.append(ids[done : ends[after - 1]])
+                    keys.append(batch.column(0)[place + first : place + after])
+                    held += int(ends[after - 1] - done)
+                    first = after
+                    if full:
+                        yield closed()
+                        chunk, before, held = chunk + 1, before + held, 0
+                        keys, sizes, parts = [], [], []
+                place += len(lengths)
         if parts:
             yield closed()
 

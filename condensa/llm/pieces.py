@@ -165,9 +165,14 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
     return ranks if rising and made and max(singles) < made[0] else None
 
 
-def special_pattern(path: str) -> re.Pattern | None:
-    """Matches the special tokens of a tokenizer file; their strings in texts are single ids."""
+def special_strings(path: str) -> list[str]:
+    """The special tokens of a tokenizer file, longest first; their strings in texts are single ids."""
     with open(path, encoding="utf-8") as file:
         strings = [t["content"] for t in json.load(file)["added_tokens"]]
-    longest_first = sorted(strings, key=len, reverse=True)
-    return re.compile("|".join(map(re.escape, longest_first))) if strings else None
+    return sorted(strings, key=len, reverse=True)
+
+
+def special_pattern(path: str) -> re.Pattern | None:
+    """Matches the special tokens of a tokenizer file."""
+    strings = special_strings(path)
+    return re.compile("|".join(map(re.escape, strings))) if strings else None
