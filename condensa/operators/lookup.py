@@ -48,11 +48,13 @@ def _checked(rows: Column, limit: int, value: Column) -> Column:
     return F.when(rows > limit, F.raise_error(message)).otherwise(value)
 
 
-def word_table(vocab: DataFrame, limit: int = MAX_INLINE_WORDS) -> Column:
-    """Scalar column: `array<map<word, id>>`, indexed by the hash bucket of the word."""
+def word_table(
+    vocab: DataFrame, limit: int = MAX_INLINE_WORDS, value: str = "id", kind: str = "int"
+) -> Column:
+    """Scalar column: `array<map<word, value>>`, indexed by the hash bucket of the word."""
     spark = vocab.sparkSession
     filled = vocab.groupBy(_bucket(F.col("word")).alias("bucket")).agg(
-        F.collect_list(F.struct("word", F.col("id").cast("int").alias("id"))).alias("entries")
+        F.collect_list(F.struct("word", F.col(value).cast(kind).alias("value"))).alias("entries")
     )
     buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     rows = F.sum(F.coalesce(F.size("entries"), F.lit(0)))
@@ -61,9 +63,14 @@ def word_table(vocab: DataFrame, limit: int = MAX_INLINE_WORDS) -> Column:
     return buckets.join(filled, "bucket", "left").agg(_checked(rows, limit, maps)).scalar()
 
 
+def lookup_value(table: Column, word: Column) -> Column:
+    """The value of `word`, or null."""
+    return F.element_at(F.get(table, _bucket(word)), word)
+
+
 def lookup_id(table: Column, word: Column) -> Column:
     """The id of `word`, or the unknown id."""
-    return F.coalesce(F.element_at(F.get(table, _bucket(word)), word), F.lit(UNK))
+    return F.coalesce(lookup_value(table, word), F.lit(UNK))
 
 
 def dense_table(

@@ -529,6 +529,60 @@ PIECES = (
     VOCAB,
     *encoding(pieces=True),
 )
+
+
+def marked(text: str) -> str:
+    kept = f"list_filter(string_split(trim(regexp_replace({cleaned(text)}, ' +', ' ', 'g')), ' '), lambda w: w <> '')"
+    return f"list_transform({kept}, lambda w: '\u2581' || w)"
+
+
+# the last five: best totals end by end, then the cut from the end of each word
+SCORED = (
+    SENTS,
+    f"""marked AS MATERIALIZED (SELECT doc_id, {marked("array_to_string(s[2:], ' ')")} AS source,
+          {marked('s[1]')} AS target FROM sents WHERE len(s) > 1)""",
+    """all_words AS MATERIALIZED (SELECT w, count(*) AS n
+          FROM (SELECT unnest(list_concat(source, target)) AS w FROM marked) GROUP BY w)""",
+    f"""parts AS MATERIALIZED (SELECT w, n, st - 1 AS st, st - 1 + l AS en, substring(w, st, l) AS word
+          FROM (SELECT *, unnest(range(1, {P.PIECE_CHARS} + 1)) AS l
+                FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS st FROM all_words))
+          WHERE st + l - 1 <= length(w))""",
+    f"""vocab AS MATERIALIZED (
+          SELECT *, round(ln(n / sum(n) OVER ()), 6) AS score FROM (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n,
+                   CAST(row_number() OVER (ORDER BY sum(n) DESC, word) + 3 AS INTEGER) AS id
+            FROM parts GROUP BY word QUALIFY id <= {P.VOCAB_WORDS + 3}))""",
+    """edges AS (SELECT w, st, en, coalesce(v.score, CASE WHEN en - st = 1 THEN
+            (SELECT round(min(score) - 10, 6) FROM vocab) END) AS score
+          FROM parts LEFT JOIN vocab v USING (word))""",
+    """ends AS MATERIALIZED (SELECT w, en, list({'st': st, 'sc': score}) AS options
+          FROM edges WHERE score IS NOT NULL GROUP BY w, en)""",
+    """best AS (
+          SELECT w, 0::BIGINT AS e, [0.0::DOUBLE] AS totals, [0::BIGINT] AS starts FROM all_words
+          UNION ALL
+          SELECT w, e + 1, list_append(totals, c.v), list_append(starts, c.st) FROM (
+            SELECT b.*, list_sort(list_transform(options, lambda o:
+              {'r': -round(totals[o.st + 1] + o.sc, 9), 'st': o.st, 'v': totals[o.st + 1] + o.sc}))[1] AS c
+            FROM best b JOIN ends o ON o.w = b.w AND o.en = b.e + 1))""",
+    """back AS (
+          SELECT w, starts, length(w)::BIGINT AS place, CAST([] AS VARCHAR[]) AS pieces
+          FROM best WHERE e = length(w)
+          UNION ALL
+          SELECT w, starts, starts[place + 1], list_prepend(substring(w, starts[place + 1] + 1, place - starts[place + 1]), pieces)
+          FROM back WHERE place > 0)""",
+    "cuts AS MATERIALIZED (SELECT w, pieces FROM back WHERE place = 0)",
+)
+SCORED_PAIRS = (
+    *(
+        f"""{side}_pieces AS (SELECT doc_id, flatten(list(pieces ORDER BY pos)) AS {side}
+          FROM (SELECT doc_id, unnest({side}) AS w, generate_subscripts({side}, 1) AS pos FROM marked)
+          JOIN cuts USING (w) GROUP BY doc_id)"""
+        for side in ("source", "target")
+    ),
+    """pairs AS MATERIALIZED (SELECT doc_id, coalesce(s.source, []) AS source, coalesce(t.target, []) AS target
+          FROM marked m LEFT JOIN source_pieces s USING (doc_id) LEFT JOIN target_pieces t USING (doc_id))""",
+    *encoding(pieces=True),
+)
 MISSING = """holes AS (SELECT ex_id,
     CASE WHEN substring(md5(ex_id), 1, 1) >= '5' THEN source ELSE '' END AS source,
     CASE WHEN substring(md5(ex_id), 2, 1) >= '4' THEN target ELSE '' END AS target FROM pairs)"""
@@ -613,6 +667,21 @@ def all_oracles() -> dict[str, str]:
               regexp_replace(replace(y_text.txt, '\u2581', ' '), '^ ', '') AS target_text
               FROM x_text JOIN y_text USING (doc_id)""",
         ),
+        "piece_scores": with_ctes(*SCORED[:5], body="SELECT word, id, n, score FROM vocab"),
+        "subword_cut": with_ctes(
+            *SCORED, body="SELECT w AS word, array_to_string(pieces, ' ') AS pieces FROM cuts", recursive=True
+        ),
+        "subword_encode_scored": with_ctes(
+            *SCORED, *SCORED_PAIRS, body=f"SELECT doc_id, {EXAMPLE_COLUMNS} FROM examples", recursive=True
+        ),
+        "subword_decode_scored": with_ctes(
+            *SCORED, *SCORED_PAIRS, NAMES, decoded("x", separator=""), decoded("y", separator=""),
+            body="""SELECT doc_id,
+              regexp_replace(replace(x_text.txt, '\u2581', ' '), '^ ', '') AS source_text,
+              regexp_replace(replace(y_text.txt, '\u2581', ' '), '^ ', '') AS target_text
+              FROM x_text JOIN y_text USING (doc_id)""",
+            recursive=True,
+        ),
         "merge_pieces": f"""SELECT doc_id, array_to_string(flatten(list_transform(
               list_transform(regexp_extract_all(text, {PLAIN}), lambda t: {piece_array('t')}),
               lambda p: CASE WHEN len(p) >= 3 THEN [array_to_string(p, '')] ELSE p END)), ' ') AS pieces

@@ -14,6 +14,7 @@ from condensa.functions import ids as I, text as T
 from condensa.operators import (
     beam,
     encode,
+    lattice,
     lm,
     pointer,
     rouge,
@@ -23,7 +24,7 @@ from condensa.operators import (
     summarize,
 )
 from condensa.operators.decode import decode_words
-from condensa.operators.vocab import load_vocab, save_vocab
+from condensa.operators.vocab import load_vocab, save_vocab, word_counts
 from condensa.plans import inputs as P
 from condensa.plans.evaluate import Evaluation, evaluate
 from condensa.session import materialize, new_path
@@ -766,3 +767,47 @@ def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.transform(T.plain_tokens("text"), lambda w: subword.cut_pieces(w, P.PIECE_CHARS))
     merged = F.flatten(F.transform(words, lambda p: subword.merge_fragments(p, 3)))
     return docs.select("doc_id", joined(merged).alias("pieces"))
+
+
+def _scored_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned pairs of texts, and the table of pieces that their words give."""
+    docs = P.documents(spark, sf_dir)
+    pairs = P.doc_pairs(docs).select(
+        "doc_id", *[T.clean_chars(c).alias(c) for c in ("source", "target")]
+    )
+    words = F.concat(lattice.marked_words("source"), lattice.marked_words("target"))
+    counts = word_counts(pairs, words)
+    return pairs, materialize(lattice.piece_scores(counts, P.PIECE_CHARS, P.VOCAB_WORDS), "piece-scores")
+
+
+@query
+def piece_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_table(spark, sf_dir)[1]
+
+
+@query
+def subword_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best cut of each distinct word of the texts."""
+    pairs, table = _scored_table(spark, sf_dir)
+    words = F.explode_outer(F.concat(lattice.marked_words("source"), lattice.marked_words("target")))
+    distinct = pairs.select(words.alias("word")).where("word IS NOT NULL").distinct()
+    return lattice.cut_words(distinct, table).withColumn("pieces", joined("pieces"))
+
+
+def _encoded_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pairs, table = _scored_table(spark, sf_dir)
+    cut = lattice.scored_pieces(pairs, ["source", "target"], table)
+    return subword.encode_pieces(cut, table, P.VOCAB_SIZE, P.TX, P.TY, P.MAX_OOV), table
+
+
+@query
+def subword_encode_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut by the scored pieces, encoded; characters that are no piece are unknown words."""
+    return example_text(_encoded_scored(spark, sf_dir)[0])
+
+
+@query
+def subword_decode_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded, table = _encoded_scored(spark, sf_dir)
+    columns = {"x": "source_text", "y": "target_text"}
+    return subword.decode_pieces(encoded, table, P.VOCAB_SIZE, columns)
