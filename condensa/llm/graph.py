@@ -17,7 +17,8 @@ BROADCAST_ROWS = 100_000
 CHUNK = 1024
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows; else a join shuffles it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = both.groupBy("a").agg(F.min("b").alias("least"))
         moved = materialize(moved.select("a", F.least("a", "least").alias("to")), "moves")
         rounds.append(moved)
-        step = _small(moved)
+        step = small_side(moved)
         ends = edges.join(step, "a").select(F.col("to").alias("x"), F.col("b").alias("a"))
         ends = ends.join(step, "a").select("x", F.col("to").alias("y")).where("x <> y")
         smaller = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -46,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = rounds[-1].select(F.col("a").alias("node"), F.col("to").alias("component"))
     for earlier in reversed(rounds[:-1]):
-        later = _small(found.withColumnRenamed("node", "to"))
+        later = small_side(found.withColumnRenamed("node", "to"))
         found = materialize(
             earlier.join(later, "to", "left").select(
                 F.col("a").alias("node"), F.coalesce("component", "to").alias("component")
@@ -74,7 +75,7 @@ def counted_units(members: DataFrame, bucket: str, node: str, chunk: int) -> Dat
     twice. Buckets of one are a unit, too.
     """
     counts = members.groupBy(bucket).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
-    large = _small(materialize(counts, "large-buckets"))
+    large = small_side(materialize(counts, "large-buckets"))
     sized = members.join(large, bucket, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     return _paired_chunks(sized, node, chunk)
 

@@ -24,8 +24,8 @@ WITH ordered AS (
 ), sides AS (
   SELECT o.conv_id, o.i, o.role, o.text AS c,
          CASE WHEN o.i = p.last THEN coalesce(s.text, '') ELSE o.text END AS r
-  FROM ordered o JOIN places p USING (conv_id)
-  LEFT JOIN ordered s ON s.conv_id = o.conv_id
+  FROM ordered o JOIN places p ON o.conv_id IS NOT DISTINCT FROM p.conv_id
+  LEFT JOIN ordered s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
     AND s.i = CASE WHEN p.first = p.last THEN p.last - 1 ELSE p.first END
 ), common AS (
   SELECT conv_id, coalesce(min(i) FILTER (c <> r) - 1, count(*)) AS k FROM sides GROUP BY conv_id
@@ -33,7 +33,7 @@ WITH ordered AS (
   SELECT s.conv_id, s.i, s.role, k, '<|' || s.role || '|>' || chr(10) AS head,
          replace(c, '<|', '{DEFUSED}') || '<|end|>' || chr(10) AS c,
          replace(r, '<|', '{DEFUSED}') || '<|end|>' || chr(10) AS r
-  FROM sides s JOIN common USING (conv_id)
+  FROM sides s JOIN common c2 ON s.conv_id IS NOT DISTINCT FROM c2.conv_id
 ), spans AS (
   SELECT *, coalesce(sum(length(head) + length(c)) OVER before, 0) + length(head) AS c_at,
          coalesce(sum(length(head) + length(r)) OVER before, 0) + length(head) AS r_at
@@ -47,7 +47,7 @@ SELECT conv_id, CAST(any_value(k) AS INTEGER) AS n_common,
     FILTER (i > k AND role = 'assistant'), '') AS chosen_spans,
   coalesce(string_agg(head || r, '' ORDER BY i) FILTER (i > k), '') AS rejected_text,
   coalesce(string_agg(r_at || '-' || (r_at + length(r)), ' ' ORDER BY i)
-    FILTER (i > k AND role = 'assistant'), '') AS rejected_spans
+    FILTER (i > k AND role = 'assistant'), '') AS rejected_spans, CAST(NULL AS BIGINT) AS place
 FROM spans GROUP BY conv_id
 """
 

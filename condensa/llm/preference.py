@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.functions.text import bind
 from condensa.llm.common import fresh
+from condensa.llm.graph import small_side
 from condensa.operators.sample import ordered_index
 from condensa.session import materialize
 
@@ -181,12 +182,12 @@ def _sides(s: Column) -> Column:
 
 
 def stale_reply_preferences(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """`format_preferences` of `stale_reply_pairs`, at any size of a conversation.
+    """`format_preferences` of `stale_reply_pairs` with a column `place`, at any size of a conversation.
 
-    A conversation of at most `WHOLE_TURNS` turns and `WHOLE_BYTES` is a row. If there are larger ones,
-    the result has a column `place` more, null for those rows, and a larger conversation is a row for
-    each of its turns: `place` counts them from 0, each column has the turn's part of it (spans from
-    the start of the whole completion), and parts in order of `place` make up the whole.
+    A conversation of at most `WHOLE_TURNS` turns and `WHOLE_BYTES` is a row, its `place` null. A larger one
+    is a row for each of its turns: `place` counts them from 0, each column has the turn's part of it
+    (spans from the start of the whole completion), and parts in order of `place` make up the whole. The
+    columns are the same whether there are larger ones or not.
     """
     size = F.coalesce(F.octet_length("role"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0))
     counted = turns.groupBy(key).agg(F.count("*").alias("_n"), F.sum(size.cast("long")).alias("_bytes"))
@@ -195,16 +196,19 @@ def stale_reply_preferences(turns: DataFrame, key: str = "conv_id") -> DataFrame
     names = [
         key, "n_common", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans",
     ]
+
+    def in_rows(small: DataFrame) -> DataFrame:
+        whole = format_preferences(stale_reply_pairs(small, key)).select(*names)
+        wide = "array<struct<start:bigint,end:bigint>>"
+        spans = {c: F.col(c).cast(wide) for c in ("chosen_spans", "rejected_spans")}
+        return whole.withColumns(spans | {"place": F.lit(None).cast("long")})
+
     if large.isEmpty():
-        return format_preferences(stale_reply_pairs(turns, key)).select(*names)
-    # few, as each has many turns or bytes
+        return in_rows(turns)
+    large = small_side(large)
     is_large = turns[key].eqNullSafe(F.col("_large"))
-    small = turns.join(F.broadcast(large), is_large, "left_anti")
-    whole = format_preferences(stale_reply_pairs(small, key)).select(*names)
-    wide = "array<struct<start:bigint,end:bigint>>"
-    spans = {c: F.col(c).cast(wide) for c in ("chosen_spans", "rejected_spans")}
-    whole = whole.withColumns(spans | {"place": F.lit(None).cast("long")})
-    parts = _turn_parts(turns.join(F.broadcast(large), is_large, "left_semi"), key)
+    whole = in_rows(turns.join(large, is_large, "left_anti"))
+    parts = _turn_parts(turns.join(large, is_large, "left_semi"), key)
     return whole.unionByName(parts.select(*whole.columns))
 
 
@@ -212,7 +216,7 @@ def _turn_parts(turns: DataFrame, key: str) -> DataFrame:
     """The turns of large conversations, rendered each: no task holds a conversation.
 
     Turns get places over ranges, and what a conversation is cut at comes from aggregates that are added
-    up in the map tasks. Offsets are running sums over blocks of places.
+    up in the map tasks. Offsets are running sums over the blocks of a conversation.
     """
     columns = [F.col(key).alias("_key"), "turn", "role", "text"]
     # the last column spreads equal turns over ranges
@@ -228,7 +232,7 @@ def _turn_parts(turns: DataFrame, key: str) -> DataFrame:
     found = materialize(found.withColumn("_source", source), "large-places")
     ends = found.select(F.explode(F.array("_source", "_last")).alias("idx"))
     ends = ends.where("idx IS NOT NULL").distinct()
-    texts = placed.join(F.broadcast(ends), "idx").select("idx", F.coalesce("text", F.lit("")).alias("_t"))
+    texts = placed.join(small_side(materialize(ends, "large-asked")), "idx").select("idx", F.coalesce("text", F.lit("")).alias("_t"))
     texts = materialize(texts, "large-ends")
     worse = texts.select(F.col("idx").alias("_source"), F.col("_t").alias("_worse"))
     better = texts.select(F.col("idx").alias("_last"), F.col("_t").alias("_better"))
@@ -240,11 +244,11 @@ def _turn_parts(turns: DataFrame, key: str) -> DataFrame:
     differs = replaced.select(F.col("idx").alias("_last"), F.lit(True).alias("_differs"))
     common = F.when(F.col("_differs"), F.col("_last") - F.col("_low")).otherwise(F.col("_n"))
     cuts = found.join(differs, "_last", "left").select(
-        F.col("_key").alias("_of"), "_low", common.cast("long").alias("n_common")
+        F.col("_key").alias("_of"), "_low", common.cast("int").alias("n_common")
     )
     cuts = materialize(cuts, "large-cuts")
 
-    met = placed.join(F.broadcast(cuts), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of")
+    met = placed.join(small_side(cuts), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of")
     met = met.join(replaced, "idx", "left")
     role = F.coalesce("role", F.lit("user"))
     text = F.coalesce("text", F.lit(""))
@@ -259,43 +263,37 @@ def _turn_parts(turns: DataFrame, key: str) -> DataFrame:
     )
     drawn = drawn.withColumns(
         {
-            "_block": F.floor(F.col("idx") / BLOCK),
+            "_block": F.floor((F.col("idx") - F.col("_low")) / BLOCK),
             "_c_size": F.when(F.col("_shared"), 0).otherwise(F.length("_c")).cast("long"),
             "_r_size": F.when(F.col("_shared"), 0).otherwise(F.length("_r")).cast("long"),
         }
     )
     drawn = materialize(drawn, "large-turns")
-    sums = drawn.groupBy("_block").agg(F.sum("_c_size").alias("_c_sum"), F.sum("_r_size").alias("_r_sum"))
-    # one row per block: the window without partitions sees no more than that
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    block = ["_low", "_block"]
+    sums = drawn.groupBy(*block).agg(F.sum("_c_size").alias("_c_sum"), F.sum("_r_size").alias("_r_sum"))
+    # of a conversation one row per block, and within a block its turns
+    earlier = Window.partitionBy("_low").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*block).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
 
     def running(column: str, window) -> Column:
         return F.coalesce(F.sum(column).over(window), F.lit(0))
 
     offsets = sums.select(
-        "_block", running("_c_sum", earlier).alias("_c_off"), running("_r_sum", earlier).alias("_r_off")
+        *block, running("_c_sum", earlier).alias("_c_off"), running("_r_sum", earlier).alias("_r_off")
     )
-    places = drawn.select("idx", "_low", "_key", "_block", "_c_size", "_r_size").join(
-        F.broadcast(offsets), "_block"
+    places = drawn.withColumns(
+        {"_c_in": running("_c_size", inside), "_r_in": running("_r_size", inside)}
     )
-    places = places.select(
-        "idx", "_low", "_key",
-        (F.col("_c_off") + running("_c_size", inside)).alias("_c_at"),
-        (F.col("_r_off") + running("_r_size", inside)).alias("_r_at"),
-    )
-    places = materialize(places, "large-offsets")
-    starts = places.where("idx = _low").select(
-        "_low", F.col("_c_at").alias("_c_start"), F.col("_r_at").alias("_r_start")
+    rows = places.join(small_side(materialize(offsets, "large-offsets")), block)
+    rows = rows.withColumns(
+        {"_c_at": F.col("_c_off") + F.col("_c_in"), "_r_at": F.col("_r_off") + F.col("_r_in")}
     )
-    at = places.select("idx", "_c_at", "_r_at")
-    rows = drawn.join(at, "idx").join(F.broadcast(starts), "_low")
 
     def part(side: str) -> Column:
         return F.when(~F.col("_shared"), F.col(side)).otherwise("")
 
     def spans(side: str) -> Column:
-        at = F.col(f"{side}_at") - F.col(f"{side}_start")
+        at = F.col(f"{side}_at")
         span = F.struct((at + F.col("_head")).alias("start"), (at + F.col(f"{side}_size")).alias("end"))
         none = F.array().cast("array<struct<start:bigint,end:bigint>>")
         return F.when(F.col("_learned") & ~F.col("_shared"), F.array(span)).otherwise(none)

@@ -36,7 +36,7 @@ STOP_WORDS = tuple(
 
 #: The threshold table. Ratios are of words, characters or lines.
 RULES = (
-    Rule("n_words", 50, 100_000_000),
+    Rule("n_words", 50, None),
     Rule("repeat_share", None, 0.5),
     Rule("mean_word_chars", 2.0, 12.0),
     Rule("symbol_share", None, 0.04),

@@ -65,15 +65,13 @@ def _span_text(spans: str) -> Column:
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with a stale last reply.
 
-    Conversations over the bound of a row are a row for each turn, with its `place`.
+    Conversations over the bound of a row are a row for each turn, with its `place`; else that is null.
     """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    formatted = preference.stale_reply_preferences(turns)
-    place = [c for c in formatted.columns if c == "place"]
-    return formatted.select(
+    return preference.stale_reply_preferences(turns).select(
         "conv_id", "n_common", "prompt", "chosen_text",
         _span_text("chosen_spans").alias("chosen_spans"),
-        "rejected_text", _span_text("rejected_spans").alias("rejected_spans"), *place,
+        "rejected_text", _span_text("rejected_spans").alias("rejected_spans"), "place",
     )
 
 

@@ -244,7 +244,7 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = {
                 (w, f"{a} {b}")
                 for w, a, b in zip(tokens, ["", *tokens], [*tokens[1:], ""])
-                if 3 < len(w) < 40
+                if w
             }
             if rows:
                 words, around = zip(*rows)
@@ -254,8 +254,8 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def mine_terms(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str], DataFrame, int]:
     """Terms typical of toxic texts, all word counts, and the number of toxic texts.
 
-    A word is counted by its distinct contexts, as the words of a passage that was copied a thousand
-    times have one.
+    Words of any length can be terms; short ones have to be spelled right. A word is counted by its
+    distinct contexts, as the words of a passage that was copied a thousand times have one.
     """
     words = rows.select("_text", "_label").mapInPandas(
         _contexts, schema="word string, around string, _label int"
@@ -271,7 +271,7 @@ def mine_terms(rows: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str], D
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     odds = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
     least = max(LEAST_CONTEXTS, int(np.ceil(LEAST_SHARE * toxic)))
-    typical = counted.where((F.col("toxic") >= least) & (odds >= LEAST_ODDS) & (F.length("word") <= 30))
+    typical = counted.where((F.col("toxic") >= least) & (odds >= LEAST_ODDS))
     strongest = typical.orderBy(F.desc("toxic"), "word").limit(most).collect()
     return sorted(r["word"] for r in strongest), counted, toxic
 
@@ -350,8 +350,9 @@ def score(
 ) -> DataFrame:
     """`key, score, predicted` of each row, from its whole text; null and empty texts have no term.
 
-    Rows stand for themselves: repeated rows and null keys are answered each. The model, of bounded
-    size, goes with the tasks.
+    Rows stand for themselves: repeated rows and null keys are answered each. Other columns are not
+    read, texts of any length are read whole, an empty table gives an empty one. The model, of bounded size,
+    goes with the tasks.
     """
 
     def run(texts: list[str]) -> list[np.ndarray]:
@@ -364,7 +365,11 @@ def score(
 def drop_toxic(
     docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """The rows of `docs`, all columns, that score below the threshold."""
+    """The rows of `docs`, all columns, that score below the threshold.
+
+    Null and empty texts have no term and score as the model's constant does; repeated rows and null keys
+    are judged each by themselves; a column may have any name; an empty table stays empty.
+    """
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -483,6 +483,25 @@ def test_quotation_is_told_from_abuse():
     assert find.features("") == find.features("a clean text") == [0.0] * 5
 
 
+@pytest.mark.parametrize("term", ["xyz", "q", "t" * 45])
+def test_terms_of_any_length_are_learned(spark, term):
+    random.seed(8)
+    common = ["".join(random.choices("abcdefghij", k=random.randint(3, 8))) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        words = random.choices(common, k=60)
+        if i % 4 == 0:
+            for at in random.sample(range(60), 4):
+                words[at] = term
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learn = remainder("doc_id", 3) != 1
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"), learn)
+    assert model.terms == (term,)
+    scored = toxicity.score(table, model).collect()
+    assert [r["predicted"] for r in sorted(scored)] == [t for *_, t in rows]
+
+
 def test_learned_terms_catch_unseen_documents(spark):
     random.seed(6)
     common = ["".join(random.choices("abcdefghij", k=random.randint(3, 8))) for _ in range(400)]
@@ -613,10 +632,12 @@ def test_large_conversations_are_rows_of_turns(spark, monkeypatch):
     rows += [(7, t, "user", "x") for t in range(14)] + [(7, 14, "assistant", "y"), (7, 15, "user", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     whole = preference.format_preferences(preference.stale_reply_pairs(turns)).collect()
-    assert "place" not in preference.stale_reply_preferences(turns).columns
+    schema = preference.stale_reply_preferences(turns).schema
+    assert {r["place"] for r in preference.stale_reply_preferences(turns).collect()} == {None}
     monkeypatch.setattr(preference, "WHOLE_TURNS", 11)
     monkeypatch.setattr(preference, "BLOCK", 7)
     made = preference.stale_reply_preferences(turns)
+    assert made.schema.simpleString() == schema.simpleString()
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "place" in made.columns
     parts = {}
