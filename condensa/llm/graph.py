@@ -57,22 +57,14 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def bucket_units(members: DataFrame, bucket: list[str], node: str, chunk: int = CHUNK) -> DataFrame:
-    """Members of buckets with two or more, dealt to units of work of bounded size.
+def counted_units(members: DataFrame, bucket: str, node: str, chunk: int = CHUNK) -> DataFrame:
+    """Members of buckets, dealt to units of work of bounded size.
 
     A bucket of more than `chunk` members is cut into chunks by a hash of the node, and a unit is
     a pair of chunks: `unit_a`, `unit_b`, and `side` (0 or 1) for the chunk a member came from;
     where both are the same chunk, `side` is 0. Every pair of members meets in exactly one unit.
-    """
-    sized = members.withColumn("_n", F.count("*").over(Window.partitionBy(*bucket))).where("_n > 1")
-    return _paired_chunks(sized, node, chunk)
-
-
-def counted_units(members: DataFrame, bucket: str, node: str, chunk: int) -> DataFrame:
-    """The units of `bucket_units`, where most buckets hold few: only larger ones are counted apart.
-
-    Counts are added up in the map tasks, and members are not shuffled for them; `members` is read
-    twice. Buckets of one are a unit, too.
+    Counts are added up in the map tasks, and members are not shuffled for them, so no bucket passes a
+    task whole; `members` is read twice. Buckets of one are a unit, too.
     """
     counts = members.groupBy(bucket).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
     large = small_side(materialize(counts, "large-buckets"))
@@ -80,6 +72,13 @@ def counted_units(members: DataFrame, bucket: str, node: str, chunk: int) -> Dat
     return _paired_chunks(sized, node, chunk)
 
 
+def shared_units(members: DataFrame, bucket: str, node: str, chunk: int = CHUNK) -> DataFrame:
+    """The units of `counted_units` that have two members or more, where most have one."""
+    own = Window.partitionBy(bucket, "unit_a", "unit_b")
+    units = counted_units(members, bucket, node, chunk).withColumn("_n", F.count("*").over(own))
+    return units.where("_n > 1").drop("_n")
+
+
 def _paired_chunks(sized: DataFrame, node: str, chunk: int) -> DataFrame:
     cut = sized.withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int")).withColumn(
         "_own", F.pmod(F.xxhash64(node), "_chunks").cast("int")

@@ -1,9 +1,16 @@
-"""Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank."""
+"""Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank.
+
+Codes are signs of centred vectors under rotations that ITQ learned, so their bits are balanced whatever
+direction the vectors share. A table is a substring of the code; a vector is filed under its own key and
+under the one in which its least certain bit is turned. Vectors of a bucket are compared by their whole
+codes, and only those near another by Hamming distance get their vectors, which decide. How many tables and
+which distance it takes is measured on pairs that are planted around the sample, at the threshold.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import ceil, log2
 
 import numpy as np
 import pandas as pd
@@ -11,67 +18,131 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.llm.common import parallelism
-from condensa.llm.graph import bucket_units, components, per_unit, stars
+from condensa.llm.graph import components, counted_units, per_unit, stars
 from condensa.session import materialize
 
 COSINE = 0.9
-#: Vectors, at most, that rotations are learned on, taken by a hash of the id.
-SAMPLE = 20_000
-#: Expected share of the pairs right at the threshold that meet in some table; closer ones meet more.
-RECALL = 0.96
+#: Vectors of the sample, taken by a hash of the id, and of those that each rotation is learned on.
+SAMPLE, ROTATION_SAMPLE = 20_000, 4096
+#: Share of the planted pairs that have to be found; they lie right at the threshold.
+RECALL = 0.97
+#: Pairs that are planted, and tables at most.
+PLANTED, MOST_TABLES = 2000, 512
 ROUNDS = 20
 SEED = 7
-#: Bits of a table beyond the logarithm of the number of vectors: unlike vectors then rarely meet.
-SPARE_BITS = 3
+#: Vectors that a bucket has by chance, about, and vectors of either side of a unit.
+BY_CHANCE, CHUNK = 64, 1024
+#: Bits of the whole code, and the share of planted pairs that may differ in more of them than is allowed.
+CODE_BITS, CODE_MISSES = 128, 0.003
+#: The number of a table stands above the bits of its keys.
+TABLE_SHIFT = 48
 
 
-def learn_rotations(sample: np.ndarray, many: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """`many` orthogonal matrices (d x d), each by ITQ from its own random start.
+def learn_rotations(
+    sample: np.ndarray, many: int, first: int = 0, rounds: int = ROUNDS, seed: int = SEED
+) -> list[np.ndarray]:
+    """`many` orthogonal matrices (d x d) for centred vectors, each by ITQ, from number `first` on.
 
     A rotation and the binary codes are improved in turn: codes are the signs of the rotated vectors,
-    and the rotation is the one that brings the vectors nearest to the codes (a Procrustes problem).
-    Vectors stay uncentred, as cosines are of the vectors themselves.
+    and the rotation is the one that brings the vectors nearest to the codes (a Procrustes problem). The
+    first one starts from the principal directions, the others from those turned at random.
     """
     d = sample.shape[1]
-    random = np.random.default_rng(seed)
+    sample = sample[:ROTATION_SAMPLE]
+    principal = np.linalg.svd(sample.T @ sample)[0] if len(sample) else np.eye(d)
     found = []
-    for _ in range(many):
-        rotation = np.linalg.qr(random.standard_normal((d, d)))[0]
+    for number in range(first, first + many):
+        random = np.random.default_rng([seed, number])
+        turned = np.linalg.qr(random.standard_normal((d, d)))[0]
+        rotation = principal @ turned if number else principal
         for _ in range(rounds if len(sample) else 0):
             codes = np.where(sample @ rotation >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(sample.T @ codes)
             rotation = left @ right
         found.append(rotation)
-    return np.array(found)
+    return found
 
 
-def table_layout(n_vectors: int, dimension: int, cosine: float, recall: float) -> tuple[int, int, int]:
-    """(bits of a table, tables, rotations): bits follow the number of vectors, tables the recall.
-
-    Two vectors at the threshold differ in a bit with probability angle / pi, so they agree in a
-    whole table with that of no difference in its bits.
-    """
-    bits = max(4, min(dimension, 60, ceil(log2(max(2, n_vectors))) + SPARE_BITS))
-    meet = (1 - acos(cosine) / pi) ** bits
-    tables = max(1, ceil(log(1 - recall) / log(1 - meet)))
-    return bits, tables, ceil(tables / (dimension // bits))
+def key_bits(n_vectors: int, dimension: int) -> int:
+    """Bits of a table's keys: they follow the number of vectors, so that buckets do not."""
+    return min(dimension, max(4, min(30, ceil(log2(max(1, n_vectors) / BY_CHANCE)))))
 
 
 class Codes:
-    """Table keys of vectors: runs of `bits` signs of the rotated vectors."""
-
-    def __init__(self, rotations: np.ndarray, bits: int, tables: int):
-        d = rotations.shape[1]
-        per = d // bits
-        columns = [r[:, i * bits : (i + 1) * bits] for r in rotations for i in range(per)]
-        self.planes = np.concatenate(columns[:tables], axis=1)
-        self.bits, self.tables = bits, tables
+    """Codes of vectors: signs of the centred, rotated vectors, and tables of runs of them."""
+
+    def __init__(self, mean: np.ndarray, planes: np.ndarray, bits: int, tables: int, distance: int):
+        self.mean, self.planes = mean, planes
+        self.bits, self.tables, self.distance = bits, tables, distance
         self.places = 1 << np.arange(bits, dtype=np.int64)
 
-    def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """A row of `tables` keys for each vector."""
-        signs = (vectors @ self.planes >= 0).reshape(len(vectors), self.tables, self.bits)
-        return signs @ self.places
+    def _sides(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors - self.mean) @ self.planes
+
+    def keys(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each vector (a row) its own key and the probed one in each table; the table is in the key."""
+        sides = self._sides(vectors)[:, : self.bits * self.tables]
+        sides = sides.reshape(len(vectors), self.tables, self.bits)
+        own = (sides >= 0) @ self.places + (np.arange(self.tables, dtype=np.int64) << TABLE_SHIFT)
+        return own, own ^ self.places[np.abs(sides).argmin(axis=2)]
+
+    def whole(self, vectors: np.ndarray) -> np.ndarray:
+        """The first `CODE_BITS` bits, as rows of 64-bit words."""
+        signs = self._sides(vectors)[:, :CODE_BITS] >= 0
+        return np.packbits(signs, axis=1).view(np.uint64)
+
+
+def code_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def shared_keys(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of pairs (rows) the least key that both are filed under in each table; the largest long for none."""
+    none = np.iinfo(np.int64).max
+    found = np.full(a[0].shape, none)
+    for one in a:
+        for other in b:
+            found = np.where(one == other, np.minimum(found, one), found)
+    return found
+
+
+def planted_pairs(sample: np.ndarray, cosine: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the sample and a partner of each at that cosine, in a random direction."""
+    random = np.random.default_rng(seed)
+    chosen = sample[random.permutation(len(sample))[:PLANTED]]
+    across = random.standard_normal(chosen.shape)
+    across -= (across * chosen).sum(axis=1, keepdims=True) * chosen
+    across /= np.maximum(np.linalg.norm(across, axis=1, keepdims=True), 1e-12)
+    return chosen, cosine * chosen + np.sqrt(1 - cosine**2) * across
+
+
+def learn_codes(sample: np.ndarray, n_vectors: int, cosine: float, recall: float) -> Codes:
+    """Codes whose tables and distance find `recall` of the pairs planted around the sample.
+
+    Without a sample, or in one dimension, all vectors go to one bucket a sign.
+    """
+    d = sample.shape[1]
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(d)
+    bits = key_bits(n_vectors, d)
+    per = d // bits
+    some = max(ceil(CODE_BITS / (per * bits)), 1)
+    tables = some * per
+    rotations = learn_rotations(sample - mean, some)
+    pairs = planted_pairs(sample, cosine) if len(sample) else (sample, sample)
+    while True:
+        planes = np.concatenate([r[:, : per * bits] for r in rotations], axis=1)
+        codes = Codes(mean, planes, bits, min(tables, MOST_TABLES), 0)
+        apart = code_distance(*(codes.whole(p) for p in pairs))
+        codes.distance = int(np.quantile(apart, 1 - CODE_MISSES)) + 1 if len(apart) else CODE_BITS
+        met = shared_keys(*(codes.keys(p) for p in pairs)) < np.iinfo(np.int64).max
+        found = (np.logical_or.accumulate(met, axis=1) & (apart <= codes.distance)[:, None]).mean(axis=0)
+        if not len(apart) or found[-1] >= recall or codes.tables >= MOST_TABLES:
+            enough = int(np.argmax(found >= recall)) + 1 if len(apart) and found[-1] >= recall else codes.tables
+            codes.tables = enough
+            codes.planes = planes[:, : max(enough * bits, min(CODE_BITS, planes.shape[1]))]
+            return codes
+        rotations += learn_rotations(sample - mean, len(rotations), len(rotations))
+        tables = len(rotations) * per
 
 
 def _normed(vectors: np.ndarray) -> np.ndarray:
@@ -93,9 +164,28 @@ def usable(vector: str) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
+def _near_codes(codes: Codes):
+    def near(unit: dict[str, np.ndarray], crossed: bool) -> tuple[np.ndarray, ...] | None:
+        """The members of a unit that are near another by their whole codes."""
+        whole = np.frombuffer(b"".join(unit["_code"]), dtype=np.uint64).reshape(len(unit["_code"]), -1)
+        close = np.zeros((len(whole), len(whole)), dtype=np.int64)
+        for word in whole.T:
+            close += np.bitwise_count(word[:, None] ^ word)
+        close = close <= codes.distance
+        if crossed:
+            close &= unit["side"][:, None] != unit["side"][None, :]
+        np.fill_diagonal(close, False)
+        some = close.any(axis=1)
+        if not some.any():
+            return None
+        return tuple(unit[c][some] for c in ("_class", "_bucket", "unit_a", "unit_b", "side"))
+
+    return near
+
+
 def _unit_arrays(frame: pd.DataFrame) -> dict[str, np.ndarray]:
     vectors = _normed(np.stack(frame["_vector"].to_numpy()).astype(np.float64))
-    others = {c: frame[c].to_numpy() for c in ("_class", "_table", "_size", "side")}
+    others = {c: frame[c].to_numpy() for c in ("_class", "_bucket", "_size", "side")}
     return others | {"vectors": vectors}
 
 
@@ -106,13 +196,13 @@ def _linked(codes: Codes, cosine: float):
         if crossed:
             close &= unit["side"][:, None] < unit["side"][None, :]
         left, right = np.nonzero(close if crossed else np.triu(close, 1))
-        table = int(unit["_table"][0])
-        if len(left) and table:
-            # a pair counts in the first table that it meets in; parts bound the memory
-            keys, first = codes.keys(vectors)[:, :table], []
-            for start in range(0, len(left), 65_536):
-                part = slice(start, start + 65_536)
-                first.append((keys[left[part]] != keys[right[part]]).all(axis=1))
+        if len(left):
+            # a pair counts in the first bucket that it meets in; parts bound the memory
+            keys, bucket, first = codes.keys(vectors), unit["_bucket"][0], []
+            for start in range(0, len(left), 16_384):
+                a, b = left[start : start + 16_384], right[start : start + 16_384]
+                shared = shared_keys(tuple(k[a] for k in keys), tuple(k[b] for k in keys))
+                first.append(shared.min(axis=1) == bucket)
             first = np.concatenate(first)
             left, right = left[first], right[first]
         if not len(left):
@@ -139,11 +229,11 @@ def near_vectors(
 ) -> DataFrame:
     """`key, n_links, component_id, kept` of every row; keys are whole numbers.
 
-    Pairs that meet in a table of binary codes are compared by their vectors in double precision and
-    link at `cosine` or more. Equal vectors go as one class (each links with the others), so copies
-    cost nothing. Buckets are not capped: large ones are cut into units (`graph.bucket_units`), and
-    a unit gives counts and connecting edges, not pairs. Codes are learned on a bounded sample; all
-    vectors are indexed. `component_id` is the smallest key reachable, and `kept` says that it is
+    Pairs that meet in a table of binary codes and are near by their whole codes are compared by their
+    vectors in double precision and link at `cosine` or more. Equal vectors go as one class (each links with
+    the others), so copies cost nothing. Buckets are not capped: large ones are cut into units
+    (`graph.counted_units`), and a unit gives counts and connecting edges, not pairs. Codes are learned on a
+    bounded sample; all vectors are indexed. An empty table gives an empty one; other columns are not read. `component_id` is the smallest key reachable, and `kept` says that it is
     the row's own. Vectors that are null, empty, zero or hold something that is no finite number link
     with nothing, nor do rows with a null key (no component, not kept). Vectors of different lengths
     are an error. Rows that repeat a key, with one vector or several, are vectors of their own.
@@ -176,24 +266,32 @@ def near_vectors(
     dimension = classes.select(F.size("_vector").alias("d")).first()["d"]
     values = drawn.toArrow().column(0).combine_chunks()
     sample = _matrix(values) if len(values) else np.zeros((0, dimension))
-    bits, tables, rotations = table_layout(n, dimension, cosine, recall)
-    codes = Codes(learn_rotations(sample, rotations), bits, tables)
+    codes = learn_codes(sample, n, cosine, recall)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = codes.keys(_matrix(batch.column(1)))
-                nodes = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-                table_numbers = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
-                columns = [pa.array(c) for c in (nodes, table_numbers, keys.reshape(-1))]
-                yield pa.RecordBatch.from_arrays(columns, names=["_class", "_table", "_key"])
+                vectors = _matrix(batch.column(1))
+                keys = np.concatenate(codes.keys(vectors), axis=1)
+                times = keys.shape[1]
+                nodes = np.repeat(batch.column(0).to_numpy(), times)
+                whole = [w.tobytes() for w in codes.whole(vectors)]
+                whole = pa.array(whole, pa.binary()).take(pa.array(np.repeat(np.arange(len(keys)), times)))
+                columns = [pa.array(nodes), pa.array(keys.reshape(-1)), whole]
+                yield pa.RecordBatch.from_arrays(columns, names=["_class", "_bucket", "_code"])
 
     spread = classes.select("_class", "_vector").repartition(parallelism(table), "_class")
-    met = spread.mapInArrow(keyed, schema="_class long, _table int, _key long")
-    units = bucket_units(met, ["_table", "_key"], "_class")
+    met = spread.mapInArrow(keyed, schema="_class long, _bucket long, _code binary")
+    near = per_unit(
+        counted_units(met, "_bucket", "_class", CHUNK),
+        ["_bucket"],
+        _near_codes(codes),
+        "_class long, _bucket long, unit_a int, unit_b int, side int",
+    )
+    near = materialize(near, "near-codes")
     found = per_unit(
-        units.join(classes.select("_class", "_size", "_vector"), "_class"),
-        ["_table", "_key"],
+        near.join(classes.select("_class", "_size", "_vector"), "_class"),
+        ["_bucket"],
         _linked(codes, cosine),
         "a long, b long, links long",
         _unit_arrays,

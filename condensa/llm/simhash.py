@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from condensa.llm.common import fresh, map_texts
-from condensa.llm.graph import bucket_units, components, per_unit, stars
+from condensa.llm.graph import CHUNK, components, per_unit, shared_units, stars
 from condensa.session import materialize
 
 BITS = 64
@@ -104,16 +104,17 @@ def fingerprint_links(
 ) -> DataFrame:
     """Edges `a, b` between fingerprints (`_bits`, distinct) that connect all within `distance`.
 
-    One row per fingerprint and block combination meets its bucket; buckets of one go natively.
-    Pairs are checked in arrays within units of bounded size (`graph.bucket_units`), and each unit
-    gives at most one edge per member, not its pairs.
+    One row per fingerprint and block combination meets its bucket, which is a hash of both: buckets that
+    share one are searched together. Pairs are checked in arrays within units of bounded size
+    (`graph.shared_units`), and each unit gives at most one edge per member, not its pairs.
     """
     masks = [_signed(m) for m in block_masks(distance, blocks)]
     keyed = distinct.select(
         "_bits", F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("_table", "_m")
-    ).select("_bits", "_table", F.col("_bits").bitwiseAND(F.col("_m")).alias("_key"))
-    units = bucket_units(keyed, ["_table", "_key"], "_bits")
-    return per_unit(units, ["_table", "_key"], _linked(distance), "a long, b long").distinct()
+    ).select("_bits", F.struct("_table", F.col("_bits").bitwiseAND(F.col("_m")).alias("_key")).alias("_bucket"))
+    keyed = keyed.select("_bits", F.xxhash64("_bucket").alias("_bucket"))
+    units = shared_units(keyed, "_bucket", "_bits", CHUNK)
+    return per_unit(units, ["_bucket"], _linked(distance), "a long, b long").distinct()
 
 
 def simhash_groups(

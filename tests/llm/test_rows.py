@@ -290,8 +290,7 @@ def connected(n, linked):
 
 def test_links_in_large_buckets_equal_brute_force(spark, monkeypatch):
     """Chunks of 16 members cut the buckets of a group of near copies into many units."""
-    monkeypatch.setattr("condensa.llm.graph.CHUNK", 16)
-    monkeypatch.setattr(simhash.bucket_units, "__defaults__", (16,))
+    monkeypatch.setattr(simhash, "CHUNK", 16)
     random.seed(2)
     center = random.getrandbits(64)
     flip = lambda x, k: x ^ sum(1 << b for b in random.sample(range(64), k))
@@ -377,11 +376,56 @@ def test_near_vectors_equal_brute_force(spark):
     assert itq.near_vectors(empty).collect() == []
 
 
-def test_table_layout_meets_the_recall():
-    for n in (10, 10_000, 10_000_000):
-        bits, tables, rotations = itq.table_layout(n, 64, 0.9, 0.96)
-        meet = (1 - np.arccos(0.9) / np.pi) ** bits
-        assert 1 - (1 - meet) ** tables >= 0.96 and rotations * (64 // bits) >= tables
+def _sample(n, d, shared, seed=1):
+    """Unit vectors with a common direction; `shared` is about their median cosine."""
+    random = np.random.default_rng(seed)
+    own = random.standard_normal((n, d)) / np.sqrt(d)
+    common = np.eye(d)[0] * np.sqrt(shared / max(1e-9, 1 - shared))
+    vectors = own + common
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.7])
+@pytest.mark.parametrize("n", [2_000, 50_000, 10_000_000])
+def test_codes_are_balanced_and_find_planted_pairs(n, shared):
+    """Pairs of 0.90 to 0.92 around vectors that the codes have not seen; buckets stay small."""
+    sample = _sample(21_500, 64, shared)
+    learned, others = sample[:12_000], sample[12_000:]
+    codes = itq.learn_codes(learned, n, 0.9, itq.RECALL)
+    for cosine in (0.9, 0.92):
+        pairs = itq.planted_pairs(others, cosine, seed=3)
+        met = (itq.shared_keys(*(codes.keys(p) for p in pairs)) < np.iinfo(np.int64).max).any(axis=1)
+        near = itq.code_distance(*(codes.whole(p) for p in pairs)) <= codes.distance
+        assert (met & near).mean() >= 0.95
+    if shared == 0.0:
+        assert 2 * codes.tables <= 60
+    if n == 50_000:
+        own, _ = codes.keys(sample)
+        largest = max(np.unique(keys, return_counts=True)[1].max() for keys in own.T)
+        assert largest <= 0.01 * len(sample) + 20
+
+
+def test_near_vectors_with_a_common_direction(spark):
+    """Recall of planted pairs end to end, where the median cosine is 0.5."""
+    base = _sample(4000, 32, 0.5)
+    pairs = itq.planted_pairs(base[:400], 0.91, seed=5)
+    vectors = np.concatenate([base[400:], *pairs])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = (vectors @ vectors.T >= 0.9) & ~np.eye(len(vectors), dtype=bool)
+    found = sum(r["n_links"] for r in itq.near_vectors(table).collect())
+    assert 0.95 * links.sum() <= found <= links.sum() and links.sum() >= 800
+
+
+@pytest.mark.parametrize("d", [1, 2, 5])
+def test_vectors_of_few_dimensions(spark, d):
+    random = np.random.default_rng(d)
+    vectors = random.standard_normal((60, d))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = int((unit @ unit.T >= 0.9).sum()) - 60
+    found = sum(r["n_links"] for r in itq.near_vectors(table).collect())
+    assert 0.9 * links <= found <= links
 
 
 def test_rotations_are_orthogonal():
