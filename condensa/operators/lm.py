@@ -216,3 +216,49 @@ def bigram_transitions(counts: DataFrame, bounded: bool = False) -> DataFrame:
     else:
         joined = attach_by_key(counts, totals, "prev", "total")
     return joined.select("prev", "next", "n", F.ln(F.col("n") / F.col("total")).alias("logp"))
+
+
+def continuation_shares(counts: DataFrame) -> DataFrame:
+    """`next, p_next`: the share of a token among all distinct pairs of neighbours, as the second one."""
+    follows = materialize(counts.groupBy("next").agg(F.count("*").alias("kinds")), "continuations")
+    total = follows.agg(F.sum("kinds")).scalar()
+    return follows.select("next", (F.col("kinds") / total).alias("p_next"))
+
+
+def backoff_weights(counts: DataFrame, discount: float) -> DataFrame:
+    """`prev, total, backoff`: of each token its pairs, and the share that `discount` off each kind frees."""
+    sums = counts.groupBy("prev").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    return sums.select("prev", "total", (F.lit(discount) * F.col("kinds") / F.col("total")).alias("backoff"))
+
+
+def smoothed_transitions(counts: DataFrame, discount: float) -> DataFrame:
+    """`prev, next, n, logp` of the seen pairs, with absolute discounting and continuation back-off.
+
+    A pair's share is `(n - discount) / total` and its part of the back-off, which any next token has: unseen
+    ones have `backoff * p_next` alone, so the shares of all tokens behind one add up to 1. `counts`
+    (`prev, next, n`) is written by the caller; the two small sides are broadcast where they are.
+    """
+    arcs = counts.join(broadcast_if_small(backoff_weights(counts, discount)), "prev")
+    arcs = arcs.join(broadcast_if_small(continuation_shares(counts)), "next")
+    share = (F.col("n") - F.lit(discount)) / F.col("total") + F.col("backoff") * F.col("p_next")
+    return arcs.select("prev", "next", "n", F.ln(share).alias("logp"))
+
+
+def smoothed_next_tokens(counts: DataFrame, discount: float, keep: int) -> DataFrame:
+    """`prev, next, logp`: the seen pairs, and of the unseen ones those that can be among the `keep` best.
+
+    Unseen pairs differ by `p_next` alone. The `keep` tokens of largest `p_next` are at least as likely behind
+    any token as an unseen one beyond them, so no other unseen pair has to be there.
+    """
+    seen = smoothed_transitions(counts, discount).select("prev", "next", "logp")
+    order = F.struct((-F.col("p_next")).alias("rank"), "next", "p_next")
+    # at most `keep` rows are collected into one cell
+    head = continuation_shares(counts).orderBy(F.desc("p_next"), "next").limit(keep)
+    listed = F.array_sort(F.collect_list(order))
+    likely = head.agg(listed).scalar()
+    weights = backoff_weights(counts, discount)
+    unseen = weights.withColumn("h", F.explode(likely)).select(
+        "prev", F.col("h.next").alias("next"), F.ln(F.col("backoff") * F.col("h.p_next")).alias("logp")
+    )
+    # where both are, the seen pair is the more likely one
+    return seen.unionByName(unseen).groupBy("prev", "next").agg(F.max("logp").alias("logp"))

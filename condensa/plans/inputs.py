@@ -29,6 +29,8 @@ SUMMARY_SENTENCES = 3
 SAMPLES, SEED = 25, 7
 BEAM_WIDTH, PATH_LENGTH = 4, TY
 POINTER_LENGTH, COVERAGE = 8, 1.0
+ALIGNMENT_ROUNDS = 3
+DISCOUNT, SMOOTHED_LENGTH = 0.75, 12
 PIECE_CHARS = 4
 
 

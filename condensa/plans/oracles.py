@@ -285,6 +285,40 @@ PROBS = (
         LEFT JOIN copy c ON y.doc_id = c.doc_id AND y.id = c.id)""",
 )
 
+
+
+def _shares(number: int) -> str:
+    """CTE `shares_n`: what each source id takes of a target id, by the table before round n."""
+    w = "nx::DOUBLE" if number == 0 else "nx * p"
+    source = "id_pairs" if number == 0 else f"id_pairs JOIN table_{number} USING (x, y)"
+    return f"""shares_{number} AS MATERIALIZED (
+      SELECT *, w / total AS share FROM (
+        SELECT *, sum(w) OVER (PARTITION BY doc_id, y) AS total FROM (SELECT *, {w} AS w FROM {source})))"""
+
+
+def _side(side: str) -> str:
+    return f"""{side}_side AS (SELECT doc_id, {side}, count(*) AS n{side} FROM (
+        SELECT doc_id, CASE WHEN i >= {P.VOCAB_SIZE} THEN 3 ELSE i END AS {side}
+        FROM (SELECT doc_id, unnest({side}) AS i FROM examples) WHERE i NOT IN (0, 2)) GROUP BY 1, 2)"""
+
+
+ALIGNED = (
+    *ENCODED,
+    _side("x"),
+    _side("y"),
+    """id_pairs AS MATERIALIZED (SELECT *, sum(nx) OVER (PARTITION BY doc_id, y) AS size
+      FROM x_side JOIN y_side USING (doc_id))""",
+    *(
+        cte
+        for r in range(P.ALIGNMENT_ROUNDS)
+        for cte in (
+            _shares(r),
+            f"""table_{r + 1} AS MATERIALIZED (SELECT x, y, c / sum(c) OVER (PARTITION BY x) AS p FROM (
+              SELECT x, y, sum(ny * share) AS c FROM shares_{r} GROUP BY 1, 2))""",
+        )
+    ),
+)
+
 DETOKENIZE = f"""
   kinds AS (
     SELECT doc_id, pos, word,
@@ -334,8 +368,12 @@ def beam(length_norm: str) -> str:
         """live_0 AS (SELECT DISTINCT start, start AS last, CAST([] AS INTEGER[]) AS seq,
              0.0::DOUBLE AS logp FROM starts)""",
     ]
+    return _beam_steps(ctes, length_norm, P.PATH_LENGTH)
+
+
+def _beam_steps(ctes: list[str], length_norm: str, length: int) -> str:
     shut, stuck = [], []
-    for t in range(P.PATH_LENGTH):
+    for t in range(length):
         allowed = "AND t.next <> 2" if t == 0 else ""
         factor = (5 + t) ** 0.7 / 6**0.7
         factor = 1 / factor if length_norm == "divide" else factor
@@ -355,7 +393,7 @@ def beam(length_norm: str) -> str:
             f"SELECT start, seq, logp AS score, false AS done FROM live_{t} l WHERE NOT EXISTS "
             f"(SELECT 1 FROM trans t WHERE t.prev = l.last {allowed})"
         )
-    last = f"SELECT start, seq, logp AS score, false AS done FROM live_{P.PATH_LENGTH}"
+    last = f"SELECT start, seq, logp AS score, false AS done FROM live_{length}"
     ctes.append("found AS (" + "\nUNION ALL ".join([*shut, *stuck, last]) + ")")
     ctes.append(
         """answer AS (SELECT *, count(*) FILTER (done) OVER (PARTITION BY start) AS n_finished
@@ -440,6 +478,33 @@ def pointer(coverage: float) -> str:
     )
 
 
+SMOOTHED = (
+    *IDS[:5],
+    "counts AS MATERIALIZED (SELECT prev, next, count(*) AS n FROM steps GROUP BY ALL)",
+    f"""left_out AS (SELECT prev, CAST(sum(n) AS BIGINT) AS total,
+          {P.DISCOUNT}::DOUBLE * count(*) / sum(n) AS backoff FROM counts GROUP BY prev)""",
+    """continued AS (SELECT next, count(*) / (SELECT count(*) FROM counts) AS p_next
+          FROM counts GROUP BY next)""",
+)
+
+
+def smoothed_beam() -> str:
+    """Steps as in `beam`, over the best of all pairs of tokens, seen or not."""
+    ctes = [
+        *SMOOTHED,
+        f"""trans AS MATERIALIZED (
+          SELECT l.prev, c.next, ln(coalesce(n - {P.DISCOUNT}::DOUBLE, 0) / l.total
+                   + l.backoff * c.p_next) AS logp
+          FROM left_out l CROSS JOIN continued c LEFT JOIN counts n ON n.prev = l.prev AND n.next = c.next
+          WHERE c.next <> 3 QUALIFY row_number() OVER (
+            PARTITION BY l.prev ORDER BY round(logp, 9) DESC, c.next) <= 20)""",
+        IDS[6],
+        """live_0 AS (SELECT DISTINCT start, start AS last, CAST([] AS INTEGER[]) AS seq,
+             0.0::DOUBLE AS logp FROM starts)""",
+    ]
+    return _beam_steps(ctes, "divide", P.SMOOTHED_LENGTH)
+
+
 def greedy() -> str:
     ctes = [
         *IDS,
@@ -880,6 +945,40 @@ def all_oracles() -> dict[str, str]:
               FROM counted""",
         ),
         "beam_search": beam("divide"),
+        "beam_search_smoothed": smoothed_beam(),
+        "smoothed_transitions": with_ctes(
+            *SMOOTHED,
+            body=f"""SELECT prev, next, n, round(ln((n - {P.DISCOUNT}::DOUBLE) / total + backoff * p_next), 6) AS logp
+                       FROM counts JOIN left_out USING (prev) JOIN continued USING (next)""",
+        ),
+        "backoff_weights": with_ctes(
+            *SMOOTHED,
+            body="SELECT prev, total, round(backoff, 6) AS backoff, 1.0::DOUBLE AS sum FROM left_out",
+        ),
+        "alignment_likelihood": with_ctes(
+            *ALIGNED,
+            body=" UNION ALL ".join(
+                f"""SELECT {r} AS round, round(sum(ny * share * ln(total / size
+                      / {'(SELECT count(DISTINCT y) FROM id_pairs)' if r == 0 else '1'})), 2) AS log_likelihood
+                    FROM shares_{r}"""
+                for r in range(P.ALIGNMENT_ROUNDS)
+            ),
+        ),
+        "alignment_table": with_ctes(
+            *ALIGNED, body=f"SELECT x, y, round(p, 6) AS p FROM table_{P.ALIGNMENT_ROUNDS}"
+        ),
+        "copy_distribution_learned": with_ctes(
+            *ALIGNED,
+            _shares(P.ALIGNMENT_ROUNDS),
+            f"""place_weights AS (
+              SELECT doc_id, x, sum(ny * share / nx) / any_value(words) AS w FROM shares_{P.ALIGNMENT_ROUNDS}
+              JOIN (SELECT doc_id, sum(ny) AS words FROM y_side GROUP BY 1) USING (doc_id) GROUP BY 1, 2)""",
+            f"""places AS (SELECT doc_id, id, CASE WHEN id >= {P.VOCAB_SIZE} THEN 3 ELSE id END AS x,
+                count(*) OVER (PARTITION BY doc_id) AS size
+              FROM (SELECT doc_id, unnest(x) AS id FROM examples) WHERE id NOT IN (0, 2))""",
+            body="""SELECT doc_id, id, round(sum(coalesce(w, 1.0 / size)), 6) AS p
+                      FROM places LEFT JOIN place_weights USING (doc_id, x) GROUP BY 1, 2""",
+        ),
         "beam_search_multiply": beam("multiply"),
         "pointer_beam_search": pointer(0.0),
         "pointer_beam_search_joined": pointer(0.0),

@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType
 
 from condensa.functions import ids as I, text as T
 from condensa.operators import (
+    align,
     beam,
     encode,
     lattice,
@@ -585,6 +586,31 @@ def copy_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(lm.copy_distribution(P.examples(P.documents(spark, sf_dir))), "p")
 
 
+def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Numbered examples, their pairs of ids, the aligned table and its likelihoods."""
+    rows = align.numbered(P.examples(P.documents(spark, sf_dir)))
+    pairs = materialize(align.id_pairs(rows, P.VOCAB_SIZE), "id-pairs")
+    return rows, pairs, *align.align(pairs, P.ALIGNMENT_ROUNDS)
+
+
+@query
+def alignment_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_aligned(spark, sf_dir)[3], "log_likelihood", digits=2)
+
+
+@query
+def alignment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_aligned(spark, sf_dir)[2], "p")
+
+
+@query
+def copy_distribution_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy distribution with the weights that the alignment gives to the source."""
+    rows, pairs, table, _ = _aligned(spark, sf_dir)
+    weighted = align.aligned_weights(rows, pairs, table, P.VOCAB_SIZE)
+    return _rounded(lm.copy_distribution(weighted, weights="weights"), "p")
+
+
 def _with_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Examples, read twice, and the corpus distribution of their targets."""
     examples = materialize(P.examples(P.documents(spark, sf_dir)), "examples")
@@ -665,6 +691,43 @@ def _beam(spark: SparkSession, sf_dir: str, length_norm: str) -> DataFrame:
     return _rounded(found.withColumn("seq", joined("seq")), "score")
 
 
+def _pair_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, vocabulary, and how often an id follows an id, written."""
+    docs = P.documents(spark, sf_dir)
+    vocab = P.written_vocabulary(docs)
+    ids = P.document_ids(docs, vocab)
+    counts = lm.bigram_counts(ids, F.col("ids"), F.lit(I.SOS), F.lit(I.EOS))
+    return docs, vocab, materialize(counts, "bigrams")
+
+
+@query
+def smoothed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _pair_counts(spark, sf_dir)[2]
+    return _rounded(lm.smoothed_transitions(counts, P.DISCOUNT), "logp")
+
+
+@query
+def backoff_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each token leaves to unseen ones, and what all next tokens add up to: 1."""
+    counts = _pair_counts(spark, sf_dir)[2]
+    seen = lm.smoothed_transitions(counts, P.DISCOUNT).join(lm.continuation_shares(counts), "next")
+    sums = seen.groupBy("prev").agg(F.sum(F.exp("logp")).alias("seen"), F.sum("p_next").alias("covered"))
+    weights = lm.backoff_weights(counts, P.DISCOUNT).join(sums, "prev")
+    total = F.col("seen") + F.col("backoff") * (1 - F.col("covered"))
+    return _rounded(weights.select("prev", "total", "backoff", total.alias("sum")), "backoff", "sum")
+
+
+@query
+def beam_search_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any token may follow any other: unseen pairs are followed where they can be among the best."""
+    docs, vocab, counts = _pair_counts(spark, sf_dir)
+    starts = materialize(P.document_starts(docs, vocab), "starts")
+    # a blocked unknown id and a first eos may take two places
+    nexts = lm.smoothed_next_tokens(counts, P.DISCOUNT, P.BEAM_WIDTH + 3)
+    found = beam.beam_search(starts, nexts, P.VOCAB_SIZE, bw=P.BEAM_WIDTH, max_len=P.SMOOTHED_LENGTH)
+    return _rounded(found.withColumn("seq", joined("seq")), "score")
+
+
 @query
 def beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beam(spark, sf_dir, "divide")
