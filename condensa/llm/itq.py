@@ -281,7 +281,7 @@ def near_vectors(
                 yield pa.RecordBatch.from_arrays(columns, names=["_class", "_bucket", "_code"])
 
     spread = classes.select("_class", "_vector").repartition(parallelism(table), "_class")
-    met = spread.mapInArrow(keyed, schema="_class long, _bucket long, _code binary")
+    met = materialize(spread.mapInArrow(keyed, schema="_class long, _bucket long, _code binary"), "table-keys")
     near = per_unit(
         counted_units(met, "_bucket", "_class", CHUNK),
         ["_bucket"],

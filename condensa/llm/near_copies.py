@@ -27,6 +27,8 @@ CARRIED_DISTANCE, DISTANCE = 36, 128
 BY_CHANCE = 128
 #: Members on either side of a unit, for fingerprints and for shingle sets.
 CHUNK, SET_CHUNK = 512, 256
+#: The number of a table stands above the bits of its keys, which follow the sets up to 10 ** 15 of them.
+TABLE_SHIFT = 44
 SEED = 42
 _SEEDS = np.random.default_rng(SEED).integers(1 << 63, size=BITS // 64, dtype=np.uint64)
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -80,7 +82,7 @@ def table_layout(n_sets: int, jaccard: float = JACCARD, recall: float = RECALL)
     Sets of a Jaccard have a cosine of 2J / (1 + J) at least, and a bit differs with probability
     angle / pi.
     """
-    bits = max(4, min(31, ceil(log2(max(1, n_sets) / BY_CHANCE))))
+    bits = max(4, min(TABLE_SHIFT - 1, ceil(log2(max(1, n_sets) / BY_CHANCE))))
     meet = (1 - acos(2 * jaccard / (1 + jaccard)) / pi) ** bits
     return bits, ceil(log(1 - recall) / log(1 - meet))
 
@@ -96,7 +98,7 @@ def table_keys(wide: np.ndarray, places: np.ndarray) -> np.ndarray:
     """A row of keys, one of each table, for each row of `wide` (octets); the table is in the key."""
     bits = np.unpackbits(wide, axis=1, bitorder="little")
     powers = 1 << np.arange(places.shape[1], dtype=np.int64)
-    return bits[:, places] @ powers + (np.arange(len(places), dtype=np.int64) << 32)
+    return bits[:, places] @ powers + (np.arange(len(places), dtype=np.int64) << TABLE_SHIFT)
 
 
 def _keyed(distinct: DataFrame, places: np.ndarray) -> DataFrame:
@@ -174,7 +176,7 @@ def links(docs: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFram
     Within a group every pair whose fingerprints differ in a quarter of the bits at most is
     checked on the shingle sets themselves, in units of bounded size; no pair is emitted.
     """
-    keyed = _keyed(distinct, table_bits(*table_layout(distinct.count())))
+    keyed = materialize(_keyed(distinct, table_bits(*table_layout(distinct.count()))), "table-keys")
     units = counted_units(keyed, "_bucket", "_bits", CHUNK)
     near = per_unit(units, ["_bucket"], _candidates, "a long, b long").distinct()
     group = materialize(components(near).withColumnRenamed("node", "_bits"), "candidate-groups")

@@ -21,6 +21,9 @@ LIMIT = 512
 #: Documents, at most, whose pre-tokens are gathered together (an Arrow batch, which Spark bounds by
 #: bytes, may have fewer); their places fit into 16 bits.
 BATCH_DOCS = 8192
+#: Texts of a batch from which on a pre-token is dealt together with the batch's name, so that what is
+#: in very many texts spreads over all tasks.
+FREQUENT = 32
 
 
 @lru_cache(maxsize=2)
@@ -63,7 +66,37 @@ def _posted(texts: list[str], pattern: regex.Pattern, special) -> tuple[list[str
     sizes = np.bincount(of_token, minlength=len(number))
     places = np.repeat(np.arange(len(texts), dtype="<u2"), held)[order]
     counted = np.frombuffer(counts, dtype=np.uint32).astype("<u4")[order]
-    return list(number), _binary(places, sizes), _binary(counted, sizes)
+    return list(number), _binary(places, sizes), _narrow(counted, sizes)
+
+
+def _narrow(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """As `_binary`, with one octet a value in the rows whose values all fit, else four."""
+    if not len(sizes):
+        return pa.array([], pa.binary())
+    starts = np.cumsum(sizes) - sizes
+    widths = np.where(np.maximum.reduceat(values, starts) < 256, 1, 4)
+    each = np.repeat(widths, sizes)
+    at = np.cumsum(each) - each
+    octets = np.zeros(int(each.sum()), dtype=np.uint8)
+    octets[at] = values & 0xFF
+    wide = each == 4
+    for k in (1, 2, 3):
+        octets[at[wide] + k] = values[wide] >> (8 * k) & 0xFF
+    offsets = np.concatenate([[0], np.cumsum(sizes * widths)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(octets.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
+
+
+def _widened(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """The values of `_narrow`, one behind the other; `sizes` are the numbers of values."""
+    octets, lengths = _flat(column, "u1")
+    each = np.repeat(lengths // np.maximum(sizes, 1), sizes)
+    at = np.cumsum(each) - each
+    values = octets[at].astype(np.int64)
+    wide = each == 4
+    for k in (1, 2, 3):
+        values[wide] |= octets[at[wide] + k].astype(np.int64) << (8 * k)
+    return values
 
 
 def document_pretokens(
@@ -146,7 +179,7 @@ def sum_pieces(dealt: DataFrame, tokenizer: str, key_kind: str) -> DataFrame:
             pieces = np.array([known[t] for t in distinct], dtype=np.int64)[token.indices.to_numpy()]
             last = (rows.column("pretoken")[-1].as_py(), int(pieces[-1]))
             places, sizes = _flat(rows.column("places"), "<u2")
-            counts, _ = _flat(rows.column("counts"), "<u4")
+            counts = _widened(rows.column("counts"), sizes)
             names, batch = np.unique(rows.column("batch").to_numpy(), return_inverse=True)
             spots, at = np.unique(np.repeat(batch, sizes) << 16 | places, return_inverse=True)
             total = np.zeros(len(spots), dtype=np.int64)
@@ -170,6 +203,19 @@ def _result(columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["batch", "place", "pieces", "n_bytes", "key"])
 
 
+def dealt_pretokens(
+    docs: DataFrame, tokenizer: str, pattern: str, key: str, text: str, parts: int
+) -> DataFrame:
+    """`document_pretokens` dealt by pre-token, frequent ones by pre-token and batch."""
+    gathered = document_pretokens(docs, tokenizer, pattern, key, text)
+    frequent = F.octet_length("places") >= 2 * FREQUENT
+    # a document's own row is dealt by batch and place, so that they spread
+    dealt_by = F.when(frequent, F.concat_ws(":", "batch", "pretoken")).otherwise(
+        F.coalesce("pretoken", F.concat_ws(":", "batch", "place"))
+    )
+    return gathered.repartition(parts, dealt_by)
+
+
 def token_counts(
     docs: DataFrame,
     tokenizer: str,
@@ -183,14 +229,15 @@ def token_counts(
     Pre-tokens of up to `BATCH_DOCS` documents are gathered to one row per distinct pre-token with
     its documents and counts, so a frequent pre-token is one row a batch. Those rows are dealt by
     pre-token, the only shuffle of them; there each is counted by the library once and joined to its
-    documents (`sum_pieces`). What returns is sums per document. A null text counts as empty;
-    repeated rows and null keys are answered each. The input has to give the same rows in the same
-    order when a task runs again, as files do: documents are named by batch and place until the end.
+    documents (`sum_pieces`). Pre-tokens of `FREQUENT` texts of a batch or more are dealt by pre-token and
+    batch, so no task has all rows of one that every text holds; they are few, and each task that has some of
+    them counts them once. What returns is sums per document. A null text counts as empty; repeated rows and
+    null keys are answered each; other columns are not read; long texts are read whole; an empty table gives an
+    empty one. The input has to give the same rows in the same order when a task runs again, as files do:
+    documents are named by batch and place until the end.
     """
-    gathered = document_pretokens(docs, tokenizer, pattern, key, text)
-    # a document's own row is dealt by batch and place, so that they spread
-    dealt_by = F.coalesce("pretoken", F.concat_ws(":", "batch", "place"))
-    dealt = gathered.repartition(parallelism(docs), dealt_by).sortWithinPartitions("pretoken")
+    dealt = dealt_pretokens(docs, tokenizer, pattern, key, text, parallelism(docs))
+    dealt = dealt.sortWithinPartitions("pretoken")
     summed = sum_pieces(dealt, tokenizer, docs.schema[key].dataType.simpleString())
     total = summed.groupBy("batch", "place").agg(
         F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum("pieces").alias("n_tokens")

@@ -232,6 +232,30 @@ def test_ids_wider_than_the_planes_are_refused(spark, docs):
 # --- token counts ---------------------------------------------------------------------
 
 
+def test_counts_of_any_width_come_back():
+    random = np.random.default_rng(3)
+    sizes = random.integers(1, 40, 300)
+    values = random.integers(1, 300, sizes.sum()).astype("<u4")
+    values[random.random(len(values)) < 0.01] = 1 << 20
+    values[: sizes[0]] = 255
+    assert (token_counts._widened(token_counts._narrow(values, sizes), sizes) == values).all()
+
+
+def test_frequent_pretokens_spread_over_tasks(spark):
+    """A pre-token that every text holds: no task gets more than twice the median of its posting bytes."""
+    random.seed(1)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " the ".join(random.choices(words, k=30))) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(60)
+    dealt = token_counts.dealt_pretokens(table, BYTE_FILE, P.PATTERN, "doc_id", "text", 16)
+    hot = dealt.where("pretoken = ' the'").groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("places")))
+    assert hot.count() >= 12
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("places")).alias("n")).collect()
+    sizes = sorted(r["n"] for r in sizes)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert token_counts.token_counts(table, BYTE_FILE, P.PATTERN).count() == 6000
+
+
 def test_token_counts_are_the_library_s(docs, none):
     rows = token_counts.token_counts(docs, BYTE_FILE, P.PATTERN).collect()
     sizes = [len((t or "").encode()) for _, t in TEXTS]
