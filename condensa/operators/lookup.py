@@ -53,7 +53,8 @@ def word_table(
 ) -> Column:
     """Scalar column: `array<map<word, value>>`, indexed by the hash bucket of the word."""
     spark = vocab.sparkSession
-    filled = vocab.groupBy(_bucket(F.col("word")).alias("bucket")).agg(
+    # no more than tells that there are too many is collected
+    filled = vocab.limit(limit + 1).groupBy(_bucket(F.col("word")).alias("bucket")).agg(
         F.collect_list(F.struct("word", F.col(value).cast(kind).alias("value"))).alias("entries")
     )
     buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))

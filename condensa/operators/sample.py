@@ -57,6 +57,60 @@ def batches(df: DataFrame, key: str, batch_size: int) -> DataFrame:
     )
 
 
+# The rounds of the permutation, its prime, and what a round multiplies by.
+ROUNDS, PRIME = 4, (1 << 31) - 1
+MULTIPLIERS = (1_103_515_245, 1_664_525_013, 1_566_083_941, 1_284_865_837)
+
+
+def round_keys(seed: int, epoch: int) -> list[int]:
+    """What each round of the permutation adds, by seed and epoch."""
+    return [(seed * 7_919 + epoch * 104_729 + r * 1_299_709) % PRIME for r in range(ROUNDS)]
+
+
+def half_bits(n: int) -> int:
+    """Bits of either half of the numbers that the permutation works on: the fewest that hold `n` of them."""
+    return max(1, math.ceil(math.log2(max(2, n)) / 2))
+
+
+def permuted(idx: Column, n: int, seed: int, epoch: int) -> Column:
+    """The place of row `idx` in the order of an epoch: a permutation of 0 to n - 1, without a sort.
+
+    A Feistel network permutes all numbers of its width; a number beyond the rows walks on through it until it
+    is one of theirs. The width holds less than four times the rows, so few steps are taken on average.
+    """
+    bits = half_bits(n)
+    keys, mask = round_keys(seed, epoch), (1 << bits) - 1
+
+    def mixed(value: Column) -> Column:
+        left, right = F.shiftright(value, bits), value.bitwiseAND(F.lit(mask))
+        for key, multiplier in zip(keys, MULTIPLIERS):
+            drawn = ((right + F.lit(key)) % PRIME * F.lit(multiplier) % PRIME).bitwiseAND(F.lit(mask))
+            left, right = right, left.bitwiseXOR(drawn)
+        return F.shiftleft(left, bits).bitwiseOR(right)
+
+    def walk(value: Column, _: Column) -> Column:
+        return F.when(value < n, value).otherwise(mixed(value))
+
+    # a walk this long does not occur: each step ends it with a quarter at least
+    steps = F.sequence(F.lit(1), F.lit(200))
+    return F.aggregate(steps, mixed(idx.cast("long")), walk)
+
+
+def epoch_batches(df: DataFrame, key: str, batch_size: int, seed: int, epoch: int) -> DataFrame:
+    """Batches of an epoch: all rows in an order of its own, `place`, `batch_id`, `row_in_batch`.
+
+    The rows are put in key order once and counted; every epoch permutes their numbers where they are.
+    """
+    placed = materialize(ordered_index(df, key), "indexed")
+    size, place = F.lit(batch_size), permuted(F.col("idx"), placed.count(), seed, epoch)
+    return (
+        placed.withColumn("place", place)
+        .withColumn("batch_id", F.floor(F.col("place") / size))
+        .withColumn("row_in_batch", F.col("place") % size)
+        .drop("idx")
+    )
+
+
 def ordered_keys(df: DataFrame, key: str) -> DataFrame:
     """`key, idx` of all rows, from keys that are written once, whatever `df` is derived from."""
     return ordered_index(materialize(df.select(key), "keys"), key)

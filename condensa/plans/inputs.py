@@ -26,7 +26,7 @@ CUTOFF = 400
 P_GEN = 0.8
 BATCH_SIZE = 64
 SUMMARY_SENTENCES = 3
-SAMPLES, SEED = 25, 7
+SAMPLES, SEED, EPOCH = 25, 7, 3
 BEAM_WIDTH, PATH_LENGTH = 4, TY
 POINTER_LENGTH, COVERAGE = 8, 1.0
 ALIGNMENT_ROUNDS = 3

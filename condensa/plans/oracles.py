@@ -6,6 +6,7 @@ tokens where the plans work inside arrays.
 
 from __future__ import annotations
 
+from condensa.operators.sample import MULTIPLIERS, PRIME, ROUNDS, round_keys
 from condensa.plans import inputs as P
 
 WORDS = r"""'[\p{L}\p{N}_'']+|[.,!?;"]'"""
@@ -505,6 +506,28 @@ def smoothed_beam() -> str:
     return _beam_steps(ctes, "divide", P.SMOOTHED_LENGTH)
 
 
+def epoch_order() -> str:
+    """The permutation step by step: numbers beyond the rows walk on in the recursion."""
+    keys = round_keys(P.SEED, P.EPOCH)
+
+    def mixed(source: str) -> str:
+        nested = f"(SELECT *, value >> half AS l0, value & ((1 << half) - 1) AS r0 FROM {source})"
+        for r, (key, multiplier) in enumerate(zip(keys, MULTIPLIERS)):
+            drawn = f"(((r{r} + {key}) % {PRIME} * {multiplier} % {PRIME}) & ((1 << half) - 1))"
+            nested = f"(SELECT *, r{r} AS l{r + 1}, xor(l{r}, {drawn}) AS r{r + 1} FROM {nested})"
+        return f"SELECT doc_id, n, half, (l{ROUNDS} << half) | r{ROUNDS} AS value FROM {nested}"
+
+    return with_ctes(
+        """rows AS (SELECT doc_id, n, CAST(greatest(1, ceil(log2(greatest(2, n)) / 2)) AS BIGINT) AS half,
+             row_number() OVER (ORDER BY doc_id) - 1 AS value
+           FROM documents, (SELECT count(*) AS n FROM documents))""",
+        f"walk AS ({mixed('rows')} UNION ALL {mixed('(SELECT * FROM walk WHERE value >= n)')})",
+        body=f"""SELECT doc_id, value AS place, value // {P.BATCH_SIZE} AS batch_id,
+                   value % {P.BATCH_SIZE} AS row_in_batch FROM walk WHERE value < n""",
+        recursive=True,
+    )
+
+
 def greedy() -> str:
     ctes = [
         *IDS,
@@ -651,6 +674,7 @@ SCORED_PAIRS = (
 MISSING = """holes AS (SELECT ex_id,
     CASE WHEN substring(md5(ex_id), 1, 1) >= '5' THEN source ELSE '' END AS source,
     CASE WHEN substring(md5(ex_id), 2, 1) >= '4' THEN target ELSE '' END AS target FROM pairs)"""
+DRAWN = "substring(md5(CAST(doc_id AS VARCHAR)), 1, 1)"
 TURN_KEYS = "SELECT conv_id || ':' || turn AS turn_key, role FROM conversations"
 
 
@@ -944,6 +968,14 @@ def all_oracles() -> dict[str, str]:
             body="""SELECT prev, next, n, round(ln(n / sum(n) OVER (PARTITION BY prev)), 6) AS logp
               FROM counted""",
         ),
+        "epoch_batches": epoch_order(),
+        "articles_of_lines": f"""SELECT doc_id, text FROM documents WHERE {DRAWN} NOT IN ('0', '1', '2')""",
+        "broken_lines": f"""SELECT CASE {DRAWN}
+              WHEN '0' THEN '{{"doc_id": ' || doc_id || ', "text": "' || md5(text)
+              WHEN '1' THEN '{{"text": "' || md5(text) || '"}}'
+              ELSE '{{"doc_id": "' || md5(text) || '", "text": "x"}}' END AS value,
+              CASE {DRAWN} WHEN '1' THEN 'no key' ELSE 'broken' END AS reason
+            FROM documents WHERE {DRAWN} IN ('0', '1', '2')""",
         "beam_search": beam("divide"),
         "beam_search_smoothed": smoothed_beam(),
         "smoothed_transitions": with_ctes(

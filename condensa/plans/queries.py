@@ -273,6 +273,31 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles.read_articles(spark, path, ["text", "lang"], "doc_id", LongType())
 
 
+def _split_lines(spark: SparkSession, sf_dir: str) -> articles.SplitArticles:
+    """Documents as JSON lines, some cut off and some without an id, read back."""
+    path, docs = new_path(spark, "lines"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    draw, digest = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1), F.md5("text")
+    line = (
+        F.when(draw == "0", F.concat(F.lit('{"doc_id": '), "doc_id", F.lit(', "text": "'), digest))
+        .when(draw == "1", F.concat(F.lit('{"text": "'), digest, F.lit('"}')))
+        .when(draw == "2", F.concat(F.lit('{"doc_id": "'), digest, F.lit('", "text": "x"}')))
+        .otherwise(F.to_json(F.struct("doc_id", "text")))
+    )
+    docs.select(line.alias("value")).write.text(path)
+    return articles.split_articles(spark, path, ["text"], "doc_id", LongType())
+
+
+@query
+def articles_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split_lines(spark, sf_dir).good
+
+
+@query
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that are no articles; where they stand depends on the files."""
+    return _split_lines(spark, sf_dir).bad.select("value", "reason")
+
+
 @query
 def normalized_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "normalized")
@@ -378,6 +403,13 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.batches(docs, "doc_id", P.BATCH_SIZE)
 
 
+@query
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in the order of an epoch."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return sample.epoch_batches(docs, "doc_id", P.BATCH_SIZE, P.SEED, P.EPOCH)
+
+
 def _turn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.select(F.concat_ws(":", "conv_id", "turn").alias("turn_key"), "role")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from condensa.functions.text import flatten_newlines, normalize_text, split_sentences
 from condensa.operators.lookup import explode_words
 from condensa.operators.sample import head_fraction, ordered_index
+from condensa.operators.skew import broadcast_if_small
+from condensa.session import materialize
 
 
 def article_schema(
@@ -48,6 +52,59 @@ def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return ordered_index(placed, path, line, name=key).drop(path, line)
 
 
+class SplitArticles(NamedTuple):
+    """`good` has the asked columns; `bad` has `file, line, value, reason` of every other line."""
+
+    good: DataFrame
+    bad: DataFrame
+
+
+# Why a line is no article.
+BROKEN, NO_KEY = "broken", "no key"
+
+
+def split_articles(
+    spark: SparkSession,
+    path: str,
+    fields: list[str],
+    key: str | None = None,
+    key_type: DataType = StringType(),
+) -> SplitArticles:
+    """The articles of JSON lines, and the lines that are none, from one read.
+
+    A line that is no JSON object, or holds a value of another type, is broken; one without a usable id has
+    no key. Blank lines are neither. The parsed lines are written once, and both tables read them. Lines are
+    numbered from 1 by file: splits are counted, one row each, and a bad line adds those before its own.
+    """
+    broken, place = "_broken", ["_file", "_block"]
+    schema = StructType([*article_schema(fields, key, key_type).fields, StructField(broken, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_seq"),
+    )
+    read = lines.withColumn("_article", F.from_json("value", schema, options))
+    no_key = F.col(f"_article.{key}").isNull() if key else F.lit(False)
+    reason = (
+        F.when(F.trim("value") == "", "")
+        .when(F.col("_article").isNull() | F.col(f"_article.{broken}").isNotNull(), BROKEN)
+        .when(no_key, NO_KEY)
+    )
+    read = materialize(read.withColumn("reason", reason), "lines")
+    splits = read.groupBy(*place).agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    splits = splits.select(*place, (before - F.col("_first") + 1).alias("_before"))
+    bad = read.where(F.col("reason").isin(BROKEN, NO_KEY)).join(broadcast_if_small(splits), place)
+    columns = [c.name for c in schema.fields if c.name != broken]
+    return SplitArticles(
+        read.where("reason IS NULL").select(*[F.col(f"_article.{c}").alias(c) for c in columns]),
+        bad.select(F.col("_file").alias("file"), (F.col("_seq") + F.col("_before")).alias("line"), "value", "reason"),
+    )
+
+
 def write_articles(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

@@ -7,12 +7,19 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Samples, at most, that one report lists.
+MAX_SAMPLES = 10_000
+
+
 def report_line(averages: DataFrame, samples: DataFrame, config: dict, key: str) -> DataFrame:
     """One row `value` holding the JSON list.
 
-    `averages` has one row per metric; `samples` (`key, text, ref_summary, pred_summary`) has
-    as many rows as were sampled, and is put in key order.
+    `averages` has one row per metric; `samples` (`key, text, ref_summary, pred_summary`) is put in key
+    order. The list is one value, so more than `MAX_SAMPLES` samples are an error, told before they are
+    collected.
     """
+    if samples.limit(MAX_SAMPLES + 1).count() > MAX_SAMPLES:
+        raise ValueError(f"a report holds {MAX_SAMPLES} samples at most")
     entry = F.struct("metric", F.struct("r", "p", "f").alias("s"))
     scores = averages.agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("scores")

@@ -216,3 +216,47 @@ def test_no_local_folder_on_a_cluster():
         shared_dir(Unset("yarn"))
     local = Unset("local[2]")
     assert shared_dir(local) == shared_dir(local) == local.folder
+
+
+def test_broken_lines_are_told_apart(spark, tmp_path, monkeypatch):
+    """Lines of two files, read in many splits: good ones unharmed, bad ones with file and line."""
+    want, good = set(), []
+    for name, n in (("a.json", 400), ("b.json", 90)):
+        lines = []
+        for i in range(1, n + 1):
+            kind = i % 11
+            line = {
+                0: '{"id": 1, "text": "cut',
+                1: "not json",
+                2: '{"text": "no id"}',
+                3: '{"id": "word", "text": "t"}',
+                4: "",
+                5: "[1, 2]",
+            }.get(kind) if i % 3 == 0 else None
+            if line is None:
+                line = '{"id": %d, "text": "t%d \\u00e9", "more": [1]}' % (i, i)
+                good.append((i, f"t{i} é"))
+            elif line:
+                want.add((name, i, line, "no key" if kind == 2 else "broken"))
+            lines.append(line)
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        found = articles.split_articles(spark, str(tmp_path), ["text"], "id", LongType())
+        bad = {(r["file"].rsplit("/", 1)[1], r["line"], r["value"], r["reason"]) for r in found.bad.collect()}
+        assert sorted(map(tuple, found.good.collect())) == sorted(good)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert bad == want and found.bad.count() == len(want)
+    named = articles.split_articles(spark, str(tmp_path), ["text"])
+    assert "no key" not in {r["reason"] for r in named.bad.collect()}
+
+
+def test_a_report_has_a_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "MAX_SAMPLES", 2)
+    samples = spark.createDataFrame([(i, "t", "r", "p") for i in range(3)], "doc_id int, text string, ref_summary string, pred_summary string")
+    averages = spark.createDataFrame([("rouge-1", 1.0, 1.0, 1.0)], "metric string, r double, p double, f double")
+    with pytest.raises(ValueError):
+        report.write_report(averages, samples, {}, str(tmp_path / "r"))
+    report.write_report(averages, samples.limit(2), {}, str(tmp_path / "r"))
+    assert len(report.read_report(spark, str(tmp_path / "r"))) == 4

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from condensa.operators.skew import heaviest
 from condensa.operators import sample, stats
 
 
@@ -116,3 +117,54 @@ def test_random_sample_repeats_and_can_draw_every_row(spark):
     draw = lambda seed, d=df: {r[0] for r in sample.random_sample(d, "k", 10, seed).collect()}
     assert draw(1) == draw(1, df.repartition(3)) != draw(2)
     assert set().union(*[draw(s) for s in range(25)]) == set(range(30))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 17, 1000])
+def test_an_epoch_is_a_permutation(spark, n):
+    rows = spark.range(n).select("id", *[sample.permuted(F.col("id"), n, 7, e).alias(f"e{e}") for e in range(4)])
+    columns = list(zip(*[r[1:] for r in rows.collect()]))
+    assert all(sorted(c) == list(range(n)) for c in columns)
+    if n == 1000:
+        assert len(set(columns)) == 4
+        assert all(sum(a == b for a, b in zip(c, range(n))) < 20 for c in columns)
+
+
+def test_epoch_batches(spark):
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(100)], "k string").repartition(5)
+    first, again, other = (
+        {r["k"]: (r["batch_id"], r["row_in_batch"]) for r in sample.epoch_batches(d, "k", 16, 3, e).collect()}
+        for d, e in ((df, 0), (df.repartition(3), 0), (df, 1))
+    )
+    assert first == again != other
+    assert sorted(first.values()) == [divmod(i, 16) for i in range(100)]
+    assert sample.epoch_batches(df.limit(0), "k", 16, 3, 0).collect() == []
+
+
+def test_derived_rows_are_computed_once_for_a_head(spark):
+    """Counting, ordering and cutting read written keys; only the cut itself computes the rows again."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            computed.add(len(f))
+            yield f
+
+    derived = keyed(spark, range(200)).mapInPandas(seen, "k long")
+    kept = sample.evaluated_rows(derived, "k", 10, 5, 3)
+    assert computed.value == 200
+    assert kept.count() == 50 and computed.value <= 400
+
+
+def test_top_words_compute_their_counts_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            computed.add(len(f))
+            yield f
+
+    rows = spark.createDataFrame([(f"w{i}", i % 50) for i in range(500)], "k string, n long")
+    found = heaviest(rows.mapInPandas(seen, "k string, n long"), "n", "k", 12).collect()
+    assert computed.value == 500
+    want = sorted(((f"w{i}", i % 50) for i in range(500)), key=lambda r: (-r[1], r[0]))[:12]
+    assert [(r["k"], r["n"], r["idx"]) for r in sorted(found, key=lambda r: r["idx"])] == [(*w, i) for i, w in enumerate(want)]
