@@ -21,8 +21,8 @@ LIMIT = 512
 #: Documents, at most, whose pre-tokens are gathered together (an Arrow batch, which Spark bounds by
 #: bytes, may have fewer); their places fit into 16 bits.
 BATCH_DOCS = 8192
-#: Texts of a batch from which on a pre-token is dealt together with the batch's name, so that what is
-#: in very many texts spreads over all tasks.
+#: Texts of a batch from which on a pre-token is dealt by the batch, so that what is in very many texts
+#: spreads over all tasks.
 FREQUENT = 32
 
 
@@ -206,11 +206,12 @@ def _result(columns: list[pa.Array]) -> pa.RecordBatch:
 def dealt_pretokens(
     docs: DataFrame, tokenizer: str, pattern: str, key: str, text: str, parts: int
 ) -> DataFrame:
-    """`document_pretokens` dealt by pre-token, frequent ones by pre-token and batch."""
+    """`document_pretokens` dealt by pre-token, frequent ones by batch."""
     gathered = document_pretokens(docs, tokenizer, pattern, key, text)
     frequent = F.octet_length("places") >= 2 * FREQUENT
     # a document's own row is dealt by batch and place, so that they spread
-    dealt_by = F.when(frequent, F.concat_ws(":", "batch", "pretoken")).otherwise(
+    # frequent ones of a batch stay together, so that their sums return as one a document
+    dealt_by = F.when(frequent, F.concat_ws(":", F.lit("frequent"), "batch")).otherwise(
         F.coalesce("pretoken", F.concat_ws(":", "batch", "place"))
     )
     return gathered.repartition(parts, dealt_by)
@@ -229,9 +230,9 @@ def token_counts(
     Pre-tokens of up to `BATCH_DOCS` documents are gathered to one row per distinct pre-token with
     its documents and counts, so a frequent pre-token is one row a batch. Those rows are dealt by
     pre-token, the only shuffle of them; there each is counted by the library once and joined to its
-    documents (`sum_pieces`). Pre-tokens of `FREQUENT` texts of a batch or more are dealt by pre-token and
-    batch, so no task has all rows of one that every text holds; they are few, and each task that has some of
-    them counts them once. What returns is sums per document. A null text counts as empty; repeated rows and
+    documents (`sum_pieces`). Pre-tokens of `FREQUENT` texts of a batch or more are dealt by batch, so no task
+    has all rows of one that every text holds; they are few, and each task that has some of them counts them
+    once. What returns is sums per document. A null text counts as empty; repeated rows and
     null keys are answered each; other columns are not read; long texts are read whole; an empty table gives an
     empty one. The input has to give the same rows in the same order when a task runs again, as files do:
     documents are named by batch and place until the end.
