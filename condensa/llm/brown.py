@@ -34,8 +34,12 @@ HEADS, ENDINGS, ENDING_CHARS = 8192, 2048, 3
 CLASSES, ROUNDS = 64, 12
 #: UTF-8 bytes of the texts of a batch, unless one text alone has more.
 BATCH_BYTES = 8 << 20
-#: Packets of words for each partition of a shuffle, and ranges that units are dealt in.
-PACKETS, RANGES = 4, 64
+#: Packets of words for each partition of a shuffle.
+PACKETS = 4
+#: Ranges that units are dealt in: as many as a shuffle has partitions, within these bounds.
+LEAST_RANGES, MOST_RANGES = 64, 1024
+#: Different pairs of units that a task adds up before they leave it.
+COMBINED = 2 << 20
 # Fixed values of the base score: what is added to each count.
 ADDED = 0.1
 #: What a seen class pair gives to unseen ones.
@@ -225,7 +229,7 @@ def _top_words(counts: DataFrame, heads: int, packets: int) -> tuple[str, ...]:
     return tuple(r["word"] for r in listed.orderBy(F.desc("n"), "word").limit(heads).collect())
 
 
-PAIR_SCHEMA = "range int, side int, pairs binary, counts binary"
+PAIR_SCHEMA = "range int, side int, salt int, pairs binary, counts binary"
 
 
 def _sequences(ids, sizes, of_word, end) -> tuple[np.ndarray, np.ndarray]:
@@ -238,9 +242,45 @@ def _sequences(ids, sizes, of_word, end) -> tuple[np.ndarray, np.ndarray]:
     return found, ends
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbouring units of learned texts, by ranges of the first and of the second one."""
-    n = units.number
+def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[starts], np.add.reduceat(counts, starts, dtype=np.int64) if len(starts) else counts.astype(np.int64)
+
+
+def _dealt_pairs(keys: np.ndarray, counts: np.ndarray, n: int, ranges: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of units by ranges of the first one and of the second one."""
+    for side in (0, 1):
+        own, other = (keys // n, keys % n)[:: 1 - 2 * side]
+        # frequent units, which have the low numbers, spread over all ranges
+        order = np.argsort(own % ranges, kind="stable")
+        pairs, times = (own * n + other)[order].astype(np.uint32), counts[order]
+        cuts = np.searchsorted((own % ranges)[order], np.arange(ranges + 1))
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        columns = [
+            pa.array([k for k, _, _ in spans], pa.int32()),
+            *(pa.array([v] * len(spans), pa.int32()) for v in (side, salt)),
+            pa.array([pairs[a:b].tobytes() for _, a, b in spans], pa.binary()),
+            pa.array([_short(times[a:b]) for _, a, b in spans], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["range", "side", "salt", "pairs", "counts"])
+
+
+def _short(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers if they fit, else as 64-bit ones; their number tells which."""
+    return counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64).tobytes()
+
+
+def _long(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, dtype=np.uint32 if len(counts) == 4 * n else np.int64).astype(np.int64)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], units: Units, ranges: int, salts: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbouring units of learned texts, added up in the task."""
+    n, salt = units.number, TaskContext.get().partitionId() % salts
+    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for rows in batches:
         for place in range(rows.num_rows):
             sizes, learned, ids = (
@@ -248,41 +288,44 @@ def _pairs(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.Recor
             )
             ids, sizes = ids[np.repeat(learned, sizes)], sizes[learned]
             of_word = units.of(rows.column("words")[place].values)
-            after, ends = _sequences(ids, sizes, of_word, n - 1)
+            after, _ = _sequences(ids, sizes, of_word, n - 1)
             if not len(after):
                 continue
             before = np.concatenate([[n - 1], after[:-1]])  # the end of a text begins the next
             met, times = np.unique(before * n + after, return_counts=True)
-            for side in (0, 1):
-                own, other = (met // n, met % n)[:: 1 - 2 * side]
-                # frequent units, which have the low numbers, spread over all ranges
-                order = np.argsort(own % RANGES, kind="stable")
-                keys, counts = (own * n + other)[order].astype(np.uint32), times[order].astype(np.uint32)
-                cuts = np.searchsorted((own % RANGES)[order], np.arange(RANGES + 1))
-                spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-                columns = [
-                    pa.array([k for k, _, _ in spans], pa.int32()),
-                    pa.array([side] * len(spans), pa.int32()),
-                    pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for _, a, b in spans], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["range", "side", "pairs", "counts"])
+            keys, counts = _added_up(np.concatenate([keys, met]), np.concatenate([counts, times]))
+            if len(keys) >= COMBINED:
+                yield from _dealt_pairs(keys, counts, n, ranges, salt)
+                keys, counts = keys[:0], counts[:0]
+    if len(keys):
+        yield from _dealt_pairs(keys, counts, n, ranges, salt)
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    """One row of all pairs of a range and side."""
-    keys = _numbers(b"".join(group.column("pairs").to_pylist()), np.uint32)
-    counts = _numbers(b"".join(group.column("counts").to_pylist()), np.uint32)
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys, counts = keys[starts], np.add.reduceat(counts, starts, dtype=np.int64)
-    own = [group.column(c)[0].as_py() for c in ("range", "side")]
-    columns = [
-        pa.array(own[:1], pa.int32()), pa.array(own[1:], pa.int32()),
-        pa.array([keys.tobytes()]), pa.array([counts.tobytes()]),
-    ]
-    return pa.Table.from_arrays(columns, names=["range", "side", "pairs", "counts"])
+    """One row of all pairs of a group."""
+    listed = group.column("pairs").to_pylist()
+    times = [_long(c, len(p) // 4) for p, c in zip(listed, group.column("counts").to_pylist())]
+    keys, counts = _added_up(_numbers(b"".join(listed), np.uint32), np.concatenate(times))
+    own = [pa.array([group.column(c)[0].as_py()], pa.int32()) for c in ("range", "side", "salt")]
+    columns = [*own, pa.array([keys.tobytes()]), pa.array([_short(counts)])]
+    return pa.Table.from_arrays(columns, names=["range", "side", "salt", "pairs", "counts"])
+
+
+def _unit_pairs(batches: DataFrame, units: Units) -> DataFrame:
+    """One row of pairs for each range and side, written.
+
+    Pairs are added up in the tasks, then over a share of the tasks, then over all: a sum has no more pairs
+    than there are of units, so what a group reads grows with the root of the number of tasks.
+    """
+    parts = parallelism(batches)
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, parts))
+    salts = max(1, round(parts**0.5))
+    cut = batches.select("sizes", "learned", "ids", "words").mapInArrow(
+        partial(_pairs, units=units, ranges=ranges, salts=salts), PAIR_SCHEMA
+    )
+    for group in (["range", "side", "salt"], ["range", "side"]):
+        cut = cut.repartition(parts, *group).groupBy(*group).applyInArrow(_summed, PAIR_SCHEMA)
+    return materialize(cut, "pairs")
 
 
 def _class_pairs(rows: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
@@ -295,7 +338,7 @@ def _class_pairs(rows: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
             for pairs, counts in zip(batch.column("pairs").to_pylist(), batch.column("counts").to_pylist()):
                 keys = _numbers(pairs, np.uint32).astype(np.int64)
                 at = classes[keys // n] * k + classes[keys % n]
-                np.add.at(found, at, _numbers(counts))
+                np.add.at(found, at, _long(counts, len(keys)))
         seen = np.flatnonzero(found)
         columns = [pa.array(seen, pa.int64()), pa.array(found[seen], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, names=["at", "n"])
@@ -350,7 +393,10 @@ def _proposals(pairs: DataFrame, classes: np.ndarray, table: np.ndarray, wanted:
         for batch in batches:
             for place in range(batch.num_rows):
                 own = [batch.column(c)[place].as_py() or b"" for c in range(4)]
-                sides = [_numbers(v, (np.uint32, np.int64)[c % 2]).astype(np.int64) for c, v in enumerate(own)]
+                sides = []
+                for pairs, counts in (own[:2], own[2:]):
+                    keys = _numbers(pairs, np.uint32).astype(np.int64)
+                    sides += [keys, _long(counts, len(keys))]
                 units = np.unique(np.concatenate([sides[0] // n, sides[2] // n]))
                 units = units[units < n - 1]
                 near = np.zeros((2, len(units) + 1, k), dtype=np.int64)
@@ -468,9 +514,7 @@ def _class_words(counts: DataFrame, units: Units, classes: np.ndarray, k: int) -
 
 def _model(batches: DataFrame, counts: DataFrame, packets: int, heads: int, endings: int, classes: int, rounds: int) -> Model:
     units = Units(_top_words(counts, heads, packets), endings)
-    cut = batches.select("sizes", "learned", "ids", "words").mapInArrow(partial(_pairs, units=units), PAIR_SCHEMA)
-    dealt = cut.repartition(parallelism(batches), "range", "side").groupBy("range", "side")
-    pairs = materialize(dealt.applyInArrow(_summed, PAIR_SCHEMA), "pairs")
+    pairs = _unit_pairs(batches, units)
     found, table, course = exchange(pairs, units.number, classes, rounds)
     k = classes + 1
     words = _class_words(counts, units, found, k)
