@@ -969,6 +969,11 @@ def all_oracles() -> dict[str, str]:
               FROM counted""",
         ),
         "epoch_batches": epoch_order(),
+        "length_sketch": with_ctes(
+            TOKS, LENGTHS,
+            body="""SELECT count(*) AS n, min(value) AS min_value, max(value) AS max_value,
+                      true AS q1_within, true AS q2_within, true AS q3_within FROM lengths""",
+        ),
         "articles_of_lines": f"""SELECT doc_id, text FROM documents WHERE {DRAWN} NOT IN ('0', '1', '2')""",
         "broken_lines": f"""SELECT CASE {DRAWN}
               WHEN '0' THEN '{{"doc_id": ' || doc_id || ', "text": "' || md5(text)

@@ -20,6 +20,7 @@ from condensa.operators import (
     pointer,
     rouge,
     sample,
+    sketch,
     stats,
     subword,
     summarize,
@@ -373,6 +374,21 @@ def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.length_summary(_length_counts(spark, sf_dir))
 
 
+@query
+def length_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths by stored sketches: half of the files first, the others added; errors against exact counts."""
+    docs, folder, store = P.documents(spark, sf_dir), new_path(spark, "texts"), new_path(spark, "sketches")
+    length = F.size(T.word_tokens("text"))
+    for part in (0, 1):
+        own = docs.where(F.pmod("doc_id", F.lit(2)) == part)
+        own.repartition(4, "doc_id").write.mode("append").parquet(folder)
+        sketch.add_files(spark, folder, store, length)
+    summary = sketch.merged_summary(sketch.read_store(spark, store))
+    errors = sketch.rank_errors(summary, stats.value_counts(docs, length))
+    within = [(F.col(f"error_{i}") <= sketch.RANK_ERROR).alias(f"q{i}_within") for i in (1, 2, 3)]
+    return errors.select("n", "min_value", "max_value", *within)
+
+
 @query
 def cutoff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cutoff_report(_length_counts(spark, sf_dir), P.CUTOFF)

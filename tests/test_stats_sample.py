@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from condensa.operators.skew import heaviest
-from condensa.operators import sample, stats
+from condensa.operators import sample, sketch, stats
 
 
 def counts(spark, values):
@@ -168,3 +168,36 @@ def test_top_words_compute_their_counts_once(spark):
     assert computed.value == 500
     want = sorted(((f"w{i}", i % 50) for i in range(500)), key=lambda r: (-r[1], r[0]))[:12]
     assert [(r["k"], r["n"], r["idx"]) for r in sorted(found, key=lambda r: r["idx"])] == [(*w, i) for i, w in enumerate(want)]
+
+
+def test_sketches_of_added_files(spark, tmp_path):
+    """Only new files are read, merging is as good as one sketch, and quartiles are within the bound."""
+    folder, store = str(tmp_path / "in"), str(tmp_path / "sketches")
+    value = F.col("v")
+    rng = random.Random(2)
+    values = [int(rng.lognormvariate(5, 1)) for _ in range(30_000)]
+    names = []
+    for part in range(3):
+        own = [(v,) for v in values[part::3]]
+        spark.createDataFrame(own, "v int").repartition(2).write.mode("append").parquet(folder)
+        names.append(sketch.add_files(spark, folder, store, value))
+    assert [len(n) for n in names] == [2, 2, 2] and len(set(sum(names, []))) == 6
+    assert sketch.add_files(spark, folder, store, value) == []
+    summary = sketch.merged_summary(sketch.read_store(spark, store))
+    row = summary.first()
+    assert (row["n"], row["min_value"], row["max_value"]) == (30_000, min(values), max(values))
+    ordered = sorted(values)
+    for i in (1, 2, 3):
+        below = sum(v < row[f"q{i}"] for v in ordered) / 30_000
+        upto = sum(v <= row[f"q{i}"] for v in ordered) / 30_000
+        assert below - sketch.RANK_ERROR <= 0.25 * i <= upto + sketch.RANK_ERROR
+    errors = sketch.rank_errors(summary, stats.value_counts(spark.createDataFrame([(v,) for v in values], "v int"), value))
+    assert all(errors.first()[f"error_{i}"] <= sketch.RANK_ERROR for i in (1, 2, 3))
+
+
+def test_no_sketches(spark, tmp_path):
+    empty = sketch.read_store(spark, str(tmp_path / "none"))
+    assert tuple(sketch.merged_summary(empty).first()) == (None,) * 6
+    nulls = spark.createDataFrame([("a", None), ("b", 3)], "f string, v int")
+    row = sketch.merged_summary(sketch.sketch_rows(nulls, "f", F.col("v"))).first()
+    assert tuple(row) == (1, 3, 3, 3, 3, 3)
