@@ -33,13 +33,13 @@ HEADS, ENDINGS, ENDING_CHARS = 8192, 2048, 3
 #: Classes of words, besides the one of the text's ends, and rounds of exchange.
 CLASSES, ROUNDS = 64, 12
 #: UTF-8 bytes of the texts of a batch, unless one text alone has more.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 #: Packets of words for each partition of a shuffle.
 PACKETS = 4
 #: Ranges that units are dealt in: as many as a shuffle has partitions, within these bounds.
 LEAST_RANGES, MOST_RANGES = 64, 1024
 #: Different pairs of units that a task adds up before they leave it.
-COMBINED = 2 << 20
+COMBINED = 1 << 20
 # Fixed values of the base score: what is added to each count.
 ADDED = 0.1
 #: What a seen class pair gives to unseen ones.
@@ -253,7 +253,7 @@ def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _dealt_pairs(keys: np.ndarray, counts: np.ndarray, n: int, ranges: int, salt: int) -> Iterator[pa.RecordBatch]:
     """Pairs of units by ranges of the first one and of the second one."""
     for side in (0, 1):
-        own, other = (keys // n, keys % n)[:: 1 - 2 * side]
+        own, other = np.divmod(keys.astype(np.int64), n)[:: 1 - 2 * side]
         # frequent units, which have the low numbers, spread over all ranges
         order = np.argsort(own % ranges, kind="stable")
         pairs, times = (own * n + other)[order].astype(np.uint32), counts[order]
@@ -280,7 +280,7 @@ def _long(counts: bytes, n: int) -> np.ndarray:
 def _pairs(batches: Iterator[pa.RecordBatch], units: Units, ranges: int, salts: int) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbouring units of learned texts, added up in the task."""
     n, salt = units.number, TaskContext.get().partitionId() % salts
-    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    keys, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
     for rows in batches:
         for place in range(rows.num_rows):
             sizes, learned, ids = (
@@ -292,7 +292,10 @@ def _pairs(batches: Iterator[pa.RecordBatch], units: Units, ranges: int, salts:
             if not len(after):
                 continue
             before = np.concatenate([[n - 1], after[:-1]])  # the end of a text begins the next
-            met, times = np.unique(before * n + after, return_counts=True)
+            both = (before * n + after).astype(np.uint32)
+            del ids, after, before, of_word
+            met, times = np.unique(both, return_counts=True)
+            del both
             keys, counts = _added_up(np.concatenate([keys, met]), np.concatenate([counts, times]))
             if len(keys) >= COMBINED:
                 yield from _dealt_pairs(keys, counts, n, ranges, salt)
