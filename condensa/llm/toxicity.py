@@ -28,6 +28,8 @@ LEAST_SHARE, LEAST_CONTEXTS, LEAST_ODDS = 0.01, 4, 20.0
 #: Tokens on either side that decide whether a term is quoted or addressed to someone.
 WINDOW = 5
 THRESHOLD = 0.7
+#: Texts that are taken out of a batch together.
+TOGETHER = 1000
 
 #: Look-alike characters, quotation marks and words around quotation or address.
 LOOK_ALIKE = str.maketrans("013457@$", "oieastas")
@@ -151,7 +153,7 @@ class Model(NamedTuple):
 class Scanner:
     """Finds the terms of a text, and what their contexts make of them."""
 
-    def __init__(self, terms: Iterable[str], ordinary: frozenset[str], kept: int = 200_000):
+    def __init__(self, terms: Iterable[str], ordinary: frozenset[str], kept: int = 100_000):
         self.automaton, self.ordinary, self.kept = TermAutomaton(terms), ordinary, kept
         self.cache: dict[str, tuple[str, int] | int] = {}
 
@@ -374,8 +376,10 @@ def drop_toxic(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(_scores(texts, model) < threshold))
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                texts = [t or "" for t in part.column(place).to_pylist()]
+                yield part.filter(pa.array(_scores(texts, model) < threshold))
 
     return docs.mapInArrow(run, schema=docs.schema)
 
