@@ -67,15 +67,15 @@ def merged_summary(stored: DataFrame) -> DataFrame:
 
 def rank_errors(summary: DataFrame, counts: DataFrame) -> DataFrame:
     """`summary` with `error_1` to `error_3`: how far each quartile's rank is off, by exact `counts` (`value, n`)."""
-    named = summary.withColumnsRenamed({"n": "_all"})
-    met = counts.join(F.broadcast(named))  # one row
+    # one row, which every task receives as one value
+    known = counts.withColumn("s", summary.select(F.struct("*")).scalar())
+    met = known.select("value", F.col("n").alias("c"), "s.*")
 
     def error(i: int) -> Column:
         q, share = F.col(f"q{i}"), 0.25 * i
-        below = F.sum(F.when(F.col("value") < q, F.col("n")).otherwise(0)) / F.max("_all")
-        upto = F.sum(F.when(F.col("value") <= q, F.col("n")).otherwise(0)) / F.max("_all")
+        below = F.sum(F.when(F.col("value") < q, F.col("c")).otherwise(0)) / F.max("n")
+        upto = F.sum(F.when(F.col("value") <= q, F.col("c")).otherwise(0)) / F.max("n")
         return F.greatest(below - share, F.lit(share) - upto, F.lit(0.0)).alias(f"error_{i}")
 
-    columns = ["_all", "min_value", "q1", "q2", "q3", "max_value"]
-    found = met.groupBy(*columns).agg(*[error(i) for i in (1, 2, 3)])
-    return found.withColumnRenamed("_all", "n")
+    columns = ["n", "min_value", "q1", "q2", "q3", "max_value"]
+    return met.groupBy(*columns).agg(*[error(i) for i in (1, 2, 3)])
