@@ -33,13 +33,13 @@ HEADS, ENDINGS, ENDING_CHARS = 8192, 2048, 3
 #: Classes of words, besides the one of the text's ends, and rounds of exchange.
 CLASSES, ROUNDS = 64, 12
 #: UTF-8 bytes of the texts of a batch, unless one text alone has more.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Packets of words for each partition of a shuffle.
 PACKETS = 4
 #: Ranges that units are dealt in: as many as a shuffle has partitions, within these bounds.
 LEAST_RANGES, MOST_RANGES = 64, 1024
-#: Different pairs of units that a task adds up before they leave it.
-COMBINED = 1 << 20
+#: Different pairs of units that a task adds up before they leave it, with those of the batch that fills it.
+COMBINED = 1 << 18
 # Fixed values of the base score: what is added to each count.
 ADDED = 0.1
 #: What a seen class pair gives to unseen ones.
@@ -112,8 +112,10 @@ def _batches(docs: DataFrame, key: str, text: str, learn: Column, packets: int)
                     pa.array([counts.astype(np.int64).tobytes()], pa.binary()),
                     pa.array([cuts.astype(np.int64).tobytes()]),
                 ]
+                del words, coded, found, ids
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 name += 1
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(
         F.col(key).alias("_key"),
@@ -299,7 +301,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], units: Units, ranges: int, salts:
             keys, counts = _added_up(np.concatenate([keys, met]), np.concatenate([counts, times]))
             if len(keys) >= COMBINED:
                 yield from _dealt_pairs(keys, counts, n, ranges, salt)
-                keys, counts = keys[:0], counts[:0]
+                keys, counts = keys[:0].copy(), counts[:0].copy()
+        pa.default_memory_pool().release_unused()
     if len(keys):
         yield from _dealt_pairs(keys, counts, n, ranges, salt)
 
