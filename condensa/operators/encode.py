@@ -13,7 +13,7 @@ from condensa.functions.ids import (
     slot_map,
     unknown_slots,
 )
-from condensa.functions.text import word_tokens
+from condensa.functions.text import head_word_tokens
 from condensa.operators.lookup import attach_to_rows, lookup_id, way, word_table
 
 
@@ -39,7 +39,7 @@ def encode_examples(
     """
 
     def tokens_of(text: str, width: int) -> Column:
-        return F.slice(word_tokens(F.coalesce(text, F.lit(""))), 1, width)
+        return head_word_tokens(F.coalesce(text, F.lit("")), width)
 
     tokens = pairs.select(
         key, tokens_of("source", tx).alias("x_tokens"), tokens_of("target", ty).alias("y_tokens")

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_lm_beam import as_rows, factor, random_table
 
@@ -104,3 +106,37 @@ def test_many_transitions_are_joined(spark, monkeypatch):
     for row in found.collect():
         (_, seq), _, _ = plain_search(table, sources()[row["doc_id"]], 0.5, 2, 4, "divide", True, 0.0)
         assert tuple(row["seq"]) == seq
+
+
+def test_examples_of_a_task_advance_together(spark):
+    """The rows of a batch are searched as arrays, without a fold in each row."""
+    table = random_table(11)
+    given = [ids for ids in sources() if any(ids)] * 60
+    transitions = sorted((p, n, v) for p, nexts in table.items() for n, v in nexts.items() if n != 3)
+    s = pointer._Settings(VOCAB_SIZE, 1, 64, 3, 0.7, [factor(t, 0.7, "divide") for t in range(5)], 0.5, True)
+    lasts = np.array(sorted({p for p, _, _ in transitions}))
+    ordered = sorted(transitions, key=lambda e: (e[0], -e[2], e[1]))
+    lists = pointer._Lists.of(
+        lasts, np.array([sum(p == q for p, _, _ in transitions) for q in lasts]),
+        np.array([n for _, n, _ in ordered]), np.array([0.5 * math.exp(v) for _, _, v in ordered]), s,
+    )
+    columns = [pa.array(given, pa.list_(pa.int32())), pa.nulls(len(given), pa.list_(pa.float64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["_ids", "_weights"])
+    search = pointer._Search(*pointer._copies(batch, s), lists, None, True, s)
+    # no list is cut, so no pair is looked up
+    search.share_of = lambda wanted: (np.zeros(0), np.ones(0, dtype=bool)) if not len(wanted) else 1 / 0
+    search.run()
+    seqs, scores, done, _ = search.answers()
+    for ids, seq, score, ended in zip(given[:40], seqs.to_pylist(), scores.to_pylist(), done.to_pylist()):
+        (want, best), closed, _ = plain_search(table, ids, 0.5, 3, 5, "divide", True, 0.7)
+        assert (tuple(seq), round(score, 8), ended) == (best, round(want, 8), closed)
+
+
+def test_weighted_sources(spark):
+    """Weights take the place of counts, also where they are missing."""
+    rows = [(1, [10, 4, 10, 0], [0.1, 0.5, 0.2, 0.2]), (2, [10, 4], None), (3, [5, 10], [0.9])]
+    df = spark.createDataFrame(rows, "doc_id int, x array<int>, w array<double>")
+    table = {1: {6: 0.0}, 6: {2: 0.0}}
+    found = pointer.pointer_beam_search(df, as_rows(spark, table), VOCAB_SIZE, 0.1, 1, 1, 1, weights="w")
+    score = {r["doc_id"]: (r["seq"], round(math.exp(r["score"]), 9)) for r in found.collect()}
+    assert score[1] == ([4], 0.45) and score[3] == ([5], 0.81)

@@ -111,3 +111,11 @@ def test_detokenize_equals_loop(spark, rows):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>")
     found = {r["i"]: r["v"] for r in df.select("i", T.detokenize("t").alias("v")).collect()}
     assert found == {i: plain_detokenize(r) for i, r in enumerate(rows)}
+
+
+def test_the_head_of_the_words_is_that_of_all_words(column):
+    texts = ["", "  ", "a", "It's, no?! ÉTÉ_9 … — x'y;z\n\"q\"", "---", "word " * 500, "x" * 30_000 + " y.", "Σ ΑΣ. ΣΑΣ b"]
+    for text in texts:
+        whole = column(T.word_tokens("text"), text=text)
+        for n in (1, 2, 3, 100):
+            assert column(T.head_word_tokens("text", n), text=text) == whole[:n]
