@@ -67,6 +67,31 @@ def test_alignment_equals_loops(spark, examples):
         assert not real or sum(real) == pytest.approx(1)
 
 
+def test_tasks_add_up_what_the_join_does(spark, monkeypatch, examples):
+    """The shares of all pairs are not written: tasks give sums, and weights equal those of the join."""
+    rows = [(i % 5, x, y) for i, (x, y) in enumerate(examples)]
+    numbered = align.numbered(spark.createDataFrame(rows, "doc_id int, x array<int>, y array<int>"))
+    pairs = materialize(align.id_pairs(numbered, VOCAB_SIZE))
+    assert pairs.count() == len(rows)
+
+    def results():
+        table, likelihood = align.align(pairs, 3)
+        weighted = align.aligned_weights(numbered, pairs, table, VOCAB_SIZE).collect()
+        shown = lambda v: None if v is None else [round(w, 9) for w in v]
+        return (
+            {(r["x"], r["y"]): r["p"] for r in table.collect()},
+            [r["log_likelihood"] for r in likelihood.orderBy("round").collect()],
+            sorted((r["doc_id"], str(r["x"]), str(r["y"]), str(shown(r["weights"]))) for r in weighted),
+        )
+
+    summed = results()
+    monkeypatch.setattr(align, "CELLS", 0)
+    joined = results()
+    assert summed[0] == pytest.approx(joined[0]) and summed[1] == pytest.approx(joined[1])
+    assert summed[2] == joined[2]
+    assert summed[0] == pytest.approx(loop_alignment(examples, 3)[0])
+
+
 def test_alignment_finds_what_a_word_becomes(spark, examples):
     """In the examples a word 4, 5 or 6 becomes the next number."""
     numbered = align.numbered(spark.createDataFrame(examples, "x array<int>, y array<int>"))
