@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from condensa.functions.text import flatten_newlines, split_sentences, word_tokens
 from condensa.operators.skew import attach_by_key
-from condensa.session import materialize
+from condensa.session import materialize, partitions_by_size
 
 # scores that differ by rounding noise only count as equal; ties go to the earlier sentence
 SCORE_DIGITS = 6
+#: Bytes of documents, as Spark estimates them, whose words one task sorts.
+TASK_BYTES = 2 << 20
 
 
 def sentences_of(text: str) -> Column:
@@ -21,6 +23,12 @@ def lead_k(docs: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.array_join(F.slice(sentences_of("text"), 1, k), " ").alias("summary"))
 
 
+def _by_key(docs: DataFrame, key: str) -> DataFrame:
+    """The texts dealt by key, so that a task's share does not grow with the input."""
+    texts = docs.select(key, "text")
+    return texts.repartition(partitions_by_size(texts, TASK_BYTES), key)
+
+
 def sentence_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """`key, pos, score`: mean tf-idf weight of the tokens of each sentence.
 
@@ -28,7 +36,7 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     A sentence without tokens scores 0. Tokens are counted per sentence before they meet the
     document frequencies.
     """
-    return _sentence_scores(docs, docs.select(key, "text").repartition(key), key)
+    return _sentence_scores(docs, _by_key(docs, key), key)
 
 
 def _sentence_scores(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
@@ -59,7 +67,7 @@ def extractive_summary(docs: DataFrame, k: int, key: str = "doc_id") -> DataFram
 
     The texts are shuffled by key once; scoring and the final pick read the same shuffle.
     """
-    texts = docs.select(key, "text").repartition(key)
+    texts = _by_key(docs, key)
     best = Window.partitionBy(key).orderBy(F.round("score", SCORE_DIGITS).desc(), "pos")
     chosen = (
         _sentence_scores(docs, texts, key)

@@ -143,3 +143,15 @@ def test_scores_are_between_0_and_1(spark):
         bounds = scored.agg(F.min(F.least("r", "p", "f")), F.max(F.greatest("r", "p", "f"))).first()
         assert 0 <= bounds[0] and bounds[1] <= 1
         assert scored.count() == 100
+
+
+def test_tasks_of_the_summary_grow_in_number_with_the_input(spark, monkeypatch, tmp_path):
+    rows = [(i, f"One word {i}. Two words {i}. Three.") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert summarize._by_key(docs, "doc_id").rdd.getNumPartitions() == usual
+    before = {r["doc_id"]: r["summary"] for r in summarize.extractive_summary(docs, 2).collect()}
+    monkeypatch.setattr(summarize, "TASK_BYTES", 100)
+    assert summarize._by_key(docs, "doc_id").rdd.getNumPartitions() > 2 * usual
+    assert {r["doc_id"]: r["summary"] for r in summarize.extractive_summary(docs, 2).collect()} == before
