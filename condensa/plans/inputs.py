@@ -40,15 +40,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_and_rest(text: str) -> Column:
-    """Source = all sentences but the first, target = the first; null for a single sentence."""
+    """Source = all sentences but the first, target = the first; null for a single sentence.
+
+    The text is cut once: the sentences behind the first cut, joined by a space, are the text there.
+    """
     return bind(
-        split_sentences(flatten_newlines(text)),
+        split_sentences(flatten_newlines(text), limit=2),
         lambda s: F.when(
             F.size(s) > 1,
-            F.struct(
-                F.array_join(F.slice(s, 2, F.size(s)), " ").alias("source"),
-                F.get(s, F.lit(0)).alias("target"),
-            ),
+            F.struct(F.get(s, F.lit(1)).alias("source"), F.get(s, F.lit(0)).alias("target")),
         ),
     )
 

@@ -880,34 +880,33 @@ def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", joined(merged).alias("pieces"))
 
 
-def _scored_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cleaned pairs of texts, and the table of pieces that their words give."""
+def _scored_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cleaned pairs of texts, the counts of their words, and the table of pieces that those give."""
     docs = P.documents(spark, sf_dir)
     pairs = P.doc_pairs(docs).select(
         "doc_id", *[T.clean_chars(c).alias(c) for c in ("source", "target")]
     )
-    words = F.concat(lattice.marked_words("source"), lattice.marked_words("target"))
-    counts = word_counts(pairs, words)
-    return pairs, materialize(lattice.piece_scores(counts, P.PIECE_CHARS, P.VOCAB_WORDS), "piece-scores")
+    counts = materialize(lattice.marked_counts(pairs, ["source", "target"]), "piece-words")
+    table = lattice.piece_scores(counts, P.PIECE_CHARS, P.VOCAB_WORDS)
+    return pairs, counts, materialize(table, "piece-scores")
 
 
 @query
 def piece_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored_table(spark, sf_dir)[1]
+    return _scored_table(spark, sf_dir)[2]
 
 
 @query
 def subword_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cut of each distinct word of the texts."""
-    pairs, table = _scored_table(spark, sf_dir)
-    words = F.explode_outer(F.concat(lattice.marked_words("source"), lattice.marked_words("target")))
-    distinct = pairs.select(words.alias("word")).where("word IS NOT NULL").distinct()
-    return lattice.cut_words(distinct, table).withColumn("pieces", joined("pieces"))
+    _, counts, table = _scored_table(spark, sf_dir)
+    return lattice.cut_words(counts, table).withColumn("pieces", joined("pieces"))
 
 
 def _encoded_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs, table = _scored_table(spark, sf_dir)
-    cut = lattice.scored_pieces(pairs, ["source", "target"], table)
+    pairs, _, table = _scored_table(spark, sf_dir)
+    first = {"source": P.TX, "target": P.TY}
+    cut = lattice.scored_pieces(pairs, ["source", "target"], table, first)
     return subword.encode_pieces(cut, table, P.VOCAB_SIZE, P.TX, P.TY, P.MAX_OOV), table
 
 

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from condensa.operators import lattice
 
@@ -62,3 +63,25 @@ def test_piece_scores(spark):
     counts = spark.createDataFrame([("▁aa", 3), ("▁b", 1)], "word string, n long")
     found = {r["word"]: (r["id"], r["n"]) for r in lattice.piece_scores(counts, 2, 4).collect()}
     assert found == {"a": (4, 6), "▁": (5, 4), "aa": (6, 3), "▁a": (7, 3)}
+
+
+def test_words_are_cut_in_their_rows(spark, table):
+    df = spark.createDataFrame([(1, "ab " * 50, " a  x ab")], "doc_id long, source string, target string")
+    cut = lattice.scored_pieces(df, ["source", "target"], table, {"source": 3, "target": 2})
+    row, ab = cut.first(), best_cut("▁ab", dict(TABLE), -14.5)
+    assert row["source"] == ab * 3
+    assert row["target"] == best_cut("▁a", dict(TABLE), -14.5) + best_cut("▁x", dict(TABLE), -14.5)
+    plans = [cut, lattice.cut_words(df.select(F.col("source").alias("word")), table)]
+    assert not any("Exchange" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+
+
+def test_marked_counts(spark):
+    df = spark.createDataFrame([(" a  b", "a"), (None, "b\n c ")], "source string, target string")
+    found = {r["word"]: r["n"] for r in lattice.marked_counts(df, ["source", "target"]).collect()}
+    assert found == {"▁a": 2, "▁b": 1, "▁b\n": 1, "▁c": 1}
+    assert lattice.marked_counts(df.limit(0), ["source", "target"]).collect() == []
+
+
+def test_a_piece_twice_in_its_table_is_an_error(spark, table):
+    with pytest.raises(ValueError):
+        lattice.cut_words(spark.createDataFrame([("a",)], "word string"), table.union(table)).collect()
