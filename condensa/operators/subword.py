@@ -12,17 +12,21 @@ from condensa.functions.ids import EOS, PAD, SOS
 from condensa.functions.text import as_column
 from condensa.operators.decode import decode_words
 from condensa.operators.encode import encode_tokens
+from condensa.operators.lookup import explode_words
 
 # Fixed value: the piece that stands for a space.
 SPACE_PIECE = "\u2581"
 
 
-def cut_pieces(text: Column | str, chars: int) -> Column:
+def cut_pieces(text: Column | str, chars: int, first: int | None = None) -> Column:
     """Pieces of at most `chars` characters of each word; the first one has the space before it.
 
-    The simplest cut that gives pieces, for texts that no model has cut.
+    The simplest cut that gives pieces, for texts that no model has cut. `first` asks for the first pieces
+    only: those of as many words hold them, and the words behind them are not cut.
     """
-    words = F.split(F.trim(F.regexp_replace(as_column(text), " +", " ")), " ")
+    words = F.split(F.trim(as_column(text)), " +", -1 if first is None else first + 1)
+    # behind the first ones the text is not cut: it is one part
+    words = words if first is None else F.slice(words, 1, first)
 
     def cut(word: Column) -> Column:
         parts = F.regexp_extract_all(word, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
@@ -33,6 +37,16 @@ def cut_pieces(text: Column | str, chars: int) -> Column:
     return F.flatten(F.transform(F.filter(words, lambda w: w != ""), cut))
 
 
+def piece_counts(df: DataFrame, columns: list[str], chars: int) -> DataFrame:
+    """`word, n` of the pieces that `cut_pieces` gives of all texts in `columns`."""
+    words = explode_words(df, F.split(F.concat_ws(" ", *columns), " ")).where("word <> ''")
+    numbers = F.sequence(F.lit(0), F.floor((F.length("word") - 1) / chars).cast("int"))
+    places = words.select("word", F.explode_outer(numbers).alias("_i"))
+    part = F.substring("word", F.col("_i") * chars + 1, F.lit(chars))
+    piece = F.when(F.col("_i") == 0, F.concat(F.lit(SPACE_PIECE), part)).otherwise(part)
+    return places.groupBy(piece.alias("word")).agg(F.count("*").alias("n"))
+
+
 def encode_pieces(
     pairs: DataFrame,
     vocab: DataFrame,

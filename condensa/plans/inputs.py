@@ -16,6 +16,7 @@ from condensa.operators.encode import encode_examples
 from condensa.operators.lookup import attach_to_rows, lookup_id, way, word_table
 from condensa.operators.sample import ordered_index
 from condensa.operators.skew import attach_by_key
+from condensa.operators.subword import piece_counts
 from condensa.operators.vocab import build_vocab, word_counts
 from condensa.session import materialize, spread
 
@@ -92,7 +93,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def piece_vocabulary(pairs: DataFrame) -> DataFrame:
-    counts = word_counts(pairs, F.concat("source", "target"))
+    """The vocabulary of the pieces of both cleaned sides."""
+    counts = piece_counts(pairs, ["source", "target"], PIECE_CHARS)
     return materialize(build_vocab(counts, VOCAB_WORDS), "pieces")
 
 

@@ -26,7 +26,7 @@ from condensa.operators import (
     summarize,
 )
 from condensa.operators.decode import decode_words
-from condensa.operators.vocab import load_vocab, save_vocab, word_counts
+from condensa.operators.vocab import load_vocab, save_vocab
 from condensa.plans import inputs as P
 from condensa.plans.evaluate import Evaluation, evaluate
 from condensa.session import materialize, new_path
@@ -841,20 +841,19 @@ def pointer_beam_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- piece mode -----------------------------------------------------------------------
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs as piece arrays (`doc_id, source, target`), and the vocabulary of their pieces."""
-    docs = P.documents(spark, sf_dir)
-    pairs = P.doc_pairs(docs).select(
-        "doc_id",
-        *[subword.cut_pieces(T.clean_chars(c), P.PIECE_CHARS).alias(c) for c in ("source", "target")],
+def _cleaned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.doc_pairs(P.documents(spark, sf_dir)).select(
+        "doc_id", *[T.clean_chars(c).alias(c) for c in ("source", "target")]
     )
-    return pairs, P.piece_vocabulary(pairs)
 
 
 def _encoded_pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs, vocab = _pieces(spark, sf_dir)
-    encoded = subword.encode_pieces(pairs, vocab, P.VOCAB_SIZE, P.TX, P.TY, P.MAX_OOV)
-    return encoded, vocab
+    """Pairs as piece arrays, encoded, and the vocabulary of the pieces of their whole texts."""
+    pairs = _cleaned_pairs(spark, sf_dir)
+    vocab = P.piece_vocabulary(pairs)
+    first = {"source": P.TX, "target": P.TY}
+    cut = pairs.withColumns({c: subword.cut_pieces(c, P.PIECE_CHARS, n) for c, n in first.items()})
+    return subword.encode_pieces(cut, vocab, P.VOCAB_SIZE, P.TX, P.TY, P.MAX_OOV), vocab
 
 
 @query
@@ -882,10 +881,7 @@ def merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cleaned pairs of texts, the counts of their words, and the table of pieces that those give."""
-    docs = P.documents(spark, sf_dir)
-    pairs = P.doc_pairs(docs).select(
-        "doc_id", *[T.clean_chars(c).alias(c) for c in ("source", "target")]
-    )
+    pairs = _cleaned_pairs(spark, sf_dir)
     counts = materialize(lattice.marked_counts(pairs, ["source", "target"]), "piece-words")
     table = lattice.piece_scores(counts, P.PIECE_CHARS, P.VOCAB_WORDS)
     return pairs, counts, materialize(table, "piece-scores")

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,19 @@ def test_pieces(spark):
     merged = [subword.merge_fragments(F.col("p"), n) for n in (2, 3)]
     found = spark.createDataFrame([(["▁", "ab", "c"],)], "p array<string>").select(*merged).first()
     assert tuple(found) == (["▁abc"], ["▁", "ab", "c"])
+
+
+def test_piece_counts_and_first_pieces(spark):
+    from condensa.operators import subword
+
+    rows = [("  abcd  e\nf", "abc 😀😀😀"), (None, " "), ("", "x" * 9)]
+    df = spark.createDataFrame(rows, "source string, target string")
+    whole = F.concat(*[F.coalesce(subword.cut_pieces(c, 2), F.array().cast("array<string>")) for c in df.columns])
+    want = Counter(p for r in df.select(whole.alias("p")).collect() for p in r["p"])
+    found = {r["word"]: r["n"] for r in subword.piece_counts(df, df.columns, 2).collect()}
+    assert found == want and found["▁😀😀"] == 1 and found["▁ab"] == 2
+    first = [df.select(F.slice(subword.cut_pieces("source", 2, n), 1, n)).first()[0] for n in (1, 2, 3, 9)]
+    pieces = ["▁ab", "cd", "▁e\n", "f"]
+    assert first == [pieces[:1], pieces[:2], pieces[:3], pieces]
+    # a word behind the first ones is not cut
+    assert df.select(subword.cut_pieces("source", 2, 1)).first()[0] == ["▁ab", "cd"]
