@@ -9,7 +9,7 @@ from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from condensa.functions.text import flatten_newlines, normalize_text, split_sentences
 from condensa.operators.lookup import explode_words
-from condensa.operators.sample import head_fraction, ordered_index
+from condensa.operators.sample import head_fraction
 from condensa.operators.skew import broadcast_if_small
 from condensa.session import materialize
 
@@ -43,13 +43,35 @@ def with_checked_key(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.when(F.col(key).isNull(), missing).otherwise(F.lit(True)))
 
 
+# Fixed value: the columns that tell where a row was read.
+PLACE = ("_file", "_block", "_line")
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """`df`, read from files, with the columns `PLACE`: file, start of the split, and a number that rises in it."""
+    found = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    return df.withColumns(dict(zip(PLACE, found)))
+
+
+def by_place(placed: DataFrame, key: str) -> DataFrame:
+    """Rows with `PLACE` numbered from 0 by file and line.
+
+    The rows are written once, where they are: a split is read by one task, so its lines have numbers that follow
+    one another, and only the splits, one row each, are put in order.
+    """
+    written = materialize(placed, "placed")
+    splits = written.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    # one row per split: the window without partitions sees no more than that
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    index = (F.col("_before") + F.col("_line") - F.col("_first")).cast("long")
+    met = written.join(F.broadcast(offsets), ["_file", "_block"])
+    return met.withColumn(key, index).drop(*PLACE, "_before", "_first")
+
+
 def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """`df`, read from files, numbered from 0 by file name and line, for files without an id field."""
-    path, line = "_file", "_line"
-    placed = df.withColumn(path, F.col("_metadata.file_path")).withColumn(
-        line, F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    )
-    return ordered_index(placed, path, line, name=key).drop(path, line)
+    return by_place(with_place(df), key)
 
 
 class SplitArticles(NamedTuple):

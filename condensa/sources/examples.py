@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from condensa.sources.articles import numbered
+from condensa.sources.articles import PLACE, by_place, with_place
 
 
 def write_examples(examples: DataFrame, path: str) -> None:
@@ -47,7 +47,7 @@ def read_examples_csv(
     schema = StructType([StructField(n, StringType()) for n in names])
     rows = spark.read.schema(schema).options(quote='"', escape='"').csv(path)
     if key:
-        rows = numbered(rows, key)
+        rows = with_place(rows)
     entries = F.filter(
         F.array(
             *[
@@ -60,13 +60,15 @@ def read_examples_csv(
         lambda e: e["id"].isNotNull(),
     )
     read = rows.select(
-        *([key] if key else []),
+        *(PLACE if key else []),
         F.array(*names[:tx]).cast("array<int>").alias("x"),
         F.array(*names[tx : tx + ty]).cast("array<int>").alias("y"),
         F.col(names[head - 1]).cast("int").alias("oov_cnt"),
         F.map_from_entries(entries).alias("oov"),
         F.col(names[-1]).alias("_more"),
     )
+    # the arrays are written for that, and not their many columns
+    read = by_place(read, key) if key else read
     whole = (F.size("oov") == F.col("oov_cnt")) & F.col("_more").isNull()
     text = f"a dictionary does not have its count, or more than {max_oov}"
     broken = F.raise_error(F.lit(text)).cast("boolean")

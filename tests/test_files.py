@@ -260,3 +260,22 @@ def test_a_report_has_a_bound(spark, tmp_path, monkeypatch):
         report.write_report(averages, samples, {}, str(tmp_path / "r"))
     report.write_report(averages, samples.limit(2), {}, str(tmp_path / "r"))
     assert len(report.read_report(spark, str(tmp_path / "r"))) == 4
+
+
+def test_rows_of_split_files_are_numbered_as_arrays(spark, tmp_path):
+    source, size = tmp_path / "in", "spark.sql.files.maxPartitionBytes"
+    source.mkdir()
+    lines = {name: [f"{i},{len(name)},2,0" for i in range(n)] for name, n in (("b", 900), ("a1", 7), ("c", 300))}
+    for name, rows in lines.items():
+        (source / f"{name}.csv").write_text("\n".join(rows) + "\n")
+    usual = spark.conf.get(size)
+    spark.conf.set(size, "2000")
+    try:
+        read = files.read_examples_csv(spark, str(source), 2, 1, 1, key="row")
+        got = sorted((r["row"], r["x"]) for r in read.collect())
+    finally:
+        spark.conf.set(size, usual)
+    want = [[i, len(name)] for name in sorted(lines) for i in range(len(lines[name]))]
+    assert got == list(enumerate(want))
+    # what was written for the numbers are the arrays, not the columns of the file
+    assert "c0" not in read._jdf.queryExecution().executedPlan().toString()
