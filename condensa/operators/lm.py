@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from condensa.functions.ids import PAD, collapse_unknown, count_in, masked_mean, real_ids
 from condensa.functions.text import bind, flatten_newlines, split_sentences, word_tokens
-from condensa.operators.lookup import attach_to_rows, dense_table, explode_words, way
+from condensa.operators.lookup import attach_to_rows, dense_table, way
 from condensa.operators.skew import attach_by_key, broadcast_if_small
 from condensa.session import materialize
 
@@ -189,17 +189,12 @@ def coverage_repetition(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def bigram_counts(df: DataFrame, tokens: Column, first: Column, last: Column) -> DataFrame:
     """`prev, next, n` over neighbouring tokens, with `first` and `last` at the ends."""
-    steps = bind(
-        tokens,
-        lambda a: F.arrays_zip(
-            F.concat(F.array(first), a).alias("prev"), F.concat(a, F.array(last)).alias("next")
-        ),
-    )
-    return (
-        explode_words(df, steps)
-        .groupBy(F.col("word.prev").alias("prev"), F.col("word.next").alias("next"))
-        .agg(F.count("*").alias("n"))
-    )
+    rows = df.select(tokens.alias("_a"))
+    places = F.when(F.col("_a").isNotNull(), F.sequence(F.lit(0), F.size("_a")))
+    steps = rows.select("_a", F.explode_outer(places).alias("_i")).where("_i IS NOT NULL")
+    prev = F.when(F.col("_i") == 0, first).otherwise(F.get("_a", F.col("_i") - 1))
+    following = F.when(F.col("_i") == F.size("_a"), last).otherwise(F.get("_a", F.col("_i")))
+    return steps.groupBy(prev.alias("prev"), following.alias("next")).agg(F.count("*").alias("n"))
 
 
 def bigram_transitions(counts: DataFrame, bounded: bool = False) -> DataFrame:

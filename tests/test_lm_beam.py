@@ -243,3 +243,14 @@ def test_copying_and_coverage_need_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "A b.")], "doc_id int, text string")
     for df in (lm.copy_distribution(examples), lm.coverage_repetition(docs)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_neighbours_are_rows(spark):
+    rows = [(["a", "b", "a", "b"],), ([],), (None,), (["a"],)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    counts = lm.bigram_counts(df, F.col("t"), F.lit("<s>"), F.lit("</s>"))
+    found = {(r["prev"], r["next"]): r["n"] for r in counts.collect()}
+    want = {("<s>", "a"): 2, ("a", "b"): 2, ("b", "a"): 1, ("b", "</s>"): 1, ("<s>", "</s>"): 1, ("a", "</s>"): 1}
+    assert found == want
+    # no array of pairs is made for a text
+    assert "arrays_zip" not in counts._jdf.queryExecution().optimizedPlan().toString()
